@@ -13,20 +13,7 @@ from pyspark.sql import functions as F
 from leadframe.operators import reports, standardise, upsert
 from leadframe.plans import inputs
 
-NOW = "2024-02-01 00:00:00"   # the run's "now": a parameter, so runs are repeatable
-BATCH = "b1"
-
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def register(name, sql=None):
-    def deco(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLES[name] = sql
-        return fn
-    return deco
+from leadframe.plans.registry import BATCH, NOW, ORACLES, QUERIES, register  # noqa: F401
 
 
 def person_records(spark, sf):
@@ -129,3 +116,7 @@ def report_recent_by_followers(spark, sf, limit=None):
 def r2_report_recent(spark, sf):
     """R2 over the K13 result: every person with company, by followers (whole list)."""
     return report_recent_by_followers(spark, sf, limit=None)
+
+
+# the other query families register themselves on import
+from leadframe.plans import q_people, q_companies, q_text, q_ops  # noqa: E402,F401

@@ -89,7 +89,8 @@ LOOKUP_DATE = "2024-02-01"
 
 # The standardised records of RAW_PROFILES_SQL after N1 (mapping with the
 # run's lookup date) and N2-N9, in SQL for these ASCII inputs: key, degree
-# moved into the title, name split, counts parsed.
+# moved into the title, name split, counts parsed (a parsed 0 is falsy in the
+# mapped-over-raw precedence, so it ends as NULL).
 PERSON_RECORDS_SQL = f"""
 WITH r AS ({RAW_PROFILES_SQL})
 SELECT ingest_seq,
@@ -101,14 +102,88 @@ SELECT ingest_seq,
          THEN current_position || ' (Dr.)' ELSE '(Dr.)' END
        ELSE current_position END AS title_current,
   email, location AS location_text,
-  CASE WHEN connection_count IS NULL THEN NULL
-       ELSE least(CAST(regexp_extract(connection_count, '^([0-9]+)', 1) AS BIGINT), 500) END
+  nullif(CASE WHEN connection_count IS NULL THEN NULL
+       ELSE least(CAST(regexp_extract(connection_count, '^([0-9]+)', 1) AS BIGINT), 500) END, 0)
        AS connections_linkedin,
-  CASE WHEN follower_count IS NULL THEN NULL
-       ELSE CAST(round_even(CAST(rtrim(follower_count, 'K') AS DOUBLE) * 1000, 0) AS BIGINT) END
+  nullif(CASE WHEN follower_count IS NULL THEN NULL
+       ELSE CAST(round_even(CAST(rtrim(follower_count, 'K') AS DOUBLE) * 1000, 0) AS BIGINT) END, 0)
        AS followers_linkedin,
   CAST(NULL AS VARCHAR) AS website_info, phone AS phone_info, summary AS info_raw,
   CAST(NULL AS VARCHAR) AS insights_text, '{LOOKUP_DATE}' AS lookup_date, source_name, source_query,
   company AS company_name, company_domain, CAST(NULL AS VARCHAR) AS company_website
 FROM r
 """
+
+
+# ------------------------------------------------------- customer profiles
+# Raw profiles from customer ⟕ nation with the cases validation and name
+# rules must handle: invalid and missing URLs, bad names, degree prefixes,
+# blank summaries, malformed e-mails and phones, implausible years.
+def customer_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    n = table(spark, sf_dir, "nation")
+    j = c.join(n, c["c_nationkey"] == n["n_nationkey"], "left")
+    k = F.col("c_custkey")
+    ks = k.cast("string")
+    def kunde(prefix):
+        return F.concat(F.lit(prefix), ks)
+    name = (F.when(k % 12 == 0, F.lit(None)).when(k % 12 == 1, kunde("http://spam"))
+            .when(k % 12 == 2, F.lit("X")).when(k % 12 == 3, kunde("Prof. Dr. Anna Kunde"))
+            .when(k % 12 == 4, kunde("Dr.-Ing. Bernd Kunde")).when(k % 12 == 5, kunde("dipl.-ing. Carl Kunde"))
+            .when(k % 12 == 6, kunde("Mag. Dora Kunde")).when(k % 12 == 7, kunde("MBA Emil Kunde"))
+            .when(k % 12 == 8, kunde("Prof. Dr. med. Fritz Kunde")).when(k % 12 == 9, kunde("pd Gerd Kunde"))
+            .when(k % 12 == 10, F.concat(kunde("  Hanna  Maria   Kunde"), F.lit(" ")))
+            .otherwise(F.lit("Ida")))
+    slug = (k % 499).cast("string")
+    url = (F.when(k % 7 == 0, F.concat(F.lit("https://example.com/in/c-"), ks))
+           .when(k % 7 == 1, F.concat(F.lit("linkedin.com/in/c-"), ks))
+           .when(k % 7 == 2, F.lit(None))
+           .when(k % 7 == 3, F.concat(F.lit("http://www.linkedin.com/in/c-"), slug, F.lit("/")))
+           .otherwise(F.concat(F.lit("https://de.linkedin.com/in/C-"), slug, F.lit("?x=1"))))
+    return j.select(
+        k.alias("ingest_seq"), name.alias("name"), url.alias("profile_url"),
+        F.when(k % 5 == 0, F.lit("")).otherwise(
+            F.concat(F.lit("Buyer in "), F.col("c_mktsegment"), F.lit(" at "), F.col("n_name"), F.lit(".")))
+        .alias("summary"),
+        F.when(k % 4 != 0, F.concat(F.col("c_mktsegment"), F.lit(" lead"))).alias("current_position"),
+        F.col("n_name").alias("company"),
+        F.when(k % 3 != 0, F.concat(F.lit("City "), (k % 17).cast("string"))).alias("location"),
+        F.when(k % 4 == 0, F.concat(F.lit("c"), ks, F.lit("@example.com")))
+         .when(k % 4 == 1, F.lit("bad-email@")).alias("email"),
+        F.when(k % 6 == 0, F.lit("12-345"))
+         .when(k % 6 == 1, F.concat(F.lit("+49 711 "), (k + 1000000).cast("string"))).alias("phone"),
+        F.when(k % 3 == 0, F.concat(F.lit("www.c"), ks, F.lit(".com")))
+         .when(k % 3 == 1, F.concat(F.lit("https://c"), ks, F.lit(".com"))).alias("website"),
+        (k % 70).cast("long").alias("experience_years"),
+        F.when(k % 2 == 0, F.floor(F.col("c_acctbal")).cast("long").cast("string")).alias("follower_count"),
+        F.when(k % 3 == 1, F.lit("500+")).when(k % 3 == 2, F.lit("1.2K")).alias("connection_count"),
+        F.array(F.col("c_mktsegment"), F.lit(""), F.col("n_name")).alias("summary_other"),
+    )
+
+
+CUSTOMER_PROFILES_SQL = """
+SELECT c_custkey AS ingest_seq,
+  CASE c_custkey % 12 WHEN 0 THEN NULL WHEN 1 THEN 'http://spam' || c_custkey WHEN 2 THEN 'X'
+    WHEN 3 THEN 'Prof. Dr. Anna Kunde' || c_custkey WHEN 4 THEN 'Dr.-Ing. Bernd Kunde' || c_custkey
+    WHEN 5 THEN 'dipl.-ing. Carl Kunde' || c_custkey WHEN 6 THEN 'Mag. Dora Kunde' || c_custkey
+    WHEN 7 THEN 'MBA Emil Kunde' || c_custkey WHEN 8 THEN 'Prof. Dr. med. Fritz Kunde' || c_custkey
+    WHEN 9 THEN 'pd Gerd Kunde' || c_custkey WHEN 10 THEN '  Hanna  Maria   Kunde' || c_custkey || ' '
+    WHEN 11 THEN 'Ida' END AS name,
+  CASE c_custkey % 7 WHEN 0 THEN 'https://example.com/in/c-' || c_custkey
+    WHEN 1 THEN 'linkedin.com/in/c-' || c_custkey WHEN 2 THEN NULL
+    WHEN 3 THEN 'http://www.linkedin.com/in/c-' || (c_custkey % 499) || '/'
+    ELSE 'https://de.linkedin.com/in/C-' || (c_custkey % 499) || '?x=1' END AS profile_url,
+  CASE WHEN c_custkey % 5 = 0 THEN '' ELSE 'Buyer in ' || c_mktsegment || ' at ' || n_name || '.' END AS summary,
+  CASE WHEN c_custkey % 4 <> 0 THEN c_mktsegment || ' lead' END AS current_position,
+  n_name AS company,
+  CASE WHEN c_custkey % 3 <> 0 THEN 'City ' || (c_custkey % 17) END AS location,
+  CASE c_custkey % 4 WHEN 0 THEN 'c' || c_custkey || '@example.com' WHEN 1 THEN 'bad-email@' END AS email,
+  CASE c_custkey % 6 WHEN 0 THEN '12-345' WHEN 1 THEN '+49 711 ' || (c_custkey + 1000000) END AS phone,
+  CASE c_custkey % 3 WHEN 0 THEN 'www.c' || c_custkey || '.com' WHEN 1 THEN 'https://c' || c_custkey || '.com'
+    END AS website,
+  CAST(c_custkey % 70 AS BIGINT) AS experience_years,
+  CASE WHEN c_custkey % 2 = 0 THEN CAST(CAST(floor(c_acctbal) AS BIGINT) AS VARCHAR) END AS follower_count,
+  CASE c_custkey % 3 WHEN 1 THEN '500+' WHEN 2 THEN '1.2K' END AS connection_count,
+  c_mktsegment AS seg, n_name
+FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey
+"""
