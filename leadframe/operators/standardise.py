@@ -61,14 +61,15 @@ def _truthy_num(c: str):
     return F.when(F.col(c) != 0, F.col(c))
 
 
-def standardise_people(profiles: DataFrame) -> DataFrame:
+def standardise_people(profiles: DataFrame, normalize_key: bool = True) -> DataFrame:
     """Profiles (raw and/or mapped columns) -> person records
     (``schemas.PERSON_RECORD``).
 
     Mapped names win over raw ones per field; N7 key; degree prefix moved
     from the name into the title; name split; counts parsed; insights joined
     with '; '; company website Company_Website -> company_website ->
-    Website_Info -> website.
+    Website_Info -> website. ``normalize_key=False`` keeps the URL as given
+    (tables written before N7 existed, which K10 merges).
     """
     p = with_profile_columns(profiles)
     raw_name = strip(F.coalesce(first_truthy("mapped_contact_name", "name"), F.lit("")))
@@ -85,7 +86,8 @@ def standardise_people(profiles: DataFrame) -> DataFrame:
                       F.array_join(F.filter(ins_list, lambda x: x.isNotNull() & (x != "")), "; "))
     return p.select(
         F.col("ingest_seq").cast("long").alias("ingest_seq"),
-        profile_key(first_truthy("mapped_linkedin_profile", "profile_url")).alias("linkedin_profile"),
+        (profile_key(first_truthy("mapped_linkedin_profile", "profile_url")) if normalize_key
+         else first_truthy("mapped_linkedin_profile", "profile_url")).alias("linkedin_profile"),
         first.alias("first_name"), last.alias("last_name"),
         title_with_degree(title, deg).alias("title_current"),
         first_truthy("mapped_email", "email").alias("email"),

@@ -94,7 +94,7 @@ LOOKUP_DATE = "2024-02-01"
 PERSON_RECORDS_SQL = f"""
 WITH r AS ({RAW_PROFILES_SQL})
 SELECT ingest_seq,
-  'https://linkedin.com/in/' || lower(regexp_extract(profile_url, '/in/([^/?#]+)', 1)) AS linkedin_profile,
+  {{KEY}} AS linkedin_profile,
   CASE WHEN name IS NULL THEN NULL WHEN name LIKE 'Dr. %' THEN split_part(substr(name, 5), ' ', 1)
        ELSE split_part(name, ' ', 1) END AS first_name,
   CASE WHEN name IS NULL THEN NULL ELSE split_part(name, ' ', -1) END AS last_name,
@@ -113,6 +113,10 @@ SELECT ingest_seq,
   company AS company_name, company_domain, CAST(NULL AS VARCHAR) AS company_website
 FROM r
 """
+# records keyed by the N7 key, and by the URL as given (legacy tables)
+RAW_KEY_RECORDS_SQL = PERSON_RECORDS_SQL.replace("{KEY}", "profile_url")
+PERSON_RECORDS_SQL = PERSON_RECORDS_SQL.replace(
+    "{KEY}", "'https://linkedin.com/in/' || lower(regexp_extract(profile_url, '/in/([^/?#]+)', 1))")
 
 
 # ------------------------------------------------------- customer profiles
@@ -187,3 +191,45 @@ SELECT c_custkey AS ingest_seq,
   c_mktsegment AS seg, n_name
 FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey
 """
+
+
+# ---------------------------------------------------------------- messages
+# Outreach messages from orders: each names a user by one of the URL
+# spellings of the events-derived profiles.
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    u = (F.col("o_custkey") % 150).cast("string")
+    v = k % 4
+    url = (F.when(v == 0, F.concat(F.lit("https://www.linkedin.com/in/User-"), u, F.lit("/")))
+           .when(v == 1, F.concat(F.lit("http://de.linkedin.com/in/user-"), u, F.lit("?trk=m")))
+           .when(v == 2, F.concat(F.lit("https://linkedin.com/in/USER-"), u, F.lit("/en")))
+           .otherwise(F.concat(F.lit("https://www.linkedin.com/in/user-"), u)))
+    return o.select(
+        k.alias("id"), url.alias("linkedin_profile"),
+        F.when(k % 2 == 0, F.lit("linkedin")).otherwise(F.lit("email")).alias("channel"),
+        F.when(k % 5 != 0, k % 5).cast("long").alias("template_id"),
+        ((k % 3) + 1).cast("int").alias("stage_no"),
+        F.concat(F.lit("Hello "), F.col("o_custkey").cast("string")).alias("rendered_md"),
+        F.when(F.col("o_orderstatus") == "F", F.lit("sent")).otherwise(F.lit("scheduled")).alias("status"),
+        F.when(k % 9 != 0, F.col("o_orderdate")).alias("scheduled_at"),
+        F.lit(None).cast("timestamp_ntz").alias("sent_at"),
+        F.lit(None).cast("timestamp_ntz").alias("replied_at"),
+        F.col("o_orderdate").alias("created_at"),
+    )
+
+
+MESSAGES_SQL = """
+SELECT o_orderkey AS id,
+  CASE o_orderkey % 4 WHEN 0 THEN 'https://www.linkedin.com/in/User-' || (o_custkey % 150) || '/'
+    WHEN 1 THEN 'http://de.linkedin.com/in/user-' || (o_custkey % 150) || '?trk=m'
+    WHEN 2 THEN 'https://linkedin.com/in/USER-' || (o_custkey % 150) || '/en'
+    ELSE 'https://www.linkedin.com/in/user-' || (o_custkey % 150) END AS linkedin_profile,
+  CASE WHEN o_orderkey % 2 = 0 THEN 'linkedin' ELSE 'email' END AS channel,
+  CAST(CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey % 5 END AS BIGINT) AS template_id,
+  CAST((o_orderkey % 3) + 1 AS INTEGER) AS stage_no, 'Hello ' || o_custkey AS rendered_md,
+  CASE WHEN o_orderstatus = 'F' THEN 'sent' ELSE 'scheduled' END AS status,
+  CASE WHEN o_orderkey % 9 <> 0 THEN o_orderdate END AS scheduled_at,
+  CAST(NULL AS TIMESTAMP) AS sent_at, CAST(NULL AS TIMESTAMP) AS replied_at, o_orderdate AS created_at
+FROM orders
+"""

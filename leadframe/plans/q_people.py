@@ -9,6 +9,7 @@ from leadframe.operators import standardise, upsert, validate
 from leadframe.plans import inputs
 from leadframe.plans import sqlrules as R
 from leadframe.plans.registry import BATCH, NOW, register
+from leadframe.plans.sqlparts import K1_AGG
 
 CP = f"WITH cp AS ({inputs.CUSTOMER_PROFILES_SQL})"
 
@@ -286,3 +287,212 @@ def v12_dedupe_companies(spark, sf):
 SELECT min(ingest_seq) AS ingest_seq FROM sc WHERE {_VALID} GROUP BY {_CKEY}""")
 def v13_company_ingest_prep(spark, sf):
     return validate.company_ingest_prep(supplier_companies(spark, sf)).select("ingest_seq")
+
+
+# ====================================================================== K
+def _ingest(spark, sf):
+    from leadframe.plans.catalog import ingest
+    return ingest(spark, sf)
+
+
+def _k1_agg():
+    from leadframe.plans.catalog import _K1_AGG
+    return _K1_AGG
+
+
+_R2_PARTS = f"""rec AS ({inputs.PERSON_RECORDS_SQL}),
+lastc AS (SELECT linkedin_profile, arg_max_null(company_domain, ingest_seq) AS dom,
+                 arg_max_null(company_name, ingest_seq) AS cname
+          FROM rec WHERE linkedin_profile IS NOT NULL
+            AND (nullif(company_domain, '') IS NOT NULL OR nullif(company_name, '') IS NOT NULL)
+          GROUP BY linkedin_profile),
+comp AS (SELECT company_domain AS domain,
+                arg_max_null(coalesce(nullif(company_name, ''), company_domain), ingest_seq) AS name
+         FROM rec WHERE linkedin_profile IS NOT NULL AND nullif(company_domain, '') IS NOT NULL
+         GROUP BY company_domain)"""
+
+
+@register("k5_link_people_companies", f"""WITH {_R2_PARTS}
+SELECT l.linkedin_profile, l.dom AS company_domain,
+  CASE WHEN l.dom IS NOT NULL THEN c.name ELSE l.cname END AS company_name
+FROM lastc l LEFT JOIN comp c ON c.domain = l.dom""")
+def k5_link_people_companies(spark, sf):
+    """K5: each person's company after one ingest batch."""
+    people, companies, _ = _ingest(spark, sf)
+    c = companies.select(F.col("id").alias("cid"), F.col("domain").alias("company_domain"),
+                         F.col("name").alias("company_name"))
+    return (people.join(c, people["company_id"] == c["cid"], "left")
+            .select("linkedin_profile", "company_domain", "company_name"))
+
+
+def order_queries(spark, sf):
+    """Query texts from orders: source = priority, text in four spellings."""
+    o = inputs.table(spark, sf, "orders")
+    k = F.col("o_orderkey")
+    clerk = (F.col("o_custkey") % 7).cast("string")
+    st = F.col("o_orderstatus")
+    v = k % 4
+    text = (F.when(v == 0, F.concat(F.lit("Status "), st, F.lit(" clerk "), clerk))
+            .when(v == 1, F.concat(F.lit("  status  "), F.lower(st), F.lit("   clerk "), clerk, F.lit(" ")))
+            .when(v == 2, F.upper(F.concat(F.lit("Status "), st, F.lit(" clerk "), clerk)))
+            .otherwise(F.concat(F.lit("Status\t"), st, F.lit(" clerk "), clerk)))
+    return o.select(F.col("o_orderpriority").alias("source"), F.lit("person").alias("entity_type"),
+                    text.alias("query_text"), k.alias("ingest_seq"))
+
+
+ORDER_QUERIES_SQL = """
+SELECT o_orderpriority AS source, 'person' AS entity_type,
+  CASE o_orderkey % 4 WHEN 0 THEN 'Status ' || o_orderstatus || ' clerk ' || (o_custkey % 7)
+    WHEN 1 THEN '  status  ' || lower(o_orderstatus) || '   clerk ' || (o_custkey % 7) || ' '
+    WHEN 2 THEN upper('Status ' || o_orderstatus || ' clerk ' || (o_custkey % 7))
+    ELSE 'Status' || chr(9) || o_orderstatus || ' clerk ' || (o_custkey % 7) END AS query_text,
+  o_orderkey AS ingest_seq
+FROM orders
+"""
+_NORMQ = "coalesce(lower(trim(regexp_replace(query_text, '\\s+', ' ', 'g'))), '')"
+
+
+@register("k6_normalize_query", f"SELECT ingest_seq, {_NORMQ} AS normalized_query FROM ({ORDER_QUERIES_SQL})")
+def k6_normalize_query(spark, sf):
+    q = order_queries(spark, sf)
+    return q.select("ingest_seq", upsert.normalize_query("query_text").alias("normalized_query"))
+
+
+_K7_SQL = f"""SELECT coalesce(source, '') AS source, entity_type, {_NORMQ} AS normalized_query,
+  arg_min(coalesce(query_text, ''), ingest_seq) AS query_text
+FROM ({ORDER_QUERIES_SQL}) GROUP BY ALL"""
+
+
+@register("k7_upsert_queries", _K7_SQL)
+def k7_upsert_queries(spark, sf):
+    dim = upsert.upsert_queries(None, order_queries(spark, sf), NOW)
+    return dim.select("source", "entity_type", "normalized_query", "query_text")
+
+
+@register("k8_attach_query_id", f"""WITH rec AS ({inputs.PERSON_RECORDS_SQL}),
+d AS (SELECT DISTINCT source_name AS s, lower(trim(regexp_replace(source_query, '\\s+', ' ', 'g'))) AS q
+      FROM rec WHERE ingest_seq % 2 = 0 AND linkedin_profile IS NOT NULL
+        AND nullif(source_name, '') IS NOT NULL AND nullif(source_query, '') IS NOT NULL)
+SELECT ingest_seq, EXISTS (SELECT 1 FROM d WHERE d.s = rec.source_name
+   AND d.q = lower(trim(regexp_replace(rec.source_query, '\\s+', ' ', 'g')))) AS has_query
+FROM rec""")
+def k8_attach_query_id(spark, sf):
+    """K8 (per row): the dimension knows the queries of even-numbered
+    records only, so odd-only queries stay unmatched."""
+    rec = _records(spark, sf)
+    qb = (rec.filter((F.col("ingest_seq") % 2 == 0) & F.col("linkedin_profile").isNotNull()
+                     & (F.col("source_name") != "") & (F.col("source_query") != ""))
+          .select(F.col("source_name").alias("source"), F.lit("person").alias("entity_type"),
+                  F.col("source_query").alias("query_text"), "ingest_seq"))
+    dim = upsert.upsert_queries(None, qb, NOW)
+    out = upsert.attach_query_id(rec, dim)
+    return out.select("ingest_seq", F.col("search_query_id").isNotNull().alias("has_query"))
+
+
+@register("k9_backfill_queries", f"""WITH rec AS ({inputs.PERSON_RECORDS_SQL}), ppl AS ({K1_AGG}),
+dim AS ({_K7_SQL}),
+pairs AS (SELECT coalesce(source_name, '') AS source, 'person' AS entity_type,
+            lower(trim(coalesce(source_query, ''))) AS normalized_query,
+            arg_min(coalesce(source_query, ''), created_seq) AS query_text
+          FROM ppl WHERE coalesce(source_query, '') <> '' GROUP BY ALL)
+SELECT source, entity_type, normalized_query, query_text FROM dim
+UNION ALL
+SELECT p.source, p.entity_type, p.normalized_query, p.query_text FROM pairs p
+WHERE NOT EXISTS (SELECT 1 FROM dim d WHERE d.source = p.source AND d.entity_type = p.entity_type
+                  AND d.normalized_query = p.normalized_query)""")
+def k9_backfill_queries(spark, sf):
+    """K9: person queries seen on people (lower+trim only) added to the
+    order-derived dimension; returns the dimension."""
+    people = upsert.upsert_people(None, _records(spark, sf), NOW)
+    dim = upsert.upsert_queries(None, order_queries(spark, sf), NOW)
+    _, dim2 = upsert.backfill_queries(people, dim, NOW)
+    return dim2.select("source", "entity_type", "normalized_query", "query_text")
+
+
+def legacy_people(spark, sf):
+    """A people table keyed by URLs as they were given (before N7)."""
+    mapped = standardise.map_to_person_schema(inputs.raw_profiles(spark, sf), inputs.LOOKUP_DATE)
+    rec = standardise.standardise_people(mapped, normalize_key=False)
+    return upsert.upsert_people(None, rec, NOW)
+
+
+_DEDUPE_OUT = ["first_name", "last_name", "title_current", "email", "location_text", "connections_linkedin",
+               "followers_linkedin", "phone_info", "info_raw", "lookup_date"]
+_STR = {"first_name", "last_name", "title_current", "email", "location_text", "phone_info", "info_raw",
+        "lookup_date"}
+
+
+def _k10_groups_sql():
+    aggs = []
+    for c in _DEDUPE_OUT:
+        usable = f" FILTER (WHERE {c} <> '')" if c in _STR else ""
+        aggs.append(f"arg_min_null({c}, created_seq) AS s_{c}, arg_min({c}, created_seq){usable} AS f_{c}")
+    return f"""rec AS ({inputs.RAW_KEY_RECORDS_SQL}), leg AS ({K1_AGG}),
+k AS (SELECT *, coalesce({R.n7('linkedin_profile')}, linkedin_profile) AS key FROM leg),
+g AS (SELECT key, count(*) AS n, arg_min_null(linkedin_profile, created_seq) AS s_url,
+        min(created_seq) AS created_seq, arg_min_null(is_hot, created_seq) AS is_hot,
+        {", ".join(aggs)} FROM k GROUP BY key)"""
+
+
+@register("k10_dedupe_people", f"""WITH {_k10_groups_sql()}
+SELECT CASE WHEN n > 1 THEN key ELSE s_url END AS linkedin_profile,
+  {", ".join(f"CASE WHEN n > 1 THEN coalesce(s_{c}, f_{c}) ELSE s_{c} END AS {c}" for c in _DEDUPE_OUT)},
+  is_hot, created_seq FROM g""")
+def k10_dedupe_people(spark, sf):
+    """K10 over a legacy people table holding every URL spelling."""
+    merged, _ = upsert.dedupe_people(legacy_people(spark, sf))
+    return merged.select("linkedin_profile", *_DEDUPE_OUT, "is_hot", "created_seq")
+
+
+@register("k11_repoint_messages", f"""WITH {_k10_groups_sql()},
+m AS (SELECT k.linkedin_profile AS dup_url, g.key AS canonical_url FROM k JOIN g ON k.key = g.key
+      WHERE g.n > 1 AND k.created_seq <> g.created_seq),
+msg AS ({inputs.MESSAGES_SQL})
+SELECT msg.id, coalesce(m.canonical_url, msg.linkedin_profile) AS linkedin_profile
+FROM msg LEFT JOIN m ON m.dup_url = msg.linkedin_profile""")
+def k11_repoint_messages(spark, sf):
+    _, mapping = upsert.dedupe_people(legacy_people(spark, sf))
+    return upsert.repoint_messages(inputs.messages(spark, sf), mapping).select("id", "linkedin_profile")
+
+
+@register("k12_erase_profiles", f"""WITH rec AS ({inputs.PERSON_RECORDS_SQL}), ppl AS ({K1_AGG})
+SELECT linkedin_profile FROM ppl
+WHERE CAST(regexp_extract(linkedin_profile, 'user-([0-9]+)', 1) AS BIGINT) % 10 <> 0""")
+def k12_erase_profiles(spark, sf):
+    """Erase every user whose id ends in 0, named by any URL spelling
+    (the raw profile URLs), from people and messages."""
+    people, _, _ = _ingest(spark, sf)
+    keys = inputs.raw_profiles(spark, sf).filter(
+        F.regexp_extract("profile_url", r"(?i)user-(\d+)", 1).cast("long") % 10 == 0).select("profile_url")
+    p, _m = upsert.erase_profiles(people, inputs.messages(spark, sf), keys)
+    return p.select("linkedin_profile")
+
+
+@register("k12_erase_messages", f"""WITH msg AS ({inputs.MESSAGES_SQL})
+SELECT id FROM msg WHERE CAST(regexp_extract(lower(linkedin_profile), 'user-([0-9]+)', 1) AS BIGINT)
+  NOT IN (SELECT DISTINCT user_id FROM events WHERE user_id % 10 = 0)""")
+def k12_erase_messages(spark, sf):
+    people, _, _ = _ingest(spark, sf)
+    keys = inputs.raw_profiles(spark, sf).filter(
+        F.regexp_extract("profile_url", r"(?i)user-(\d+)", 1).cast("long") % 10 == 0).select("profile_url")
+    _p, m = upsert.erase_profiles(people, inputs.messages(spark, sf), keys)
+    return m.select("id")
+
+
+@register("k13_person_ingest", f"""WITH {_R2_PARTS}, ppl AS ({K1_AGG})
+SELECT (SELECT count(*) FROM rec WHERE linkedin_profile IS NOT NULL) AS processed_people,
+  (SELECT count(*) FROM ppl) AS people_rows,
+  (SELECT count(*) FROM comp) + (SELECT count(*) FROM rec WHERE linkedin_profile IS NOT NULL
+     AND nullif(company_domain, '') IS NULL AND nullif(company_name, '') IS NOT NULL) AS company_rows,
+  (SELECT count(*) FROM (SELECT DISTINCT source_name, lower(trim(regexp_replace(source_query, '\\s+', ' ', 'g')))
+     FROM rec WHERE linkedin_profile IS NOT NULL AND nullif(source_name, '') IS NOT NULL
+       AND nullif(source_query, '') IS NOT NULL)) AS query_rows""")
+def k13_person_ingest(spark, sf):
+    """K13 totals of one ingest batch."""
+    people, companies, queries, processed = upsert.person_ingest(_records(spark, sf), None, None, None,
+                                                                 NOW, BATCH)
+    def one(d, name):
+        return d.agg(F.count(F.lit(1)).alias(name)).withColumn("_one", F.lit(1))
+    return (processed.withColumn("_one", F.lit(1)).join(one(people, "people_rows"), "_one")
+            .join(one(companies, "company_rows"), "_one").join(one(queries, "query_rows"), "_one")
+            .drop("_one"))

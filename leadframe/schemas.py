@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 S, L, I, B, TS = T.StringType(), T.LongType(), T.IntegerType(), T.BooleanType(), T.TimestampType()
+# outreach times are wall-clock times without a zone, like the input tables' dates
+NTZ = T.TimestampNTZType()
 ARR = T.ArrayType(T.StringType())
 
 
@@ -36,11 +38,11 @@ SEARCH_QUERIES = _st(("id", L), ("source", S), ("entity_type", S), ("query_text"
                      ("normalized_query", S), ("created_at", TS), ("last_executed_at", TS))
 
 OUTREACH_TEMPLATES = _st(("id", L), ("name", S), ("channel", S), ("body_md", S),
-                         ("variables_json", S), ("is_active", I), ("created_at", TS))
+                         ("variables_json", S), ("is_active", I), ("created_at", NTZ))
 
 OUTREACH_MESSAGES = _st(("id", L), ("linkedin_profile", S), ("channel", S), ("template_id", L),
-                        ("stage_no", I), ("rendered_md", S), ("status", S), ("scheduled_at", TS),
-                        ("sent_at", TS), ("replied_at", TS), ("created_at", TS))
+                        ("stage_no", I), ("rendered_md", S), ("status", S), ("scheduled_at", NTZ),
+                        ("sent_at", NTZ), ("replied_at", NTZ), ("created_at", NTZ))
 
 # A standardised person record (output of the N rules, input of K13).
 PERSON_RECORD = _st(("ingest_seq", L), ("linkedin_profile", S), *PERSON_MERGE_FIELDS[:11],
