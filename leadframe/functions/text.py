@@ -26,6 +26,15 @@ def col_(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` as a lambda variable.
+
+    Reusing a Column object in several places copies its whole expression
+    tree; binding it through ``transform(array(value), v -> body(v))``
+    keeps one copy, so long rule chains stay small to plan and run."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def py_re(pattern: str, ignorecase: bool = False, multiline: bool = False) -> str:
     """Java flags that make ``pattern`` behave like Python's ``re`` on str:
     Unicode \\w \\d \\s \\b (U), only \\n ends a line (d), Unicode case folding."""

@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from leadframe import fixed
-from leadframe.functions.text import col_, strip, unquote_nfkc
+from leadframe.functions.text import col_, let, strip, unquote_nfkc
 
 _SPLIT = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)"
 
@@ -32,6 +32,12 @@ def url_parts(url) -> tuple[Column, Column, Column]:
             F.regexp_extract(u, _SPLIT, 3))
 
 
+def _parts_of(u: Column) -> tuple[Column, Column, Column]:
+    """url_parts of an already prepared (and bound) URL."""
+    return (F.lower(F.regexp_extract(u, _SPLIT, 1)), F.regexp_extract(u, _SPLIT, 2),
+            F.regexp_extract(u, _SPLIT, 3))
+
+
 def _segments(path: Column) -> Column:
     return F.filter(F.split(path, "/"), lambda s: s != "")
 
@@ -44,25 +50,35 @@ def canonical_profile_url(link) -> Column:
     ``/in/{slug}`` is kept, slug case kept.
     """
     link = col_(link)
-    scheme, netloc, path = url_parts(link)
-    clean = F.concat(scheme, F.lit("://"), netloc, path)
-    is_profile = F.lit(False)
-    for p in fixed.PROFILE_URL_PATTERNS:
-        is_profile = is_profile | F.lower(clean).contains(p)
-    c2 = F.replace(F.replace(clean, F.lit("de.linkedin.com"), F.lit("linkedin.com")),
-                   F.lit("www.linkedin.com"), F.lit("linkedin.com"))
-    c3 = F.when(c2.startswith("https://"), c2).otherwise(
-        F.replace(c2, F.lit("http://"), F.lit("https://")))
-    parts = _segments(url_parts(c3)[2])
-    slug_form = F.when((F.size(parts) >= 2) & (F.get(parts, 0) == "in"),
-                       F.concat(F.lit(fixed.PROFILE_CANONICAL_PREFIX), F.get(parts, 1)))
-    return F.when(link.isNotNull() & (link != "") & is_profile, F.coalesce(slug_form, c3))
+
+    def on_clean(clean):
+        is_profile = F.lit(False)
+        for p in fixed.PROFILE_URL_PATTERNS:
+            is_profile = is_profile | F.lower(clean).contains(p)
+        c2 = F.replace(F.replace(clean, F.lit("de.linkedin.com"), F.lit("linkedin.com")),
+                       F.lit("www.linkedin.com"), F.lit("linkedin.com"))
+
+        def on_c3(c3):
+            parts = _segments(url_parts(c3)[2])
+            slug_form = F.when((F.size(parts) >= 2) & (F.get(parts, 0) == "in"),
+                               F.concat(F.lit(fixed.PROFILE_CANONICAL_PREFIX), F.get(parts, 1)))
+            return F.when(is_profile, F.coalesce(slug_form, c3))
+        return let(F.when(c2.startswith("https://"), c2).otherwise(
+            F.replace(c2, F.lit("http://"), F.lit("https://"))), on_c3)
+
+    def on_url(u):
+        scheme, netloc, path = _parts_of(u)
+        return let(F.concat(scheme, F.lit("://"), netloc, path), on_clean)
+    return F.when(link.isNotNull() & (link != ""), let(_prep(link), on_url))
 
 
 def profile_key(url) -> Column:
     """``https://linkedin.com/in/{slug}`` with the slug percent-decoded,
     NFKC-normalised, stripped, lower-cased and zero-width characters removed;
-    NULL when the URL is not a profile URL."""
+    NULL when the URL is not a profile URL.
+
+    (No ``let`` binding here: the Arrow UDF for the slug cannot take an
+    argument that holds a lambda.)"""
     url = col_(url)
     _, netloc, path = url_parts(url)
     host = F.replace(F.replace(F.lower(netloc), F.lit("www."), F.lit("")),
@@ -87,14 +103,15 @@ def is_profile_url(url) -> Column:
 def host_of(url_or_domain) -> Column:
     """Host as the apex rule sees it: trimmed, lower-cased, scheme added when
     missing, userinfo and port removed."""
-    t = F.lower(strip(col_(url_or_domain)))
-    t = F.when(t.startswith("http://") | t.startswith("https://"), t).otherwise(
-        F.concat(F.lit("http://"), t))
-    rest = F.regexp_replace(t, r"^([a-z0-9+.\-]+:)?//", "")
-    net = F.regexp_extract(rest, r"^([^/?#]*)", 1)
-    net = F.regexp_replace(net, r"^.*@", "")
-    net = F.translate(net, "\u3002\uff0e\uff61", "...")
-    return F.substring_index(net, ":", 1)
+    def from_text(t):
+        u = F.when(t.startswith("http://") | t.startswith("https://"), t).otherwise(
+            F.concat(F.lit("http://"), t))
+        rest = F.regexp_replace(u, r"^([a-z0-9+.\-]+:)?//", "")
+        net = F.regexp_extract(rest, r"^([^/?#]*)", 1)
+        net = F.regexp_replace(net, r"^.*@", "")
+        net = F.translate(net, "\u3002\uff0e\uff61", "...")
+        return F.substring_index(net, ":", 1)
+    return let(F.lower(strip(col_(url_or_domain))), from_text)
 
 
 def apex_domain(url_or_domain, rules) -> Column:
@@ -103,33 +120,38 @@ def apex_domain(url_or_domain, rules) -> Column:
 
     ``rules`` is a :class:`leadframe.sources.suffixes.SuffixRules`; its three
     sets are bounded parameter lists, evaluated as hashed ``IN`` sets inside
-    the expression, so this rule needs no join and no shuffle.
+    the expression, so this rule needs no join and no shuffle. Intermediate
+    values are bound once (``let``) to keep the expression small.
     """
     src = col_(url_or_domain)
-    host = host_of(src)
-    labels = F.split(host, r"\.", -1)
-    n = F.size(labels)
-
-    def suffix_at(i):
-        return F.array_join(F.slice(labels, i + 1, n - i), ".")
-
-    def is_suffix(i):
-        s = suffix_at(i)
-        parent = suffix_at(i + 1)
-        cond = s.isin(*rules.exact) if rules.exact else F.lit(False)
-        if rules.wildcard:
-            wc = (i + 1 < n) & parent.isin(*rules.wildcard)
-            if rules.exception:
-                wc = wc & ~s.isin(*rules.exception)
-            cond = cond | wc
-        if rules.exception:
-            below = F.when(i >= 1, suffix_at(F.greatest(i - 1, F.lit(0))).isin(*rules.exception))
-            cond = cond | F.coalesce(below, F.lit(False))
-        return F.coalesce(cond, F.lit(False))
-
-    flags = F.transform(F.sequence(F.lit(0), n - 1), is_suffix)
-    pos = F.array_position(flags, True)  # 1-based start of the suffix, 0 if none
-    label = F.get(labels, (pos - 2).cast("int"))
-    suffix = F.array_join(F.slice(labels, pos.cast("int"), (n - pos + 1).cast("int")), ".")
-    return F.when(src.isNotNull() & (strip(src) != "") & (pos >= 2) & (label != ""),
-                  F.concat(label, F.lit("."), suffix))
+
+    def on_labels(labels):
+        n = F.size(labels)
+
+        def suffix_at(i):
+            return F.array_join(F.slice(labels, i + 1, n - i), ".")
+
+        def is_suffix(i):
+            def on_s(s):
+                cond = s.isin(*rules.exact) if rules.exact else F.lit(False)
+                if rules.wildcard:
+                    wc = (i + 1 < n) & suffix_at(i + 1).isin(*rules.wildcard)
+                    if rules.exception:
+                        wc = wc & ~s.isin(*rules.exception)
+                    cond = cond | wc
+                if rules.exception:
+                    below = F.when(i >= 1, suffix_at(F.greatest(i - 1, F.lit(0))).isin(*rules.exception))
+                    cond = cond | F.coalesce(below, F.lit(False))
+                return F.coalesce(cond, F.lit(False))
+            return let(suffix_at(i), on_s)
+
+        def on_pos(pos):
+            label = F.get(labels, (pos - 2).cast("int"))
+            suffix = F.array_join(F.slice(labels, pos.cast("int"), (n - pos + 1).cast("int")), ".")
+            return F.when((pos >= 2) & (label != ""), F.concat(label, F.lit("."), suffix))
+
+        flags = F.transform(F.sequence(F.lit(0), n - 1), is_suffix)
+        return let(F.array_position(flags, True), on_pos)
+
+    out = let(F.split(host_of(src), r"\.", -1), on_labels)
+    return F.when(src.isNotNull() & (strip(src) != ""), out)

@@ -82,3 +82,57 @@ def title_with_degree(title: str, deg: str) -> str:
     return (f"(CASE WHEN {deg} IS NULL OR {deg} = '' THEN {title} "
             f"WHEN {title} IS NOT NULL AND {title} <> '' THEN {title} || ' (' || {deg} || ')' "
             f"ELSE '(' || {deg} || ')' END)")
+
+
+def apex(x: str, rules) -> str:
+    """D1 in DuckDB SQL: longest public suffix over the same rule lists."""
+    def lst(vals):
+        return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in vals) + "]"
+    t = f"lower(trim({x}))"
+    u = f"(CASE WHEN starts_with({t}, 'http://') OR starts_with({t}, 'https://') THEN {t} ELSE 'http://' || {t} END)"
+    rest = f"regexp_replace({u}, '^([a-z0-9+.-]+:)?//', '')"
+    net = f"regexp_replace(regexp_extract({rest}, '^([^/?#]*)', 1), '^.*@', '')"
+    labels = f"string_split(split_part({net}, ':', 1), '.')"
+    suf = "array_to_string(lab[i + 1:], '.')"
+    parent = "array_to_string(lab[i + 2:], '.')"
+    below = "array_to_string(lab[i:], '.')"
+    cond = f"list_contains({lst(rules.exact)}, {suf})"
+    if rules.wildcard:
+        cond += (f" OR (i + 1 < len(lab) AND list_contains({lst(rules.wildcard)}, {parent})"
+                 + (f" AND NOT list_contains({lst(rules.exception)}, {suf})" if rules.exception else "") + ")")
+    if rules.exception:
+        cond += f" OR (i >= 1 AND list_contains({lst(rules.exception)}, {below}))"
+    pos = f"list_position(list_transform(range(0, len(lab)), lambda i: coalesce({cond}, false)), true)"
+    return f"""(SELECT CASE WHEN {x} IS NULL OR trim({x}) = '' THEN NULL
+        WHEN p >= 2 AND lab[p - 1] <> '' THEN lab[p - 1] || '.' || array_to_string(lab[p:], '.') END
+      FROM (SELECT lab, {pos} AS p FROM (SELECT {labels} AS lab)))"""
+
+
+def clean_company_name(x: str) -> str:
+    n = f"trim(lower({x}))"
+    for a, b in fixed.UMLAUT_REPLACEMENTS:
+        n = f"replace({n}, '{a}', '{b}')"
+    for s in fixed.NAME_LEGAL_SUFFIXES:
+        n = f"replace(replace({n}, ' {s}', ''), ' & {s}', '')"
+    n = f"trim(regexp_replace({n}, '[^a-z0-9\\s-]', '', 'g'))"
+    return f"(CASE WHEN length({n}) BETWEEN 2 AND 50 THEN {n} END)"
+
+
+def canonical_legal_form(x: str) -> str:
+    t1 = f"regexp_replace(trim({x}), '^[\"'']+|[\"'']+$', '', 'g')"
+    text = f"trim(regexp_replace({t1}, '\\s*\\([^)]*\\)\\s*', ' ', 'g'))"
+    low = f"lower({text})"
+    norm = f"replace(trim(regexp_replace(replace({low}, ',', ' '), '\\s+', ' ', 'g')), '& co kg', '& co. kg')"
+    token = f"regexp_replace({low}, '[^a-z.]', '', 'g')"
+    phrases = " ".join(f"WHEN contains({low}, '{p}') THEN '{s}'" for p, s in fixed.LEGAL_FORM_PHRASES)
+    shorts_n = " ".join(f"WHEN {norm} = '{k}' THEN '{v}'" for k, v in fixed.LEGAL_FORM_SHORTS)
+    shorts_t = " ".join(f"WHEN {token} = '{k}' THEN '{v}'" for k, v in fixed.LEGAL_FORM_SHORTS)
+    return (f"(CASE WHEN {x} IS NULL OR {x} = '' THEN NULL {phrases} {shorts_n} {shorts_t} "
+            f"ELSE nullif({text}, '') END)")
+
+
+def legal_form_from_name(x: str) -> str:
+    low = f"lower(trim({x}))"
+    whens = " ".join(f"WHEN regexp_matches({low}, '{p}') THEN '{c}'"
+                     for p, c in list(fixed.LEGAL_FORM_NAME_COMPOUND) + list(fixed.LEGAL_FORM_NAME_SIMPLE))
+    return f"(CASE WHEN {x} IS NULL OR trim({x}) = '' THEN NULL {whens} END)"

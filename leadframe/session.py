@@ -34,6 +34,9 @@ def get_spark(master: str | None = None, app: str = "leadframe",
     if master:
         b = b.master(master)
     conf = dict(BASE_CONF)
+    if master and master.startswith("local"):
+        # local mode: the driver is the only JVM, give it room
+        conf["spark.driver.memory"] = "12g"
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
