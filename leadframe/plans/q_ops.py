@@ -1 +1,340 @@
-"""Queries (filled in below)."""
+"""Outreach (O), report (R) and source/sink (S) queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from leadframe import schemas
+from leadframe.operators import extract, outreach, reports, responses, standardise, upsert, validate
+from leadframe.plans import inputs
+from leadframe.plans.q_people import (ORDER_QUERIES_SQL, SUPPLIER_COMPANIES_SQL, _K7_SQL, _R2_PARTS,
+                                      order_queries, supplier_companies)
+from leadframe.plans.registry import NOW, register
+from leadframe.plans.sqlparts import K1_AGG
+from leadframe.session import scratch_dir
+from leadframe.sources import export, readers
+from leadframe.sources.snapshots import SnapshotStore
+
+TS = "yyyy-MM-dd HH:mm:ss"
+SQL_TS = "'%Y-%m-%d %H:%M:%S'"
+
+
+def _records(spark, sf):
+    from leadframe.plans.catalog import person_records
+    return person_records(spark, sf)
+
+
+def _ingest(spark, sf):
+    from leadframe.plans.catalog import ingest
+    return ingest(spark, sf)
+
+
+def _fmt(c):
+    return F.date_format(F.col(c), TS).alias(c)
+
+
+# ====================================================================== O
+def part_templates(spark, sf):
+    p = inputs.table(spark, sf, "part")
+    return p.select(F.col("p_name").alias("name"),
+                    F.when(F.col("p_partkey") % 2 == 0, F.lit("linkedin")).otherwise(F.lit("email")).alias("channel"),
+                    F.concat(F.lit("Hi {{first_name}}, "), F.col("p_type")).alias("body_md"),
+                    F.lit('["first_name"]').alias("variables_json"), F.col("p_partkey").alias("ingest_seq"))
+
+
+@register("o1_add_templates", """SELECT p_name AS name, CASE WHEN p_partkey % 2 = 0 THEN 'linkedin' ELSE 'email' END
+  AS channel, 'Hi {{first_name}}, ' || p_type AS body_md, CAST(1 AS INTEGER) AS is_active FROM part""")
+def o1_add_templates(spark, sf):
+    t = outreach.add_templates(None, part_templates(spark, sf), NOW)
+    return t.select("name", "channel", "body_md", "is_active")
+
+
+@register("o2_schedule_messages", f"""SELECT linkedin_profile, channel,
+  CAST(CASE WHEN id % 13 = 0 THEN 1 ELSE stage_no END AS INTEGER) AS stage_no, 'scheduled' AS status,
+  strftime(scheduled_at, {SQL_TS}) AS scheduled_at, rendered_md FROM ({inputs.MESSAGES_SQL})""")
+def o2_schedule_messages(spark, sf):
+    new = inputs.messages(spark, sf).withColumn("stage_no", F.when(F.col("id") % 13 != 0, F.col("stage_no"))) \
+                                    .withColumnRenamed("id", "ingest_seq")
+    m = outreach.schedule_messages(None, new, NOW)
+    return m.select("linkedin_profile", "channel", "stage_no", "status", _fmt("scheduled_at"), "rendered_md")
+
+
+def status_events(spark, sf):
+    li = inputs.table(spark, sf, "lineitem")
+    return li.select(F.col("l_orderkey").alias("message_id"),
+                     F.when(F.col("l_linenumber") % 2 == 1, F.lit("sent")).otherwise(F.lit("replied")).alias("kind"),
+                     F.col("l_shipdate").alias("ts"),
+                     # (order, line) repeats in this data: the ship day breaks ties
+                     ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000
+                      + F.datediff(F.col("l_shipdate"), F.lit("1970-01-01").cast("date"))).alias("ingest_seq"))
+
+
+_O3_SQL = f"""WITH e AS (SELECT l_orderkey AS message_id,
+    CASE WHEN l_linenumber % 2 = 1 THEN 'sent' ELSE 'replied' END AS kind, l_shipdate AS ts,
+    (l_orderkey * 10 + l_linenumber) * 100000 + date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS seq
+    FROM lineitem),
+a AS (SELECT message_id, arg_max(kind, seq) AS st,
+        arg_max(ts, seq) FILTER (WHERE kind = 'sent') AS sent, arg_max(ts, seq) FILTER (WHERE kind = 'replied') AS rep
+      FROM e GROUP BY message_id),
+m AS ({inputs.MESSAGES_SQL}),
+o AS (SELECT m.id, m.linkedin_profile, m.stage_no, m.channel, m.rendered_md, m.scheduled_at,
+        coalesce(a.st, m.status) AS status, coalesce(a.sent, m.sent_at) AS sent_at,
+        coalesce(a.rep, m.replied_at) AS replied_at FROM m LEFT JOIN a ON a.message_id = m.id)"""
+
+
+@register("o3_apply_status_events", f"""{_O3_SQL}
+SELECT id, status, strftime(sent_at, {SQL_TS}) AS sent_at, strftime(replied_at, {SQL_TS}) AS replied_at FROM o""")
+def o3_apply_status_events(spark, sf):
+    m = outreach.apply_status_events(inputs.messages(spark, sf), status_events(spark, sf))
+    return m.select("id", "status", _fmt("sent_at"), _fmt("replied_at"))
+
+
+DUE_NOW = "1995-06-17 00:00:00"
+
+
+@register("o4_due_messages", f"""{_O3_SQL}
+SELECT id, strftime(scheduled_at, {SQL_TS}) AS scheduled_at FROM o
+WHERE status = 'scheduled' AND scheduled_at <= TIMESTAMP '{DUE_NOW}'""")
+def o4_due_messages(spark, sf):
+    """O4 after the status events: still scheduled and due at DUE_NOW."""
+    m = outreach.apply_status_events(inputs.messages(spark, sf), status_events(spark, sf))
+    return outreach.due_messages(m, DUE_NOW).select("id", _fmt("scheduled_at"))
+
+
+# ====================================================================== R
+PERSON_URL = "https://www.linkedin.com/in/User-7/"
+
+
+@register("r1_report_person", f"""WITH {_R2_PARTS}, ppl AS ({K1_AGG})
+SELECT p.first_name, p.last_name, p.linkedin_profile, p.title_current, p.email, p.location_text,
+  p.connections_linkedin, p.followers_linkedin,
+  CASE WHEN l.dom IS NOT NULL THEN c.name ELSE l.cname END AS company_name, l.dom AS domain,
+  CAST(NULL AS VARCHAR) AS website, CAST(NULL AS VARCHAR) AS last_enriched
+FROM ppl p LEFT JOIN lastc l ON l.linkedin_profile = p.linkedin_profile LEFT JOIN comp c ON c.domain = l.dom
+WHERE p.linkedin_profile = 'https://linkedin.com/in/user-7'""")
+def r1_report_person(spark, sf):
+    people, companies, _ = _ingest(spark, sf)
+    view = reports.people_with_company(people, companies)
+    r = reports.report_person(view, PERSON_URL)
+    return r.select("first_name", "last_name", "linkedin_profile", "title_current", "email", "location_text",
+                    "connections_linkedin", "followers_linkedin", "company_name", "domain", "website",
+                    "last_enriched")
+
+
+@register("r3_report_queries", f"""SELECT source, entity_type, query_text,
+  strftime(TIMESTAMP '{NOW}', {SQL_TS}) AS last_executed_at FROM ({_K7_SQL})""")
+def r3_report_queries(spark, sf):
+    dim = upsert.upsert_queries(None, order_queries(spark, sf), NOW)
+    return reports.report_queries(dim).select("source", "entity_type", "query_text", _fmt("last_executed_at"))
+
+
+_NQ = "lower(trim(regexp_replace(source_query, '\\s+', ' ', 'g')))"
+_BOTH = "linkedin_profile IS NOT NULL AND nullif(source_name, '') IS NOT NULL AND nullif(source_query, '') IS NOT NULL"
+
+
+@register("r4_people_per_query", f"""WITH rec AS ({inputs.PERSON_RECORDS_SQL}),
+dim AS (SELECT source_name AS source, {_NQ} AS nq, arg_min(source_query, ingest_seq) AS query_text
+        FROM rec WHERE {_BOTH} GROUP BY ALL),
+pq AS (SELECT linkedin_profile, arg_max(source_name, ingest_seq) AS s, arg_max({_NQ}, ingest_seq) AS nq
+       FROM rec WHERE {_BOTH} GROUP BY linkedin_profile),
+cnt AS (SELECT s, nq, count(*) AS c FROM pq GROUP BY ALL)
+SELECT d.source, d.query_text, coalesce(cnt.c, 0) AS people_count
+FROM dim d LEFT JOIN cnt ON cnt.s = d.source AND cnt.nq = d.nq""")
+def r4_people_per_query(spark, sf):
+    people, _, queries = _ingest(spark, sf)
+    return reports.people_per_query(queries, people).select("source", "query_text", "people_count")
+
+
+def call_log_lines(spark, sf):
+    """Call-log lines from events: providers (some null or empty), usage
+    counts as int, text, float, junk or missing; malformed and non-object
+    lines mixed in."""
+    e = inputs.table(spark, sf, "events")
+    eid = F.col("event_id")
+    k = F.get_json_object("props", "$.k")
+    prov = (F.when(eid % 10 == 0, F.lit("null")).when(eid % 10 == 1, F.lit('""'))
+            .otherwise(F.concat(F.lit('"'), F.col("event_type"), F.lit('"'))))
+    usage = (F.when(eid % 7 == 0, F.lit("null"))
+             .when(eid % 7 == 1, F.concat(F.lit('{"total_tokens": "'), k, F.lit('"}')))
+             .when(eid % 7 == 2, F.concat(F.lit('{"total_tokens": '), k, F.lit('.7}')))
+             .when(eid % 7 == 3, F.lit('{"total_tokens": "n/a"}'))
+             .when(eid % 7 == 4, F.lit("{}"))
+             .otherwise(F.concat(F.lit('{"total_tokens": '), k, F.lit("}"))))
+    line = (F.when(eid % 97 == 0, F.lit("not json {")).when(eid % 89 == 0, F.lit("[1, 2]"))
+            .otherwise(F.concat(F.lit('{"ts": "'), F.date_format("ts", TS), F.lit('", "caller": "events", "provider": '),
+                                prov, F.lit(', "run_id": "run-'), (F.col("user_id") % 3).cast("string"),
+                                F.lit('", "usage": '), usage, F.lit("}"))))
+    return e.select(line.alias("value"))
+
+
+def written_call_log(spark, sf):
+    path = scratch_dir(spark, "calllog")
+    call_log_lines(spark, sf).write.text(path)
+    return readers.read_call_log(spark, path)
+
+
+_LOG_SQL = """SELECT CASE WHEN event_id % 10 IN (0, 1) THEN NULL ELSE event_type END AS provider,
+  'run-' || (user_id % 3) AS run_id,
+  CAST(CASE event_id % 7 WHEN 0 THEN 0 WHEN 3 THEN 0 WHEN 4 THEN 0
+       ELSE CAST(json_extract_string(props, '$.k') AS BIGINT) END AS BIGINT) AS tokens
+FROM events WHERE event_id % 97 <> 0 AND event_id % 89 <> 0"""
+
+
+@register("s4_read_call_log", _LOG_SQL)
+def s4_read_call_log(spark, sf):
+    """The call log written as JSON lines, read back (bad lines dropped)."""
+    return written_call_log(spark, sf).select("provider", "run_id", "tokens")
+
+
+@register("r5_usage_by_provider", f"""SELECT coalesce(provider, 'unknown') AS provider, count(*) AS calls,
+  CAST(sum(tokens) AS BIGINT) AS tokens FROM ({_LOG_SQL}) WHERE run_id = 'run-1' GROUP BY ALL""")
+def r5_usage_by_provider(spark, sf):
+    """R5 for run 'run-1'."""
+    return reports.usage_by_provider(written_call_log(spark, sf), run_id="run-1")
+
+
+@register("r6_run_summary")
+def r6_run_summary(spark, sf):
+    """True counts of one run: extraction (X21) and validation (V6)."""
+    from leadframe.plans.q_text import extracted
+    profiles, metrics = extracted(spark, sf)
+    checked = profiles.withColumn("errors", validate.profile_errors(profiles))
+    totals, _ = validate.validation_metrics(checked)
+    return reports.run_summary("site:linkedin.com/in customers", metrics, totals)
+
+
+# ====================================================================== S
+_JSON_FIELDS = ["name", "profile_url", "summary", "current_position", "company", "location", "follower_count",
+                "connection_count", "company_domain", "email", "phone", "source_name", "source_query"]
+
+
+@register("s1_read_people_json", f"""SELECT {", ".join(_JSON_FIELDS)} FROM ({inputs.RAW_PROFILES_SQL})""")
+def s1_read_people_json(spark, sf):
+    """Raw profiles written as JSON documents of both shapes (an object
+    holding ``profiles``, or a bare array), 50 per file, read back."""
+    raw = inputs.raw_profiles(spark, sf)
+    g = (F.col("ingest_seq") / 50).cast("long")
+    docs = (raw.withColumn("g", g)
+            .groupBy("g").agg(F.sort_array(F.collect_list(F.struct("ingest_seq", F.struct(*_JSON_FIELDS).alias("p"))))
+                              .alias("items")))   # at most 50 rows per group by construction
+    arr = F.transform("items", lambda x: x["p"])
+    docs = docs.select("g", F.when(F.col("g") % 2 == 0, F.to_json(F.struct(arr.alias("profiles"))))
+                       .otherwise(F.to_json(arr)).alias("value"))
+    path = scratch_dir(spark, "people-json")
+    docs.write.partitionBy("g").text(path)
+    return readers.read_people_json(spark, path).select(*_JSON_FIELDS)
+
+
+def landed_pages(spark, sf):
+    """Result pages from customers: query = nation, page = 250-key block."""
+    from leadframe.plans.q_text import search_items
+    it = search_items(spark, sf).join(inputs.table(spark, sf, "customer").select("c_custkey", "c_nationkey"),
+                                      F.col("ingest_seq") == F.col("c_custkey"))
+    block = (F.col("ingest_seq") / 250).cast("int")
+    pages = (it.groupBy(F.col("c_nationkey"), block.alias("block"))
+             .agg(F.array_sort(F.collect_list(F.struct("ingest_seq", "google_result")),
+                               lambda a, b: F.when(a["ingest_seq"] < b["ingest_seq"], -1)
+                               .when(a["ingest_seq"] > b["ingest_seq"], 1).otherwise(0)).alias("items")))
+    return pages.select(
+        F.concat(F.lit("nation-"), F.col("c_nationkey").cast("string")).alias("query"),
+        (F.col("block") * 10 + 1).cast("int").alias("start"),
+        F.when(F.col("c_nationkey") == 3, F.lit(15)).otherwise(F.lit(1000)).cast("long").alias("total_results"),
+        F.transform("items", lambda x: x["google_result"]).alias("items"),
+        F.lit(1).cast("long").alias("landed_seq"))
+
+
+@register("s2_flatten_search_pages")
+def s2_flatten_search_pages(spark, sf):
+    """S2 (rows-only): pages per nation, 40 results at most per query."""
+    items = readers.flatten_search_pages(landed_pages(spark, sf), max_results=40)
+    return items.select(F.col("search_metadata.query_used").alias("query"), "search_metadata.position",
+                        "search_metadata.page", "item_index", F.col("google_result.link").alias("link"))
+
+
+@register("s3_build_search_queries", """SELECT n_nationkey,
+  'site:linkedin.com/in "' || n_name || '" "' || r_name || '"' AS query
+FROM nation LEFT JOIN region ON n_regionkey = r_regionkey""")
+def s3_build_search_queries(spark, sf):
+    n = inputs.table(spark, sf, "nation")
+    r = inputs.table(spark, sf, "region")
+    t = n.join(r, n["n_regionkey"] == r["r_regionkey"], "left").select(
+        "n_nationkey", F.array("n_name", "r_name").alias("terms"))
+    return readers.build_search_queries(t).select("n_nationkey", "query")
+
+
+@register("s5_union_sources", f"""SELECT 'events' AS source_name, 'all events' AS source_query, profile_url
+FROM ({inputs.RAW_PROFILES_SQL}) UNION ALL
+SELECT 'customers', 'all customers', profile_url FROM ({inputs.CUSTOMER_PROFILES_SQL})""")
+def s5_union_sources(spark, sf):
+    a = inputs.raw_profiles(spark, sf).drop("source_name", "source_query")
+    b = inputs.customer_profiles(spark, sf)
+    u = readers.union_sources([(a, "events", "all events"), (b, "customers", "all customers")])
+    return u.select("source_name", "source_query", "profile_url")
+
+
+@register("s6_read_landed_companies", f"""SELECT Company, Company_Website, Company_Domain, address
+FROM ({SUPPLIER_COMPANIES_SQL})""")
+def s6_read_landed_companies(spark, sf):
+    """Company rows landed as JSON lines, read back with the fixed schema."""
+    path = scratch_dir(spark, "companies-json")
+    supplier_companies(spark, sf).select("Company", "Company_Website", "Company_Domain", "address") \
+        .write.json(path)
+    return readers.read_landed_companies(spark, path).select("Company", "Company_Website", "Company_Domain",
+                                                             "address")
+
+
+@register("s7_align_schema", f"""SELECT name, profile_url, CAST(NULL AS VARCHAR) AS company_website,
+  CAST(NULL AS VARCHAR) AS company_domain, 'unknown' AS source_name FROM ({inputs.CUSTOMER_PROFILES_SQL})""")
+def s7_align_schema(spark, sf):
+    """Customer profiles given every raw-profile column (missing -> NULL
+    or default); applying it twice changes nothing."""
+    from pyspark.sql import types as T
+    target = T.StructType(list(schemas.RAW_PROFILE.fields) + [T.StructField("source_name", T.StringType())])
+    a = readers.align_schema(inputs.customer_profiles(spark, sf), target, {"source_name": "unknown"})
+    a = readers.align_schema(a, target, {"source_name": "unknown"})
+    return a.select("name", "profile_url", "company_website", "company_domain", "source_name")
+
+
+_PEOPLE_OUT = ["linkedin_profile", "first_name", "last_name", "title_current", "email", "location_text",
+               "connections_linkedin", "followers_linkedin", "website_info", "phone_info", "info_raw",
+               "insights_text", "lookup_date", "is_hot", "source_name", "source_query", "created_seq"]
+
+
+@register("s8_snapshot_upsert", f"WITH rec AS ({inputs.PERSON_RECORDS_SQL}) {K1_AGG}")
+def s8_snapshot_upsert(spark, sf):
+    """People upserted in two batches (first half of January, then the
+    rest) through versioned snapshots; the result equals one upsert of all."""
+    store = SnapshotStore(spark, scratch_dir(spark, "snapshots"))
+    rec = _records(spark, sf)
+    ts = inputs.table(spark, sf, "events").select(F.col("event_id").alias("ingest_seq"), "ts")
+    rec = rec.join(ts, "ingest_seq")
+    early = F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")
+    store.write(upsert.upsert_people(None, rec.filter(early).drop("ts"), NOW), "people")
+    store.write(upsert.upsert_people(store.read("people"), rec.filter(~early).drop("ts"), NOW), "people")
+    return store.read("people").select(*_PEOPLE_OUT)
+
+
+@register("s9_people_with_company", f"""WITH {_R2_PARTS}, ppl AS ({K1_AGG})
+SELECT p.linkedin_profile, p.first_name, p.email, CASE WHEN l.dom IS NOT NULL THEN c.name ELSE l.cname END
+  AS company_name, l.dom AS domain, CAST(NULL AS VARCHAR) AS website, CAST(NULL AS VARCHAR) AS legal_form,
+  CAST(NULL AS INTEGER) AS multinational
+FROM ppl p LEFT JOIN lastc l ON l.linkedin_profile = p.linkedin_profile LEFT JOIN comp c ON c.domain = l.dom""")
+def s9_people_with_company(spark, sf):
+    people, companies, _ = _ingest(spark, sf)
+    v = reports.people_with_company(people, companies)
+    return v.select("linkedin_profile", "first_name", "email", "company_name", "domain", "website", "legal_form",
+                    "multinational")
+
+
+@register("s10_export_run_document")
+def s10_export_run_document(spark, sf):
+    """S10 (rows-only): a run's metadata and profiles exported as JSON and
+    the metadata read back."""
+    from leadframe.plans.q_text import extracted
+    profiles, metrics = extracted(spark, sf)
+    checked = profiles.withColumn("errors", validate.profile_errors(profiles))
+    totals, _ = validate.validation_metrics(checked)
+    stats = metrics.withColumn("_one", F.lit(1)).join(totals.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    meta = export.run_metadata(profiles, stats, "site:linkedin.com/in customers", ["customers"], NOW)
+    paths = export.export_run_document(profiles, meta, scratch_dir(spark, "export"))
+    return spark.read.json(paths["metadata"])

@@ -312,6 +312,15 @@ comp AS (SELECT company_domain AS domain,
          GROUP BY company_domain)"""
 
 
+@register("k3_append_company_stubs", f"""WITH rec AS ({inputs.PERSON_RECORDS_SQL})
+SELECT company_name AS name, nullif(source_name, '') AS source_name, ingest_seq AS created_seq FROM rec
+WHERE linkedin_profile IS NOT NULL AND nullif(company_domain, '') IS NULL AND nullif(company_name, '') IS NOT NULL""")
+def k3_append_company_stubs(spark, sf):
+    """K3: records naming a company without a domain each add a stub row."""
+    _, companies, _ = _ingest(spark, sf)
+    return companies.filter(F.col("domain").isNull()).select("name", "source_name", "created_seq")
+
+
 @register("k5_link_people_companies", f"""WITH {_R2_PARTS}
 SELECT l.linkedin_profile, l.dom AS company_domain,
   CASE WHEN l.dom IS NOT NULL THEN c.name ELSE l.cname END AS company_name
