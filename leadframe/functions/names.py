@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from leadframe import fixed
-from leadframe.functions.text import col_, py_re, squeeze, strip
+from leadframe.functions.text import col_, let, py_re, squeeze, strip
 
 _LINKEDIN_PIPE_TAIL = py_re(r"\s*\|\s*LinkedIn.*$", ignorecase=True)
 _LINKEDIN_SEP_TAIL = py_re(r"\s*[-|]\s*LinkedIn.*$", ignorecase=True)
@@ -89,22 +89,27 @@ def strip_degree(full_name) -> Column:
 
 def split_name(cleaned) -> tuple[Column, Column]:
     """(first, last): tokens on single blanks; one token -> last NULL."""
-    c = col_(cleaned)
-    toks = F.filter(F.split(c, " "), lambda t: t != "")
-    first = F.when(F.size(toks) >= 2, F.get(toks, 0)).otherwise(
-        F.when(c != "", F.nullif(F.split(c, " ").getItem(0), F.lit(""))))
-    last = F.when(F.size(toks) >= 2,
-                  F.array_join(F.slice(toks, 2, F.size(toks) - 1), " "))
-    return first, last
+    def tokens(c):
+        return F.filter(F.split(c, " "), lambda t: t != "")
+
+    def first_of(c):
+        return let(tokens(c), lambda toks: F.when(F.size(toks) >= 2, F.get(toks, 0)).otherwise(
+            F.when(c != "", F.nullif(F.split(c, " ").getItem(0), F.lit("")))))
+
+    def last_of(c):
+        return let(tokens(c), lambda toks: F.when(
+            F.size(toks) >= 2, F.array_join(F.slice(toks, 2, F.size(toks) - 1), " ")))
+    return let(col_(cleaned), first_of), let(col_(cleaned), last_of)
 
 
 def title_with_degree(title, degree) -> Column:
     """``title (degree)``, or ``(degree)`` when the title is empty."""
-    title, degree = col_(title), col_(degree)
-    wrapped = F.concat(F.lit("("), degree, F.lit(")"))
-    return (F.when(degree.isNull() | (degree == ""), title)
-            .when(title.isNotNull() & (title != ""), F.concat(title, F.lit(" "), wrapped))
-            .otherwise(wrapped))
+    def body(t, d):
+        wrapped = F.concat(F.lit("("), d, F.lit(")"))
+        return (F.when(d.isNull() | (d == ""), t)
+                .when(t.isNotNull() & (t != ""), F.concat(t, F.lit(" "), wrapped))
+                .otherwise(wrapped))
+    return let(col_(degree), lambda d: let(col_(title), lambda t: body(t, d)))
 
 
 def is_valid_name(name) -> Column:

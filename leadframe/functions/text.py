@@ -112,6 +112,15 @@ def _nfkc_udf(s: pd.Series) -> pd.Series:
     return s.map(lambda v: unicodedata.normalize("NFKC", v) if isinstance(v, str) else None)
 
 
+# The three UDFs are pure, but marked non-deterministic on purpose: that
+# keeps the optimizer from copying them into pushed-down filters or several
+# collapsed projections, so each row reaches Python at most once and after
+# any re-partitioning of the input.
+_unescape_udf = _unescape_udf.asNondeterministic()
+_slug_udf = _slug_udf.asNondeterministic()
+_nfkc_udf = _nfkc_udf.asNondeterministic()
+
+
 def html_unescape(c) -> Column:
     """Python ``html.unescape``; only values holding '&' reach Python."""
     c = col_(c)

@@ -91,6 +91,36 @@ def profile_key(url) -> Column:
     return F.when(ok, F.concat(F.lit(fixed.PROFILE_CANONICAL_PREFIX), slug))
 
 
+def profile_slug(url) -> Column:
+    """The JVM part of N7: the raw slug when the URL is a profile URL, else
+    NULL. Plain expressions only (no lambda binding): its result feeds an
+    Arrow UDF, which cannot take arguments that hold lambdas."""
+    url = col_(url)
+    _, netloc, path = url_parts(url)
+    host = F.replace(F.replace(F.lower(netloc), F.lit("www."), F.lit("")),
+                     F.lit("de.linkedin.com"), F.lit("linkedin.com"))
+    path = F.regexp_replace(path, "/+$", "")
+    ok = (url.isNotNull() & (url != "") & (host != "")
+          & host.contains(fixed.PROFILE_SITE) & path.startswith("/in/"))
+    return F.when(ok, F.get(_segments(path), 1))
+
+
+def key_from_slug(slug) -> Column:
+    """The rest of N7 on a slug column: decode, NFKC, trim, lower, drop
+    zero-width characters, prefix."""
+    slug = col_(slug)
+    s = F.translate(F.lower(strip(unquote_nfkc(slug))), "\u200b\u200c\u200d", "")
+    return F.when(slug.isNotNull(), F.concat(F.lit(fixed.PROFILE_CANONICAL_PREFIX), s))
+
+
+def with_profile_key(df, url_col: str, out_col: str):
+    """N7 as two projections: the slug (JVM only) first, then the decoding
+    step that may call Python. Cheaper to plan and run than the one-column
+    rule, and the Arrow UDF sees a plain column."""
+    return (df.withColumn("_pk_slug", profile_slug(F.col(url_col)))
+            .withColumn(out_col, key_from_slug(F.col("_pk_slug"))).drop("_pk_slug"))
+
+
 def is_profile_url(url) -> Column:
     """V2: scheme http(s), host contains the site, path contains ``/in/``."""
     url = col_(url)

@@ -11,7 +11,7 @@ from leadframe import schemas
 from leadframe.functions.names import degree_prefix, split_name, strip_degree, title_with_degree
 from leadframe.functions.numbers import parse_connections, parse_int_shorthand
 from leadframe.functions.text import first_truthy, nonempty, strip
-from leadframe.functions.urls import profile_key
+from leadframe.functions.urls import with_profile_key
 from leadframe.sources.readers import align_schema
 
 
@@ -72,13 +72,17 @@ def standardise_people(profiles: DataFrame, normalize_key: bool = True) -> DataF
     (tables written before N7 existed, which K10 merges).
     """
     p = with_profile_columns(profiles)
-    raw_name = strip(F.coalesce(first_truthy("mapped_contact_name", "name"), F.lit("")))
-    deg = degree_prefix(raw_name)
-    cleaned = strip_degree(raw_name)
-    first, last = split_name(cleaned)
-    title = first_truthy("mapped_position", "current_position")
-    conn_src = F.coalesce(_truthy_num("mapped_connections_linkedin").cast("string"), F.col("connection_count"))
-    foll_src = F.coalesce(_truthy_num("mapped_followers_linkedin").cast("string"), F.col("follower_count"))
+    # staged projections: every intermediate is computed once per row
+    p = (p.withColumn("_raw_name", strip(F.coalesce(first_truthy("mapped_contact_name", "name"), F.lit(""))))
+         .withColumn("_url", first_truthy("mapped_linkedin_profile", "profile_url"))
+         .withColumn("_title", first_truthy("mapped_position", "current_position"))
+         .withColumn("_conn", F.coalesce(_truthy_num("mapped_connections_linkedin").cast("string"),
+                                         F.col("connection_count")))
+         .withColumn("_foll", F.coalesce(_truthy_num("mapped_followers_linkedin").cast("string"),
+                                         F.col("follower_count"))))
+    p = p.withColumn("_deg", degree_prefix("_raw_name")).withColumn("_clean", strip_degree("_raw_name"))
+    p = with_profile_key(p, "_url", "_key") if normalize_key else p.withColumn("_key", F.col("_url"))
+    first, last = split_name("_clean")
     # Python: Insights or summary_other -- an empty list is falsy
     ins_list = F.when(F.size("mapped_insights") > 0, F.col("mapped_insights")).otherwise(
         F.col("summary_other"))
@@ -86,14 +90,13 @@ def standardise_people(profiles: DataFrame, normalize_key: bool = True) -> DataF
                       F.array_join(F.filter(ins_list, lambda x: x.isNotNull() & (x != "")), "; "))
     return p.select(
         F.col("ingest_seq").cast("long").alias("ingest_seq"),
-        (profile_key(first_truthy("mapped_linkedin_profile", "profile_url")) if normalize_key
-         else first_truthy("mapped_linkedin_profile", "profile_url")).alias("linkedin_profile"),
+        F.col("_key").alias("linkedin_profile"),
         first.alias("first_name"), last.alias("last_name"),
-        title_with_degree(title, deg).alias("title_current"),
+        title_with_degree(F.col("_title"), F.col("_deg")).alias("title_current"),
         first_truthy("mapped_email", "email").alias("email"),
         first_truthy("mapped_location", "location").alias("location_text"),
-        parse_connections(conn_src).alias("connections_linkedin"),
-        parse_int_shorthand(foll_src).alias("followers_linkedin"),
+        parse_connections("_conn").alias("connections_linkedin"),
+        parse_int_shorthand("_foll").alias("followers_linkedin"),
         first_truthy("mapped_website_info", "company_website", "website").alias("website_info"),
         first_truthy("mapped_phone_info", "phone").alias("phone_info"),
         first_truthy("mapped_info_raw", "summary").alias("info_raw"),

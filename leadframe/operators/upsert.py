@@ -59,11 +59,11 @@ def upsert_people(current: DataFrame | None, batch: DataFrame, now: str) -> Data
     current = current if current is not None else schemas.empty(_spark(batch), schemas.PEOPLE)
     merge = [n for n, _ in schemas.PERSON_MERGE_FIELDS]
     batch = align_schema(batch, schemas.PERSON_RECORD_Q, keep_extra=True)
-    agg = (batch.filter(F.col("linkedin_profile").isNotNull())
-           .groupBy("linkedin_profile")
+    agg = (batch.groupBy("linkedin_profile")
            .agg(*[_last_non_null(c) for c in merge],
                 F.coalesce(F.max_by("lookup_date", SEQ), F.lit(now)).alias("lookup_date"),
-                F.min(SEQ).alias("created_seq")))
+                F.min(SEQ).alias("created_seq"))
+           .filter(F.col("linkedin_profile").isNotNull()))   # keyless rows: one NULL group, dropped
     o, n = current.alias("o"), agg.alias("n")
     j = o.join(n, F.col("o.linkedin_profile") == F.col("n.linkedin_profile"), "full_outer")
     key = F.coalesce(F.col("o.linkedin_profile"), F.col("n.linkedin_profile"))
@@ -329,10 +329,11 @@ def erase_profiles(people: DataFrame, messages: DataFrame, keys: DataFrame):
     spelling: compared after N7) and every outreach message on them.
     Returns (people, messages)."""
     k = keys.select(F.coalesce(profile_key("profile_url"), F.col("profile_url")).alias("_k")).distinct()
-    p = people.join(k, F.coalesce(profile_key("linkedin_profile"), F.col("linkedin_profile")) == k["_k"],
-                    "left_anti")
-    m = messages.join(k, F.coalesce(profile_key("linkedin_profile"), F.col("linkedin_profile")) == k["_k"],
-                      "left_anti")
+
+    def keyed(df):
+        return df.withColumn("_k", F.coalesce(profile_key("linkedin_profile"), F.col("linkedin_profile")))
+    p = keyed(people).join(k, "_k", "left_anti").drop("_k")
+    m = keyed(messages).join(k, "_k", "left_anti").drop("_k")
     return p, m
 
 
@@ -350,7 +351,7 @@ def erase_companies(companies: DataFrame, people: DataFrame, ids: DataFrame):
 # --------------------------------------------------------------------- K13
 def person_ingest(records: DataFrame, people: DataFrame | None, companies: DataFrame | None,
                   queries: DataFrame | None, now: str, batch_id: str = "0",
-                  compat_query: bool = False):
+                  compat_query: bool = False, materialize_batch: bool = True):
     """Standardised person records -> query dimension (K7/K8) -> people
     upsert (K1) -> company upsert (K2/K3) -> link (K5).
 
@@ -361,8 +362,14 @@ def person_ingest(records: DataFrame, people: DataFrame | None, companies: DataF
     """
     from leadframe.sources.suffixes import DEFAULT_RULES
     from leadframe.functions.urls import apex_domain
-
-    keyed = records.filter(F.col("linkedin_profile").isNotNull())
+    from leadframe.session import materialize
+
+    # the batch feeds four jobs (queries, people, companies, links): the
+    # company domain is derived once and the batch is written once
+    keyed = records.filter(F.col("linkedin_profile").isNotNull()).withColumn(
+        "_domain", F.coalesce(nonempty("company_domain"), apex_domain(F.col("company_website"), DEFAULT_RULES)))
+    if materialize_batch:
+        keyed = materialize(keyed, "ingest-batch")
     qbatch = keyed.filter(nonempty("source_name").isNotNull() & nonempty("source_query").isNotNull()) \
                   .select(F.col("source_name").alias("source"), F.lit("person").alias("entity_type"),
                           F.col("source_query").alias("query_text"), SEQ)
@@ -370,16 +377,13 @@ def person_ingest(records: DataFrame, people: DataFrame | None, companies: DataF
         qbatch = qbatch.orderBy(SEQ).limit(1)
     queries2 = upsert_queries(queries, qbatch, now)
     rec = attach_query_id(keyed, queries2, compat=compat_query)
-    people2 = upsert_people(people, rec, now)
+    people2 = upsert_people(people, rec.drop("_domain"), now)
     comp_rows = rec.select(
-        F.col("company_name").alias("name"),
-        F.coalesce(nonempty("company_domain"), apex_domain(F.col("company_website"), DEFAULT_RULES)).alias("domain"),
+        F.col("company_name").alias("name"), F.col("_domain").alias("domain"),
         F.col("company_website").alias("website"), "source_name", "source_query", "search_query_id", SEQ
     ).filter(F.coalesce(nonempty("domain"), nonempty("name")).isNotNull())
     companies2 = upsert_companies(companies, comp_rows, batch_id)
-    link_rec = rec.select("linkedin_profile", SEQ,
-                          F.coalesce(nonempty("company_domain"),
-                                     apex_domain(F.col("company_website"), DEFAULT_RULES)).alias("company_domain"),
+    link_rec = rec.select("linkedin_profile", SEQ, F.col("_domain").alias("company_domain"),
                           F.col("company_name"))
     people3 = link_people_companies(people2, companies2, link_rec, batch_id)
     processed = keyed.agg(F.count(F.lit(1)).alias("processed_people"))

@@ -67,3 +67,25 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     import uuid
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df, name: str):
+    """Write ``df`` once as Parquet under the shared checkpoint folder and
+    read it back: later jobs reuse the rows instead of recomputing (and
+    re-planning) the lineage, and a lost executor costs a re-read, not a
+    recompute of everything before."""
+    spark = df.sparkSession
+    path = scratch_dir(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def spread(df):
+    """Round-robin a frame whose scan has fewer partitions than the session
+    has task slots (a file of one row group is one partition), so per-row
+    rules use every core. Large inputs already come in many splits and are
+    returned unchanged, without a shuffle."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        return df.repartition(slots)
+    return df
