@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from leadframe import fixed
 from leadframe.functions.names import _LINKEDIN_PIPE_TAIL
-from leadframe.functions.text import (WS_CLASS, col_, html_unescape, literal_array, py_re,
+from leadframe.functions.text import (rule, WS_CLASS, col_, html_unescape, literal_array, py_re,
                                       strip)
 
 # ------------------------------------------------------------------ X6 / X7
@@ -27,6 +27,7 @@ def _boiler_core(t: Column) -> Column:
     return strip(t)
 
 
+@rule
 def remove_boilerplate(text) -> Column:
     """Drop the profile-site boilerplate sentences, squeeze blanks and
     runs of 3+ newlines, trim. Empty and NULL pass through."""
@@ -43,6 +44,7 @@ def _normalize_core(t: Column, unescape: bool = True) -> Column:
     return strip(t)
 
 
+@rule
 def normalize_text(text) -> Column:
     """Unescape HTML entities, tab/nbsp to blank, strip bullet prefixes
     per line, squeeze blanks, trim. Empty and NULL pass through."""
@@ -50,12 +52,14 @@ def normalize_text(text) -> Column:
     return F.when(t.isNull() | (t == ""), t).otherwise(_normalize_core(t))
 
 
+@rule
 def clean_summary(text) -> Column:
     """X7(X6(text)) as used for the profile summary."""
     return normalize_text(remove_boilerplate(text))
 
 
 # ---------------------------------------------------------------------- X8
+@rule
 def snippet_facts(snippet) -> Column:
     """struct(location, title, description) from a snippet."""
     s = col_(snippet)
@@ -73,6 +77,7 @@ def _tag(tag, key) -> Column:
     return strip(F.coalesce(tag[key], F.lit("")))
 
 
+@rule
 def meta_description(metatags) -> Column:
     """The last non-empty og:description."""
     descs = F.filter(F.transform(F.coalesce(col_(metatags), F.array()),
@@ -93,6 +98,7 @@ def _position_from_title(og: Column) -> Column:
     return F.when((og != "") & (F.length(chunk) > 3), chunk)
 
 
+@rule
 def meta_position(metatags) -> Column:
     """Text after the first separator of og:title, up to the next
     ``|·•``; longer than 3 chars; first tag giving one."""
@@ -120,6 +126,7 @@ def _companies_in(desc: Column) -> Column:
     return F.get(F.concat(*found), 0)
 
 
+@rule
 def meta_company(metatags) -> Column:
     """X11: company from og:description (4 patterns, all matches in order,
     quality filters); first tag giving one."""
@@ -140,6 +147,7 @@ def _location_in(desc: Column) -> Column:
     return F.coalesce(*outs)
 
 
+@rule
 def meta_location(metatags) -> Column:
     """Location from og:description, first pattern with a 3..99 char
     hit; first tag giving one."""
@@ -159,6 +167,7 @@ _SPLIT = py_re(fixed.SENTENCE_SPLIT)
 _PROPER = py_re(fixed.PROPER_WORD)
 
 
+@rule
 def email_in(text) -> Column:
     """First e-mail address."""
     t = col_(text)
@@ -169,6 +178,7 @@ def _excluded(u: Column, hosts) -> Column:
     return F.exists(literal_array(hosts), lambda h: F.lower(u).contains(h))
 
 
+@rule
 def website_in(text) -> Column:
     """First http(s) URL naming none of the excluded hosts; else the
     first bare domain (also not excluded) prefixed with https://."""
@@ -180,6 +190,7 @@ def website_in(text) -> Column:
     return F.coalesce(F.get(urls, 0), F.concat(F.lit("https://"), F.get(bare, 0)))
 
 
+@rule
 def phone_in(text) -> Column:
     """The first phone-like match, kept only if it has 7+ digits."""
     t = col_(text)
@@ -188,6 +199,7 @@ def phone_in(text) -> Column:
     return F.when(t.rlike(_PHONE) & (digits >= fixed.PHONE_MIN_DIGITS), strip(m))
 
 
+@rule
 def experience_years_in(text) -> Column:
     """Years from the first of 4 patterns that matches."""
     t = col_(text)
@@ -235,6 +247,7 @@ _FOLLOWERS = [py_re(p, ignorecase=True) for p in fixed.FOLLOWER_PATTERNS]
 _CONNECTIONS = [py_re(p, ignorecase=True) for p in fixed.CONNECTION_PATTERNS]
 
 
+@rule
 def follower_count_in(snippet, html_snippet) -> Column:
     """X19 followers: per pattern, snippet then htmlSnippet; first hit."""
     texts = [F.coalesce(col_(snippet), F.lit("")), F.coalesce(col_(html_snippet), F.lit(""))]
@@ -242,6 +255,7 @@ def follower_count_in(snippet, html_snippet) -> Column:
                         for p in _FOLLOWERS for t in texts])
 
 
+@rule
 def connection_count_in(metatags) -> Column:
     """X19 connections: per tag's og:description, first pattern hit; the
     last tag with a hit wins."""
@@ -298,6 +312,7 @@ _X24_TITLE = py_re(r"(?<!former\s)(?<!previously\s)(?<!ex-)\b(?:at|bei|of|von)\s
 _X24_SYMBOL = py_re(r"(?<!former\s)(?<!previously\s)(?<!ex-)(?:@|\|)\s*([A-ZÄÖÜ][^·•|\n,;]*)")
 
 
+@rule
 def company_from_text(text) -> Column:
     """The extraction prompt's company rules run as rules: after
     "Experience:"/"Berufserfahrung:"; else after at/bei/of/von, then after

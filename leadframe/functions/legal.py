@@ -6,9 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from leadframe import fixed
-from leadframe.functions.text import WS_CLASS, col_, py_re, strip
+from leadframe.functions.text import rule, WS_CLASS, col_, py_re, strip
 
 
+@rule
 def clean_company_name(name, compat: bool = True) -> Column:
     """Lower-case, ä->ae ö->oe ü->ue ß->ss, drop legal suffixes, keep
     ``[a-z0-9\\s-]``, trim; NULL unless 2..50 chars.
@@ -34,6 +35,7 @@ def _lookup(pairs, key: Column) -> Column:
     return F.try_element_at(m, key)
 
 
+@rule
 def canonical_legal_form(raw) -> Column:
     """Quotes and ``(…)`` removed; known phrases (substring, in order)
     give their short form; then exact short forms (commas to blanks,
@@ -52,6 +54,7 @@ def canonical_legal_form(raw) -> Column:
     return F.when(r.isNotNull() & (r != ""), out)
 
 
+@rule
 def legal_form_from_name(name, fix_ek: bool = False) -> Column:
     """The legal form written in a company name: compound forms first,
     then simple ones. The reference's ``e.K.`` pattern cannot match; with
@@ -64,6 +67,7 @@ def legal_form_from_name(name, fix_ek: bool = False) -> Column:
     return F.when(low.isNotNull() & (low != ""), out)
 
 
+@rule
 def derive_legal_form(name, provided, fix_ek: bool = False) -> Column:
     """The form found in the name, else the canonical provided one."""
     return F.coalesce(legal_form_from_name(name, fix_ek), canonical_legal_form(provided))

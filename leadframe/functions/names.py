@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from leadframe import fixed
-from leadframe.functions.text import col_, let, py_re, squeeze, strip
+from leadframe.functions.text import rule, col_, let, py_re, squeeze, strip
 
 _LINKEDIN_PIPE_TAIL = py_re(r"\s*\|\s*LinkedIn.*$", ignorecase=True)
 _LINKEDIN_SEP_TAIL = py_re(r"\s*[-|]\s*LinkedIn.*$", ignorecase=True)
@@ -20,6 +20,7 @@ def _len_between(c: Column, lo: int, hi: int) -> Column:
     return (F.length(c) > lo) & (F.length(c) < hi)
 
 
+@rule
 def name_from_og_title(og_title) -> Column:
     """The og:title part of X3: cut ``| LinkedIn…``, keep the part before
     the first `` - ``; length 3..199."""
@@ -28,6 +29,7 @@ def name_from_og_title(og_title) -> Column:
     return F.when(_len_between(t, 2, 200), t)
 
 
+@rule
 def name_from_metatags(metatags) -> Column:
     """Per tag in order, ``profile:first_name`` + ``profile:last_name``;
     else the og:title name; the first tag giving one wins."""
@@ -42,6 +44,7 @@ def name_from_metatags(metatags) -> Column:
     return F.get(cands, 0)
 
 
+@rule
 def name_from_title(title) -> Column:
     """Cut ``[-|] LinkedIn…``, drop ``(…)``, keep the part before an en or
     em dash, squeeze blanks; length 3..199."""
@@ -75,18 +78,21 @@ def headline_from_title(title, name) -> Column:
     return F.when(title.isNotNull() & (title != "") & name.isNotNull() & (name != ""), out)
 
 
+@rule
 def degree_prefix(full_name) -> Column:
     """The first matching degree prefix as written (trimmed), or NULL."""
     text = strip(F.coalesce(col_(full_name), F.lit("")))
     return F.nullif(strip(F.regexp_extract(text, "(" + _DEGREE + ")", 1)), F.lit(""))
 
 
+@rule
 def strip_degree(full_name) -> Column:
     """The name with one degree prefix removed, trimmed."""
     text = strip(F.coalesce(col_(full_name), F.lit("")))
     return strip(F.regexp_replace(text, _DEGREE, ""))
 
 
+@rule
 def split_name(cleaned) -> tuple[Column, Column]:
     """(first, last): tokens on single blanks; one token -> last NULL."""
     def tokens(c):
@@ -102,6 +108,7 @@ def split_name(cleaned) -> tuple[Column, Column]:
     return let(col_(cleaned), first_of), let(col_(cleaned), last_of)
 
 
+@rule
 def title_with_degree(title, degree) -> Column:
     """``title (degree)``, or ``(degree)`` when the title is empty."""
     def body(t, d):
@@ -112,6 +119,7 @@ def title_with_degree(title, degree) -> Column:
     return let(col_(degree), lambda d: let(col_(title), lambda t: body(t, d)))
 
 
+@rule
 def is_valid_name(name) -> Column:
     """V3: trimmed length 2..200 and not starting with http, www or @."""
     n = strip(col_(name))

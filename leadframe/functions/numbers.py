@@ -6,9 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from leadframe import fixed
-from leadframe.functions.text import col_, let, strip
+from leadframe.functions.text import rule, col_, let, strip
 
 
+@rule
 def parse_int_shorthand(value) -> Column:
     """``'1.2K'`` -> 1200, ``'500+'`` -> 500, ``'1,234'`` -> 1234.
 
@@ -32,6 +33,7 @@ def parse_int_shorthand(value) -> Column:
     return F.when(v.isNotNull(), let(s, on_s))
 
 
+@rule
 def parse_connections(value) -> Column:
     """Shorthand integer capped at 500; NULL stays NULL."""
     return let(parse_int_shorthand(value),

@@ -22,6 +22,31 @@ WS_CLASS = (r"[\t\n\x0B\f\r\x1C-\x1F \x85\xA0\u1680\u2000-\u200A"
             r"\u2028\u2029\u202F\u205F\u3000]")
 
 
+def rule(fn):
+    """Memoise a column rule per JVM for plain arguments (names, numbers,
+    rule sets). Building a rule tree costs thousands of py4j calls on the
+    driver; a Column is an unresolved expression, so one built tree serves
+    every frame of the session. Column arguments are not cached."""
+    import functools
+    cache = {}
+
+    @functools.wraps(fn)
+    def wrapper(*args, **kwargs):
+        try:
+            from pyspark import SparkContext
+            sc = SparkContext._active_spark_context
+            key = (id(sc._jvm) if sc is not None else None, args, tuple(sorted(kwargs.items())))
+            hash(key)
+        except TypeError:
+            return fn(*args, **kwargs)
+        if any(isinstance(a, Column) for a in args) or any(isinstance(v, Column) for v in kwargs.values()):
+            return fn(*args, **kwargs)
+        if key not in cache:
+            cache[key] = fn(*args, **kwargs)
+        return cache[key]
+    return wrapper
+
+
 def col_(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 

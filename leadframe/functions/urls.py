@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from leadframe import fixed
-from leadframe.functions.text import col_, let, strip, unquote_nfkc
+from leadframe.functions.text import rule, col_, let, strip, unquote_nfkc
 
 _SPLIT = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)"
 
@@ -42,6 +42,7 @@ def _segments(path: Column) -> Column:
     return F.filter(F.split(path, "/"), lambda s: s != "")
 
 
+@rule
 def canonical_profile_url(link) -> Column:
     """Canonical search-item URL, NULL if not a profile URL.
 
@@ -72,6 +73,7 @@ def canonical_profile_url(link) -> Column:
     return F.when(link.isNotNull() & (link != ""), let(_prep(link), on_url))
 
 
+@rule
 def profile_key(url) -> Column:
     """``https://linkedin.com/in/{slug}`` with the slug percent-decoded,
     NFKC-normalised, stripped, lower-cased and zero-width characters removed;
@@ -91,6 +93,7 @@ def profile_key(url) -> Column:
     return F.when(ok, F.concat(F.lit(fixed.PROFILE_CANONICAL_PREFIX), slug))
 
 
+@rule
 def profile_slug(url) -> Column:
     """The JVM part of N7: the raw slug when the URL is a profile URL, else
     NULL. Plain expressions only (no lambda binding): its result feeds an
@@ -105,6 +108,7 @@ def profile_slug(url) -> Column:
     return F.when(ok, F.get(_segments(path), 1))
 
 
+@rule
 def key_from_slug(slug) -> Column:
     """The rest of N7 on a slug column: decode, NFKC, trim, lower, drop
     zero-width characters, prefix."""
@@ -117,10 +121,11 @@ def with_profile_key(df, url_col: str, out_col: str):
     """N7 as two projections: the slug (JVM only) first, then the decoding
     step that may call Python. Cheaper to plan and run than the one-column
     rule, and the Arrow UDF sees a plain column."""
-    return (df.withColumn("_pk_slug", profile_slug(F.col(url_col)))
-            .withColumn(out_col, key_from_slug(F.col("_pk_slug"))).drop("_pk_slug"))
+    return (df.withColumns({"_pk_slug": profile_slug(F.col(url_col))})
+            .withColumns({out_col: key_from_slug(F.col("_pk_slug"))}).drop("_pk_slug"))
 
 
+@rule
 def is_profile_url(url) -> Column:
     """V2: scheme http(s), host contains the site, path contains ``/in/``."""
     url = col_(url)
@@ -130,6 +135,7 @@ def is_profile_url(url) -> Column:
                       & path.contains("/in/"), F.lit(False))
 
 
+@rule
 def host_of(url_or_domain) -> Column:
     """Host as the apex rule sees it: trimmed, lower-cased, scheme added when
     missing, userinfo and port removed."""
@@ -144,6 +150,7 @@ def host_of(url_or_domain) -> Column:
     return let(F.lower(strip(col_(url_or_domain))), from_text)
 
 
+@rule
 def apex_domain(url_or_domain, rules) -> Column:
     """Registrable domain (one label left of the longest public suffix),
     NULL when there is none (IP address, single label, unknown suffix).

@@ -102,10 +102,9 @@ def with_summary_facts(df: DataFrame, text: str = "summary") -> DataFrame:
     summary_other (salient sentences, cleaned)."""
     t = strip(F.col(text))
     d = df.withColumn("_t", F.when(F.col(text).isNotNull() & (F.col(text) != ""), t))
-    d = (d.withColumn("email", facts.email_in(F.col("_t")))
-         .withColumn("website", facts.website_in(F.col("_t")))
-         .withColumn("phone", facts.phone_in(F.col("_t")))
-         .withColumn("experience_years", facts.experience_years_in(F.col("_t")).cast("long")))
+    d = d.withColumns({"email": facts.email_in(F.col("_t")), "website": facts.website_in(F.col("_t")),
+                       "phone": facts.phone_in(F.col("_t")),
+                       "experience_years": facts.experience_years_in(F.col("_t")).cast("long")})
     sal = facts.salient_sentences(F.col("_t"), F.col("email"), F.col("website"), F.col("phone"))
     d = d.withColumn("summary_other", facts.clean_sentences(sal))
     return d.drop("_t")

@@ -48,8 +48,7 @@ def parse_profile_responses(df: DataFrame, col: str = "content") -> DataFrame:
         t = _vtype("_v", f"$.{f}")
         types_ok = types_ok & (t.isNull() | t.isin("STRING", "VOID"))
     d = d.withColumn("parse_ok", is_obj & keys_ok & F.coalesce(types_ok, F.lit(False)))
-    for f in fixed.PROFILE_ANSWER_FIELDS:
-        d = d.withColumn(f, F.when(F.col("parse_ok"), _vstr("_v", f"$.{f}")))
+    d = d.withColumns({f: F.when(F.col("parse_ok"), _vstr("_v", f"$.{f}")) for f in fixed.PROFILE_ANSWER_FIELDS})
     return d.drop("_slice", "_v")
 
 
@@ -73,13 +72,15 @@ def parse_company_responses(df: DataFrame, col: str = "text") -> DataFrame:
     keys_ok = F.coalesce(F.forall(F.expr("json_object_keys(_src)"), lambda k: F.array_contains(allowed, k)),
                          F.lit(False))
     d = d.withColumn("_obj_ok", is_obj & keys_ok)
+    fields = {}
     for name, alias, typ in fixed.COMPANY_ANSWER_FIELDS:
         v = F.coalesce(F.expr(f"try_variant_get(_v, '$.{alias}', '{typ}')"),
                        F.expr(f"try_variant_get(_v, '$.{name}', '{typ}')"))
         if typ == "string":
             ty = F.coalesce(_vtype("_v", f"$.{alias}"), _vtype("_v", f"$.{name}"))
             v = F.when(ty == "STRING", v)
-        d = d.withColumn(name, F.when(F.col("_obj_ok"), v))
+        fields[name] = F.when(F.col("_obj_ok"), v)
+    d = d.withColumns(fields)
     d = d.withColumn("parse_ok", F.col("_obj_ok") & F.col("company").isNotNull())
     return d.drop("_a", "_fb", "_bs", "_v", "_src", "_obj_ok")
 
@@ -87,14 +88,14 @@ def parse_company_responses(df: DataFrame, col: str = "text") -> DataFrame:
 # ---------------------------------------------------------------------- M3
 def clean_response_fields(df: DataFrame) -> DataFrame:
     """M3: drop null/none/n/a/blank tokens and values outside 2..199 chars."""
-    out = df
+    new = {}
     for f in fixed.ANSWER_CLEAN_FIELDS:
         v = F.col(f)
         s = strip(v)
         keep = (v.isNotNull() & (v != "") & ~F.lower(s).isin(*fixed.ANSWER_NULL_TOKENS)
                 & (F.length(s) > 1) & (F.length(s) < 200))
-        out = out.withColumn(f, F.when(keep, s))
-    return out
+        new[f] = F.when(keep, s)
+    return df.withColumns(new)
 
 
 # ---------------------------------------------------------------------- M4

@@ -73,14 +73,13 @@ def standardise_people(profiles: DataFrame, normalize_key: bool = True) -> DataF
     """
     p = with_profile_columns(profiles)
     # staged projections: every intermediate is computed once per row
-    p = (p.withColumn("_raw_name", strip(F.coalesce(first_truthy("mapped_contact_name", "name"), F.lit(""))))
-         .withColumn("_url", first_truthy("mapped_linkedin_profile", "profile_url"))
-         .withColumn("_title", first_truthy("mapped_position", "current_position"))
-         .withColumn("_conn", F.coalesce(_truthy_num("mapped_connections_linkedin").cast("string"),
-                                         F.col("connection_count")))
-         .withColumn("_foll", F.coalesce(_truthy_num("mapped_followers_linkedin").cast("string"),
-                                         F.col("follower_count"))))
-    p = p.withColumn("_deg", degree_prefix("_raw_name")).withColumn("_clean", strip_degree("_raw_name"))
+    p = p.withColumns({
+        "_raw_name": strip(F.coalesce(first_truthy("mapped_contact_name", "name"), F.lit(""))),
+        "_url": first_truthy("mapped_linkedin_profile", "profile_url"),
+        "_title": first_truthy("mapped_position", "current_position"),
+        "_conn": F.coalesce(_truthy_num("mapped_connections_linkedin").cast("string"), F.col("connection_count")),
+        "_foll": F.coalesce(_truthy_num("mapped_followers_linkedin").cast("string"), F.col("follower_count"))})
+    p = p.withColumns({"_deg": degree_prefix("_raw_name"), "_clean": strip_degree("_raw_name")})
     p = with_profile_key(p, "_url", "_key") if normalize_key else p.withColumn("_key", F.col("_url"))
     first, last = split_name("_clean")
     # Python: Insights or summary_other -- an empty list is falsy
@@ -92,7 +91,7 @@ def standardise_people(profiles: DataFrame, normalize_key: bool = True) -> DataF
         F.col("ingest_seq").cast("long").alias("ingest_seq"),
         F.col("_key").alias("linkedin_profile"),
         first.alias("first_name"), last.alias("last_name"),
-        title_with_degree(F.col("_title"), F.col("_deg")).alias("title_current"),
+        title_with_degree("_title", "_deg").alias("title_current"),
         first_truthy("mapped_email", "email").alias("email"),
         first_truthy("mapped_location", "location").alias("location_text"),
         parse_connections("_conn").alias("connections_linkedin"),

@@ -285,9 +285,11 @@ def dedupe_people(people: DataFrame, order_col: str = "created_seq"):
     """
     p = people.withColumn("_key", F.coalesce(profile_key("linkedin_profile"), F.col("linkedin_profile"))) \
               .withColumn("_ord", F.struct(F.col(order_col), F.col("id")))
+    types = dict(people.dtypes)
+
     def usable(c):
         col = F.col(c)
-        if dict(people.dtypes)[c] == "string":
+        if types[c] == "string":
             return col.isNotNull() & (col != "")
         return col.isNotNull()
     aggs = [F.min_by(F.struct(*[F.col(c) for c in schemas.PEOPLE.fieldNames()]), F.col("_ord")).alias("s"),

@@ -37,11 +37,12 @@ def profile_errors(df: DataFrame) -> F.Column:
 def profile_warnings(df: DataFrame) -> F.Column:
     """V4: warnings on optional fields that are present and truthy."""
     cols = set(df.columns)
+    types = dict(df.dtypes)
     w = []
 
     def present(c):
         v = F.col(c)
-        t = dict(df.dtypes)[c]
+        t = types[c]
         if t == "string":
             return v.isNotNull() & (v != "")
         if t.startswith("array"):
@@ -106,16 +107,14 @@ def drop_duplicate_profiles(df: DataFrame) -> DataFrame:
 
 def clean_profiles(df: DataFrame) -> DataFrame:
     """V8: trim text fields; ``http://`` -> ``https://`` on the profile URL."""
-    out = df
-    for c in ("name", "current_position", "company", "location", "skills", "summary"):
-        if c in df.columns and dict(df.dtypes)[c] == "string":
-            out = out.withColumn(c, strip(c))
-    if "profile_url" in df.columns:
+    types = dict(df.dtypes)
+    new = {c: strip(c) for c in ("name", "current_position", "company", "location", "skills", "summary")
+           if types.get(c) == "string"}
+    if "profile_url" in types:
         u = F.col("profile_url")
-        out = out.withColumn("profile_url", F.when(u.isNotNull() & (u != "") & ~u.startswith("https://"),
-                                                   F.replace(u, F.lit("http://"), F.lit("https://")))
-                             .otherwise(u))
-    return out
+        new["profile_url"] = F.when(u.isNotNull() & (u != "") & ~u.startswith("https://"),
+                                    F.replace(u, F.lit("http://"), F.lit("https://"))).otherwise(u)
+    return df.withColumns(new)
 
 
 def route_people(df: DataFrame):
@@ -139,9 +138,8 @@ def valid_companies(df: DataFrame) -> DataFrame:
 def clean_companies(df: DataFrame, rules=DEFAULT_RULES) -> DataFrame:
     """Trim the six alias fields; derive ``Company_Domain`` from the
     website (apex) when neither domain spelling is set."""
-    out = df
-    for c in ("Company", "name", "Company_Website", "website", "Company_Domain", "domain"):
-        out = out.withColumn(c, strip(c))
+    out = df.withColumns({c: strip(c) for c in ("Company", "name", "Company_Website", "website",
+                                                 "Company_Domain", "domain")})
     has_dom = first_truthy("Company_Domain", "domain").isNotNull()
     apex = apex_domain(first_truthy("Company_Website", "website"), rules)
     return out.withColumn("Company_Domain", F.when(~has_dom & apex.isNotNull(), apex)
