@@ -139,7 +139,12 @@ def read_call_log(spark: SparkSession, path: str) -> DataFrame:
     """The model-call log (JSON lines). Malformed lines and non-objects
     are dropped. ``tokens`` is what the usage report adds for the line:
     Python ``int(usage.total_tokens or 0)``, 0 where that fails."""
-    v = spark.read.text(path).select(F.expr("try_parse_json(value)").alias("v")) \
+    return parse_call_log(spark.read.text(path))
+
+
+def parse_call_log(lines: DataFrame) -> DataFrame:
+    """S4 on a frame of text lines (column ``value``), batch or streaming."""
+    v = lines.select(F.expr("try_parse_json(value)").alias("v")) \
         .filter(F.expr("startswith(schema_of_variant(v), 'OBJECT')"))
     s = lambda k: F.expr(f"try_variant_get(v, '$.{k}', 'string')").alias(k)
     falsy_provider = F.expr("""CASE WHEN v:provider IS NULL THEN NULL
