@@ -22,7 +22,8 @@ SEQ = "ingest_seq"
 
 
 def _last_non_null(c: str, seq: str = SEQ):
-    return F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(seq))).alias(c)
+    # one SQL expression string: parsed by the JVM in a single call
+    return F.expr(f"max_by(`{c}`, CASE WHEN `{c}` IS NOT NULL THEN `{seq}` END) AS `{c}`")
 
 
 def person_id(key_col) -> F.Column:

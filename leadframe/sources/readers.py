@@ -22,16 +22,20 @@ def align_schema(df: DataFrame, target: T.StructType, defaults: dict | None = No
     ``keep_extra`` the other columns follow unchanged."""
     defaults = defaults or {}
     have = set(df.columns)
-    cols = []
+    exprs = []
     for f in target.fields:
+        t = f.dataType.simpleString()
         if f.name in have:
-            cols.append(F.col(f.name).cast(f.dataType).alias(f.name))
+            exprs.append(f"CAST(`{f.name}` AS {t}) AS `{f.name}`")
+        elif defaults.get(f.name) is not None:
+            v = str(defaults[f.name]).replace("'", "''")
+            exprs.append(f"CAST('{v}' AS {t}) AS `{f.name}`")
         else:
-            cols.append(F.lit(defaults.get(f.name)).cast(f.dataType).alias(f.name))
+            exprs.append(f"CAST(NULL AS {t}) AS `{f.name}`")
     if keep_extra:
         names = set(target.fieldNames())
-        cols += [F.col(c) for c in df.columns if c not in names]
-    return df.select(*cols)
+        exprs += [f"`{c}`" for c in df.columns if c not in names]
+    return df.selectExpr(*exprs)
 
 
 # ---------------------------------------------------------------------- S1
