@@ -165,7 +165,21 @@ def x7_normalize_text(spark, sf):
     return p.select("page_id", facts.normalize_text(t).alias("text"))
 
 
-@register("x8_snippet_facts")
+def _first_hit_sql(text: str, patterns) -> str:
+    whens = " ".join(f"WHEN regexp_matches({text}, '{p}') THEN trim(regexp_extract({text}, '{p}', 1))"
+                     for p in patterns)
+    return f"CASE {whens} END"
+
+
+_X6_SQL = f"""trim(regexp_replace(regexp_replace(regexp_replace({_SNIPPET_SQL},
+  '(?i)View [^\\n.!?]{{1,200}}?’s profile on LinkedIn[^.!?\\n]*[.!?]', ' ', 'g'),
+  '[ \\t\\xA0]{{2,}}', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'))"""
+
+
+@register("x8_snippet_facts", f"""SELECT c_custkey AS ingest_seq,
+  {_first_hit_sql("s", fixed.SNIPPET_LOCATION_PATTERNS)} AS location,
+  {_first_hit_sql("s", fixed.SNIPPET_TITLE_PATTERNS)} AS title, trim(s) AS description
+FROM (SELECT c_custkey, {_X6_SQL} AS s {_CUSTN})""")
 def x8_snippet_facts(spark, sf):
     it = search_items(spark, sf)
     s = facts.snippet_facts(facts.remove_boilerplate(F.col("google_result.snippet")))
@@ -365,7 +379,38 @@ def company_answers(spark, sf):
     return s.select(k.alias("k"), text.alias("text"))
 
 
-@register("m2_parse_company_responses")
+_COMPANY_ANSWERS_SQL = """SELECT s_suppkey AS k, CASE s_suppkey % 5
+  WHEN 0 THEN '{"Company": "' || s_name || '", "Industries": ["Parts", "Trade"], "Size_Employees": ' || (s_suppkey * 3)
+       || ', "Multinational": true}'
+  WHEN 1 THEN 'Here you go:' || chr(10) || '```json' || chr(10) || '{"Company": "' || s_name
+       || '", "Industries": ["Parts", "Trade"], "Size_Employees": ' || (s_suppkey * 3) || ', "Multinational": true}'
+       || chr(10) || '```' || chr(10)
+  WHEN 2 THEN 'Result: {"Company": "' || s_name || '", "Industries": ["Parts", "Trade"], "Size_Employees": '
+       || (s_suppkey * 3) || ', "Multinational": true} (end)'
+  WHEN 3 THEN '{"company": "' || s_name || '", "website": "https://s' || s_suppkey || '.de", "size_employees": 12}'
+  ELSE '{"Company": "' || s_name || '", "Founded": 1990}' END AS text FROM supplier"""
+_M2_KEYS = "[" + ", ".join(f"'{n}', '{a}'" for n, a, _ in fixed.COMPANY_ANSWER_FIELDS) + "]"
+
+
+@register("m2_parse_company_responses", f"""WITH a AS ({_COMPANY_ANSWERS_SQL}),
+j AS (SELECT k, CASE WHEN json_valid(text) THEN text
+      WHEN json_valid(regexp_extract(text, '```(?:json)?\\n([\\s\\S]*?)\\n```', 1))
+        THEN regexp_extract(text, '```(?:json)?\\n([\\s\\S]*?)\\n```', 1)
+      ELSE substr(text, instr(text, '{{'), length(text) - instr(reverse(text), '}}') + 1 - instr(text, '{{') + 1)
+      END AS j FROM a),
+v AS (SELECT k, j, coalesce(json_valid(j) AND json_type(j) = 'OBJECT' AND list_has_all({_M2_KEYS}, json_keys(j)),
+        false) AS ok FROM j)
+SELECT k, ok AND coalesce(json_extract_string(j, '$.Company'), json_extract_string(j, '$.company')) IS NOT NULL
+    AS parse_ok,
+  CASE WHEN ok THEN coalesce(json_extract_string(j, '$.Company'), json_extract_string(j, '$.company')) END AS company,
+  CASE WHEN ok THEN CAST(coalesce(json_extract(j, '$.Size_Employees'), json_extract(j, '$.size_employees'))
+    AS BIGINT) END AS size_employees,
+  CASE WHEN ok THEN coalesce(json_extract_string(j, '$.Website'), json_extract_string(j, '$.website')) END AS website,
+  CASE WHEN ok THEN CAST(coalesce(json_array_length(j, '$.Industries'), json_array_length(j, '$.industries'))
+    AS INTEGER) END AS n_industries,
+  CASE WHEN ok THEN CAST(coalesce(json_extract(j, '$.Multinational'), json_extract(j, '$.multinational')) AS BOOLEAN)
+    END AS multinational
+FROM v""")
 def m2_parse_company_responses(spark, sf):
     """M2 on five answer shapes (raw, fenced, prose around braces, field
     names, an unknown key)."""
