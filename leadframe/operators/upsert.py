@@ -217,10 +217,14 @@ def attach_query_id(records: DataFrame, dim: DataFrame, entity_type: str = "pers
     ``compat=True``: the first record (by ``ingest_seq``) having both decides
     for the whole batch, as the reference does.
     """
+    from leadframe.session import broadcast_if_small
     d = dim.filter(F.col("entity_type") == entity_type).select(
         F.col("source").alias("_s"), F.col("normalized_query").alias("_q"), F.col("id").alias("_qid"))
     has = nonempty("source_name").isNotNull() & nonempty("source_query").isNotNull()
     if not compat:
+        # search queries are few next to people: broadcast after a size check,
+        # so a query shared by a third of the batch causes no skewed shuffle
+        d = broadcast_if_small(d)
         r = records.withColumn("_s", F.when(has, F.col("source_name"))) \
                    .withColumn("_q", F.when(has, normalize_query("source_query")))
         return r.join(d, ["_s", "_q"], "left").withColumn("search_query_id", F.col("_qid")) \

@@ -89,3 +89,15 @@ def spread(df):
     if df.rdd.getNumPartitions() < slots:
         return df.repartition(slots)
     return df
+
+
+BROADCAST_MAX_ROWS = 1_000_000
+
+
+def broadcast_if_small(df, max_rows: int = BROADCAST_MAX_ROWS):
+    """Broadcast ``df`` only when a count proves it small (a cheap job over a
+    dimension); beyond that it is joined with a shuffle, where AQE can still
+    split skewed keys."""
+    from pyspark.sql import functions as F
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
