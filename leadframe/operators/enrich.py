@@ -61,16 +61,17 @@ def guard_domain_claims(companies: DataFrame, claims: DataFrame) -> DataFrame:
     """Which claimed domains may be written. ``claims``: ``id, claimed``.
 
     A claim loses when another company already owns the domain; among new
-    claims of one domain the smallest id wins (the reference's order was the
-    completion order of its threads). The per-domain winner is an aggregate
-    (map-side combined), so a domain claimed by many rows stays cheap.
-    Returns ``id, claimed, accepted``.
+    claims of one domain the earliest-created company wins (the reference's
+    order was the completion order of its threads). The per-domain winner is
+    an aggregate (map-side combined), so a domain claimed by many rows stays
+    cheap. Returns ``id, claimed, accepted``.
     """
     owners = companies.filter(F.col("domain").isNotNull()).select(F.col("domain").alias("claimed"),
                                                                   F.col("id").alias("owner_id"))
-    c = claims.filter(nonempty("claimed").isNotNull()).join(owners, "claimed", "left")
+    order = companies.select("id", F.struct("created_seq", "id").alias("_ord"))
+    c = claims.filter(nonempty("claimed").isNotNull()).join(owners, "claimed", "left").join(order, "id", "left")
     free = c.filter(F.col("owner_id").isNull())
-    winners = free.groupBy("claimed").agg(F.min("id").alias("winner_id"))
+    winners = free.groupBy("claimed").agg(F.min_by("id", "_ord").alias("winner_id"))
     c = c.join(winners, "claimed", "left")
     accepted = (F.col("owner_id") == F.col("id")) | (F.col("owner_id").isNull() & (F.col("winner_id") == F.col("id")))
     return c.select("id", "claimed", F.coalesce(accepted, F.lit(False)).alias("accepted"))

@@ -288,8 +288,10 @@ def dedupe_people(people: DataFrame, order_col: str = "created_seq"):
     Returns (people, url_mapping) where ``url_mapping`` has one row per
     removed duplicate: ``dup_url, canonical_url``.
     """
-    p = people.withColumn("_key", F.coalesce(profile_key("linkedin_profile"), F.col("linkedin_profile"))) \
-              .withColumn("_ord", F.struct(F.col(order_col), F.col("id")))
+    from leadframe.functions.urls import with_profile_key
+    p = with_profile_key(people, "linkedin_profile", "_key") \
+        .withColumns({"_key": F.coalesce(F.col("_key"), F.col("linkedin_profile")),
+                      "_ord": F.struct(F.col(order_col), F.col("id"))})
     types = dict(people.dtypes)
 
     def usable(c):

@@ -121,12 +121,15 @@ def d5_attach_company_domain(spark, sf):
 
 
 # ====================================================================== E
-def companies_state(spark, sf):
-    """Companies after a company ingest run (V13 then K4) of the supplier rows."""
+def companies_state(spark, sf, stored: bool = True):
+    """Companies after a company ingest run (V13 then K4) of the supplier
+    rows. ``stored``: written once and read back, as the enrichment jobs
+    read the stored companies table."""
+    from leadframe.session import materialize
     prep = validate.company_ingest_prep(supplier_companies(spark, sf))
     table, _ = upsert.persist_companies(None, prep.withColumn("source_name", F.lit("suppliers"))
                                         .withColumn("source_query", F.lit("all")), BATCH)
-    return table
+    return materialize(table, "companies") if stored else table
 
 
 COMPANIES_SQL = f"""sc AS ({SUPPLIER_COMPANIES_SQL}),
@@ -152,7 +155,7 @@ companies AS (SELECT dom AS domain, arg_max_null(coalesce(cname, dom, 'Unknown C
 @register("k4_persist_companies", f"WITH {COMPANIES_SQL} SELECT domain, name, website, created_seq FROM companies")
 def k4_persist_companies(spark, sf):
     """K4: the supplier company rows through V13 and K2/K3."""
-    return companies_state(spark, sf).select("domain", "name", "website", "created_seq")
+    return companies_state(spark, sf, stored=False).select("domain", "name", "website", "created_seq")
 
 
 @register("e1_pending_companies", f"""WITH {COMPANIES_SQL}
@@ -255,7 +258,29 @@ def e6_missing_enrichment(spark, sf):
     return enrich.missing_enrichment(pend, results_for(pend)).select("name", "created_seq")
 
 
-@register("e7_apply_enrichment")
+_E8_SQL = f"""{COMPANIES_SQL},
+res AS (SELECT created_seq, 'firm' || (created_seq % 40) || '.de' AS web_apex FROM companies
+        WHERE created_seq % 7 <> 6),
+cl AS (SELECT p.created_seq, coalesce(nullif(p.domain, ''), r.web_apex) AS claimed
+       FROM companies p JOIN res r USING (created_seq)),
+cc AS (SELECT cl.created_seq, cl.claimed, o.created_seq AS owner FROM cl
+      LEFT JOIN companies o ON o.domain = cl.claimed WHERE cl.claimed IS NOT NULL),
+w AS (SELECT claimed, min(created_seq) AS winner FROM cc WHERE owner IS NULL GROUP BY claimed),
+g AS (SELECT cc.created_seq, cc.claimed, coalesce(cc.owner = cc.created_seq OR (cc.owner IS NULL
+        AND w.winner = cc.created_seq), false) AS accepted FROM cc LEFT JOIN w USING (claimed))"""
+
+
+@register("e7_apply_enrichment", f"""WITH {_E8_SQL}
+SELECT p.name, CASE WHEN r.created_seq IS NULL THEN p.domain WHEN g.accepted THEN g.claimed ELSE p.domain END AS domain,
+  CASE WHEN r.created_seq IS NOT NULL THEN coalesce({R.legal_form_from_name('p.name')}, {R.canonical_legal_form(
+      "CASE p.created_seq % 3 WHEN 0 THEN 'GmbH (Germany)' WHEN 1 THEN 'Aktiengesellschaft' END")}) END AS legal_form,
+  CAST(CASE WHEN r.created_seq IS NULL THEN NULL WHEN p.created_seq % 2 = 0 THEN 1 ELSE 0 END AS INTEGER) AS multinational,
+  CASE WHEN r.created_seq IS NOT NULL AND p.created_seq % 5 <> 0 THEN p.created_seq * 10 END AS size_employees,
+  CAST(CASE WHEN r.created_seq IS NULL THEN NULL WHEN p.created_seq % 3 = 0 THEN 0 ELSE 1 END AS INTEGER) AS n_industries,
+  CASE WHEN r.created_seq IS NULL THEN p.website ELSE 'https://www.firm' || (p.created_seq % 40) || '.de/about' END
+    AS website,
+  r.created_seq IS NOT NULL AS enriched, p.created_seq
+FROM companies p LEFT JOIN res r USING (created_seq) LEFT JOIN g ON g.created_seq = p.created_seq""")
 def e7_apply_enrichment(spark, sf):
     """E7 + E8: answers written onto every pending company."""
     comp = companies_state(spark, sf)
@@ -266,7 +291,7 @@ def e7_apply_enrichment(spark, sf):
                       F.col("last_enriched_at").isNotNull().alias("enriched"), "created_seq")
 
 
-@register("e8_domain_guard")
+@register("e8_domain_guard", f"WITH {_E8_SQL} SELECT created_seq, claimed, accepted FROM g")
 def e8_domain_guard(spark, sf):
     """Which claimed domains are written (owned elsewhere -> kept old)."""
     comp = companies_state(spark, sf)

@@ -132,7 +132,22 @@ def x4_name_from_title(spark, sf):
     return it.select("ingest_seq", names.name_from_title(F.col("google_result.title")).alias("name"))
 
 
-@register("x5_headline")
+def _x5_sql():
+    name = f"""coalesce(CASE c_custkey % 4 WHEN 0 THEN c_name WHEN 1 THEN 'Anna' || c_custkey || ' Kunde' END,
+      CASE WHEN length(n4) > 2 AND length(n4) < 200 THEN n4 END)"""
+    clean = "regexp_replace(title, '(?i)\\s*[-|]\\s*LinkedIn.*$', '')"
+    removed = (f"trim(regexp_replace({clean}, '(?i)' || regexp_escape(nm) || '\\s*[–—\\-|]\\s*', '', 'g'))")
+    falls = " ".join(
+        f"WHEN contains({clean}, '{sep}') AND length(trim(substr({clean}, instr({clean}, '{sep}') + 1))) > 3 "
+        f"THEN trim(substr({clean}, instr({clean}, '{sep}') + 1))" for sep in fixed.TITLE_SEPARATORS)
+    return f"""SELECT ingest_seq, CASE WHEN title = '' OR nm IS NULL OR nm = '' THEN NULL
+      WHEN contains({clean}, nm) AND length({removed}) > 3 AND length({removed}) < 200 THEN {removed}
+      {falls} END AS headline
+    FROM (SELECT c_custkey AS ingest_seq, {_TITLE_SQL} AS title, {name} AS nm
+          FROM (SELECT *, {_X4_SQL.format(t=_TITLE_SQL)} AS n4 {_CUSTN}))"""
+
+
+@register("x5_headline", _x5_sql())
 def x5_headline(spark, sf):
     """X5 on item titles with the name X3/X4 found (rows-only: the name is
     used as a literal pattern per row)."""
