@@ -47,7 +47,8 @@ def _spark(df: DataFrame) -> SparkSession:
 
 
 # ---------------------------------------------------------------------- K1
-def upsert_people(current: DataFrame | None, batch: DataFrame, now: str) -> DataFrame:
+def upsert_people(current: DataFrame | None, batch: DataFrame, now: str,
+                  companies: DataFrame | None = None, batch_id: str = "0") -> DataFrame:
     """K1: merge a batch of person records into the people table.
 
     Key ``linkedin_profile`` (already N7-normalised); rows without a key are
@@ -56,15 +57,32 @@ def upsert_people(current: DataFrame | None, batch: DataFrame, now: str) -> Data
     record's value, or ``now`` when that is NULL. ``is_hot``, ``status``,
     ``notes``, ``last_interaction_date`` and ``company_id`` are never touched
     (``is_hot`` starts at 0).
+
+    With ``companies`` the K5 link is done in the same pass: the person's
+    newest record naming a domain or a company is one more aggregate of the
+    same ``groupBy``, resolved against ``companies`` on the batch side, so the
+    stored people table is joined (shuffled) once per batch, not twice.
     """
     current = current if current is not None else schemas.empty(_spark(batch), schemas.PEOPLE)
     merge = [n for n, _ in schemas.PERSON_MERGE_FIELDS]
     batch = align_schema(batch, schemas.PERSON_RECORD_Q, keep_extra=True)
-    agg = (batch.groupBy("linkedin_profile")
-           .agg(*[_last_non_null(c) for c in merge],
-                F.coalesce(F.max_by("lookup_date", SEQ), F.lit(now)).alias("lookup_date"),
-                F.min(SEQ).alias("created_seq"))
+    aggs = [*[_last_non_null(c) for c in merge],
+            F.coalesce(F.max_by("lookup_date", SEQ), F.lit(now)).alias("lookup_date"),
+            F.min(SEQ).alias("created_seq")]
+    if companies is not None:
+        names_co = nonempty("company_domain").isNotNull() | nonempty("company_name").isNotNull()
+        aggs.append(F.max_by(F.struct(nonempty("company_domain").alias("d"), F.col(SEQ).alias("s")),
+                             F.when(names_co, F.col(SEQ))).alias("_co"))
+    agg = (batch.groupBy("linkedin_profile").agg(*aggs)
            .filter(F.col("linkedin_profile").isNotNull()))   # keyless rows: one NULL group, dropped
+    if companies is not None:
+        by_domain = companies.filter(F.col("domain").isNotNull()).select(
+            F.col("domain").alias("_cd"), F.col("id").alias("_cid"))
+        agg = (agg.join(by_domain, F.col("_co.d") == F.col("_cd"), "left")
+               .withColumn("_new_cid", F.when(F.col("_co").isNull(), F.lit(None).cast("long"))
+                           .when(F.col("_co.d").isNotNull(), F.col("_cid"))
+                           .otherwise(stub_company_id(batch_id, F.col("_co.s"))))
+               .drop("_co", "_cd", "_cid"))
     o, n = current.alias("o"), agg.alias("n")
     j = o.join(n, F.col("o.linkedin_profile") == F.col("n.linkedin_profile"), "full_outer")
     key = F.coalesce(F.col("o.linkedin_profile"), F.col("n.linkedin_profile"))
@@ -79,6 +97,8 @@ def upsert_people(current: DataFrame | None, batch: DataFrame, now: str) -> Data
         out[c] = F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}"))
     for c in ("status", "notes", "last_interaction_date", "company_id"):
         out[c] = F.col(f"o.{c}")
+    if companies is not None:
+        out["company_id"] = F.coalesce(F.col("n._new_cid"), F.col("o.company_id"))
     return j.select(*[out[f.name].cast(f.dataType).alias(f.name) for f in schemas.PEOPLE.fields])
 
 
@@ -361,8 +381,8 @@ def erase_companies(companies: DataFrame, people: DataFrame, ids: DataFrame):
 def person_ingest(records: DataFrame, people: DataFrame | None, companies: DataFrame | None,
                   queries: DataFrame | None, now: str, batch_id: str = "0",
                   compat_query: bool = False, materialize_batch: bool = True):
-    """Standardised person records -> query dimension (K7/K8) -> people
-    upsert (K1) -> company upsert (K2/K3) -> link (K5).
+    """Standardised person records -> query dimension (K7/K8) -> company
+    upsert (K2/K3) -> people upsert with the company link (K1 + K5, one pass).
 
     ``records`` follow ``schemas.PERSON_RECORD`` (see
     ``operators.standardise.standardise_people``). Returns
@@ -386,14 +406,13 @@ def person_ingest(records: DataFrame, people: DataFrame | None, companies: DataF
         qbatch = qbatch.orderBy(SEQ).limit(1)
     queries2 = upsert_queries(queries, qbatch, now)
     rec = attach_query_id(keyed, queries2, compat=compat_query)
-    people2 = upsert_people(people, rec.drop("_domain"), now)
     comp_rows = rec.select(
         F.col("company_name").alias("name"), F.col("_domain").alias("domain"),
         F.col("company_website").alias("website"), "source_name", "source_query", "search_query_id", SEQ
     ).filter(F.coalesce(nonempty("domain"), nonempty("name")).isNotNull())
     companies2 = upsert_companies(companies, comp_rows, batch_id)
-    link_rec = rec.select("linkedin_profile", SEQ, F.col("_domain").alias("company_domain"),
-                          F.col("company_name"))
-    people3 = link_people_companies(people2, companies2, link_rec, batch_id)
+    # K1 and K5 in one pass over the stored people
+    people3 = upsert_people(people, rec.drop("company_domain").withColumnRenamed("_domain", "company_domain"),
+                            now, companies=companies2, batch_id=batch_id)
     processed = keyed.agg(F.count(F.lit(1)).alias("processed_people"))
     return people3, companies2, queries2, processed
