@@ -47,8 +47,12 @@ def _spark(df: DataFrame) -> SparkSession:
 
 
 # ---------------------------------------------------------------------- K1
+BATCH_BROADCAST_ROWS = 2_000_000
+
+
 def upsert_people(current: DataFrame | None, batch: DataFrame, now: str,
-                  companies: DataFrame | None = None, batch_id: str = "0") -> DataFrame:
+                  companies: DataFrame | None = None, batch_id: str = "0",
+                  broadcast_rows: int | None = BATCH_BROADCAST_ROWS) -> DataFrame:
     """K1: merge a batch of person records into the people table.
 
     Key ``linkedin_profile`` (already N7-normalised); rows without a key are
@@ -83,23 +87,41 @@ def upsert_people(current: DataFrame | None, batch: DataFrame, now: str,
                            .when(F.col("_co.d").isNotNull(), F.col("_cid"))
                            .otherwise(stub_company_id(batch_id, F.col("_co.s"))))
                .drop("_co", "_cd", "_cid"))
+    def merged(j, has_old: bool = True):
+        def o(c):
+            return F.col(f"o.{c}") if has_old else F.lit(None)
+        key = F.coalesce(o("linkedin_profile"), F.col("n.linkedin_profile"))
+        out = {
+            "id": F.coalesce(o("id"), person_id(key)),
+            "linkedin_profile": key,
+            "lookup_date": F.coalesce(F.col("n.lookup_date"), o("lookup_date")),
+            "is_hot": F.coalesce(o("is_hot"), F.lit(0)),
+            "created_seq": F.coalesce(o("created_seq"), F.col("n.created_seq")),
+        }
+        for c in merge:
+            out[c] = F.coalesce(F.col(f"n.{c}"), o(c))
+        for c in ("status", "notes", "last_interaction_date", "company_id"):
+            out[c] = o(c)
+        if companies is not None:
+            out["company_id"] = F.coalesce(F.col("n._new_cid"), o("company_id"))
+        return j.select(*[out[f.name].cast(f.dataType).alias(f.name) for f in schemas.PEOPLE.fields])
+
+    if broadcast_rows and _at_most(agg, broadcast_rows):
+        # the batch is proven small: stream the stored table past it (no
+        # shuffle of the big side), then add the keys it did not contain
+        b = F.broadcast(agg)
+        kept = merged(current.alias("o").join(b.alias("n"), F.col("o.linkedin_profile") == F.col("n.linkedin_profile"),
+                                              "left"))
+        seen = current.select("linkedin_profile").join(F.broadcast(agg.select("linkedin_profile")),
+                                                       "linkedin_profile", "left_semi")
+        new = agg.join(seen, "linkedin_profile", "left_anti").alias("n")
+        return kept.unionByName(merged(new, has_old=False))
     o, n = current.alias("o"), agg.alias("n")
-    j = o.join(n, F.col("o.linkedin_profile") == F.col("n.linkedin_profile"), "full_outer")
-    key = F.coalesce(F.col("o.linkedin_profile"), F.col("n.linkedin_profile"))
-    out = {
-        "id": F.coalesce(F.col("o.id"), person_id(key)),
-        "linkedin_profile": key,
-        "lookup_date": F.coalesce(F.col("n.lookup_date"), F.col("o.lookup_date")),
-        "is_hot": F.coalesce(F.col("o.is_hot"), F.lit(0)),
-        "created_seq": F.coalesce(F.col("o.created_seq"), F.col("n.created_seq")),
-    }
-    for c in merge:
-        out[c] = F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}"))
-    for c in ("status", "notes", "last_interaction_date", "company_id"):
-        out[c] = F.col(f"o.{c}")
-    if companies is not None:
-        out["company_id"] = F.coalesce(F.col("n._new_cid"), F.col("o.company_id"))
-    return j.select(*[out[f.name].cast(f.dataType).alias(f.name) for f in schemas.PEOPLE.fields])
+    return merged(o.join(n, F.col("o.linkedin_profile") == F.col("n.linkedin_profile"), "full_outer"))
+
+
+def _at_most(df: DataFrame, rows: int) -> bool:
+    return df.limit(rows + 1).count() <= rows
 
 
 # ------------------------------------------------------------------ K2 / K3

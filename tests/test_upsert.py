@@ -166,3 +166,17 @@ def test_k5_last_record_with_company_wins(spark):
                                 "linkedin_profile string, ingest_seq long, company_domain string, company_name string")
     out = rows(upsert.link_people_companies(people, comp, rec))
     assert out[0]["company_id"] == 8
+
+
+def test_k1_broadcast_path_equals_shuffle_path(spark):
+    first = spark.createDataFrame([(1, "u1", "Ann", None), (2, "u2", "Bob", "b@x")],
+                                  "ingest_seq long, linkedin_profile string, first_name string, email string")
+    second = spark.createDataFrame([(3, "u2", None, "b2@x"), (4, "u3", "Cy", None), (5, "u1", "Anne", None)],
+                                   "ingest_seq long, linkedin_profile string, first_name string, email string")
+    state = upsert.upsert_people(None, first, NOW)
+    a = upsert.upsert_people(state, second, NOW)                       # batch broadcast
+    b = upsert.upsert_people(state, second, NOW, broadcast_rows=None)  # full outer join
+    key = lambda rs: sorted(tuple(sorted(r.items())) for r in rs)
+    assert key(rows(a)) == key(rows(b))
+    by = {r["linkedin_profile"]: r for r in rows(a)}
+    assert (by["u1"]["first_name"], by["u2"]["email"], by["u3"]["created_seq"]) == ("Anne", "b2@x", 4)
