@@ -106,6 +106,11 @@ def upsert_people(current: DataFrame | None, batch: DataFrame, now: str,
             out["company_id"] = F.coalesce(F.col("n._new_cid"), o("company_id"))
         return j.select(*[out[f.name].cast(f.dataType).alias(f.name) for f in schemas.PEOPLE.fields])
 
+    if broadcast_rows:
+        # the batch aggregate is written once (batch-sized), so the size check
+        # and the join read it instead of recomputing the batch
+        from leadframe.session import materialize
+        agg = materialize(agg, "people-batch")
     if broadcast_rows and _at_most(agg, broadcast_rows):
         # the batch is proven small: stream the stored table past it (no
         # shuffle of the big side), then add the keys it did not contain

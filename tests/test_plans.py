@@ -12,12 +12,31 @@ def _plan(df):
 
 
 def test_k1_aggregates_map_side(spark):
-    p = _plan(catalog.k1_upsert_people(spark, SF_SMALL))
+    from leadframe.operators import upsert
+    recs = catalog.person_records(spark, SF_SMALL)
+    p = _plan(upsert.upsert_people(None, recs, catalog.NOW, broadcast_rows=None))
     # a partial aggregate before the exchange on the key, a final one after it
     assert p.count("SortAggregate") + p.count("HashAggregate") >= 2
     assert "BatchEvalPython" not in p          # no row-at-a-time Python
 
 
+def test_k1_small_batch_does_not_shuffle_the_stored_table(spark):
+    from leadframe.operators import upsert
+    state = spark.read.parquet(f"{SF_SMALL}/customer.parquet").selectExpr(
+        "c_custkey AS id", "concat('https://linkedin.com/in/c-', c_custkey) AS linkedin_profile",
+        "c_custkey AS created_seq")
+    from leadframe import schemas
+    from leadframe.sources.readers import align_schema
+    state = align_schema(state, schemas.PEOPLE)
+    batch = spark.createDataFrame([(1, "https://linkedin.com/in/c-1", "Ann")],
+                                  "ingest_seq long, linkedin_profile string, first_name string")
+    df = upsert.upsert_people(state, batch, catalog.NOW)
+    df.collect()
+    p = df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in p
+    assert "Exchange hashpartitioning(linkedin_profile" not in p
+
+
 def test_d1_apex_needs_no_shuffle_or_python(spark):
     p = _plan(q_companies.d1_apex_domain(spark, SF_SMALL))
     assert "SortMergeJoin" not in p and "BroadcastHashJoin" not in p
