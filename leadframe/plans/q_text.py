@@ -171,7 +171,17 @@ def x6_remove_boilerplate(spark, sf):
     return it.select("ingest_seq", facts.remove_boilerplate(F.col("google_result.snippet")).alias("snippet"))
 
 
-@register("x7_normalize_text")
+_X7_SQL = (
+    "SELECT page_id, CASE WHEN t = '' THEN t ELSE trim(regexp_replace(regexp_replace("
+    "replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(t, "
+    "'&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&lt;', '<'), '&gt;', '>'), '&#39;', ''''), "
+    "'&nbsp;', chr(160)), '&amp;', '&'), chr(9), ' '), chr(160), ' '), "
+    r"'(?m)^[\s]*[\-\*•·–—›>\x{2022}\x{2023}\x{25E6}\x{2043}\x{2219}]+\s*', '', 'g'), ' {2,}', ' ', 'g')) "
+    "END AS text "
+    "FROM (SELECT page_id, coalesce(regexp_extract(html, '<title>(.*?)</title>', 1), '') AS t FROM pages)")
+
+
+@register("x7_normalize_text", _X7_SQL)
 def x7_normalize_text(spark, sf):
     """X7 over the page titles of ``pages`` (entities, bullets, blanks);
     rows-only: HTML unescaping has no SQL counterpart."""
