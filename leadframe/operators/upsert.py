@@ -134,14 +134,15 @@ def _safe_name(name, domain):
     return F.coalesce(nonempty(name), nonempty(domain), F.lit(fixed.UNKNOWN_COMPANY_NAME))
 
 
-def upsert_companies(current: DataFrame | None, batch: DataFrame, batch_id: str = "0") -> DataFrame:
+def upsert_companies(current: DataFrame | None, batch: DataFrame, batch_id: str = "0",
+                     broadcast_rows: int | None = BATCH_BROADCAST_ROWS) -> DataFrame:
     """K2 + K3: merge company rows keyed by domain; rows without a domain
     become new stub rows (name only, website dropped), one per row.
 
     ``batch``: ``name, domain, website, source_name, source_query,
     search_query_id, ingest_seq``. For a domain the name always overwrites
     (name, else domain, else "Unknown Company"); website and provenance take
-    the newest non-NULL value.
+    the newest non-NULL value. Join strategy as in ``upsert_people``.
     """
     current = current if current is not None else schemas.empty(_spark(batch), schemas.COMPANIES)
     b = batch.withColumn("safe_name", _safe_name(F.col("name"), F.col("domain"))) \
@@ -153,20 +154,35 @@ def upsert_companies(current: DataFrame | None, batch: DataFrame, batch_id: str
                 *[_last_non_null(c) for c in ("website", "source_name", "source_query",
                                               "search_query_id")],
                 F.min(SEQ).alias("created_seq")))
-    o, n = current.alias("o"), agg.alias("n")
-    j = o.join(n, F.col("o.domain") == F.col("n.domain"), "full_outer")
-    dom = F.coalesce(F.col("o.domain"), F.col("n.domain"))
-    out = {f.name: F.col(f"o.{f.name}") for f in schemas.COMPANIES.fields}
-    out.update({
-        "id": F.coalesce(F.col("o.id"), company_id_for_domain(dom)),
-        "domain": dom,
-        "name": F.coalesce(F.col("n.name"), F.col("o.name")),
-        "created_seq": F.coalesce(F.col("o.created_seq"), F.col("n.created_seq")),
-    })
-    for c in ("website", "source_name", "source_query", "search_query_id"):
-        out[c] = F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}"))
-    merged = j.select(*[out[f.name].cast(f.dataType).alias(f.name) for f in schemas.COMPANIES.fields])
-    return merged.unionByName(append_company_stubs(b, batch_id))
+    def merged(j, has_old: bool = True):
+        def o(c):
+            return F.col(f"o.{c}") if has_old else F.lit(None)
+        dom = F.coalesce(o("domain"), F.col("n.domain"))
+        out = {f.name: o(f.name) for f in schemas.COMPANIES.fields}
+        out.update({
+            "id": F.coalesce(o("id"), company_id_for_domain(dom)),
+            "domain": dom,
+            "name": F.coalesce(F.col("n.name"), o("name")),
+            "created_seq": F.coalesce(o("created_seq"), F.col("n.created_seq")),
+        })
+        for c in ("website", "source_name", "source_query", "search_query_id"):
+            out[c] = F.coalesce(F.col(f"n.{c}"), o(c))
+        return j.select(*[out[f.name].cast(f.dataType).alias(f.name) for f in schemas.COMPANIES.fields])
+
+    if broadcast_rows:
+        from leadframe.session import materialize
+        agg = materialize(agg, "companies-batch")
+    if broadcast_rows and _at_most(agg, broadcast_rows):
+        # stored companies stream past the batch's domains (no shuffle of them)
+        kept = merged(current.alias("o").join(F.broadcast(agg).alias("n"), F.col("o.domain") == F.col("n.domain"),
+                                              "left"))
+        seen = current.select("domain").join(F.broadcast(agg.select("domain")), "domain", "left_semi")
+        new = agg.join(seen, "domain", "left_anti").alias("n")
+        merged_all = kept.unionByName(merged(new, has_old=False))
+    else:
+        o, n = current.alias("o"), agg.alias("n")
+        merged_all = merged(o.join(n, F.col("o.domain") == F.col("n.domain"), "full_outer"))
+    return merged_all.unionByName(append_company_stubs(b, batch_id))
 
 
 def append_company_stubs(batch: DataFrame, batch_id: str = "0") -> DataFrame:
