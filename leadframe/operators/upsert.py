@@ -67,6 +67,7 @@ def upsert_people(current: DataFrame | None, batch: DataFrame, now: str,
     same ``groupBy``, resolved against ``companies`` on the batch side, so the
     stored people table is joined (shuffled) once per batch, not twice.
     """
+    first_load = current is None
     current = current if current is not None else schemas.empty(_spark(batch), schemas.PEOPLE)
     merge = [n for n, _ in schemas.PERSON_MERGE_FIELDS]
     batch = align_schema(batch, schemas.PERSON_RECORD_Q, keep_extra=True)
@@ -106,6 +107,9 @@ def upsert_people(current: DataFrame | None, batch: DataFrame, now: str,
             out["company_id"] = F.coalesce(F.col("n._new_cid"), o("company_id"))
         return j.select(*[out[f.name].cast(f.dataType).alias(f.name) for f in schemas.PEOPLE.fields])
 
+    if first_load:
+        # no stored table: every key is new, nothing to join
+        return merged(agg.alias("n"), has_old=False)
     if broadcast_rows:
         # the batch aggregate is written once (batch-sized), so the size check
         # and the join read it instead of recomputing the batch
@@ -144,6 +148,7 @@ def upsert_companies(current: DataFrame | None, batch: DataFrame, batch_id: str
     (name, else domain, else "Unknown Company"); website and provenance take
     the newest non-NULL value. Join strategy as in ``upsert_people``.
     """
+    first_load = current is None
     current = current if current is not None else schemas.empty(_spark(batch), schemas.COMPANIES)
     b = batch.withColumn("safe_name", _safe_name(F.col("name"), F.col("domain"))) \
              .withColumn("source_name", nonempty("source_name")) \
@@ -169,6 +174,8 @@ def upsert_companies(current: DataFrame | None, batch: DataFrame, batch_id: str
             out[c] = F.coalesce(F.col(f"n.{c}"), o(c))
         return j.select(*[out[f.name].cast(f.dataType).alias(f.name) for f in schemas.COMPANIES.fields])
 
+    if first_load:
+        return merged(agg.alias("n"), has_old=False).unionByName(append_company_stubs(b, batch_id))
     if broadcast_rows:
         from leadframe.session import materialize
         agg = materialize(agg, "companies-batch")
