@@ -210,6 +210,10 @@ def persist_companies(current: DataFrame | None, companies: DataFrame, batch_id:
     """K4: validated company rows (V13 output, alias columns) through K2/K3;
     no query id is passed. Returns (companies table, processed count column
     as a one-row frame)."""
+    from pyspark.sql import types as T
+    companies = align_schema(companies, T.StructType(list(schemas.COMPANY_INPUT.fields) + [
+        T.StructField("source_name", T.StringType()), T.StructField("source_query", T.StringType())]),
+        keep_extra=True)
     rows = companies.select(
         F.coalesce(nonempty("Company"), nonempty("name")).alias("name"),
         F.coalesce(nonempty("Company_Domain"), nonempty("domain")).alias("domain"),

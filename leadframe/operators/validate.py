@@ -160,5 +160,9 @@ def dedupe_companies(df: DataFrame) -> DataFrame:
 
 
 def company_ingest_prep(df: DataFrame, rules=DEFAULT_RULES) -> DataFrame:
-    """V10 -> V12 -> V11 (dedupe before the domain is derived)."""
+    """V10 -> V12 -> V11 (dedupe before the domain is derived). Alias
+    columns a source does not have are added as NULL first."""
+    from leadframe import schemas
+    from leadframe.sources.readers import align_schema
+    df = align_schema(df, schemas.COMPANY_INPUT, keep_extra=True)
     return clean_companies(dedupe_companies(valid_companies(df)), rules)
