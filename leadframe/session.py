@@ -22,6 +22,16 @@ BASE_CONF = {
 }
 
 
+# On a cluster reading very large inputs: fewer, larger input splits and
+# shuffle partitions sized by AQE from a high initial count.
+CLUSTER_CONF = {
+    "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "20000",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 * 1024 * 1024),
+}
+
+
 def get_spark(master: str | None = None, app: str = "leadframe",
               shuffle_partitions: int | None = None,
               extra: dict | None = None) -> SparkSession:
@@ -37,6 +47,8 @@ def get_spark(master: str | None = None, app: str = "leadframe",
     if master and master.startswith("local"):
         # local mode: the driver is the only JVM, give it room
         conf["spark.driver.memory"] = "12g"
+    else:
+        conf.update(CLUSTER_CONF)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
