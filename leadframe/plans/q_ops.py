@@ -243,7 +243,27 @@ def landed_pages(spark, sf):
         F.lit(1).cast("long").alias("landed_seq"))
 
 
-@register("s2_flatten_search_pages")
+def _s2_sql():
+    from leadframe.plans.q_text import _LINK_SQL
+    return f"""WITH it AS (SELECT c_custkey AS k, c_nationkey AS nat, CAST(c_custkey // 250 AS INTEGER) AS block,
+    {_LINK_SQL} AS link FROM customer),
+pg AS (SELECT 'nation-' || nat AS query, block AS page_no, block * 10 + 1 AS start,
+         CASE WHEN nat = 3 THEN 15 ELSE 1000 END AS total, count(*) AS n FROM it GROUP BY ALL),
+pg2 AS (SELECT *, (page_no = row_number() OVER w - 1) AND n > 0
+           AND NOT coalesce(lag(start + 10 > total) OVER w, false) AS ok,
+         coalesce(sum(n) OVER (PARTITION BY query ORDER BY page_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+           AS before
+        FROM pg WHERE page_no < 4 WINDOW w AS (PARTITION BY query ORDER BY page_no)),
+pg3 AS (SELECT *, min(CAST(ok AS INTEGER)) OVER (PARTITION BY query ORDER BY page_no
+          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run_ok FROM pg2),
+items AS (SELECT 'nation-' || nat AS query, block AS page_no, link,
+            row_number() OVER (PARTITION BY nat, block ORDER BY k) - 1 AS i FROM it)
+SELECT p.query, CAST(p.start + i AS INTEGER) AS position, CAST(p.page_no + 1 AS INTEGER) AS page,
+  CAST(p.before + i AS BIGINT) AS item_index, items.link
+FROM pg3 p JOIN items USING (query, page_no) WHERE p.run_ok = 1 AND p.before + i < 40"""
+
+
+@register("s2_flatten_search_pages", _s2_sql())
 def s2_flatten_search_pages(spark, sf):
     """S2 (rows-only): pages per nation, 40 results at most per query."""
     items = readers.flatten_search_pages(landed_pages(spark, sf), max_results=40)

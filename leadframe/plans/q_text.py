@@ -278,7 +278,33 @@ def x13_x17_text_facts(spark, sf):
                       F.get(sal, 0).alias("salient_first"))
 
 
-@register("x18_clean_sentences")
+_TRIM = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_BULLET_RE = r"(?m)^[\s]*[\-\*•·–—›>\x{2022}\x{2023}\x{25E6}\x{2043}\x{2219}]+\s*"
+_X18_SQL = f"""
+WITH t AS (SELECT conv_id, turn, trim(text, {_TRIM}) AS t FROM conversations),
+s AS (SELECT conv_id, turn,
+        unnest(string_split_regex(regexp_replace(t, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1) || '|\\n+')) AS sent,
+        generate_subscripts(string_split_regex(regexp_replace(t, '([.!?])\\s+', '\\1' || chr(1), 'g'),
+          chr(1) || '|\\n+'), 1) AS i FROM t),
+k AS (SELECT conv_id, turn, i, trim(sent, {_TRIM}) AS sent FROM s
+      WHERE trim(sent, {_TRIM}) <> '' AND (regexp_matches(sent, '\\d') OR regexp_matches(sent, '{_PROPER_RE}'))),
+d AS (SELECT conv_id, turn, sent, min(i) AS i FROM k GROUP BY ALL),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) AS r FROM d) WHERE r <= 5),
+b AS (SELECT conv_id, turn, i, trim(regexp_replace(regexp_replace(
+        {" ".join("regexp_replace(" for _ in fixed.BOILERPLATE_PATTERNS)}sent,
+        {", ".join("'(?i)" + p.replace("'", "''") + "', ' ', 'g')" for p in fixed.BOILERPLATE_PATTERNS)},
+        '[ \\t\\xA0]{{2,}}', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), {_TRIM}) AS s FROM top),
+c AS (SELECT conv_id, turn, i, trim(regexp_replace(regexp_replace(replace(replace(s, chr(9), ' '), chr(160), ' '),
+        '{_BULLET_RE}', '', 'g'), ' {{2,}}', ' ', 'g'), {_TRIM}) AS c FROM b),
+cd AS (SELECT conv_id, turn, c, min(i) AS i FROM c WHERE length(c) >= 2 GROUP BY ALL),
+agg AS (SELECT conv_id, turn, string_agg(c, ' | ' ORDER BY i) AS so FROM
+        (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) AS r FROM cd) WHERE r <= 5 GROUP BY ALL),
+has AS (SELECT DISTINCT conv_id, turn FROM top)
+SELECT t.conv_id, t.turn, CASE WHEN has.conv_id IS NOT NULL THEN coalesce(agg.so, '') END AS summary_other
+FROM t LEFT JOIN has USING (conv_id, turn) LEFT JOIN agg USING (conv_id, turn)"""
+
+
+@register("x18_clean_sentences", _X18_SQL)
 def x18_clean_sentences(spark, sf):
     """X18 on the salient sentences of conversation turns (rows-only)."""
     c = inputs.table(spark, sf, "conversations")
