@@ -43,19 +43,21 @@ def read_people_json(spark: SparkSession, path: str) -> DataFrame:
     """People JSON files: an object whose ``profiles`` holds the array, or
     a bare array; an empty or missing array reads as no rows. Raw and mapped
     keys are both read; ``ingest_seq`` keeps file order (file, position)."""
+    from leadframe.session import broadcast_if_small
     raw = spark.read.text(path, wholetext=True).withColumn("_file", F.input_file_name())
-    v = raw.select("_file", F.expr("try_parse_json(value)").alias("v"))
+    # rank of each file by path: one row per file, attached before exploding
+    # (a 1:1 join per file, so a file holding most profiles causes no skew)
+    files = raw.select("_file").withColumn("_fr", F.dense_rank().over(Window.orderBy("_file")))
+    raw = raw.join(broadcast_if_small(files), "_file")
+    v = raw.select("_fr", F.expr("try_parse_json(value)").alias("v"))
     arr = F.expr("""CASE WHEN startswith(schema_of_variant(v), 'ARRAY') THEN try_variant_get(v, '$', 'array<variant>')
                          ELSE try_variant_get(v, '$.profiles', 'array<variant>') END""")
-    items = v.select("_file", F.posexplode(arr).alias("_pos", "p"))
+    items = v.select("_fr", F.posexplode(arr).alias("_pos", "p"))
     fields = ([(f.name, f.name, f.dataType.simpleString()) for f in schemas.RAW_PROFILE.fields]
               + [(k, schemas.mapped(k), t.simpleString()) for k, t in schemas.MAPPED_KEYS]
               + [("source_name", "source_name", "string"), ("source_query", "source_query", "string")])
     cols = [F.expr(f"try_variant_get(p, '$.{k}', '{t}')").alias(n) for k, n, t in fields]
-    file_rank = F.dense_rank().over(Window.orderBy("_file"))  # one row per file: tiny
-    files = items.select("_file").distinct().withColumn("_fr", file_rank)
-    return (items.join(F.broadcast(files), "_file")
-            .select(*cols, ((F.col("_fr").cast("long") * (1 << 32)) + F.col("_pos")).alias("ingest_seq")))
+    return items.select(*cols, ((F.col("_fr").cast("long") * (1 << 32)) + F.col("_pos")).alias("ingest_seq"))
 
 
 # ---------------------------------------------------------------------- S2
