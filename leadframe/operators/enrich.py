@@ -66,10 +66,18 @@ def guard_domain_claims(companies: DataFrame, claims: DataFrame) -> DataFrame:
     an aggregate (map-side combined), so a domain claimed by many rows stays
     cheap. Returns ``id, claimed, accepted``.
     """
-    owners = companies.filter(F.col("domain").isNotNull()).select(F.col("domain").alias("claimed"),
-                                                                  F.col("id").alias("owner_id"))
-    order = companies.select("id", F.struct("created_seq", "id").alias("_ord"))
-    c = claims.filter(nonempty("claimed").isNotNull()).join(owners, "claimed", "left").join(order, "id", "left")
+    from leadframe.session import broadcast_if_small
+    claims = claims.filter(nonempty("claimed").isNotNull())
+    # the stored companies are only probed for the claimed domains and the
+    # claiming ids (semi-joins against a size-checked broadcast of the small
+    # claims), so the big table is read, not shuffled
+    owners = (companies.filter(F.col("domain").isNotNull())
+              .join(broadcast_if_small(claims.select(F.col("claimed").alias("domain")).distinct()), "domain",
+                    "left_semi")
+              .select(F.col("domain").alias("claimed"), F.col("id").alias("owner_id")))
+    order = (companies.join(broadcast_if_small(claims.select("id").distinct()), "id", "left_semi")
+             .select("id", F.struct("created_seq", "id").alias("_ord")))
+    c = claims.join(owners, "claimed", "left").join(order, "id", "left")
     free = c.filter(F.col("owner_id").isNull())
     winners = free.groupBy("claimed").agg(F.min_by("id", "_ord").alias("winner_id"))
     c = c.join(winners, "claimed", "left")
@@ -102,7 +110,8 @@ def apply_enrichment(companies: DataFrame, pending: DataFrame, results: DataFram
         F.col("r_website").alias("n_website"), F.col("r_size_employees").alias("n_size_employees"),
         F.col("r_business_model_key_points").alias("n_business_model"),
         F.col("r_products_and_services").alias("n_products"), F.col("r_recent_news").alias("n_recent_news"))
-    j = companies.join(u, "id", "left")
+    from leadframe.session import broadcast_if_small
+    j = companies.join(broadcast_if_small(u), "id", "left")   # u: one row per pending company
     m = F.coalesce(F.col("_m"), F.lit(False))
     out = {f.name: F.col(f.name) for f in schemas.COMPANIES.fields}
     for c in ("legal_form", "industries", "locations_de", "multinational", "website", "size_employees",

@@ -333,8 +333,9 @@ def backfill_queries(people: DataFrame, dim: DataFrame, now: str):
                           "source", "entity_type", "query_text", "normalized_query",
                           now_ts.alias("created_at"), F.lit(None).cast("timestamp").alias("last_executed_at"))
     dim2 = dim.unionByName(new_rows)
-    lookup = dim2.filter(F.col("entity_type") == "person").select(
-        F.col("source").alias("_s"), F.col("normalized_query").alias("_q"), F.col("id").alias("_qid"))
+    from leadframe.session import broadcast_if_small
+    lookup = broadcast_if_small(dim2.filter(F.col("entity_type") == "person").select(
+        F.col("source").alias("_s"), F.col("normalized_query").alias("_q"), F.col("id").alias("_qid")))
     p = (people.withColumn("_s", F.coalesce(F.col("source_name"), F.lit("")))
          .withColumn("_q", norm)
          .join(lookup, ["_s", "_q"], "left")
@@ -411,7 +412,9 @@ def erase_profiles(people: DataFrame, messages: DataFrame, keys: DataFrame):
     """Remove the people named in ``keys`` (column ``profile_url``, any
     spelling: compared after N7) and every outreach message on them.
     Returns (people, messages)."""
-    k = keys.select(F.coalesce(profile_key("profile_url"), F.col("profile_url")).alias("_k")).distinct()
+    from leadframe.session import broadcast_if_small
+    k = broadcast_if_small(
+        keys.select(F.coalesce(profile_key("profile_url"), F.col("profile_url")).alias("_k")).distinct())
 
     def keyed(df):
         return df.withColumn("_k", F.coalesce(profile_key("linkedin_profile"), F.col("linkedin_profile")))
