@@ -81,11 +81,11 @@ def upsert_people(current: DataFrame | None, batch: DataFrame, now: str,
     agg = (batch.groupBy("linkedin_profile").agg(*aggs)
            .filter(F.col("linkedin_profile").isNotNull()))   # keyless rows: one NULL group, dropped
     if companies is not None:
-        from leadframe.session import broadcast_if_small
-        # many people at one company share a domain: the domain -> id lookup
-        # is broadcast when its size allows (else AQE splits the hot key)
-        by_domain = broadcast_if_small(companies.filter(F.col("domain").isNotNull()).select(
-            F.col("domain").alias("_cd"), F.col("id").alias("_cid")))
+        # many people at one company share a domain; the lookup is the new
+        # companies table (computed from this batch), so no eager size check
+        # here: AQE broadcasts it when small and splits a hot domain otherwise
+        by_domain = companies.filter(F.col("domain").isNotNull()).select(
+            F.col("domain").alias("_cd"), F.col("id").alias("_cid"))
         agg = (agg.join(by_domain, F.col("_co.d") == F.col("_cd"), "left")
                .withColumn("_new_cid", F.when(F.col("_co").isNull(), F.lit(None).cast("long"))
                            .when(F.col("_co.d").isNotNull(), F.col("_cid"))
