@@ -587,7 +587,8 @@ def m8_urls_from_answers(spark, sf):
     return responses.urls_from_answers(url_answers(spark, sf)).select("k", "website")
 
 
-@register("m9_audit_responses")
+@register("m9_audit_responses", """SELECT 'follower_count without keyword' AS violation, count(*) AS n
+FROM customer WHERE c_custkey % 4 = 1 HAVING count(*) > 0""")
 def m9_audit_responses(spark, sf):
     """M9 (rows-only): the parsed profile answers checked against the item
     text; report of violations."""
