@@ -193,7 +193,26 @@ def r5_usage_by_provider(spark, sf):
     return reports.usage_by_provider(written_call_log(spark, sf), run_id="run-1")
 
 
-@register("r6_run_summary")
+def _r6_sql():
+    from leadframe.plans import sqlrules as R
+    from leadframe.plans.q_text import _CANON_SQL, _CUSTN, _TITLE_SQL, _X4_SQL
+    name = f"""coalesce(CASE c_custkey % 4 WHEN 0 THEN c_name WHEN 1 THEN 'Anna' || c_custkey || ' Kunde' END,
+      CASE WHEN length(n4) > 2 AND length(n4) < 200 THEN n4 END)"""
+    return f"""WITH it AS (SELECT c_custkey AS k, {_CANON_SQL} AS url, {name} AS nm
+      FROM (SELECT *, {_X4_SQL.format(t=_TITLE_SQL)} AS n4 {_CUSTN})),
+s AS (SELECT url, min(k) AS k, count(*) AS n FROM it WHERE url IS NOT NULL GROUP BY url),
+j AS (SELECT s.n, it.nm FROM s JOIN it ON it.k = s.k)
+SELECT 'site:linkedin.com/in customers' AS search_query,
+  count(*) FILTER (WHERE nm IS NOT NULL) AS successful_extractions,
+  count(*) FILTER (WHERE nm IS NULL) + (SELECT count(*) FROM it WHERE url IS NULL) AS failed_extractions,
+  CAST(sum(n - 1) AS BIGINT) AS duplicate_profiles_removed,
+  count(*) FILTER (WHERE nm IS NOT NULL) AS total_profiles,
+  count(*) FILTER (WHERE nm IS NOT NULL AND {R.v3('nm')}) AS valid_profiles,
+  count(*) FILTER (WHERE nm IS NOT NULL AND NOT {R.v3('nm')}) AS invalid_profiles
+FROM j"""
+
+
+@register("r6_run_summary", _r6_sql())
 def r6_run_summary(spark, sf):
     """True counts of one run: extraction (X21) and validation (V6)."""
     from leadframe.plans.q_text import extracted
