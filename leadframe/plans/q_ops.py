@@ -365,10 +365,17 @@ def s9_people_with_company(spark, sf):
                     "multinational")
 
 
-@register("s10_export_run_document")
+def _s10_sql():
+    return f"""SELECT search_query, 'customers' AS search_terms, successful_extractions AS total_results,
+  '{NOW}' AS generated_at, '2.0' AS extraction_version, CAST(0 AS BIGINT) AS api_calls_used,
+  successful_extractions, failed_extractions, duplicate_profiles_removed, total_profiles, valid_profiles,
+  invalid_profiles FROM ({_r6_sql()})"""
+
+
+@register("s10_export_run_document", _s10_sql())
 def s10_export_run_document(spark, sf):
-    """S10 (rows-only): a run's metadata and profiles exported as JSON and
-    the metadata read back."""
+    """A run's metadata and profiles exported as JSON and the metadata
+    read back."""
     from leadframe.plans.q_text import extracted
     profiles, metrics = extracted(spark, sf)
     checked = profiles.withColumn("errors", validate.profile_errors(profiles))
@@ -376,4 +383,8 @@ def s10_export_run_document(spark, sf):
     stats = metrics.withColumn("_one", F.lit(1)).join(totals.withColumn("_one", F.lit(1)), "_one").drop("_one")
     meta = export.run_metadata(profiles, stats, "site:linkedin.com/in customers", ["customers"], NOW)
     paths = export.export_run_document(profiles, meta, scratch_dir(spark, "export"))
-    return spark.read.json(paths["metadata"])
+    back = spark.read.json(paths["metadata"])
+    return back.select("search_query", F.array_join("search_terms", ",").alias("search_terms"), "total_results",
+                       "generated_at", "extraction_version", "api_calls_used", "successful_extractions",
+                       "failed_extractions", "duplicate_profiles_removed", "total_profiles", "valid_profiles",
+                       "invalid_profiles")

@@ -517,10 +517,32 @@ def homepage_items(spark, sf):
                     ((F.col("page_id") / 50).cast("long") + 1).alias("position"))
 
 
-@register("m5_build_company_prompts")
+def _m5_sql():
+    m6 = _M6_SQL.replace("4000) AS excerpt FROM pages", "500) AS excerpt, url FROM pages")
+    return f"""WITH it AS (SELECT page_id % 50 AS company, url AS link,
+   CASE WHEN page_id % 6 = 0 THEN 'www.linkedin.com' ELSE regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) END AS dl,
+   CAST(page_id // 50 + 1 AS BIGINT) AS position FROM pages),
+ok AS (SELECT company, link, position, {R.apex('link', DEFAULT_RULES)} AS apex FROM it
+       WHERE position <= 5 AND nullif(link, '') IS NOT NULL AND NOT (contains(lower(dl), 'linkedin.com')
+         OR contains(lower(dl), 'twitter.com') OR contains(lower(dl), 'facebook.com')
+         OR contains(lower(dl), 'instagram.com'))),
+hp AS (SELECT company AS id, arg_min(link, position) AS homepage_url, arg_min(apex, position) AS h_apex
+       FROM ok WHERE apex IS NOT NULL GROUP BY company),
+ex AS ({m6}),
+j AS (SELECT id, 'Company ' || id AS name, CASE WHEN id % 3 = 0 THEN 'known.de' END AS domain, h_apex,
+        CASE WHEN id % 3 <> 0 THEN homepage_url END AS homepage_url FROM hp),
+k AS (SELECT j.*, ex.excerpt FROM j LEFT JOIN ex ON ex.url = j.homepage_url),
+m AS (SELECT id, 'Research the company.' || chr(10) || chr(10) || 'Target company: ' || name || '. Domain: '
+        || coalesce(nullif(domain, ''), h_apex, 'unknown')
+        || CASE WHEN nullif(homepage_url, '') IS NOT NULL AND nullif(excerpt, '') IS NOT NULL
+           THEN chr(10) || 'Website URL: ' || homepage_url || chr(10) || 'Website excerpt (truncated):' || chr(10)
+                || excerpt || chr(10) ELSE '' END AS msg FROM k)
+SELECT id, sha256(msg) AS message_hash, CAST(length(msg) AS INTEGER) AS n FROM m"""
+
+
 def m5_build_company_prompts(spark, sf):
-    """M5 (rows-only): companies 0..49 without a domain get their homepage
-    (M7) and its excerpt (M6) into the prompt."""
+    """M5: companies 0..49 without a domain get their homepage (M7) and its
+    excerpt (M6) into the prompt."""
     hp = responses.pick_homepage(homepage_items(spark, sf)).withColumnRenamed("company", "id")
     comp = hp.select("id").withColumn("name", F.concat(F.lit("Company "), F.col("id").cast("string"))) \
              .withColumn("domain", F.when(F.col("id") % 3 == 0, F.lit("known.de")))
@@ -540,6 +562,9 @@ _M6_SQL = r"""SELECT page_id, left(trim(regexp_replace(
   '\s+', ' ', 'g')), 4000) AS excerpt FROM pages"""
 
 
+register("m5_build_company_prompts", _m5_sql())(m5_build_company_prompts)
+
+
 @register("m6_page_excerpts", _M6_SQL)
 def m6_page_excerpts(spark, sf):
     """M6 over every page's whole HTML."""
