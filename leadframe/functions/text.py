@@ -87,24 +87,10 @@ def first_truthy(*cols) -> Column:
     return F.coalesce(*[nonempty(c) for c in cols])
 
 
-def regex_first(text, pattern: str, group: int = 1) -> Column:
-    """First match of ``pattern`` (group ``group``), NULL when none."""
-    return F.when(col_(text).rlike(pattern),
-                  F.regexp_extract(col_(text), pattern, group))
-
-
 def literal_array(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def contains_any(text: Column, needles) -> Column:
-    """True if ``text`` contains one of ``needles`` (substring test)."""
-    cond = F.lit(False)
-    for n in needles:
-        cond = cond | text.contains(n)
-    return cond
-
-
 def ascii_lower(c) -> Column:
     """Lower-case ASCII letters only (SQLite ``lower``)."""
     up = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -131,19 +117,12 @@ def _slug_udf(s: pd.Series) -> pd.Series:
                  if isinstance(v, str) else None)
 
 
-@F.pandas_udf(T.StringType())
-def _nfkc_udf(s: pd.Series) -> pd.Series:
-    import unicodedata
-    return s.map(lambda v: unicodedata.normalize("NFKC", v) if isinstance(v, str) else None)
-
-
-# The three UDFs are pure, but marked non-deterministic on purpose: that
+# The two UDFs are pure, but marked non-deterministic on purpose: that
 # keeps the optimizer from copying them into pushed-down filters or several
 # collapsed projections, so each row reaches Python at most once and after
 # any re-partitioning of the input.
 _unescape_udf = _unescape_udf.asNondeterministic()
 _slug_udf = _slug_udf.asNondeterministic()
-_nfkc_udf = _nfkc_udf.asNondeterministic()
 
 
 def html_unescape(c) -> Column:
@@ -157,8 +136,3 @@ def unquote_nfkc(c) -> Column:
     '%' or non-ASCII characters reach Python."""
     c = col_(c)
     return F.coalesce(_slug_udf(F.when(c.rlike("[%\\x{80}-\\x{10FFFF}]"), c)), c)
-
-
-def nfkc(c) -> Column:
-    c = col_(c)
-    return F.coalesce(_nfkc_udf(F.when(c.rlike("[\\x{80}-\\x{10FFFF}]"), c)), c)
