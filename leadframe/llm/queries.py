@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from leadframe.llm import exact_dedup, sharding
+from leadframe.llm import chat, exact_dedup, mixing, secrets, sharding
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -23,6 +23,24 @@ def table(spark, sf, name):
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+_OP1_SQL = """
+WITH t AS (SELECT conv_id, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text) AS pos,
+    count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+p AS (SELECT conv_id, pos, n, string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '')
+    OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM t)
+SELECT min(conv_id) AS conv_id, n AS n_turns, count(*) AS n_copies, s AS rendered
+FROM p WHERE pos = n AND NOT EXISTS (SELECT 1 FROM p q WHERE q.pos < q.n AND q.pos = p.n AND q.s = p.s)
+GROUP BY n, s
+"""
+
+
+@register("op1_format_chats", _OP1_SQL)
+def op1_format_chats(spark, sf):
+    """Every maximal logged conversation, rendered."""
+    return chat.format_chats(table(spark, sf, "conversations"))
+
+
 @register("op3_shard_by_slots")
 def op3_shard_by_slots(spark, sf):
     """All documents into 24 shards of near equal bytes, by virtual slots."""
@@ -47,3 +65,81 @@ FROM d
 def op9_exact_dedup(spark, sf):
     """Progressive refinement over all documents, with the digest of every text."""
     return exact_dedup.exact_dedup(table(spark, sf, "documents"), digest_all=True)
+
+
+def _op5_hits(kind):
+    pattern, group, least = secrets.PATTERNS[kind]
+    p = pattern.replace("'", "''")
+    more = ""
+    if kind == "owned":
+        more = (f" AND length(regexp_replace(v, '[^A-Za-z]', '', 'g')) >= {secrets.MIN_LETTERS}"
+                f" AND length(regexp_replace(v, '[^0-9]', '', 'g')) >= {secrets.MIN_DIGITS}")
+    return f"""
+SELECT * FROM (
+  SELECT doc_id, owner, {secrets.KINDS.index(kind)} AS k, '{kind}' AS kind, v,
+    (sum(length(part) + length(hit)) OVER w - length(hit))::BIGINT AS s, (sum(length(part) + length(hit)) OVER w)::BIGINT AS e
+  FROM (SELECT doc_id, owner, unnest(string_split_regex(t, '{p}')[:len(regexp_extract_all(t, '{p}'))]) AS part,
+               unnest(regexp_extract_all(t, '{p}')) AS hit, unnest(regexp_extract_all(t, '{p}', {group})) AS v,
+               generate_subscripts(regexp_extract_all(t, '{p}'), 1) AS i FROM d)
+  WINDOW w AS (PARTITION BY doc_id ORDER BY i)) WHERE length(v) >= {least}{more}"""
+
+
+_OP5_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce('=' || source, '') AS owner FROM documents),
+base AS ({" UNION ALL ".join(_op5_hits(k) for k in secrets.KINDS[:3])}),
+own AS (SELECT * FROM ({_op5_hits("owned")}) o
+  WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = o.doc_id AND b.s < o.e AND o.s < b.e)),
+cand AS (SELECT * FROM base UNION ALL SELECT * FROM own),
+freq AS (SELECT v, count(DISTINCT owner) AS owners FROM cand GROUP BY v),
+c AS (SELECT cand.*, owners <= {secrets.MAX_OWNERS} AS live, kind || ':' || s || ':' || e AS txt FROM cand JOIN freq USING (v)),
+a AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+  count(*) FILTER (kind = 'hex') AS n_hex, string_agg(txt, ',' ORDER BY s, k) FILTER (k < 3) AS base,
+  string_agg(txt, ',' ORDER BY s, k) FILTER (k < 3 OR live) AS spans,
+  count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_shared FROM c GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  coalesce(n_live, 0) AS n_live, coalesce(n_shared, 0) AS n_shared FROM d LEFT JOIN a USING (doc_id)
+"""
+
+
+@register("op5_scan_secrets", _OP5_SQL)
+def op5_scan_secrets(spark, sf):
+    """Secrets of all documents; an owner is a source, a repository a source and language."""
+    found = secrets.scan_secrets(table(spark, sf, "documents"))
+
+    def n(kind):
+        return F.size(F.filter("base", lambda b: b["kind"] == secrets.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", n("assign"), n("access"), n("hex"), F.sha2(secrets.span_text(F.col("base")), 256).alias("base_sha256"),
+        secrets.span_text(F.concat("base", "added")).alias("spans"), "n_live", "n_shared")
+
+
+_OP6_SQL = f"""
+WITH d AS (SELECT doc_id, source IS NULL AS sn, coalesce(source, '') AS src,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    CASE WHEN length(coalesce(text, '')) > 0 THEN greatest(0.1, 1.0 - 4.0::DOUBLE * (length(text) -
+      length(translate(text, '{mixing.JUNK}', '')))::DOUBLE / length(text)) ELSE 0.1 END::DOUBLE AS q,
+    (('0x' || substr(md5('{mixing.SEED}:' || doc_id), 1, 13))::BIGINT::DOUBLE + 0.5) / {float(1 << 52)!r} AS u
+  FROM documents),
+k AS (SELECT *, -ln(u) / q AS key, (sum(size) OVER (PARTITION BY sn, src))::BIGINT AS source_size FROM d),
+s AS (SELECT sn, src, any_value(source_size) AS source_size,
+    [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY sn, src) - 1) % 3]::DOUBLE AS w FROM k GROUP BY sn, src),
+t AS (SELECT *, (3 * source_size)::DOUBLE AS cap, (sum(source_size) OVER ())::DOUBLE AS total,
+    sum(w) OVER () AS all_w, coalesce(sum(3.0::DOUBLE * source_size) OVER o, 0) AS cb, coalesce(sum(w) OVER o, 0) AS wb
+  FROM s WINDOW o AS (ORDER BY (3 * source_size)::DOUBLE / w, sn, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+h AS (SELECT *, cap / w <= (total - cb) / (all_w - wb) AS held FROM t),
+g AS (SELECT *, sum(CASE WHEN held THEN cap ELSE 0 END) OVER () AS hc, sum(CASE WHEN held THEN w ELSE 0 END) OVER () AS hw FROM h),
+x AS (SELECT sn, src, CASE WHEN held THEN cap ELSE w * ((total - hc) / (all_w - hw)) END AS target FROM g),
+y AS (SELECT k.*, target, floor(target / nullif(source_size, 0)) AS ep,
+    coalesce(sum(size) OVER (PARTITION BY k.sn, k.src ORDER BY key, doc_id, size
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM k JOIN x ON k.sn = x.sn AND k.src = x.src),
+z AS (SELECT *, CASE WHEN size > 0 THEN ep + CASE WHEN target - ep * source_size > 0 AND b + size / 2
+      <= target - ep * source_size THEN 1 ELSE 0 END ELSE 0 END::BIGINT AS times FROM y)
+SELECT doc_id, size, source_size, target, times * size AS taken, times FROM z
+"""
+
+
+@register("op6_mix_sources", _OP6_SQL)
+def op6_mix_sources(spark, sf):
+    """All documents mixed to the weights 5, 2, 1."""
+    return mixing.mix_sources(table(spark, sf, "documents"))
