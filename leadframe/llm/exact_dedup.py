@@ -58,9 +58,9 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         sig = full
     else:
         sig = s.put(base.select("id", "cp", "len", "ph"), "sig")
-    lens = sig.groupBy("len").count().filter("count > 1").select("len")
-    keys = (sig.select("len", "ph").join(lens, "len", "left_semi")
-            .groupBy("len", "ph").count().filter("count > 1").select("len", "ph"))
+    seen = s.put(sig.groupBy("len", "ph").count(), "seen")     # copies combine map-side, before any shuffle by length
+    lens = seen.groupBy("len").agg(F.sum("count").alias("n")).filter("n > 1").select("len")
+    keys = seen.join(lens, "len", "left_semi").filter("count > 1").select("len", "ph")
     keys = s.put(keys, "keys")
     # level 3: full content of the surviving cells only
     settled = None

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from leadframe.llm import chat, exact_dedup, mixing, secrets, sharding
+from leadframe.llm import chat, exact_dedup, jaccard, mixing, secrets, sharding
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -143,3 +143,23 @@ SELECT doc_id, size, source_size, target, times * size AS taken, times FROM z
 def op6_mix_sources(spark, sf):
     """All documents mixed to the weights 5, 2, 1."""
     return mixing.mix_sources(table(spark, sf, "documents"))
+
+
+_OP10_SQL = """
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')) END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+r AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.other)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.other) AS component_id
+FROM d JOIN r ON r.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+
+@register("op10_jaccard_join", _OP10_SQL)
+def op10_jaccard_join(spark, sf):
+    """Components of all documents at 80 per cent of their 5-word shingles."""
+    return jaccard.jaccard_components(table(spark, sf, "documents"))
