@@ -1,14 +1,74 @@
-"""Corpus pipeline (stages are added as their operators are built)."""
+"""Corpus pipeline: five stages over documents, each one of the dealt operators.
+
+Every stage is ``(spark, docs, sf_dir) -> DataFrame``; its result is written as
+Parquet and read again as the next one's ``docs``. All but the last return the
+columns of ``docs``. No stage counts on unique ids or non-null columns.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from leadframe.llm import bpe, exact_dedup, jaccard, mixing, quality
+from leadframe.llm.common import Scratch
+
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
+
+def quality_stage(spark, docs, sf_dir):
+    """Rejected documents go: those with a score under ``quality.KEEP_AT``.
+
+    The labels belong to the corpus, so the classifier learns from all of them.
+    """
+    weights = quality.learn_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = quality.score_quality(docs, weights, carry=tuple(docs.columns), score_col="__quality")
+    return scored.filter(F.col("__quality") >= quality.KEEP_AT).drop("__quality")
+
+
+def exact_dedup_stage(spark, docs, sf_dir):
+    """One row of each group of equal texts stays."""
+    return exact_dedup.keep_first(docs)
+
+
+def near_dedup_stage(spark, docs, sf_dir):
+    """One document of each component of the n-gram Jaccard join stays: the smallest id."""
+    return jaccard.keep_one(docs)
+
+
+def mixing_stage(spark, docs, sf_dir):
+    """Documents as often as the mix takes them; copies are equal rows."""
+    mixed = mixing.mix_sources(docs, carry=tuple(docs.columns), prefix="__")
+    return (mixed.filter("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__times")))
+            .select(*docs.columns))
+
+
+def encode_stage(spark, docs, sf_dir):
+    """Token ids of every row, and the digest of what they decode to."""
+    ranks = bpe.read_ranks(public_tokenizers.path(VOCABULARY))
+    ids = bpe.encode(docs, ranks, carry=("doc_id", "source"))
+    ids = ids.select("doc_id", "source", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "ids", "offsets")
+    return (bpe.decode(ids.withColumn("tokens", F.col("ids")), ranks)
+            .select("doc_id", "source", "n_tokens", "tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256")))
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("exact dedup", exact_dedup_stage),
+    ("near dedup", near_dedup_stage),
+    ("mixing", mixing_stage),
+    ("byte bpe", encode_stage),
+]
+
+# The classifier and the vocabulary are beyond SQL; tests/llm holds the run against brute force.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """Apply the stages to documents."""
+    """Apply the stages to documents, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    s = Scratch(spark, "pipeline")
+    for i, (name, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        docs = s.put(out, name.replace(" ", "-")) if i < len(STAGES) - 1 else out
     return docs

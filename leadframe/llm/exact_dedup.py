@@ -28,59 +28,69 @@ FILTER_CELLS = 1 << 16
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                prefix_chars: int = PREFIX_CHARS, digest_all: bool = False) -> DataFrame:
-    """Return one row per input row: ``id_col``, keep_id, group_size, kept, text_sha256.
+                prefix_chars: int = PREFIX_CHARS, digest_all: bool = False,
+                carry: tuple = (), prefix: str = "") -> DataFrame:
+    """Return one row per input row: ``id_col``, keep_id, group_size, kept, text_sha256, and the ``carry`` columns.
 
     Texts are equal when identical after white space is deleted; null counts as
     empty. The row with the most code points in the original text, then the
     smallest id, stays; of rows that tie in both (repeated rows) exactly one is
-    kept. An empty table gives no rows. Other columns are not read, so their
-    names can't clash. ``text_sha256`` is null for documents that an earlier
-    level settled, unless ``digest_all`` asks for the digest of every row (then
-    level 3 reads every text, but groups are still refined level by level).
+    kept. An empty table gives no rows. Columns not named are not read.
+    ``text_sha256`` is null for documents that an earlier level settled, unless
+    ``digest_all`` asks for the digest of every row (then level 3 reads every
+    text, but groups are still refined level by level). ``prefix`` goes before
+    the names of all but the carried columns, so that they can't clash; with
+    one, ``id_col`` comes only if it is carried.
     """
     spark = df.sparkSession
     s = Scratch(spark, "exact-dedup")
-    norm = squeezed(F.col("t"))
-    base = (df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-            .select("id", F.coalesce(F.length("t"), F.lit(0)).alias("cp"), norm.alias("norm"))
+    more = F.struct(F.lit(0).alias("__none"), *[F.col(f"`{c}`") for c in carry]).alias("more")
+    base = (df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), more)
+            .select("id", F.coalesce(F.length("t"), F.lit(0)).alias("cp"), squeezed(F.col("t")).alias("norm"), "more")
             .select("id", "cp", "norm", F.length("norm").alias("len"),
-                    F.xxhash64(F.substring("norm", 1, prefix_chars)).alias("ph")))
+                    F.xxhash64(F.substring("norm", 1, prefix_chars)).alias("ph"), "more"))
     cell = F.pmod(F.xxhash64("len", "ph"), F.lit(FILTER_CELLS)).alias("cell")
 
     def hashed(rows):
         return rows.select("id", "cp", "len", "ph", F.sha2("norm", 256).alias("full"),
-                           F.monotonically_increasing_id().alias("rid"))
-
-    # level 1 and 2 on narrow rows
-    if digest_all:
-        full = s.put(hashed(base), "full")
-        sig = full
-    else:
-        sig = s.put(base.select("id", "cp", "len", "ph"), "sig")
-    seen = s.put(sig.groupBy("len", "ph").count(), "seen")     # copies combine map-side, before any shuffle by length
+                           F.monotonically_increasing_id().alias("rid"), "more")
+
+    # levels 1 and 2 on narrow rows; copies combine map-side, before any shuffle by length
+    full = s.put(hashed(base), "full") if digest_all else None
+    sig = full if digest_all else base
+    seen = s.put(sig.groupBy("len", "ph").count(), "seen")
     lens = seen.groupBy("len").agg(F.sum("count").alias("n")).filter("n > 1").select("len")
-    keys = seen.join(lens, "len", "left_semi").filter("count > 1").select("len", "ph")
-    keys = s.put(keys, "keys")
+    keys = s.put(seen.join(lens, "len", "left_semi").filter("count > 1").select("len", "ph"), "keys")
     # level 3: full content of the surviving cells only
     settled = None
     if not digest_all:
         cells = F.broadcast(s.put(keys.select(cell).distinct(), "cells"))   # at most FILTER_CELLS rows
         full = s.put(hashed(base.select("*", cell).join(cells, "cell", "left_semi")), "full")
-        settled = sig.select("*", cell).join(cells, "cell", "left_anti")
+        settled = base.select("*", cell).join(cells, "cell", "left_anti")
     alive = full.select("id", "cp", "len", "ph", "full", "rid").join(keys, ["len", "ph"], "left_semi")
     groups = s.put(alive.groupBy("full").agg(F.count("*").alias("n"),
                                              F.min(F.struct((-F.col("cp")).alias("m"), "id", "rid")).alias("k"))
                    .filter("n > 1").select("full", "n", F.col("k.id").alias("kid"), F.col("k.rid").alias("krid")),
                    "groups")
-    out = full.join(groups, "full", "left").select(
-        F.col("id").alias(id_col),
-        F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("kid")).alias("keep_id"),
-        F.coalesce("n", F.lit(1).cast("long")).alias("group_size"),
-        (F.col("n").isNull() | (F.col("rid") == F.col("krid"))).alias("kept"),
-        F.col("full").alias("text_sha256"))
+
+    def named(rows, keep_id, size, kept, digest):
+        cols = {"keep_id": keep_id, "group_size": size, "kept": kept, "text_sha256": digest}
+        return rows.select(*([] if prefix else [F.col("id").alias(id_col)]),
+                           *[c.alias(prefix + name) for name, c in cols.items()],
+                           *[F.col(f"more.`{c}`").alias(c) for c in carry])
+    one = F.lit(1).cast("long")
+    out = named(full.join(groups, "full", "left"),
+                F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("kid")), F.coalesce("n", one),
+                F.col("n").isNull() | (F.col("rid") == F.col("krid")), F.col("full"))
     if settled is not None:
-        out = out.unionByName(settled.select(
-            F.col("id").alias(id_col), F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
-            F.lit(True).alias("kept"), F.lit(None).cast("string").alias("text_sha256")))
+        out = out.unionByName(named(settled, F.col("id"), one, F.lit(True), F.lit(None).cast("string")))
     return out
+
+
+def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that ``exact_dedup`` keeps, with all their columns.
+
+    Settled rows go straight through; only rows whose cell survived are written
+    and joined with their group's result.
+    """
+    return exact_dedup(df, id_col, text_col, carry=tuple(df.columns), prefix="__").filter("__kept").select(*df.columns)

@@ -341,3 +341,19 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     out = rows.select("id", "n").join(comp, "id", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"),
                       F.coalesce("comp", "id").alias("component_id"))
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+             k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``df``, all columns, less those whose component has a smaller id.
+
+    Rows that share the smallest id of a component all stay, rows with a null
+    id too. What is dropped is found by a join on the id, in which adaptive
+    execution splits an id that many rows share.
+    """
+    found = jaccard_components(df, id_col, text_col, k, percent)
+    gone = found.filter(F.col(id_col).cast("long") != F.col("component_id")).select(F.col(id_col).alias("__id"))
+    gone = Scratch(df.sparkSession, "jaccard-gone").put(gone.distinct(), "gone")
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return df.join(gone, F.col(id_col) == F.col("__id"), "left_anti")

@@ -73,9 +73,12 @@ def source_targets(sizes: DataFrame, weights=(5, 2, 1), max_epochs: int = 3) ->
 
 def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                 weights=(5, 2, 1), max_epochs: int = 3, seed: str = SEED,
-                quality: Column | None = None, carry: tuple = ()) -> DataFrame:
+                quality: Column | None = None, carry: tuple = (), prefix: str = "") -> DataFrame:
     """Return per row: ``id_col``, size, source_size, target, taken, times, and the ``carry`` columns.
 
+    ``prefix`` goes before the names of all but the carried columns, so that
+    they can't clash; with one, ``id_col`` comes only if it is carried.
+
     ``times`` is how often the mix takes the document (complete epochs, plus
     one if the sample takes it), ``taken`` its words over all of them. The
     sample stops at the document nearest the budget. Null text has size 0 and
@@ -92,7 +95,7 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     docs = s.put(df.select(F.col(id_col).alias("id"), F.col(source_col).isNull().alias("sn"),
                            F.coalesce(F.col(source_col), F.lit("")).alias("src"),
                            word_count(text).alias("size"), key.alias("key"),
-                           F.struct(F.lit(0).alias("_"), *[F.col(c) for c in carry]).alias("more"),
+                           F.struct(F.lit(0).alias("__none"), *[F.col(f"`{c}`") for c in carry]).alias("more"),
                            F.monotonically_increasing_id().alias("rid")), "sized")
     n = docs.count()
     buckets = max(256, n // BUCKET_ROWS)
@@ -120,7 +123,7 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     others = (rows.filter("edge IS NULL OR bucket <> edge")
               .withColumn("extra", F.coalesce(F.col("bucket") < F.col("edge"), F.lit(False))))
     times = F.when(F.col("size") > 0, F.col("epochs") + F.col("extra").cast("long")).otherwise(F.lit(0).cast("long"))
-    return (others.unionByName(at_edge).withColumn("times", times)
-            .select(F.col("id").alias(id_col), "size", "source_size", "target",
-                    (F.col("times") * F.col("size")).alias("taken"), "times",
-                    *[F.col(f"more.{c}").alias(c) for c in carry]))
+    out = others.unionByName(at_edge).withColumn("times", times).withColumn("taken", F.col("times") * F.col("size"))
+    names = ["size", "source_size", "target", "taken", "times"]
+    return out.select(*([] if prefix else [F.col("id").alias(id_col)]), *[F.col(c).alias(prefix + c) for c in names],
+                      *[F.col(f"more.`{c}`").alias(c) for c in carry])

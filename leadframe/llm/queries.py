@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from leadframe.llm import chat, exact_dedup, jaccard, mixing, secrets, sharding
+from leadframe.llm import bpe, chat, exact_dedup, jaccard, langid, mixing, quality, secrets, sharding, spotsigs
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -41,6 +42,18 @@ def op1_format_chats(spark, sf):
     return chat.format_chats(table(spark, sf, "conversations"))
 
 
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
+
+@register("op2_byte_bpe")
+def op2_byte_bpe(spark, sf):
+    """Every text encoded, and decoded again from its ids."""
+    ranks = bpe.read_ranks(public_tokenizers.path(VOCABULARY))
+    ids = bpe.encode(table(spark, sf, "documents"), ranks)
+    ids = ids.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "ids", "offsets")
+    return bpe.decode(ids, ranks).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @register("op3_shard_by_slots")
 def op3_shard_by_slots(spark, sf):
     """All documents into 24 shards of near equal bytes, by virtual slots."""
@@ -49,6 +62,35 @@ def op3_shard_by_slots(spark, sf):
         F.lit(None).cast("int").alias("grown_shard"), "vslot")
 
 
+@register("op4_spotsigs")
+def op4_spotsigs(spark, sf):
+    """Fingerprints of all texts and of their edited texts."""
+    return spotsigs.compare_with_next(table(spark, sf, "documents"))
+
+
+def crc_of_id(id_col):
+    return F.crc32(id_col.cast("string").cast("binary"))
+
+
+@register("op7_language")
+def op7_language(spark, sf):
+    """Language of every text, learnt where crc32(doc_id) mod 3 is not 1."""
+    docs = table(spark, sf, "documents")
+    held_out = crc_of_id(F.col("doc_id")) % 3 == 1
+    model = langid.learn_languages(docs.filter(~held_out))
+    return langid.predict_languages(docs.withColumn("held_out", held_out), model, carry=("doc_id", "held_out"))
+
+
+@register("op8_quality")
+def op8_quality(spark, sf):
+    """Quality score of every text, learnt where crc32(doc_id) mod 5 is not 0."""
+    docs = table(spark, sf, "documents")
+    weights = quality.learn_quality(docs, table(spark, sf, "labels"), learn_from=lambda x: crc_of_id(x) % 5 != 0)
+    out = quality.score_quality(docs.withColumn("held_out", crc_of_id(F.col("doc_id")) % 5 == 0), weights,
+                                carry=("doc_id", "held_out"))
+    return out.withColumn("predicted", (F.col("score") >= quality.KEEP_AT).cast("int"))
+
+
 _OP9_SQL = """
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS cp,
                   regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS norm FROM documents)
@@ -149,7 +191,7 @@ _OP10_SQL = """
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')) END) AS g FROM d),
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM d),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
 l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),

@@ -27,7 +27,8 @@ def _tables():
         value[b] = value[b + 32]
     space = np.zeros(256, bool)
     space[[32, 9, 10, 11, 12, 13]] = True
-    return value, space
+    bare = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+    return value, space, bare
 
 
 _powers: dict = {}
@@ -89,8 +90,11 @@ def blocks(off: np.ndarray, block_bytes: int = BLOCK_BYTES):
         i = min(j, n)
 
 
-def scan_words(data: np.ndarray, doc_off: np.ndarray, first: int = 0) -> Words:
-    value, space = _tables()
+def scan_words(data: np.ndarray, doc_off: np.ndarray, first: int = 0, letters_only: bool = False) -> Words:
+    """letters_only: all ASCII characters but letters and digits separate words."""
+    value, space, bare = _tables()
+    if letters_only:
+        space = bare
     n = len(data)
     if n == 0:
         z = np.zeros(0, np.int64)
@@ -113,11 +117,17 @@ def scan_words(data: np.ndarray, doc_off: np.ndarray, first: int = 0) -> Words:
                  np.searchsorted(start, doc_off).astype(np.int64))
 
 
-def batch_words(column, block_bytes: int = BLOCK_BYTES):
+def batch_words(column, block_bytes: int = BLOCK_BYTES, letters_only: bool = False):
     """Words of an Arrow string column, block by block."""
     data, off = text_bytes(column)
     for i, j in blocks(off, block_bytes):
-        yield scan_words(data[off[i]:off[j]], off[i:j + 1] - off[i], i)
+        yield scan_words(data[off[i]:off[j]], off[i:j + 1] - off[i], i, letters_only)
+
+
+def word_hashes(words: list[str]) -> np.ndarray:
+    """The hash that scan_words gives each of these words."""
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    return scan_words(data, np.array([0, len(data)], np.int64)).hash
 
 
 def shingle_sets(words: Words, k: int = 5):
@@ -134,9 +144,9 @@ def shingle_sets(words: Words, k: int = 5):
         if b - a >= k:
             yield np.unique(s[a:b - k + 1])
         elif b > a:
-            x = np.uint64(b - a)
-            for w in h[a:b]:
-                x = mix(x * np.uint64(_P) + w + np.uint64(17))
-            yield np.array([x], np.uint64)
+            x = np.array([b - a], np.uint64)
+            for i in range(a, b):
+                x = mix(x * np.uint64(_P) + h[i:i + 1] + np.uint64(17))
+            yield x
         else:
             yield np.zeros(0, np.uint64)
