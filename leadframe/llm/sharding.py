@@ -32,20 +32,34 @@ def spread_slots(slot_bytes: dict[int, int], n_slots: int, n_shards: int) -> dic
     return out
 
 
-def rebalance_slots(slot_map: dict[int, int], slot_bytes: dict[int, int], n_shards: int) -> dict[int, int]:
-    """Edit a map: move slots from the fullest to the emptiest shard while that narrows the gap.
+def grow_slots(slot_map: dict[int, int], slot_bytes: dict[int, int], n_shards: int) -> dict[int, int]:
+    """Edit a map for one more shard: slots move only into it, from the fullest shard each time, up to its share."""
+    out, new = dict(slot_map), n_shards - 1
+    load, of = _loads(out, slot_bytes, n_shards)
+    room = sum(load) / n_shards
+    while True:
+        hi = max(range(new), key=lambda x: (load[x], -x))
+        fit = [k for k in of[hi] if 0 < slot_bytes.get(k, 0) <= room]
+        if not fit:
+            return out
+        k = max(fit, key=lambda k: (slot_bytes[k], -k))
+        of[hi].remove(k)
+        out[k] = new
+        load[hi] -= slot_bytes[k]
+        room -= slot_bytes[k]
 
-    With one more shard than the map knows, this fills the new shard.
-    """
-    out, load, of = dict(slot_map), [0] * n_shards, {sh: [] for sh in range(n_shards)}
-    for slot, sh in out.items():
-        load[sh] += slot_bytes.get(slot, 0)
-        of[sh].append(slot)
+
+def rebalance_slots(slot_map: dict[int, int], slot_bytes: dict[int, int], n_shards: int,
+                    tolerance: float = 0.01) -> dict[int, int]:
+    """Edit a map whose slots have grown unevenly: move slots from the fullest to the
+    emptiest shard while that narrows a gap of more than ``tolerance`` of the mean."""
+    out = dict(slot_map)
+    load, of = _loads(out, slot_bytes, n_shards)
     while True:
         hi, lo = max(range(n_shards), key=lambda x: (load[x], -x)), min(range(n_shards), key=lambda x: (load[x], x))
         gap = load[hi] - load[lo]
         fit = [k for k in of[hi] if 0 < slot_bytes.get(k, 0) < gap]
-        if not fit:
+        if not fit or gap <= tolerance * sum(load) / n_shards:
             return out
         k = min(fit, key=lambda k: (abs(gap / 2 - slot_bytes[k]), k))
         of[hi].remove(k)
@@ -55,6 +69,15 @@ def rebalance_slots(slot_map: dict[int, int], slot_bytes: dict[int, int], n_shar
         load[lo] += slot_bytes[k]
 
 
+def _loads(slot_map, slot_bytes, n_shards):
+    """Bytes and slots of each shard."""
+    load, of = [0] * n_shards, {sh: [] for sh in range(n_shards)}
+    for slot, sh in slot_map.items():
+        load[sh] += slot_bytes.get(slot, 0)
+        of[sh].append(slot)
+    return load, of
+
+
 class SlotMap:
     """Versions of the slot-to-shard map, each a folder ``v=<n>`` of at most n_slots rows."""
 

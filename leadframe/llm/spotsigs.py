@@ -111,7 +111,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     equal texts have equal ones; repeated rows stay; other columns aren't read.
     """
     x = df.select(F.col(id_col), F.col(text_col))
-    schema = x.select(id_col).schema.add("n_spots", "int").add("fingerprint", "string")
+    schema = x.select(id_col).schema.add("n_spots", "integer").add("fingerprint", "string")
 
     def run(batches):
         anchors = _anchors()
