@@ -29,18 +29,23 @@ def rule(fn):
     every frame of the session. Column arguments are not cached."""
     import functools
     cache = {}
+    owner = [None]      # the application whose JVM holds the cached trees
 
     @functools.wraps(fn)
     def wrapper(*args, **kwargs):
         try:
             from pyspark import SparkContext
             sc = SparkContext._active_spark_context
-            key = (id(sc._jvm) if sc is not None else None, args, tuple(sorted(kwargs.items())))
+            app = sc.applicationId if sc is not None else None
+            key = (args, tuple(sorted(kwargs.items())))
             hash(key)
         except TypeError:
             return fn(*args, **kwargs)
         if any(isinstance(a, Column) for a in args) or any(isinstance(v, Column) for v in kwargs.values()):
             return fn(*args, **kwargs)
+        if owner[0] != app:
+            cache.clear()
+            owner[0] = app
         if key not in cache:
             cache[key] = fn(*args, **kwargs)
         return cache[key]

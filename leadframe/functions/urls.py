@@ -4,7 +4,8 @@ predicate (V2), host and apex (registrable) domain (D1).
 Python's ``urlsplit`` is lenient where ``parse_url`` is strict (spaces, no
 scheme), so the split is a regex with the same precedence: scheme up to the
 first ':' if it is a valid scheme, '//' starts the authority, path runs to the
-first '?' or '#'.
+first '?' or '#'. ``;params`` of the last path segment are cut, as ``urlparse``
+does for the web schemes.
 """
 
 from __future__ import annotations
@@ -25,17 +26,14 @@ def _prep(url: Column) -> Column:
 
 
 def url_parts(url) -> tuple[Column, Column, Column]:
-    """(scheme lowered, netloc, path) like Python ``urlsplit``; '' when absent."""
-    u = _prep(col_(url))
-    return (F.lower(F.regexp_extract(u, _SPLIT, 1)),
-            F.regexp_extract(u, _SPLIT, 2),
-            F.regexp_extract(u, _SPLIT, 3))
+    """(scheme lowered, netloc, path without ;params) like Python ``urlparse``; '' when absent."""
+    return _parts_of(_prep(col_(url)))
 
 
 def _parts_of(u: Column) -> tuple[Column, Column, Column]:
     """url_parts of an already prepared (and bound) URL."""
     return (F.lower(F.regexp_extract(u, _SPLIT, 1)), F.regexp_extract(u, _SPLIT, 2),
-            F.regexp_extract(u, _SPLIT, 3))
+            F.regexp_replace(F.regexp_extract(u, _SPLIT, 3), ";[^/]*$", ""))
 
 
 def _segments(path: Column) -> Column:
@@ -73,26 +71,6 @@ def canonical_profile_url(link) -> Column:
     return F.when(link.isNotNull() & (link != ""), let(_prep(link), on_url))
 
 
-@rule
-def profile_key(url) -> Column:
-    """``https://linkedin.com/in/{slug}`` with the slug percent-decoded,
-    NFKC-normalised, stripped, lower-cased and zero-width characters removed;
-    NULL when the URL is not a profile URL.
-
-    (No ``let`` binding here: the Arrow UDF for the slug cannot take an
-    argument that holds a lambda.)"""
-    url = col_(url)
-    _, netloc, path = url_parts(url)
-    host = F.replace(F.replace(F.lower(netloc), F.lit("www."), F.lit("")),
-                     F.lit("de.linkedin.com"), F.lit("linkedin.com"))
-    path = F.regexp_replace(path, "/+$", "")
-    slug = F.get(_segments(path), 1)
-    slug = F.translate(F.lower(strip(unquote_nfkc(slug))), "\u200b\u200c\u200d", "")
-    ok = (url.isNotNull() & (url != "") & (host != "")
-          & host.contains(fixed.PROFILE_SITE) & path.startswith("/in/"))
-    return F.when(ok, F.concat(F.lit(fixed.PROFILE_CANONICAL_PREFIX), slug))
-
-
 @rule
 def profile_slug(url) -> Column:
     """The JVM part of N7: the raw slug when the URL is a profile URL, else
@@ -117,6 +95,14 @@ def key_from_slug(slug) -> Column:
     return F.when(slug.isNotNull(), F.concat(F.lit(fixed.PROFILE_CANONICAL_PREFIX), s))
 
 
+def profile_key(url) -> Column:
+    """``https://linkedin.com/in/{slug}`` with the slug percent-decoded,
+    NFKC-normalised, stripped, lower-cased and zero-width characters removed;
+    NULL when the URL is not a profile URL. A profile URL without a slug has
+    none either."""
+    return key_from_slug(profile_slug(url))
+
+
 def with_profile_key(df, url_col: str, out_col: str):
     """N7 as two projections: the slug (JVM only) first, then the decoding
     step that may call Python. Cheaper to plan and run than the one-column
@@ -155,7 +141,7 @@ def apex_domain(url_or_domain, rules) -> Column:
     """Registrable domain (one label left of the longest public suffix),
     NULL when there is none (IP address, single label, unknown suffix).
 
-    ``rules`` is a :class:`leadframe.sources.suffixes.SuffixRules`; its three
+    ``rules`` is a :class:`leadframe.sources.suffixes.SuffixRules`; its
     sets are bounded parameter lists, evaluated as hashed ``IN`` sets inside
     the expression, so this rule needs no join and no shuffle. Intermediate
     values are bound once (``let``) to keep the expression small.
@@ -171,6 +157,13 @@ def apex_domain(url_or_domain, rules) -> Column:
         def is_suffix(i):
             def on_s(s):
                 cond = s.isin(*rules.exact) if rules.exact else F.lit(False)
+                if rules.country_second:
+                    second = F.split(s, r"\.")
+                    country = F.get(second, F.size(second) - 1)
+                    listed = F.get(second, 0).isin(*rules.country_second)
+                    if rules.country_flat:
+                        listed = listed & ~country.isin(*rules.country_flat)
+                    cond = cond | s.rlike("^[a-z]{2}$") | (s.rlike(r"^[a-z]+\.[a-z]{2}$") & listed)
                 if rules.wildcard:
                     wc = (i + 1 < n) & suffix_at(i + 1).isin(*rules.wildcard)
                     if rules.exception:

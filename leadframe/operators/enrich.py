@@ -23,9 +23,9 @@ def pending_companies(companies: DataFrame, limit: int | None = 50) -> DataFrame
     p = companies.filter(F.col("last_enriched_at").isNull()
                          | (F.coalesce(F.size("industries"), F.lit(0)) <= 0)
                          | F.col("size_employees").isNull())
-    p = p.orderBy(F.col("name").asc_nulls_first(), F.col("created_seq"), F.col("id"))
+    p = p.orderBy(F.col("name").asc_nulls_first(), F.col("created_batch"), F.col("created_seq"), F.col("id"))
     p = p.limit(limit) if limit is not None else p
-    return p.select("id", "name", "domain", "created_seq")
+    return p.select("id", "name", "domain", "created_seq", "created_batch")
 
 
 def default_enrichment(pending: DataFrame) -> DataFrame:
@@ -66,17 +66,17 @@ def guard_domain_claims(companies: DataFrame, claims: DataFrame) -> DataFrame:
     an aggregate (map-side combined), so a domain claimed by many rows stays
     cheap. Returns ``id, claimed, accepted``.
     """
-    from leadframe.session import broadcast_if_small
-    claims = claims.filter(nonempty("claimed").isNotNull())
+    from leadframe.session import materialize
     # the stored companies are only probed for the claimed domains and the
-    # claiming ids (semi-joins against a size-checked broadcast of the small
-    # claims), so the big table is read, not shuffled
+    # claiming ids; the claims are written once, so the planner broadcasts
+    # them by their bytes when they are small and the big table is read, not
+    # shuffled
+    claims = materialize(claims.filter(nonempty("claimed").isNotNull()).select("id", "claimed"), "claims")
     owners = (companies.filter(F.col("domain").isNotNull())
-              .join(broadcast_if_small(claims.select(F.col("claimed").alias("domain")).distinct()), "domain",
-                    "left_semi")
+              .join(claims.select(F.col("claimed").alias("domain")), "domain", "left_semi")
               .select(F.col("domain").alias("claimed"), F.col("id").alias("owner_id")))
-    order = (companies.join(broadcast_if_small(claims.select("id").distinct()), "id", "left_semi")
-             .select("id", F.struct("created_seq", "id").alias("_ord")))
+    order = (companies.join(claims.select("id"), "id", "left_semi")
+             .select("id", F.struct("created_batch", "created_seq", "id").alias("_ord")))
     c = claims.join(owners, "claimed", "left").join(order, "id", "left")
     free = c.filter(F.col("owner_id").isNull())
     winners = free.groupBy("claimed").agg(F.min_by("id", "_ord").alias("winner_id"))
@@ -110,8 +110,8 @@ def apply_enrichment(companies: DataFrame, pending: DataFrame, results: DataFram
         F.col("r_website").alias("n_website"), F.col("r_size_employees").alias("n_size_employees"),
         F.col("r_business_model_key_points").alias("n_business_model"),
         F.col("r_products_and_services").alias("n_products"), F.col("r_recent_news").alias("n_recent_news"))
-    from leadframe.session import broadcast_if_small
-    j = companies.join(broadcast_if_small(u), "id", "left")   # u: one row per pending company
+    from leadframe.session import materialize
+    j = companies.join(materialize(u, "enrichment"), "id", "left")   # u: one row per pending company
     m = F.coalesce(F.col("_m"), F.lit(False))
     out = {f.name: F.col(f.name) for f in schemas.COMPANIES.fields}
     for c in ("legal_form", "industries", "locations_de", "multinational", "website", "size_employees",

@@ -15,20 +15,22 @@ def _ts(now: str):
     return F.to_timestamp_ntz(F.lit(now))
 
 
-def add_templates(templates: DataFrame | None, new: DataFrame, now: str, batch_id: str = "0") -> DataFrame:
+def add_templates(templates: DataFrame | None, new: DataFrame, now: str, batch_id: str) -> DataFrame:
     """O1: append templates (``name, channel, body_md, variables_json,
-    ingest_seq``), active, created now."""
+    ingest_seq``), active, created now. ``batch_id`` must not have been used
+    before: ids are hashes of it and ``ingest_seq``."""
     rows = new.select(
         F.xxhash64(F.lit("template"), F.lit(batch_id), F.col(SEQ)).alias("id"), "name", "channel", "body_md",
         F.col("variables_json").cast("string"), F.lit(1).alias("is_active"), _ts(now).alias("created_at"))
     rows = align_schema(rows, schemas.OUTREACH_TEMPLATES)
-    return rows if templates is None else templates.unionByName(rows)
+    return rows if templates is None else align_schema(templates, schemas.OUTREACH_TEMPLATES).unionByName(rows)
 
 
-def schedule_messages(messages: DataFrame | None, new: DataFrame, now: str, batch_id: str = "0") -> DataFrame:
+def schedule_messages(messages: DataFrame | None, new: DataFrame, now: str, batch_id: str) -> DataFrame:
     """O2: append rendered messages (``linkedin_profile, channel,
     template_id, stage_no, rendered_md, scheduled_at, ingest_seq``) with
-    status 'scheduled' (stage 1 when not given)."""
+    status 'scheduled' (stage 1 when not given) to the stored ones, which
+    stay as they are. ``batch_id`` as in ``add_templates``."""
     rows = new.select(
         F.xxhash64(F.lit("message"), F.lit(batch_id), F.col(SEQ)).alias("id"), "linkedin_profile", "channel",
         F.col("template_id").cast("long"), F.coalesce(F.col("stage_no").cast("int"), F.lit(1)).alias("stage_no"),
@@ -36,7 +38,7 @@ def schedule_messages(messages: DataFrame | None, new: DataFrame, now: str, batc
         F.col("scheduled_at").cast("timestamp_ntz"), F.lit(None).cast("timestamp_ntz").alias("sent_at"),
         F.lit(None).cast("timestamp_ntz").alias("replied_at"), _ts(now).alias("created_at"))
     rows = align_schema(rows, schemas.OUTREACH_MESSAGES)
-    return rows if messages is None else messages.unionByName(align_schema(messages, schemas.OUTREACH_MESSAGES))
+    return rows if messages is None else align_schema(messages, schemas.OUTREACH_MESSAGES).unionByName(rows)
 
 
 def apply_status_events(messages: DataFrame, events: DataFrame) -> DataFrame:

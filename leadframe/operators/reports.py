@@ -58,15 +58,15 @@ def report_recent(people: DataFrame, companies: DataFrame, sort_by: str = "recen
         p = p.filter(F.col("followers_linkedin") >= min_followers)
     c = companies.select(F.col("id").alias("c_id"), F.col("name").alias("company_name"), "domain")
     j = p.join(c, p["company_id"] == c["c_id"], "left")
-    recent = [F.col("created_seq").desc(), F.col("person_id").desc()]
+    recent = [F.col("created_batch").desc(), F.col("created_seq").desc(), F.col("person_id").desc()]
     order = {"recent": recent,
              "connections": [F.col("connections_linkedin").desc_nulls_last()] + recent,
              "followers": [F.col("followers_linkedin").desc_nulls_last()] + recent}[sort_by]
     out = j.select(F.col("id").alias("person_id"), "first_name", "last_name", "linkedin_profile",
                    "title_current", "connections_linkedin", "followers_linkedin",
-                   F.col("c_id").alias("company_id"), "company_name", "domain", "created_seq")
+                   F.col("c_id").alias("company_id"), "company_name", "domain", "created_seq", "created_batch")
     out = out.orderBy(*order)
-    return (out.limit(limit) if limit is not None else out).drop("created_seq")
+    return (out.limit(limit) if limit is not None else out).drop("created_seq", "created_batch")
 
 
 def report_queries(dim: DataFrame) -> DataFrame:

@@ -3,8 +3,10 @@
 Each function is one command of the reference re-expressed as a Spark job
 (composition of the table jobs; no CLI): ingest landed profiles, ingest a
 search run, ingest landed companies, enrich pending companies from landed
-answers, merge duplicate people, erase people. Every commit is a new
-snapshot version of the tables it changes.
+answers, queue outreach, fill missing query ids, merge duplicate people, erase
+people. A run is one commit: all the tables it changes become visible
+together, and its batch id is accepted once. It reads and rewrites only the
+buckets that its batch touches, where the job allows that.
 """
 
 from __future__ import annotations
@@ -12,35 +14,53 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadframe.operators import enrich, extract, reports, responses, standardise, upsert, validate
+from leadframe import schemas
+from leadframe.functions.text import nonempty
+from leadframe.operators import enrich, extract, outreach, reports, responses, standardise, upsert, validate
+from leadframe.session import drop_scratch, materialize
 from leadframe.sources import readers
-from leadframe.sources.snapshots import SnapshotStore
-
-PEOPLE, COMPANIES, QUERIES, MESSAGES = "people", "companies", "search_queries", "outreach_messages"
-
-
-def _commit_people(store: SnapshotStore, records: DataFrame, now: str, batch_id: str) -> DataFrame:
+from leadframe.sources.snapshots import CommitConflict, SnapshotStore
+
+PEOPLE, COMPANIES, QUERIES = "people", "companies", "search_queries"
+MESSAGES, TEMPLATES = "outreach_messages", "outreach_templates"
+
+
+def commit_people(store: SnapshotStore, records: DataFrame, now: str, batch_id: str, rules=None) -> DataFrame:
+    """K13 on standardised records against the stored tables, one commit.
+    Refuses a batch id used before, before any work."""
+    if store.committed(batch_id):
+        raise CommitConflict(f"batch {batch_id!r} was committed before")
+    keyed = materialize(upsert.with_company_domain(records, rules), "run-batch")
+    batch_no = store.next_batch()
+    people_b = store.touched(PEOPLE, keyed)
+    stubs = keyed.filter(nonempty("_domain").isNull()).select(
+        F.lit(None).cast("string").alias("domain"), upsert.stub_company_id(batch_id, F.col("ingest_seq")).alias("id"))
+    company_b = store.touched(COMPANIES, keyed.filter(nonempty("_domain").isNotNull()).select(
+        F.col("_domain").alias("domain"), F.lit(0).alias("id")), stubs)
+    query_b = store.touched(QUERIES, keyed.select(upsert.normalize_query("source_query").alias("normalized_query")))
     people, companies, queries, processed = upsert.person_ingest(
-        records, store.read(PEOPLE), store.read(COMPANIES), store.read(QUERIES), now, batch_id)
-    store.write(queries, QUERIES)
-    store.write(companies, COMPANIES)
-    store.write(people, PEOPLE)
-    return processed
+        keyed, store.read(PEOPLE, buckets=people_b), store.read(COMPANIES, buckets=company_b),
+        store.read(QUERIES, buckets=query_b), now, batch_id, batch_no)
+    n = processed.first()[0]
+    store.commit({QUERIES: (queries, query_b), COMPANIES: (companies, company_b), PEOPLE: (people, people_b)}, batch_id)
+    drop_scratch(store.spark)
+    return store.spark.createDataFrame([(n,)], "processed_people long")
 
 
-def ingest_people_file(spark: SparkSession, store: SnapshotStore, path: str, now: str,
-                       batch_id: str = "ingest") -> DataFrame:
+def ingest_people_file(spark: SparkSession, store: SnapshotStore, path: str, now: str, batch_id: str,
+                       rules=None) -> DataFrame:
     """``ingest --input``: JSON people (S1) -> V9 routing -> N rules -> K13,
     committed. Returns the one-row processed count."""
     profiles, _rejected = validate.route_people(standardise.with_profile_columns(readers.read_people_json(spark, path)))
-    return _commit_people(store, standardise.standardise_people(profiles), now, batch_id)
+    return commit_people(store, standardise.standardise_people(profiles), now, batch_id, rules)
 
 
-def ingest_search_run(store: SnapshotStore, items: DataFrame, answers: DataFrame | None, source_name: str,
-                      query: str, now: str, batch_id: str = "run"):
-    """``run ingest-people --write-db``: search items (S2 output) + model
-    answers -> X -> V5/V7/V8 -> provenance (S5) -> N1 -> V9 -> N -> K13,
+def ingest_search_run(store: SnapshotStore, pages: DataFrame, answers: DataFrame | None, source_name: str,
+                      query: str, now: str, batch_id: str, max_results: int = 50, rules=None):
+    """``run ingest-people --write-db``: landed result pages -> S2 -> X (with
+    model answers) -> V5/V7/V8 -> provenance (S5) -> N1 -> V9 -> N -> K13,
     committed. Returns (processed, run summary R6)."""
+    items = materialize(readers.flatten_search_pages(pages, max_results), "run-items")
     parsed = responses.parse_profile_responses(answers) if answers is not None else None
     profiles, metrics = extract.extract_profiles(items, parsed)
     checked = profiles.withColumn("errors", validate.profile_errors(profiles))
@@ -49,25 +69,35 @@ def ingest_search_run(store: SnapshotStore, items: DataFrame, answers: DataFrame
     tagged = readers.union_sources([(valid, source_name, query)])
     mapped = standardise.map_to_person_schema(tagged, now[:10])
     people, _ = validate.route_people(standardise.with_profile_columns(mapped))
-    processed = _commit_people(store, standardise.standardise_people(people), now, batch_id)
     totals, _ = validate.validation_metrics(checked)
-    return processed, reports.run_summary(query, metrics, totals)
+    summary = reports.run_summary(query, metrics, totals)
+    summary = store.spark.createDataFrame(summary.collect(), summary.schema)    # one row, before scratch goes
+    processed = commit_people(store, standardise.standardise_people(people), now, batch_id, rules)
+    return processed, summary
 
 
-def ingest_companies(store: SnapshotStore, rows: DataFrame, batch_id: str = "companies") -> DataFrame:
+def ingest_companies(store: SnapshotStore, rows: DataFrame, batch_id: str) -> DataFrame:
     """Company source rows (S6) -> V13 -> K4, committed."""
-    table, processed = upsert.persist_companies(store.read(COMPANIES), validate.company_ingest_prep(rows), batch_id)
-    store.write(table, COMPANIES)
-    return processed
-
-
-def enrich_companies(store: SnapshotStore, answers: DataFrame, now: str, limit: int = 10,
+    if store.committed(batch_id):
+        raise CommitConflict(f"batch {batch_id!r} was committed before")
+    prep = materialize(validate.company_ingest_prep(rows), "run-companies")
+    alone, _ = upsert.persist_companies(None, prep, batch_id)
+    touched = store.touched(COMPANIES, alone)
+    table, processed = upsert.persist_companies(store.read(COMPANIES, buckets=touched), prep, batch_id,
+                                                store.next_batch())
+    n = processed.first()[0]
+    store.commit({COMPANIES: (table, touched)}, batch_id)
+    drop_scratch(store.spark)
+    return store.spark.createDataFrame([(n,)], "processed_companies long")
+
+
+def enrich_companies(store: SnapshotStore, answers: DataFrame, now: str, batch_id: str, limit: int = 10,
                      default_when_missing: bool = False) -> DataFrame:
     """``enrich --limit``: E1 picks the batch; ``answers`` (``id, text``) are
     parsed (M2); a missing answer aborts (E6) unless the default answer (E5)
     is allowed; E7/E8 write the result. Returns the enriched rows."""
     companies = store.read(COMPANIES)
-    pending = enrich.pending_companies(companies, limit)
+    pending = materialize(enrich.pending_companies(companies, limit), "run-pending")
     parsed = responses.parse_company_responses(answers).filter(F.col("parse_ok"))
     if default_when_missing:
         parsed = parsed.unionByName(
@@ -75,26 +105,60 @@ def enrich_companies(store: SnapshotStore, answers: DataFrame, now: str, limit:
             allowMissingColumns=True)
     enrich.assert_enrichment_complete(pending, parsed)
     out = enrich.apply_enrichment(companies, pending, parsed, now)
-    store.write(out, COMPANIES)
-    return store.read(COMPANIES).join(pending.select("id"), "id", "left_semi")
-
-
-def dedupe_people_run(store: SnapshotStore) -> DataFrame:
-    """``dedupe-people``: K10 + K11, committed. Returns the URL mapping."""
+    done = materialize(out.join(pending.select("id"), "id", "left_semi"), "run-enriched")
+    # a domain can move a company to another bucket: both are rewritten
+    touched = store.touched(COMPANIES, done, companies.join(pending.select("id"), "id", "left_semi"))
+    rows = store.read(COMPANIES, buckets=touched).join(pending.select("id"), "id", "left_anti").unionByName(done)
+    ids = store.spark.createDataFrame(pending.select("id").collect(), "id long")     # at most ``limit`` rows
+    store.commit({COMPANIES: (rows, touched)}, batch_id)
+    drop_scratch(store.spark)
+    return store.read(COMPANIES).join(ids, "id", "left_semi")
+
+
+def add_templates(store: SnapshotStore, new: DataFrame, now: str, batch_id: str) -> None:
+    """O1, committed."""
+    touched = store.touched(TEMPLATES, new)
+    rows = outreach.add_templates(store.read(TEMPLATES, buckets=touched), new, now, batch_id)
+    store.commit({TEMPLATES: (rows, touched)}, batch_id)
+
+
+def schedule_messages(store: SnapshotStore, new: DataFrame, now: str, batch_id: str) -> None:
+    """O2, committed."""
+    touched = store.touched(MESSAGES, new)
+    rows = outreach.schedule_messages(store.read(MESSAGES, buckets=touched), new, now, batch_id)
+    store.commit({MESSAGES: (rows, touched)}, batch_id)
+
+
+def backfill_queries_run(store: SnapshotStore, now: str, batch_id: str) -> None:
+    """K9 over the stored people and queries, committed (the reference does
+    it whenever it opens its database)."""
+    dim = store.read(QUERIES)
+    people, queries = upsert.backfill_queries(store.read(PEOPLE), dim if dim is not None else
+                                              schemas.empty(store.spark, schemas.SEARCH_QUERIES), now)
+    store.commit({PEOPLE: people, QUERIES: queries}, batch_id)
+    drop_scratch(store.spark)
+
+
+def dedupe_people_run(store: SnapshotStore, batch_id: str) -> DataFrame:
+    """``dedupe-people``: K10 + K11, one commit. Returns the URL mapping."""
     merged, mapping = upsert.dedupe_people(store.read(PEOPLE))
+    mapping = materialize(mapping, "run-mapping")
     msgs = store.read(MESSAGES)
-    store.write(merged, PEOPLE)
+    changes = {PEOPLE: merged}
     if msgs is not None:
-        store.write(upsert.repoint_messages(msgs, mapping), MESSAGES)
+        changes[MESSAGES] = upsert.repoint_messages(msgs, mapping)
+    store.commit(changes, batch_id)
     return mapping
 
 
-def erase_people_run(store: SnapshotStore, keys: DataFrame) -> None:
+def erase_people_run(store: SnapshotStore, keys: DataFrame, batch_id: str) -> None:
     """Remove the people named in ``keys`` (``profile_url``) and their
-    messages, committed."""
+    messages, one commit."""
     msgs = store.read(MESSAGES)
     people, m = upsert.erase_profiles(store.read(PEOPLE), msgs if msgs is not None else
                                       store.read(PEOPLE).select("linkedin_profile").limit(0), keys)
-    store.write(people, PEOPLE)
+    changes = {PEOPLE: people}
     if msgs is not None:
-        store.write(m, MESSAGES)
+        changes[MESSAGES] = m
+    store.commit(changes, batch_id)
+    drop_scratch(store.spark)

@@ -47,12 +47,9 @@ def _spark(df: DataFrame) -> SparkSession:
 
 
 # ---------------------------------------------------------------------- K1
-BATCH_BROADCAST_ROWS = 2_000_000
-
-
 def upsert_people(current: DataFrame | None, batch: DataFrame, now: str,
-                  companies: DataFrame | None = None, batch_id: str = "0",
-                  broadcast_rows: int | None = BATCH_BROADCAST_ROWS) -> DataFrame:
+                  companies: DataFrame | None = None, batch_id: str | None = None, batch_no: int = 0,
+                  stream_stored: bool | None = None) -> DataFrame:
     """K1: merge a batch of person records into the people table.
 
     Key ``linkedin_profile`` (already N7-normalised); rows without a key are
@@ -66,6 +63,11 @@ def upsert_people(current: DataFrame | None, batch: DataFrame, now: str,
     newest record naming a domain or a company is one more aggregate of the
     same ``groupBy``, resolved against ``companies`` on the batch side, so the
     stored people table is joined (shuffled) once per batch, not twice.
+
+    The batch aggregate is written once. If its bytes let the planner
+    broadcast it, the stored table streams past it without a shuffle; else it
+    is one full outer join (``stream_stored`` forces either, for tests).
+    ``batch_no`` is stored as the arrival batch of new people.
     """
     first_load = current is None
     current = current if current is not None else schemas.empty(_spark(batch), schemas.PEOPLE)
@@ -101,6 +103,7 @@ def upsert_people(current: DataFrame | None, batch: DataFrame, now: str,
             "lookup_date": F.coalesce(F.col("n.lookup_date"), o("lookup_date")),
             "is_hot": F.coalesce(o("is_hot"), F.lit(0)),
             "created_seq": F.coalesce(o("created_seq"), F.col("n.created_seq")),
+            "created_batch": F.coalesce(o("created_batch"), F.lit(batch_no)),
         }
         for c in merge:
             out[c] = F.coalesce(F.col(f"n.{c}"), o(c))
@@ -113,27 +116,20 @@ def upsert_people(current: DataFrame | None, batch: DataFrame, now: str,
     if first_load:
         # no stored table: every key is new, nothing to join
         return merged(agg.alias("n"), has_old=False)
-    if broadcast_rows:
-        # the batch aggregate is written once (batch-sized), so the size check
-        # and the join read it instead of recomputing the batch
-        from leadframe.session import materialize
-        agg = materialize(agg, "people-batch")
-    if broadcast_rows and _at_most(agg, broadcast_rows):
-        # the batch is proven small: stream the stored table past it (no
-        # shuffle of the big side), then add the keys it did not contain
-        b = F.broadcast(agg)
-        kept = merged(current.alias("o").join(b.alias("n"), F.col("o.linkedin_profile") == F.col("n.linkedin_profile"),
-                                              "left"))
-        seen = current.select("linkedin_profile").join(F.broadcast(agg.select("linkedin_profile")),
-                                                       "linkedin_profile", "left_semi")
-        new = agg.join(seen, "linkedin_profile", "left_anti").alias("n")
-        return kept.unionByName(merged(new, has_old=False))
+    from leadframe.session import fits_broadcast, materialize
+    agg = materialize(agg, "people-batch")
+    if fits_broadcast(agg) if stream_stored is None else stream_stored:
+        return _past_stored(current, agg, "linkedin_profile", merged)
     o, n = current.alias("o"), agg.alias("n")
     return merged(o.join(n, F.col("o.linkedin_profile") == F.col("n.linkedin_profile"), "full_outer"))
 
 
-def _at_most(df: DataFrame, rows: int) -> bool:
-    return df.limit(rows + 1).count() <= rows
+def _past_stored(current: DataFrame, agg: DataFrame, key: str, merged) -> DataFrame:
+    """Stored rows merged with a small written batch, then the keys that were new: the
+    planner broadcasts the batch by its bytes, so the stored table isn't shuffled."""
+    kept = merged(current.alias("o").join(agg.alias("n"), F.col(f"o.{key}") == F.col(f"n.{key}"), "left"))
+    seen = current.select(key).join(agg.select(key), key, "left_semi")
+    return kept.unionByName(merged(agg.join(seen, key, "left_anti").alias("n"), has_old=False))
 
 
 # ------------------------------------------------------------------ K2 / K3
@@ -141,8 +137,8 @@ def _safe_name(name, domain):
     return F.coalesce(nonempty(name), nonempty(domain), F.lit(fixed.UNKNOWN_COMPANY_NAME))
 
 
-def upsert_companies(current: DataFrame | None, batch: DataFrame, batch_id: str = "0",
-                     broadcast_rows: int | None = BATCH_BROADCAST_ROWS) -> DataFrame:
+def upsert_companies(current: DataFrame | None, batch: DataFrame, batch_id: str, batch_no: int = 0,
+                     stream_stored: bool | None = None) -> DataFrame:
     """K2 + K3: merge company rows keyed by domain; rows without a domain
     become new stub rows (name only, website dropped), one per row.
 
@@ -172,30 +168,24 @@ def upsert_companies(current: DataFrame | None, batch: DataFrame, batch_id: str
             "domain": dom,
             "name": F.coalesce(F.col("n.name"), o("name")),
             "created_seq": F.coalesce(o("created_seq"), F.col("n.created_seq")),
+            "created_batch": F.coalesce(o("created_batch"), F.lit(batch_no)),
         })
         for c in ("website", "source_name", "source_query", "search_query_id"):
             out[c] = F.coalesce(F.col(f"n.{c}"), o(c))
         return j.select(*[out[f.name].cast(f.dataType).alias(f.name) for f in schemas.COMPANIES.fields])
 
+    stubs = append_company_stubs(b, batch_id, batch_no)
     if first_load:
-        return merged(agg.alias("n"), has_old=False).unionByName(append_company_stubs(b, batch_id))
-    if broadcast_rows:
-        from leadframe.session import materialize
-        agg = materialize(agg, "companies-batch")
-    if broadcast_rows and _at_most(agg, broadcast_rows):
-        # stored companies stream past the batch's domains (no shuffle of them)
-        kept = merged(current.alias("o").join(F.broadcast(agg).alias("n"), F.col("o.domain") == F.col("n.domain"),
-                                              "left"))
-        seen = current.select("domain").join(F.broadcast(agg.select("domain")), "domain", "left_semi")
-        new = agg.join(seen, "domain", "left_anti").alias("n")
-        merged_all = kept.unionByName(merged(new, has_old=False))
-    else:
-        o, n = current.alias("o"), agg.alias("n")
-        merged_all = merged(o.join(n, F.col("o.domain") == F.col("n.domain"), "full_outer"))
-    return merged_all.unionByName(append_company_stubs(b, batch_id))
-
-
-def append_company_stubs(batch: DataFrame, batch_id: str = "0") -> DataFrame:
+        return merged(agg.alias("n"), has_old=False).unionByName(stubs)
+    from leadframe.session import fits_broadcast, materialize
+    agg = materialize(agg, "companies-batch")
+    if fits_broadcast(agg) if stream_stored is None else stream_stored:
+        return _past_stored(current, agg, "domain", merged).unionByName(stubs)
+    o, n = current.alias("o"), agg.alias("n")
+    return merged(o.join(n, F.col("o.domain") == F.col("n.domain"), "full_outer")).unionByName(stubs)
+
+
+def append_company_stubs(batch: DataFrame, batch_id: str, batch_no: int = 0) -> DataFrame:
     """K3: every batch row without a domain becomes a new company row."""
     stubs = batch.filter(nonempty("domain").isNull())
     cols = {f.name: F.lit(None).cast(f.dataType) for f in schemas.COMPANIES.fields}
@@ -204,12 +194,12 @@ def append_company_stubs(batch: DataFrame, batch_id: str = "0") -> DataFrame:
         "name": _safe_name(F.col("name"), F.col("domain")),
         "source_name": nonempty("source_name"), "source_query": nonempty("source_query"),
         "search_query_id": F.col("search_query_id").cast("long"),
-        "created_seq": F.col(SEQ).cast("long"),
+        "created_seq": F.col(SEQ).cast("long"), "created_batch": F.lit(batch_no),
     })
     return stubs.select(*[cols[f.name].cast(f.dataType).alias(f.name) for f in schemas.COMPANIES.fields])
 
 
-def persist_companies(current: DataFrame | None, companies: DataFrame, batch_id: str = "0"):
+def persist_companies(current: DataFrame | None, companies: DataFrame, batch_id: str, batch_no: int = 0):
     """K4: validated company rows (V13 output, alias columns) through K2/K3;
     no query id is passed. Returns (companies table, processed count column
     as a one-row frame)."""
@@ -224,14 +214,14 @@ def persist_companies(current: DataFrame | None, companies: DataFrame, batch_id:
         nonempty("source_name").alias("source_name"), nonempty("source_query").alias("source_query"),
         F.lit(None).cast("long").alias("search_query_id"), F.col(SEQ))
     rows = rows.filter(F.coalesce(F.col("name"), F.col("domain"), F.col("website")).isNotNull())
-    table = upsert_companies(current, rows, batch_id)
+    table = upsert_companies(current, rows, batch_id, batch_no)
     processed = rows.agg(F.count(F.lit(1)).alias("processed_companies"))
     return table, processed
 
 
 # ---------------------------------------------------------------------- K5
 def link_people_companies(people: DataFrame, companies: DataFrame, records: DataFrame,
-                          batch_id: str = "0") -> DataFrame:
+                          batch_id: str) -> DataFrame:
     """K5: each person gets the company of its newest record that names a
     domain or a company; domain companies are looked up by domain, stubs by
     their record. People without such a record keep their link."""
@@ -294,14 +284,12 @@ def attach_query_id(records: DataFrame, dim: DataFrame, entity_type: str = "pers
     ``compat=True``: the first record (by ``ingest_seq``) having both decides
     for the whole batch, as the reference does.
     """
-    from leadframe.session import broadcast_if_small
     d = dim.filter(F.col("entity_type") == entity_type).select(
         F.col("source").alias("_s"), F.col("normalized_query").alias("_q"), F.col("id").alias("_qid"))
     has = nonempty("source_name").isNotNull() & nonempty("source_query").isNotNull()
     if not compat:
-        # search queries are few next to people: broadcast after a size check,
-        # so a query shared by a third of the batch causes no skewed shuffle
-        d = broadcast_if_small(d)
+        # a dimension read from a written table is broadcast by its bytes when
+        # small; else AQE splits a query that many records share
         r = records.withColumn("_s", F.when(has, F.col("source_name"))) \
                    .withColumn("_q", F.when(has, normalize_query("source_query")))
         return r.join(d, ["_s", "_q"], "left").withColumn("search_query_id", F.col("_qid")) \
@@ -326,7 +314,7 @@ def backfill_queries(people: DataFrame, dim: DataFrame, now: str):
              .select(F.coalesce(F.col("source_name"), F.lit("")).alias("source"),
                      F.lit("person").alias("entity_type"),
                      F.coalesce(F.col("source_query"), F.lit("")).alias("query_text"),
-                     norm.alias("normalized_query"), F.col("created_seq").alias(SEQ)))
+                     norm.alias("normalized_query"), F.struct("created_batch", "created_seq").alias(SEQ)))
     first = pairs.groupBy("source", "entity_type", "normalized_query") \
                  .agg(F.min_by("query_text", SEQ).alias("query_text"))
     keys = ["source", "entity_type", "normalized_query"]
@@ -336,9 +324,10 @@ def backfill_queries(people: DataFrame, dim: DataFrame, now: str):
                           "source", "entity_type", "query_text", "normalized_query",
                           now_ts.alias("created_at"), F.lit(None).cast("timestamp").alias("last_executed_at"))
     dim2 = dim.unionByName(new_rows)
-    from leadframe.session import broadcast_if_small
-    lookup = broadcast_if_small(dim2.filter(F.col("entity_type") == "person").select(
-        F.col("source").alias("_s"), F.col("normalized_query").alias("_q"), F.col("id").alias("_qid")))
+    from leadframe.session import materialize
+    dim2 = materialize(dim2, "queries")
+    lookup = dim2.filter(F.col("entity_type") == "person").select(
+        F.col("source").alias("_s"), F.col("normalized_query").alias("_q"), F.col("id").alias("_qid"))
     p = (people.withColumn("_s", F.coalesce(F.col("source_name"), F.lit("")))
          .withColumn("_q", norm)
          .join(lookup, ["_s", "_q"], "left")
@@ -356,7 +345,7 @@ DEDUPE_FIELDS = ["first_name", "last_name", "title_current", "email", "location_
                  "last_interaction_date", "company_id"]
 
 
-def dedupe_people(people: DataFrame, order_col: str = "created_seq"):
+def dedupe_people(people: DataFrame):
     """Merge people whose profile URLs normalise (N7) to one key (the raw
     URL when N7 gives NULL). The earliest row survives; for each of the 17
     fields the survivor keeps its value unless NULL, else takes the first
@@ -369,7 +358,7 @@ def dedupe_people(people: DataFrame, order_col: str = "created_seq"):
     from leadframe.functions.urls import with_profile_key
     p = with_profile_key(people, "linkedin_profile", "_key") \
         .withColumns({"_key": F.coalesce(F.col("_key"), F.col("linkedin_profile")),
-                      "_ord": F.struct(F.col(order_col), F.col("id"))})
+                      "_ord": F.struct("created_batch", "created_seq", "id")})
     types = dict(people.dtypes)
 
     def usable(c):
@@ -415,9 +404,9 @@ def erase_profiles(people: DataFrame, messages: DataFrame, keys: DataFrame):
     """Remove the people named in ``keys`` (column ``profile_url``, any
     spelling: compared after N7) and every outreach message on them.
     Returns (people, messages)."""
-    from leadframe.session import broadcast_if_small
-    k = broadcast_if_small(
-        keys.select(F.coalesce(profile_key("profile_url"), F.col("profile_url")).alias("_k")).distinct())
+    from leadframe.session import materialize
+    k = materialize(keys.select(F.coalesce(profile_key("profile_url"), F.col("profile_url")).alias("_k")).distinct(),
+                    "erase-keys")
 
     def keyed(df):
         return df.withColumn("_k", F.coalesce(profile_key("linkedin_profile"), F.col("linkedin_profile")))
@@ -438,41 +427,51 @@ def erase_companies(companies: DataFrame, people: DataFrame, ids: DataFrame):
 
 
 # --------------------------------------------------------------------- K13
+def with_company_domain(records: DataFrame, rules=None) -> DataFrame:
+    """Records with a key, and ``_domain``: the company domain given, else the
+    apex (D1, by ``rules``) of the company website."""
+    from leadframe.functions.urls import apex_domain
+    from leadframe.sources.suffixes import DEFAULT_RULES
+    return records.filter(F.col("linkedin_profile").isNotNull()).withColumn(
+        "_domain", F.coalesce(nonempty("company_domain"),
+                              apex_domain(F.col("company_website"), rules or DEFAULT_RULES)))
+
+
 def person_ingest(records: DataFrame, people: DataFrame | None, companies: DataFrame | None,
-                  queries: DataFrame | None, now: str, batch_id: str = "0",
-                  compat_query: bool = False, materialize_batch: bool = True):
+                  queries: DataFrame | None, now: str, batch_id: str, batch_no: int = 0,
+                  compat_query: bool = False, materialize_batch: bool = True, rules=None):
     """Standardised person records -> query dimension (K7/K8) -> company
     upsert (K2/K3) -> people upsert with the company link (K1 + K5, one pass).
 
     ``records`` follow ``schemas.PERSON_RECORD`` (see
-    ``operators.standardise.standardise_people``). Returns
-    (people, companies, queries, processed) where ``processed`` is a one-row
-    frame counting records with a key.
+    ``operators.standardise.standardise_people``); with a ``_domain`` column
+    they are taken as ``with_company_domain`` left them. ``batch_id`` must not
+    have been used before. Returns (people, companies, queries, processed)
+    where ``processed`` is a one-row frame counting records with a key.
     """
-    from leadframe.sources.suffixes import DEFAULT_RULES
-    from leadframe.functions.urls import apex_domain
     from leadframe.session import materialize
 
-    # the batch feeds four jobs (queries, people, companies, links): the
-    # company domain is derived once and the batch is written once
-    keyed = records.filter(F.col("linkedin_profile").isNotNull()).withColumn(
-        "_domain", F.coalesce(nonempty("company_domain"), apex_domain(F.col("company_website"), DEFAULT_RULES)))
-    if materialize_batch:
-        keyed = materialize(keyed, "ingest-batch")
+    # the batch feeds four jobs (queries, people, companies, links) and the
+    # company and query tables two each: all three are written once
+    keep = (lambda df, name: materialize(df, name)) if materialize_batch else (lambda df, name: df)
+    keyed = records if "_domain" in records.columns else keep(with_company_domain(records, rules), "ingest-batch")
     qbatch = keyed.filter(nonempty("source_name").isNotNull() & nonempty("source_query").isNotNull()) \
                   .select(F.col("source_name").alias("source"), F.lit("person").alias("entity_type"),
                           F.col("source_query").alias("query_text"), SEQ)
     if compat_query:
         qbatch = qbatch.orderBy(SEQ).limit(1)
-    queries2 = upsert_queries(queries, qbatch, now)
+    queries2 = keep(upsert_queries(queries, qbatch, now), "ingest-queries")
     rec = attach_query_id(keyed, queries2, compat=compat_query)
     comp_rows = rec.select(
         F.col("company_name").alias("name"), F.col("_domain").alias("domain"),
         F.col("company_website").alias("website"), "source_name", "source_query", "search_query_id", SEQ
     ).filter(F.coalesce(nonempty("domain"), nonempty("name")).isNotNull())
-    companies2 = upsert_companies(companies, comp_rows, batch_id)
-    # K1 and K5 in one pass over the stored people
+    companies2 = keep(upsert_companies(companies, comp_rows, batch_id, batch_no), "ingest-companies")
+    # K1 and K5 in one pass over the stored people; only the batch's domains
+    # are looked up, so the stored companies are filtered before the join
+    domains = rec.select(F.col("_domain").alias("domain")).distinct()
+    linkable = companies2.join(domains, "domain", "left_semi") if companies is not None else companies2
     people3 = upsert_people(people, rec.drop("company_domain").withColumnRenamed("_domain", "company_domain"),
-                            now, companies=companies2, batch_id=batch_id)
+                            now, companies=linkable, batch_id=batch_id, batch_no=batch_no)
     processed = keyed.agg(F.count(F.lit(1)).alias("processed_people"))
     return people3, companies2, queries2, processed

@@ -105,4 +105,4 @@ def r2_report_recent(spark, sf):
 
 
 # the other query families register themselves on import
-from leadframe.plans import q_people, q_companies, q_text, q_ops  # noqa: E402,F401
+from leadframe.plans import q_people, q_companies, q_text, q_ops, q_batches  # noqa: E402,F401

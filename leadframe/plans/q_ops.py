@@ -9,7 +9,7 @@ from leadframe.operators import extract, outreach, reports, responses, standardi
 from leadframe.plans import inputs
 from leadframe.plans.q_people import (ORDER_QUERIES_SQL, SUPPLIER_COMPANIES_SQL, _K7_SQL, _R2_PARTS,
                                       order_queries, supplier_companies)
-from leadframe.plans.registry import NOW, register
+from leadframe.plans.registry import BATCH, NOW, register
 from leadframe.plans.sqlparts import K1_AGG
 from leadframe.session import scratch_dir
 from leadframe.sources import export, readers
@@ -45,7 +45,7 @@ def part_templates(spark, sf):
 @register("o1_add_templates", """SELECT p_name AS name, CASE WHEN p_partkey % 2 = 0 THEN 'linkedin' ELSE 'email' END
   AS channel, 'Hi {{first_name}}, ' || p_type AS body_md, CAST(1 AS INTEGER) AS is_active FROM part""")
 def o1_add_templates(spark, sf):
-    t = outreach.add_templates(None, part_templates(spark, sf), NOW)
+    t = outreach.add_templates(None, part_templates(spark, sf), NOW, BATCH)
     return t.select("name", "channel", "body_md", "is_active")
 
 
@@ -55,7 +55,7 @@ def o1_add_templates(spark, sf):
 def o2_schedule_messages(spark, sf):
     new = inputs.messages(spark, sf).withColumn("stage_no", F.when(F.col("id") % 13 != 0, F.col("stage_no"))) \
                                     .withColumnRenamed("id", "ingest_seq")
-    m = outreach.schedule_messages(None, new, NOW)
+    m = outreach.schedule_messages(None, new, NOW, BATCH)
     return m.select("linkedin_profile", "channel", "stage_no", "status", _fmt("scheduled_at"), "rendered_md")
 
 
@@ -230,12 +230,12 @@ _JSON_FIELDS = ["name", "profile_url", "summary", "current_position", "company",
 @register("s1_read_people_json", f"""SELECT {", ".join(_JSON_FIELDS)} FROM ({inputs.RAW_PROFILES_SQL})""")
 def s1_read_people_json(spark, sf):
     """Raw profiles written as JSON documents of both shapes (an object
-    holding ``profiles``, or a bare array), 50 per file, read back."""
+    holding ``profiles``, or a bare array), 64 files at any size, read back."""
     raw = inputs.raw_profiles(spark, sf)
-    g = (F.col("ingest_seq") / 50).cast("long")
+    g = F.col("ingest_seq") % 64
     docs = (raw.withColumn("g", g)
             .groupBy("g").agg(F.sort_array(F.collect_list(F.struct("ingest_seq", F.struct(*_JSON_FIELDS).alias("p"))))
-                              .alias("items")))   # at most 50 rows per group by construction
+                              .alias("items")))   # one JSON document per file: the format needs its rows together
     arr = F.transform("items", lambda x: x["p"])
     docs = docs.select("g", F.when(F.col("g") % 2 == 0, F.to_json(F.struct(arr.alias("profiles"))))
                        .otherwise(F.to_json(arr)).alias("value"))
@@ -245,49 +245,56 @@ def s1_read_people_json(spark, sf):
 
 
 def landed_pages(spark, sf):
-    """Result pages from customers: query = nation, page = 250-key block."""
+    """Result pages from customers: a query per 97 customers, ten pages each
+    of at most ten items (some shorter), pages missing for some queries, few
+    total results for others, and an older empty landing of some first pages."""
     from leadframe.plans.q_text import search_items
-    it = search_items(spark, sf).join(inputs.table(spark, sf, "customer").select("c_custkey", "c_nationkey"),
-                                      F.col("ingest_seq") == F.col("c_custkey"))
-    block = (F.col("ingest_seq") / 250).cast("int")
-    pages = (it.groupBy(F.col("c_nationkey"), block.alias("block"))
-             .agg(F.array_sort(F.collect_list(F.struct("ingest_seq", "google_result")),
+    it = search_items(spark, sf).filter((F.col("ingest_seq") % 7 != 0) & (F.col("ingest_seq") % 10 != 3))
+    q, k = (F.col("ingest_seq") / 97).cast("long"), F.col("ingest_seq") % 97
+    pages = (it.withColumn("q", q).withColumn("page_no", (k / 10).cast("int"))
+             .groupBy("q", "page_no")
+             .agg(F.array_sort(F.collect_list(F.struct("ingest_seq", "google_result")),      # at most 10 rows
                                lambda a, b: F.when(a["ingest_seq"] < b["ingest_seq"], -1)
-                               .when(a["ingest_seq"] > b["ingest_seq"], 1).otherwise(0)).alias("items")))
-    return pages.select(
-        F.concat(F.lit("nation-"), F.col("c_nationkey").cast("string")).alias("query"),
-        (F.col("block") * 10 + 1).cast("int").alias("start"),
-        F.when(F.col("c_nationkey") == 3, F.lit(15)).otherwise(F.lit(1000)).cast("long").alias("total_results"),
+                               .when(a["ingest_seq"] > b["ingest_seq"], 1).otherwise(0)).alias("items"))
+             .filter(~((F.col("q") % 6 == 1) & (F.col("page_no") == 2))))
+    total = F.when(F.col("q") % 5 == 3, 15).otherwise(1000).cast("long")
+    pages = pages.select(
+        F.concat(F.lit("query-"), F.col("q").cast("string")).alias("query"),
+        (F.col("page_no") * 10 + 1).cast("int").alias("start"), total.alias("total_results"),
         F.transform("items", lambda x: x["google_result"]).alias("items"),
-        F.lit(1).cast("long").alias("landed_seq"))
+        (F.col("q") * 100 + F.col("page_no") + 20).cast("long").alias("landed_seq"))
+    older = pages.filter((F.col("start") == 1) & (F.col("landed_seq") % 400 == 20)).select(
+        "query", "start", F.lit(0).cast("long").alias("total_results"), F.slice("items", 1, 0).alias("items"),
+        (F.col("landed_seq") - 10).alias("landed_seq"))
+    return pages.unionByName(older)
 
 
 def _s2_sql():
     from leadframe.plans.q_text import _LINK_SQL
-    return f"""WITH it AS (SELECT c_custkey AS k, c_nationkey AS nat, CAST(c_custkey // 250 AS INTEGER) AS block,
-    {_LINK_SQL} AS link FROM customer),
-pg AS (SELECT 'nation-' || nat AS query, block AS page_no, block * 10 + 1 AS start,
-         CASE WHEN nat = 3 THEN 15 ELSE 1000 END AS total, count(*) AS n FROM it GROUP BY ALL),
+    return f"""WITH it AS (SELECT c_custkey AS k, c_custkey // 97 AS q, CAST((c_custkey % 97) // 10 AS INTEGER) AS page_no,
+    {_LINK_SQL} AS link FROM customer WHERE c_custkey % 7 <> 0 AND c_custkey % 10 <> 3),
+pg AS (SELECT q, page_no, page_no * 10 + 1 AS start, CASE WHEN q % 5 = 3 THEN 15 ELSE 1000 END AS total, count(*) AS n
+       FROM it WHERE NOT (q % 6 = 1 AND page_no = 2) GROUP BY ALL),
 pg2 AS (SELECT *, (page_no = row_number() OVER w - 1) AND n > 0
            AND NOT coalesce(lag(start + 10 > total) OVER w, false) AS ok,
-         coalesce(sum(n) OVER (PARTITION BY query ORDER BY page_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
-           AS before
-        FROM pg WHERE page_no < 4 WINDOW w AS (PARTITION BY query ORDER BY page_no)),
-pg3 AS (SELECT *, min(CAST(ok AS INTEGER)) OVER (PARTITION BY query ORDER BY page_no
+         coalesce(sum(n) OVER (PARTITION BY q ORDER BY page_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+           AS before,
+         min(q * 100 + page_no + CASE WHEN page_no = 0 AND q % 4 = 0 THEN 10 ELSE 20 END) OVER (PARTITION BY q) AS qs
+        FROM pg WINDOW w AS (PARTITION BY q ORDER BY page_no)),
+pg3 AS (SELECT *, min(CAST(ok AS INTEGER)) OVER (PARTITION BY q ORDER BY page_no
           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run_ok FROM pg2),
-items AS (SELECT 'nation-' || nat AS query, block AS page_no, link,
-            row_number() OVER (PARTITION BY nat, block ORDER BY k) - 1 AS i FROM it)
-SELECT p.query, CAST(p.start + i AS INTEGER) AS position, CAST(p.page_no + 1 AS INTEGER) AS page,
-  CAST(p.before + i AS BIGINT) AS item_index, items.link
-FROM pg3 p JOIN items USING (query, page_no) WHERE p.run_ok = 1 AND p.before + i < 40"""
+items AS (SELECT q, page_no, link, row_number() OVER (PARTITION BY q, page_no ORDER BY k) - 1 AS i FROM it)
+SELECT 'query-' || p.q AS query, CAST(p.start + i AS INTEGER) AS position, CAST(p.page_no + 1 AS INTEGER) AS page,
+  CAST(p.before + i AS BIGINT) AS item_index, CAST(qs * 1048576 + p.before + i AS BIGINT) AS ingest_seq, items.link
+FROM pg3 p JOIN items USING (q, page_no) WHERE p.run_ok = 1 AND p.before + i < 40"""
 
 
 @register("s2_flatten_search_pages", _s2_sql())
 def s2_flatten_search_pages(spark, sf):
-    """S2 (rows-only): pages per nation, 40 results at most per query."""
+    """Short pages, gaps and repeated landings; 40 results at most per query."""
     items = readers.flatten_search_pages(landed_pages(spark, sf), max_results=40)
     return items.select(F.col("search_metadata.query_used").alias("query"), "search_metadata.position",
-                        "search_metadata.page", "item_index", F.col("google_result.link").alias("link"))
+                        "search_metadata.page", "item_index", "ingest_seq", F.col("google_result.link").alias("link"))
 
 
 @register("s3_build_search_queries", """SELECT n_nationkey,
@@ -348,8 +355,10 @@ def s8_snapshot_upsert(spark, sf):
     ts = inputs.table(spark, sf, "events").select(F.col("event_id").alias("ingest_seq"), "ts")
     rec = rec.join(ts, "ingest_seq")
     early = F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")
-    store.write(upsert.upsert_people(None, rec.filter(early).drop("ts"), NOW), "people")
-    store.write(upsert.upsert_people(store.read("people"), rec.filter(~early).drop("ts"), NOW), "people")
+    for i, batch in enumerate((rec.filter(early).drop("ts"), rec.filter(~early).drop("ts"))):
+        touched = store.touched("people", batch.filter(F.col("linkedin_profile").isNotNull()))
+        people = upsert.upsert_people(store.read("people", buckets=touched), batch, NOW, batch_no=store.next_batch())
+        store.commit({"people": (people, touched)}, f"half-{i}")
     return store.read("people").select(*_PEOPLE_OUT)
 
 

@@ -30,7 +30,8 @@ def url_host(x: str) -> str:
 
 
 def url_path(x: str) -> str:
-    return f"regexp_extract({x}, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1)"
+    path = f"regexp_extract({x}, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1)"
+    return f"regexp_replace({path}, ';[^/]*$', '')"
 
 
 def url_scheme(x: str) -> str:
@@ -97,6 +98,10 @@ def apex(x: str, rules) -> str:
     parent = "array_to_string(lab[i + 2:], '.')"
     below = "array_to_string(lab[i:], '.')"
     cond = f"list_contains({lst(rules.exact)}, {suf})"
+    if rules.country_second:
+        flat = f" AND NOT list_contains({lst(rules.country_flat)}, split_part({suf}, '.', 2))" if rules.country_flat else ""
+        cond += (f" OR regexp_matches({suf}, '^[a-z]{{2}}$') OR (regexp_matches({suf}, '^[a-z]+\\.[a-z]{{2}}$')"
+                 f" AND list_contains({lst(rules.country_second)}, split_part({suf}, '.', 1)){flat})")
     if rules.wildcard:
         cond += (f" OR (i + 1 < len(lab) AND list_contains({lst(rules.wildcard)}, {parent})"
                  + (f" AND NOT list_contains({lst(rules.exception)}, {suf})" if rules.exception else "") + ")")

@@ -15,6 +15,9 @@ def _st(*fields) -> T.StructType:
     return T.StructType([T.StructField(n, t, True) for n, t in fields])
 
 
+# Arrival order over all runs is (created_batch, created_seq): the number of the
+# commit that first stored the row, and the row's place in that batch.
+
 # Fields of a person that an upsert merges "new non-NULL over old".
 PERSON_MERGE_FIELDS = [
     ("first_name", S), ("last_name", S), ("title_current", S), ("email", S),
@@ -26,13 +29,13 @@ PERSON_MERGE_FIELDS = [
 PEOPLE = _st(("id", L), ("linkedin_profile", S), *PERSON_MERGE_FIELDS[:11],
              ("lookup_date", S), ("is_hot", I), ("status", S), ("notes", S),
              ("last_interaction_date", S), *PERSON_MERGE_FIELDS[11:13],
-             ("company_id", L), ("search_query_id", L), ("created_seq", L))
+             ("company_id", L), ("search_query_id", L), ("created_seq", L), ("created_batch", L))
 
 COMPANIES = _st(("id", L), ("name", S), ("domain", S), ("website", S), ("legal_form", S),
                 ("industries", ARR), ("locations_de", ARR), ("multinational", I),
                 ("size_employees", L), ("business_model", ARR), ("products", ARR),
                 ("recent_news", ARR), ("source_name", S), ("source_query", S),
-                ("search_query_id", L), ("last_enriched_at", TS), ("created_seq", L))
+                ("search_query_id", L), ("last_enriched_at", TS), ("created_seq", L), ("created_batch", L))
 
 SEARCH_QUERIES = _st(("id", L), ("source", S), ("entity_type", S), ("query_text", S),
                      ("normalized_query", S), ("created_at", TS), ("last_executed_at", TS))

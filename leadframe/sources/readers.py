@@ -39,16 +39,33 @@ def align_schema(df: DataFrame, target: T.StructType, defaults: dict | None = No
 
 
 # ---------------------------------------------------------------------- S1
+def numbered(df: DataFrame, key: str, out: str) -> DataFrame:
+    """Distinct ``key`` values with their rank from 0, without a one-task
+    window: Spark's range partitions are sorted and numbered on their own, and
+    the sizes of the partitions before are added (one number per partition)."""
+    from leadframe.session import materialize
+    w = Window.partitionBy("_p").orderBy(key)
+    d = df.select(key).distinct()
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = d.repartitionByRange(parts, key).select(key, F.spark_partition_id().alias("_p"))
+    d = materialize(d, "file-ranges").withColumn("_i", F.row_number().over(w) - 1)
+    before, offsets = 0, []
+    for r in sorted(d.groupBy("_p").count().collect()):
+        offsets.append((r[0], before))
+        before += r[1]
+    base = df.sparkSession.createDataFrame(offsets or [(0, 0)], "_p int, _before long")
+    return d.join(F.broadcast(base), "_p").select(key, (F.col("_before") + F.col("_i")).alias(out))   # a row per partition
+
+
 def read_people_json(spark: SparkSession, path: str) -> DataFrame:
     """People JSON files: an object whose ``profiles`` holds the array, or
     a bare array; an empty or missing array reads as no rows. Raw and mapped
     keys are both read; ``ingest_seq`` keeps file order (file, position)."""
-    from leadframe.session import broadcast_if_small
-    raw = spark.read.text(path, wholetext=True).withColumn("_file", F.input_file_name())
-    # rank of each file by path: one row per file, attached before exploding
-    # (a 1:1 join per file, so a file holding most profiles causes no skew)
-    files = raw.select("_file").withColumn("_fr", F.dense_rank().over(Window.orderBy("_file")))
-    raw = raw.join(broadcast_if_small(files), "_file")
+    raw = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("_file"))
+    # place of each file by path: names only (no content is read for it),
+    # numbered range by range, then joined by AQE's choice
+    files = (spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("_file")))
+    raw = raw.join(numbered(files, "_file", "_fr"), "_file")
     v = raw.select("_fr", F.expr("try_parse_json(value)").alias("v"))
     arr = F.expr("""CASE WHEN startswith(schema_of_variant(v), 'ARRAY') THEN try_variant_get(v, '$', 'array<variant>')
                          ELSE try_variant_get(v, '$.profiles', 'array<variant>') END""")
@@ -83,36 +100,42 @@ def flatten_search_pages(pages: DataFrame, max_results: int, page_size: int = 10
     ``start + page_size`` passes ``total_results``, and at ``max_results``
     items per query. ``position = start + i``, ``page = (start-1)//size+1``.
 
-    Only the first ceil(max_results/page_size) pages of a query can matter,
-    so they are cut first; the per-query window then holds a bounded number
-    of rows however skewed the queries are.
+    ``ingest_seq`` orders the items of all queries: by the first landing of
+    the query, then the item's place in it (``landed_seq`` numbers landings
+    and is unique; ``max_results`` is below 2^20).
+
+    The per-query window sees one narrow row per landed page; the items are
+    joined to the pages that count afterwards.
     """
-    need = -(-max_results // page_size)
     p = (pages.filter((F.col("start") >= 1) & (((F.col("start") - 1) % page_size) == 0))
-         .withColumn("page_no", ((F.col("start") - 1) / page_size).cast("int"))
-         .filter(F.col("page_no") < need))
+         .withColumn("page_no", ((F.col("start") - 1) / page_size).cast("int")))
     # a page landed twice: the last landing wins (aggregate, map-side combined)
-    p = (p.groupBy("query", "page_no")
-         .agg(F.max_by(F.struct("start", "total_results", "items"), F.col("landed_seq")).alias("pg"))
-         .select("query", "page_no", "pg.*"))
+    p = (p.withColumn("n_items", F.coalesce(F.size("items"), F.lit(0)))
+         .groupBy("query", "page_no")
+         .agg(F.max_by(F.struct("start", "total_results", "n_items", "landed_seq"), F.col("landed_seq")).alias("pg"),
+              F.min("landed_seq").alias("_landed"))
+         .select("query", "page_no", "pg.*", "_landed"))
     w = Window.partitionBy("query").orderBy("page_no")
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    n_items = F.coalesce(F.size("items"), F.lit(0))
     ended = (F.col("start") + page_size) > F.coalesce(F.col("total_results"), F.lit(0))
-    ok = ((F.col("page_no") == F.row_number().over(w) - 1) & (n_items > 0)
+    ok = ((F.col("page_no") == F.row_number().over(w) - 1) & (F.col("n_items") > 0)
           & ~F.coalesce(F.lag(ended).over(w), F.lit(False)))
     p = (p.withColumn("_ok", F.min(ok.cast("int")).over(run))
-         .withColumn("_before", F.coalesce(F.sum(n_items).over(w.rowsBetween(Window.unboundedPreceding, -1)),
+         .withColumn("_before", F.coalesce(F.sum("n_items").over(w.rowsBetween(Window.unboundedPreceding, -1)),
                                            F.lit(0)))
-         .filter(F.col("_ok") == 1))
-    it = p.select("query", "start", "page_no", "_before", F.posexplode("items").alias("i", "google_result"))
-    it = it.filter(F.col("_before") + F.col("i") < max_results)
+         .withColumn("_query_seq", F.min("_landed").over(Window.partitionBy("query")))
+         .filter((F.col("_ok") == 1) & (F.col("_before") < max_results))
+         .select("query", "landed_seq", "page_no", "_before", "_query_seq"))
+    it = (pages.select("query", "start", "landed_seq", "items").join(p, ["query", "landed_seq"])
+          .filter((F.col("start") - 1) == F.col("page_no") * page_size)
+          .select("query", "start", "page_no", "_before", "_query_seq", F.posexplode("items").alias("i", "google_result")))
+    it = it.withColumn("item_index", (F.col("_before") + F.col("i")).cast("long")).filter(F.col("item_index") < max_results)
     return it.select(
         "google_result",
         F.struct((F.col("start") + F.col("i")).alias("position"), (F.col("page_no") + 1).alias("page"),
                  F.col("query").alias("query_used"),
                  (F.col("page_no") + 1).alias("api_call_number")).alias("search_metadata"),
-        (F.col("_before") + F.col("i")).cast("long").alias("item_index"),
+        "item_index", (F.col("_query_seq") * (1 << 20) + F.col("item_index")).alias("ingest_seq"),
     )
 
 

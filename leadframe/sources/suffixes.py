@@ -1,18 +1,19 @@
 """Public-suffix rules for the apex-domain rule.
 
 The rules are a parameter: pass the official list (``load_suffix_rules``
-reads the standard file format) or use the small built-in default below. The
-file is a bounded configuration file (a few hundred KB), read once on the
+reads the standard file format, without the country rule) or use the built-in
+default below. A host under no suffix has no apex domain, so it is never merged
+with another. The file is a bounded configuration file (a few hundred KB), read once on the
 driver; the rule itself runs inside executors as hashed IN-sets.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
-# A small default in the standard list format: generic and common country
-# domains, common second levels, and one wildcard with its exception to keep
-# those code paths exercised.
+# The default in the standard list format: generic suffixes, and one wildcard
+# with its exception. Countries follow by rule (below): any two letters are a
+# suffix, and so is a common second level under them.
 DEFAULT_RULES_TEXT = """
 com
 net
@@ -25,9 +26,6 @@ info
 biz
 name
 pro
-io
-ai
-co
 app
 dev
 tech
@@ -36,84 +34,75 @@ site
 shop
 store
 cloud
-eu
-de
-at
-ch
-fr
-es
-it
-nl
-be
-lu
-dk
-se
-no
-fi
-pl
-cz
-pt
-ie
-uk
-co.uk
-org.uk
-ac.uk
-gov.uk
+agency
+company
+consulting
+digital
+email
+group
+gmbh
+global
+ltd
+live
+media
+network
+news
+one
+services
+solutions
+space
+studio
+systems
+team
+today
+website
+work
+world
+xyz
+berlin
+hamburg
+koeln
+cologne
+bayern
+ruhr
+saarland
+wien
+tirol
+paris
+london
+nyc
+tokyo
+amsterdam
+swiss
+asia
+africa
 ltd.uk
 plc.uk
-us
-ca
-mx
-br
-com.br
-ar
-com.ar
-au
-com.au
-net.au
-org.au
-nz
-co.nz
-jp
-co.jp
-ne.jp
-or.jp
-cn
-com.cn
-in
-co.in
-ru
-tr
-com.tr
-za
-co.za
-sg
-com.sg
-hk
-com.hk
-kr
-co.kr
-tw
-com.tw
-il
-co.il
-ae
-me
-tv
-cc
-ly
-gg
-to
+me.uk
+sch.uk
+asso.fr
+tm.fr
+in.th
+in.ua
+kiev.ua
+com.de
 *.ck
 !www.ck
 """
 
+# Second levels that registries of many countries use.
+COUNTRY_SECOND = ("com", "co", "net", "org", "edu", "gov", "mil", "ac", "or", "ne", "go", "gob", "gouv", "nom")
+# Countries that register names directly below the country, also under these labels.
+COUNTRY_FLAT = ("de", "ch", "nl", "be", "dk", "se", "fi", "cz", "eu", "us", "ca", "li", "ie", "sk")
+
 
 @dataclass(frozen=True)
 class SuffixRules:
     exact: tuple = field(default_factory=tuple)
     wildcard: tuple = field(default_factory=tuple)    # parents of "*." rules
     exception: tuple = field(default_factory=tuple)   # names after "!"
+    country_second: tuple = field(default_factory=tuple)  # non-empty: two letters are a suffix, and these below them
+    country_flat: tuple = field(default_factory=tuple)    # countries without such second levels
 
 
 def parse_suffix_rules(text: str) -> SuffixRules:
@@ -141,4 +130,5 @@ def load_suffix_rules(path: str | None = None) -> SuffixRules:
         return parse_suffix_rules(fh.read())
 
 
-DEFAULT_RULES = parse_suffix_rules(DEFAULT_RULES_TEXT)
+DEFAULT_RULES = replace(parse_suffix_rules(DEFAULT_RULES_TEXT), country_second=COUNTRY_SECOND,
+                        country_flat=COUNTRY_FLAT)

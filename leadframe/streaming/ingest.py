@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leadframe import schemas
-from leadframe.operators import reports, standardise, upsert
+from leadframe.operators import reports, runs, standardise
 from leadframe.sources.readers import parse_call_log
 from leadframe.sources.snapshots import SnapshotStore
 
@@ -27,33 +27,28 @@ def _utc_now() -> str:
     return datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
 
 
-def ingest_batch(store: SnapshotStore, batch: DataFrame, batch_tag: str, now: str | None = None) -> bool:
+def ingest_batch(store: SnapshotStore, batch: DataFrame, batch_id: str, now: str | None = None) -> bool:
     """One micro-batch of raw profiles: N1 mapping, N rules, K13 against the
-    latest snapshots, new snapshot versions. A tag already committed is
-    skipped, so a replayed batch (after a failure) is not applied twice.
+    stored tables, one commit. A batch id already committed is skipped, so a
+    replayed batch (after a failure at any step) is not applied twice.
     Returns whether the batch was applied."""
-    if store.has_tag("people", batch_tag):
+    if store.committed(batch_id):
         return False
     now = now or _utc_now()
     mapped = standardise.map_to_person_schema(batch, now[:10])
-    recs = standardise.standardise_people(mapped)
-    people, companies, queries, _ = upsert.person_ingest(
-        recs, store.read("people"), store.read("companies"), store.read("search_queries"), now, batch_tag)
-    store.write(queries, "search_queries")
-    store.write(companies, "companies")
-    store.write(people, "people")
-    store.tag("people", batch_tag)
+    runs.commit_people(store, standardise.standardise_people(mapped), now, batch_id)
     return True
 
 
 def start_people_ingest(spark: SparkSession, landing_dir: str, store_root: str, checkpoint: str,
-                        trigger: dict | None = None):
+                        trigger: dict | None = None, name: str = "people"):
     """Stream JSON-lines profiles from ``landing_dir`` into the snapshot
-    store; returns the running query. ``checkpoint`` must be shared storage."""
+    store; returns the running query. ``checkpoint`` must be shared storage
+    and belong to ``name``: its epochs are the stream's batch ids."""
     store = SnapshotStore(spark, store_root)
     stream = spark.readStream.schema(PROFILE_STREAM_SCHEMA).json(landing_dir)
     w = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
-        lambda df, batch_id: ingest_batch(store, df, f"stream-{batch_id}"))
+        lambda df, epoch: ingest_batch(store, df, f"stream:{name}:{epoch}"))
     return w.trigger(**(trigger or {"processingTime": "1 minute"})).start()
 
 

@@ -210,7 +210,39 @@ def test_s8_snapshot_versions(spark):
     assert store.read("t") is None
     store.write(spark.range(3), "t")
     store.write(store.read("t").filter("id > 0"), "t")
-    assert store.versions("t") == [1, 2] and store.read("t").count() == 2 and store.read("t", 1).count() == 3
+    assert store.versions() == [1, 2] and store.read("t").count() == 2 and store.read("t", 1).count() == 3
+    store.vacuum(keep=1)
+    assert store.versions() == [2] and store.read("t").count() == 2
+
+
+def test_s2_short_pages_reach_the_item_limit(spark):
+    """Pages of 8, 9 and 10 items, 20 wanted: 20 returned, also from pages past the first two."""
+    item = {"title": "t", "link": "l"}
+    pages = spark.createDataFrame([("q", 1, 1000, [item] * 8, 1), ("q", 11, 1000, [item] * 9, 2),
+                                   ("q", 21, 1000, [item] * 10, 3), ("r", 11, 1000, [item], 4)], readers.SEARCH_PAGE)
+    out = rows(readers.flatten_search_pages(pages, max_results=20))
+    assert sorted(r["item_index"] for r in out) == list(range(20))
+    assert len({r["ingest_seq"] for r in out}) == 20
+    assert max(r["search_metadata"]["position"] for r in out) == 23
+
+
+def test_s2_stops(spark):
+    """A gap, an empty page, and start + size past the total end a query."""
+    item = {"title": "t", "link": "l"}
+    pages = spark.createDataFrame(
+        [("gap", 1, 99, [item] * 2, 1), ("gap", 21, 99, [item], 2), ("empty", 1, 99, [item], 3), ("empty", 11, 99, [], 4),
+         ("empty", 21, 99, [item], 5), ("total", 1, 10, [item], 6), ("total", 11, 10, [item], 7),
+         ("again", 1, 99, [item], 8), ("again", 1, 99, [item] * 3, 9)], readers.SEARCH_PAGE)
+    out = readers.flatten_search_pages(pages, 50).groupBy("search_metadata.query_used").count().collect()
+    assert {r[0]: r[1] for r in out} == {"gap": 2, "empty": 1, "total": 1, "again": 3}
+
+
+def test_o_appends_keep_stored_rows(spark):
+    new = lambda u: spark.createDataFrame([(u, 1)], "linkedin_profile string, ingest_seq long").withColumns(
+        {c: F.lit(None).cast("string") for c in ("channel", "template_id", "stage_no", "rendered_md", "scheduled_at")})
+    one = outreach.schedule_messages(None, new("u1"), NOW, "a")
+    two = rows(outreach.schedule_messages(one, new("u2"), NOW, "b"))
+    assert sorted(r["linkedin_profile"] for r in two) == ["u1", "u2"] and len({r["id"] for r in two}) == 2
 
 
 def test_r2_sort_and_filters(spark):

@@ -14,7 +14,7 @@ def _plan(df):
 def test_k1_aggregates_map_side(spark):
     from leadframe.operators import upsert
     recs = catalog.person_records(spark, SF_SMALL)
-    p = _plan(upsert.upsert_people(None, recs, catalog.NOW, broadcast_rows=None))
+    p = _plan(upsert.upsert_people(None, recs, catalog.NOW))
     # a partial aggregate before the exchange on the key, a final one after it
     assert p.count("SortAggregate") + p.count("HashAggregate") >= 2
     assert "BatchEvalPython" not in p          # no row-at-a-time Python
@@ -50,7 +50,7 @@ def test_text_facts_stay_in_the_jvm(spark):
 
 def test_report_filters_reach_the_scan(spark):
     people = spark.read.parquet(f"{SF_SMALL}/customer.parquet").selectExpr(
-        "c_custkey AS id", "c_name AS linkedin_profile", "c_custkey AS created_seq",
+        "c_custkey AS id", "c_name AS linkedin_profile", "c_custkey AS created_seq", "1L AS created_batch",
         "CAST(c_acctbal AS BIGINT) AS followers_linkedin", "c_nationkey AS connections_linkedin",
         "CAST(NULL AS STRING) AS first_name", "CAST(NULL AS STRING) AS last_name",
         "CAST(NULL AS STRING) AS title_current", "CAST(c_nationkey AS BIGINT) AS company_id")

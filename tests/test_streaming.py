@@ -24,9 +24,9 @@ def test_people_stream_two_files(spark):
     assert len(people) == 1 and people[0]["followers_linkedin"] == 2000
     assert store.read("companies").collect()[0]["domain"] == "acme.com"
     # replaying a committed batch changes nothing
-    n = len(store.versions("people"))
-    assert not ingest.ingest_batch(store, spark.read.schema(ingest.PROFILE_STREAM_SCHEMA).json(land), "stream-0")
-    assert len(store.versions("people")) == n
+    n = len(store.versions())
+    assert not ingest.ingest_batch(store, spark.read.schema(ingest.PROFILE_STREAM_SCHEMA).json(land), "stream:people:0")
+    assert len(store.versions()) == n
 
 
 def test_usage_stream(spark):
