@@ -60,21 +60,15 @@ META_COMPANY_PATTERNS = [
     r"(?:^|\n)([A-Z][A-Za-z\s&.,'-]+?)(?:\s*[·•]|\s*\n|\s*$)",
 ]
 # Metatag location patterns (case-insensitive), first hit wins.
-META_CITIES = ["New York", "London", "Berlin", "Munich", "Hamburg", "Stuttgart", "Frankfurt",
-               "Paris", "Tokyo", "Singapore", "Sydney", "Toronto", "Chicago", "Boston",
-               "Seattle", "San Francisco", "Los Angeles", "Amsterdam", "Zurich", "Vienna",
-               "Barcelona", "Madrid", "Rome", "Milan", "Stockholm", "Copenhagen", "Helsinki",
-               "Oslo", "Dublin", "Edinburgh", "Manchester", "Birmingham", "Leeds", "Glasgow",
-               "Cardiff", "Belfast"]
-META_COUNTRIES = ["Germany", "UK", "USA", "Canada", "France", "Italy", "Spain", "Netherlands",
-                  "Sweden", "Norway", "Denmark", "Switzerland", "Austria", "Australia", "Japan",
-                  "Singapore"]
 META_LOCATION_PATTERNS = [
     r"Location:\s*([^·\n•|]+)",
     r"Based in\s+([^·\n•|.,]+)",
     r"Located in\s+([^·\n•|.,]+)",
-    r"\b((?:" + "|".join(META_CITIES) + r")[^·\n•|.,]*)",
-    r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*,\s*(?:" + "|".join(META_COUNTRIES) + r"))",
+    r"\b((?:New York|London|Berlin|Munich|Hamburg|Stuttgart|Frankfurt|Paris|Tokyo|Singapore|Sydney|Toronto|Chicago"
+    r"|Boston|Seattle|San Francisco|Los Angeles|Amsterdam|Zurich|Vienna|Barcelona|Madrid|Rome|Milan|Stockholm"
+    r"|Copenhagen|Helsinki|Oslo|Dublin|Edinburgh|Manchester|Birmingham|Leeds|Glasgow|Cardiff|Belfast)[^·\n•|.,]*)",
+    r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*,\s*(?:Germany|UK|USA|Canada|France|Italy|Spain|Netherlands|Sweden|Norway"
+    r"|Denmark|Switzerland|Austria|Australia|Japan|Singapore))",
 ]
 
 # Free-text facts.
@@ -130,7 +124,6 @@ DEGREE_PREFIX_PATTERNS = [
 # Company-name cleaning for domain guesses.
 UMLAUT_REPLACEMENTS = [("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("ß", "ss")]
 NAME_LEGAL_SUFFIXES = ["gmbh", "ltd", "inc", "corp", "ag", "co", "kg", "& co", "se", "llc"]
-DOMAIN_GUESS_TLDS = ["com", "de", "io", "ai", "org"]
 # Order of the ten guesses: (name form, tld); forms: "raw" = cleaned name,
 # "joined" = blanks removed, "dashed" = blanks to "-".
 DOMAIN_GUESS_ORDER = [("raw", "com"), ("raw", "de"), ("raw", "io"), ("raw", "ai"), ("raw", "org"),
@@ -177,8 +170,12 @@ PROMPT_NAME_TOKEN = "{{NAME}}"
 PROMPT_TITLE_TOKEN = "{{TITLE}}"
 PROMPT_SUMMARY_TOKEN = "{{SUMMARY}}"
 PROMPT_SNIPPET_LABEL = "\n\nGoogle Snippet: "
-COMPANY_TARGET_FORMAT = "Target company: {name}. Domain: {domain}"
-COMPANY_EXCERPT_FORMAT = "\nWebsite URL: {url}\nWebsite excerpt (truncated):\n{text}\n"
+COMPANY_TARGET_FORMAT = "Target company: %s. Domain: %s"
+COMPANY_EXCERPT_FORMAT = "\nWebsite URL: %s\nWebsite excerpt (truncated):\n%s\n"
+
+# Sites that are no company's own website.
+JOB_HOSTS = ["linkedin", "wikipedia", "facebook", "twitter", "instagram", "xing", "indeed", "stepstone",
+             "glassdoor", "monster"]
 
 # Legal forms: phrase -> short form (substring test, in order).
 LEGAL_FORM_PHRASES = [

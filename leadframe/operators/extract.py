@@ -32,6 +32,16 @@ def _item_columns(items: DataFrame) -> DataFrame:
         g["pagemap"]["metatags"].alias("metatags"))
 
 
+def first_items(items: DataFrame) -> DataFrame:
+    """X1 + X2: the first item of every canonical URL, before the name check,
+    and ``_n``, the number of items that share the URL."""
+    it = _item_columns(items).withColumn("profile_url", canonical_profile_url(F.col("link")))
+    cols = [c for c in it.columns if c != "profile_url"]
+    return (it.filter(F.col("profile_url").isNotNull()).groupBy("profile_url")
+            .agg(F.min_by(F.struct(*cols), F.col(SEQ)).alias("r"), F.count(F.lit(1)).alias("_n"))
+            .select("profile_url", "_n", "r.*"))
+
+
 def extract_profiles(items: DataFrame, answers: DataFrame | None = None,
                      company_from_text: bool = False):
     """X: returns (profiles, metrics).
@@ -42,12 +52,7 @@ def extract_profiles(items: DataFrame, answers: DataFrame | None = None,
     rule form of the prompt's company rules (X24).
     """
     it = _item_columns(items).withColumn("profile_url", canonical_profile_url(F.col("link")))
-    # Keep the first item per URL, before the name check
-    cols = it.columns
-    firsts = (it.filter(F.col("profile_url").isNotNull()).groupBy("profile_url")
-              .agg(F.min_by(F.struct(*[F.col(c) for c in cols if c != "profile_url"]), F.col(SEQ)).alias("r"),
-                   F.count(F.lit(1)).alias("_n")))
-    p = firsts.select("profile_url", "_n", "r.*")
+    p = first_items(items)
     p = p.withColumn("snippet", facts.remove_boilerplate(F.col("snippet_raw")))
     p = p.withColumn("name", F.coalesce(name_from_metatags(F.col("metatags")), name_from_title(F.col("title"))))
     metrics_src = p.select(F.col("_n"), F.col("name").isNotNull().alias("_named"))

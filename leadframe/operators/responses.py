@@ -162,11 +162,10 @@ def build_company_prompts(companies: DataFrame, template: str, homepages: DataFr
     else:
         c = c.withColumn("excerpt", F.lit(None).cast("string"))
     apex = F.coalesce(nonempty("domain"), F.col("h_apex"))
-    target = F.concat(F.lit("Target company: "), F.coalesce(F.col("name"), F.lit("")), F.lit(". Domain: "),
-                      F.coalesce(apex, F.lit("unknown")))
+    target = F.format_string(fixed.COMPANY_TARGET_FORMAT, F.coalesce(F.col("name"), F.lit("")),
+                             F.coalesce(apex, F.lit("unknown")))
     context = F.when(nonempty("homepage_url").isNotNull() & nonempty("excerpt").isNotNull(),
-                     F.concat(F.lit("\nWebsite URL: "), F.col("homepage_url"),
-                              F.lit("\nWebsite excerpt (truncated):\n"), F.col("excerpt"), F.lit("\n"))
+                     F.format_string(fixed.COMPANY_EXCERPT_FORMAT, F.col("homepage_url"), F.col("excerpt"))
                      ).otherwise(F.lit(""))
     return c.withColumn("user_message", F.concat(F.lit(template + "\n\n"), target, context)) \
             .withColumn("prompt_hash", F.sha2(F.lit(template), 256))
@@ -187,10 +186,6 @@ def urls_from_answers(df: DataFrame, col: str = "content") -> DataFrame:
 
 
 # ---------------------------------------------------------------------- M9
-_JOB_HOSTS = ["linkedin", "wikipedia", "facebook", "twitter", "instagram", "xing", "indeed", "stepstone",
-              "glassdoor", "monster"]
-
-
 def _count_near(value: Column, text: Column, words: str) -> Column:
     quoted = F.concat(F.lit("(?iU)\\Q"), F.replace(value, F.lit("\\E"), F.lit("\\E\\\\E\\Q")),
                       F.lit("\\E\\s*(?:" + words + ")"))
@@ -209,7 +204,7 @@ def audit_profile_answers(answers: DataFrame, text: str = "text") -> DataFrame:
         F.when(F.col("connection_count").isNotNull()
                & ~_count_near(F.col("connection_count"), t, "connections?|kontakte"),
                F.lit("connection_count without keyword")),
-        F.when(F.exists(literal_array(_JOB_HOSTS), lambda h: F.lower(F.coalesce(F.col("company_website"),
+        F.when(F.exists(literal_array(fixed.JOB_HOSTS), lambda h: F.lower(F.coalesce(F.col("company_website"),
                                                                                F.lit(""))).contains(h)),
                F.lit("company_website is a social or job site")),
     ))

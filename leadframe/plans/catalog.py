@@ -87,6 +87,7 @@ SELECT p.linkedin_profile, p.first_name, p.last_name, p.title_current, p.connect
   l.dom AS domain
 FROM ppl p LEFT JOIN lastc l ON l.linkedin_profile = p.linkedin_profile
 LEFT JOIN comp c ON c.domain = l.dom
+ORDER BY p.followers_linkedin DESC NULLS LAST, p.created_seq DESC LIMIT 100
 """
 
 R2_OUT = ["linkedin_profile", "first_name", "last_name", "title_current", "connections_linkedin",
@@ -100,8 +101,8 @@ def report_recent_by_followers(spark, sf, limit=None):
 
 @register("r2_report_recent", _R2_SQL)
 def r2_report_recent(spark, sf):
-    """R2 over the K13 result: every person with company, by followers (whole list)."""
-    return report_recent_by_followers(spark, sf, limit=None)
+    """R2 over the K13 result: the 100 people with most followers, with company."""
+    return report_recent_by_followers(spark, sf, limit=100)
 
 
 # the other query families register themselves on import

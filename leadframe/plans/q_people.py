@@ -85,14 +85,27 @@ def n6_title_with_degree(spark, sf):
 
 @register("n7_profile_key", f"""{CP}, r AS ({inputs.RAW_PROFILES_SQL})
 SELECT 'c' || ingest_seq AS rid, {R.n7('profile_url')} AS profile_key FROM cp
-UNION ALL SELECT 'e' || ingest_seq, {R.n7('profile_url')} FROM r""")
+UNION ALL SELECT 'e' || ingest_seq, {R.n7('profile_url')} FROM r
+UNION ALL SELECT 's' || s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN 'https://linkedin.com/in/été-' || s_suppkey
+  WHEN 1 THEN 'https://linkedin.com/in/jörg-' || s_suppkey WHEN 2 THEN 'https://linkedin.com/in/foo' || s_suppkey
+  WHEN 3 THEN 'https://linkedin.com/in/a;b' || s_suppkey END FROM supplier""")
 def n7_profile_key(spark, sf):
     a = cust(spark, sf).select(F.concat(F.lit("c"), F.col("ingest_seq").cast("string")).alias("rid"),
                                urls.profile_key("profile_url").alias("profile_key"))
     b = inputs.raw_profiles(spark, sf).select(
         F.concat(F.lit("e"), F.col("ingest_seq").cast("string")).alias("rid"),
         urls.profile_key("profile_url").alias("profile_key"))
-    return a.unionByName(b)
+    s = inputs.table(spark, sf, "supplier")
+    k = F.col("s_suppkey")
+    ks = k.cast("string")
+    v = k % 5
+    link = (F.when(v == 0, F.concat(F.lit("https://www.linkedin.com/in/%C3%89t%C3%A9-"), ks))
+            .when(v == 1, F.concat(F.lit("http://de.linkedin.com/in/J\u00f6rg-"), ks, F.lit("/?x=1")))
+            .when(v == 2, F.concat(F.lit("https://linkedin.com/in/\uff26oo"), ks, F.lit(";jsessionid=1")))
+            .when(v == 3, F.concat(F.lit("https://linkedin.com/in/a;b"), ks, F.lit("/c;d")))
+            .otherwise(F.lit("https://linkedin.com/in/")))
+    c = s.select(F.concat(F.lit("s"), ks).alias("rid"), urls.profile_key(link).alias("profile_key"))
+    return a.unionByName(b).unionByName(c)
 
 
 @register("n8_insights_text", f"""{CP}
@@ -326,8 +339,14 @@ SELECT l.linkedin_profile, l.dom AS company_domain,
   CASE WHEN l.dom IS NOT NULL THEN c.name ELSE l.cname END AS company_name
 FROM lastc l LEFT JOIN comp c ON c.domain = l.dom""")
 def k5_link_people_companies(spark, sf):
-    """K5: each person's company after one ingest batch."""
-    people, companies, _ = _ingest(spark, sf)
+    """K5: people upserted without companies, then linked to the batch's companies."""
+    rec = _records(spark, sf).filter(F.col("linkedin_profile").isNotNull())
+    named = rec.filter((F.coalesce("company_domain", F.lit("")) != "") | (F.coalesce("company_name", F.lit("")) != ""))
+    companies = upsert.upsert_companies(None, named.select(
+        F.col("company_name").alias("name"), F.col("company_domain").alias("domain"),
+        F.col("company_website").alias("website"), "source_name", "source_query",
+        F.lit(None).cast("long").alias("search_query_id"), "ingest_seq"), BATCH)
+    people = upsert.link_people_companies(upsert.upsert_people(None, rec, NOW), companies, rec, BATCH)
     c = companies.select(F.col("id").alias("cid"), F.col("domain").alias("company_domain"),
                          F.col("name").alias("company_name"))
     return (people.join(c, people["company_id"] == c["cid"], "left")
@@ -488,6 +507,24 @@ def k12_erase_messages(spark, sf):
     return m.select("id")
 
 
+@register("k12_erase_companies", f"""WITH {_R2_PARTS}, ppl AS ({K1_AGG})
+SELECT 'person' AS kind, p.linkedin_profile AS key,
+  CASE WHEN l.dom IS NOT NULL AND CAST(regexp_extract(l.dom, '([0-9]+)', 1) AS INTEGER) % 3 = 0 THEN NULL
+       WHEN l.dom IS NOT NULL THEN c.name ELSE l.cname END AS company_name
+FROM ppl p LEFT JOIN lastc l USING (linkedin_profile) LEFT JOIN comp c ON c.domain = l.dom
+UNION ALL SELECT 'company', domain, name FROM comp WHERE CAST(regexp_extract(domain, '([0-9]+)', 1) AS INTEGER) % 3 <> 0""")
+def k12_erase_companies(spark, sf):
+    """Every third domain company erased; people who pointed there keep no company."""
+    people, companies, _ = _ingest(spark, sf)
+    ids = companies.filter(F.regexp_extract("domain", "([0-9]+)", 1).cast("int") % 3 == 0).select("id")
+    c, p = upsert.erase_companies(companies, people, ids)
+    named = c.select(F.col("id").alias("cid"), F.col("name").alias("company_name"))
+    return (p.join(named, p["company_id"] == named["cid"], "left")
+            .select(F.lit("person").alias("kind"), F.col("linkedin_profile").alias("key"), "company_name")
+            .unionByName(c.filter(F.col("domain").isNotNull())
+                         .select(F.lit("company").alias("kind"), F.col("domain").alias("key"), F.col("name").alias("company_name"))))
+
+
 @register("k13_person_ingest", f"""WITH {_R2_PARTS}, ppl AS ({K1_AGG})
 SELECT (SELECT count(*) FROM rec WHERE linkedin_profile IS NOT NULL) AS processed_people,
   (SELECT count(*) FROM ppl) AS people_rows,

@@ -108,9 +108,7 @@ def x1_canonical_url(spark, sf):
 @register("x2_keep_first_url", f"""SELECT min(c_custkey) AS ingest_seq, {_CANON_SQL} AS profile_url, count(*) AS n
 {_CUSTN} WHERE c_custkey % 11 <> 0 GROUP BY ALL""")
 def x2_keep_first_url(spark, sf):
-    it = search_items(spark, sf).withColumn("profile_url", canonical_profile_url(F.col("google_result.link")))
-    return (it.filter(F.col("profile_url").isNotNull()).groupBy("profile_url")
-            .agg(F.min("ingest_seq").alias("ingest_seq"), F.count(F.lit(1)).alias("n")))
+    return extract.first_items(search_items(spark, sf)).select("profile_url", "ingest_seq", F.col("_n").alias("n"))
 
 
 @register("x3_name_from_metatags", f"""SELECT c_custkey AS ingest_seq, CASE c_custkey % 4
@@ -178,16 +176,13 @@ _X7_SQL = (
     "'&nbsp;', chr(160)), '&amp;', '&'), chr(9), ' '), chr(160), ' '), "
     r"'(?m)^[\s]*[\-\*•·–—›>\x{2022}\x{2023}\x{25E6}\x{2043}\x{2219}]+\s*', '', 'g'), ' {2,}', ' ', 'g')) "
     "END AS text "
-    "FROM (SELECT page_id, coalesce(regexp_extract(html, '<title>(.*?)</title>', 1), '') AS t FROM pages)")
+    "FROM (SELECT page_id, html AS t FROM pages)")
 
 
 @register("x7_normalize_text", _X7_SQL)
 def x7_normalize_text(spark, sf):
-    """X7 over the page titles of ``pages`` (entities, bullets, blanks);
-    rows-only: HTML unescaping has no SQL counterpart."""
-    p = inputs.table(spark, sf, "pages")
-    t = F.regexp_extract(F.col("html"), "<title>(.*?)</title>", 1)
-    return p.select("page_id", facts.normalize_text(t).alias("text"))
+    """X7 over the whole text of every page (entities, bullets, blanks)."""
+    return inputs.table(spark, sf, "pages").select("page_id", facts.normalize_text("html").alias("text"))
 
 
 def _first_hit_sql(text: str, patterns) -> str:
@@ -387,12 +382,35 @@ def x23_unique_facts(spark, sf):
     return it.select("ingest_seq", F.array_join(F.array_sort(F.map_keys(u)), ",").alias("keys"))
 
 
-@register("x24_company_from_text")
+_X24_TAIL = """CASE c_custkey % 6 WHEN 0 THEN chr(10) || 'Manager, former at Old ' || c_custkey || ', now at New ' || c_custkey || ' · x'
+  WHEN 1 THEN chr(10) || 'Berufserfahrung: Haus ' || c_custkey || ' | y' WHEN 2 THEN chr(10) || 'lead, ex-@Past' || c_custkey || '; @Now ' || c_custkey
+  WHEN 3 THEN chr(10) || 'previously von Alt AG; buyer | Neu ' || c_custkey WHEN 4 THEN chr(10) || 'of lower case' ELSE '' END"""
+
+
+def _x24_sql():
+    # RE2 has no look-behind: the words that rule a match out are an optional
+    # first group, and the first match without them counts
+    def first(lead):
+        found = f"regexp_extract_all(t, '(former\\s|previously\\s|ex-)?{lead}([A-ZÄÖÜ][^·•|\\n,;]*)'"
+        names = f"list_transform(range(1, len({found}, 1)) + 1), lambda i: CASE WHEN coalesce({found}, 1)[i], '') = '' THEN trim({found}, 2)[i]) END)"
+        return f"list_filter({names}, lambda x: x IS NOT NULL)[1]"
+    label = "nullif(trim(regexp_extract(t, '(?i)(?:Experience|Berufserfahrung):\\s*([^·•|\\n]+)', 1)), '')"
+    def longer(x):
+        return f"CASE WHEN length({x}) > 2 THEN {x} END"
+    return f"""WITH d AS (SELECT c_custkey, {_SNIPPET_SQL} || CASE c_custkey % 4
+    WHEN 0 THEN chr(10) || 'Experience: ' || n_name || ' Trading · Location: City ' || (c_custkey % 17) || ' · 500+ connections'
+    WHEN 1 THEN chr(10) || 'Currently working at ' || n_name || ' GmbH. Based in Berlin' ELSE '' END || {_X24_TAIL} AS t {_CUSTN})
+SELECT c_custkey AS ingest_seq, coalesce({longer(label)}, {longer(first("\\b(?:at|bei|of|von)\\s+"))},
+  {longer(first("(?:@|\\|)\\s*"))}) AS company FROM d"""
+
+
+@register("x24_company_from_text", _x24_sql())
 def x24_company_from_text(spark, sf):
-    """X24 (rows-only) on item snippets and og:descriptions."""
+    """X24 on item snippets and descriptions, with and without the words that rule a company out."""
     it = search_items(spark, sf)
-    t = F.concat_ws("\n", F.col("google_result.snippet"),
-                    facts.meta_description(F.col("google_result.pagemap.metatags")))
+    tail = F.expr(_X24_TAIL.replace("c_custkey", "ingest_seq").replace("chr(10)", "'\\n'"))
+    t = F.concat(F.concat_ws("\n", F.col("google_result.snippet"),
+                             facts.meta_description(F.col("google_result.pagemap.metatags"))), tail)
     return it.select("ingest_seq", facts.company_from_text(t).alias("company"))
 
 
@@ -512,20 +530,20 @@ def m4_build_profile_prompts(spark, sf):
 
 
 def homepage_items(spark, sf):
-    """Search items for company homepages from pages: company = page_id % 50,
-    position = page_id // 50 + 1; some display hosts are social sites."""
+    """Search items for company homepages from pages: ten pages per company,
+    in turn; some display hosts are social sites."""
     p = inputs.table(spark, sf, "pages")
     host = F.regexp_extract(F.col("url"), "^[a-z]+://([^/?#]+)", 1)
-    return p.select((F.col("page_id") % 50).alias("company"), F.col("url").alias("link"),
+    return p.select(F.floor(F.col("page_id") / 10).alias("company"), F.col("url").alias("link"),
                     F.when(F.col("page_id") % 6 == 0, F.lit("www.linkedin.com")).otherwise(host).alias("displayLink"),
-                    ((F.col("page_id") / 50).cast("long") + 1).alias("position"))
+                    (F.col("page_id") % 10 + 1).alias("position"))
 
 
 def _m5_sql():
-    m6 = _M6_SQL.replace("4000) AS excerpt FROM pages", "500) AS excerpt, url FROM pages")
-    return f"""WITH it AS (SELECT page_id % 50 AS company, url AS link,
+    m6 = _M6_SQL.replace("4000) AS excerpt FROM pages", "4000) AS excerpt, url FROM pages")
+    return f"""WITH it AS (SELECT page_id // 10 AS company, url AS link,
    CASE WHEN page_id % 6 = 0 THEN 'www.linkedin.com' ELSE regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) END AS dl,
-   CAST(page_id // 50 + 1 AS BIGINT) AS position FROM pages),
+   CAST(page_id % 10 + 1 AS BIGINT) AS position FROM pages),
 ok AS (SELECT company, link, position, {R.apex('link', DEFAULT_RULES)} AS apex FROM it
        WHERE position <= 5 AND nullif(link, '') IS NOT NULL AND NOT (contains(lower(dl), 'linkedin.com')
          OR contains(lower(dl), 'twitter.com') OR contains(lower(dl), 'facebook.com')
@@ -545,12 +563,12 @@ SELECT id, sha256(msg) AS message_hash, CAST(length(msg) AS INTEGER) AS n FROM m
 
 
 def m5_build_company_prompts(spark, sf):
-    """M5: companies 0..49 without a domain get their homepage (M7) and its
-    excerpt (M6) into the prompt."""
+    """M5: companies without a domain get their homepage (M7) and its excerpt
+    (M6) into the prompt."""
     hp = responses.pick_homepage(homepage_items(spark, sf)).withColumnRenamed("company", "id")
     comp = hp.select("id").withColumn("name", F.concat(F.lit("Company "), F.col("id").cast("string"))) \
              .withColumn("domain", F.when(F.col("id") % 3 == 0, F.lit("known.de")))
-    ex = responses.page_excerpts(inputs.table(spark, sf, "pages"), max_chars=500).select("url", "excerpt")
+    ex = responses.page_excerpts(inputs.table(spark, sf, "pages")).select("url", "excerpt")
     out = responses.build_company_prompts(comp, "Research the company.", hp, ex)
     return out.select("id", F.sha2("user_message", 256).alias("message_hash"), F.length("user_message").alias("n"))
 
@@ -575,9 +593,9 @@ def m6_page_excerpts(spark, sf):
     return responses.page_excerpts(inputs.table(spark, sf, "pages")).select("page_id", "excerpt")
 
 
-@register("m7_pick_homepage", f"""WITH it AS (SELECT page_id % 50 AS company, url AS link,
+@register("m7_pick_homepage", f"""WITH it AS (SELECT page_id // 10 AS company, url AS link,
    CASE WHEN page_id % 6 = 0 THEN 'www.linkedin.com' ELSE regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) END AS dl,
-   CAST(page_id // 50 + 1 AS BIGINT) AS position FROM pages),
+   CAST(page_id % 10 + 1 AS BIGINT) AS position FROM pages),
 ok AS (SELECT company, link, position, {R.apex('link', DEFAULT_RULES)} AS apex FROM it
        WHERE position <= 5 AND nullif(link, '') IS NOT NULL AND NOT (contains(lower(dl), 'linkedin.com')
          OR contains(lower(dl), 'twitter.com') OR contains(lower(dl), 'facebook.com')
@@ -626,3 +644,24 @@ def m9_audit_responses(spark, sf):
                                                                    F.col("google_result.htmlSnippet")).alias("text"))
     audited = responses.audit_profile_answers(ans.join(it, "ingest_seq"))
     return responses.violation_report(audited)
+
+
+@register("m9_audit_company_answers", """WITH a AS (SELECT s_suppkey AS k, s_suppkey % 5 AS v FROM supplier)
+SELECT 'more than 4 industries' AS violation, count(*) AS n FROM a WHERE v = 1 HAVING count(*) > 0
+UNION ALL SELECT 'business model points not 1-6', count(*) FROM a WHERE v = 2 HAVING count(*) > 0
+UNION ALL SELECT 'empty string instead of null', count(*) FROM a WHERE v = 3 HAVING count(*) > 0
+UNION ALL SELECT 'legal form not a short form', count(*) FROM a WHERE v = 4 HAVING count(*) > 0""")
+def m9_audit_company_answers(spark, sf):
+    """M9 for company answers: one rule broken per supplier (none for every fifth)."""
+    s = inputs.table(spark, sf, "supplier")
+    v = F.col("s_suppkey") % 5
+    words = F.split(F.lit("a b c d e f g"), " ")
+    a = s.select(
+        F.lit("Firm").alias("company"),
+        F.when(v == 4, F.lit("GmbH (limited)")).otherwise(F.lit("GmbH")).alias("legal_form"),
+        F.when(v == 1, words).otherwise(F.slice(words, 1, 4)).alias("industries"),
+        F.slice(words, 1, 1).alias("locations_germany"), F.lit(False).alias("multinational"),
+        F.when(v == 3, F.lit("")).alias("website"), F.lit(5).cast("long").alias("size_employees"),
+        F.when(v == 2, words).otherwise(F.slice(words, 1, 6)).alias("business_model_key_points"),
+        F.slice(words, 1, 1).alias("products_and_services"), F.slice(words, 1, 1).alias("recent_news"))
+    return responses.violation_report(responses.audit_company_answers(a))
