@@ -40,7 +40,7 @@ HEADLINE = [                                               # X5
     ("Ann Lee - Head of Sales | LinkedIn", "Ann Lee", "Head of Sales"),
     ("Ann Lee – CTO", "Ann Lee", None),                    # 3 characters are too few, by name and after "–"
     ("ANN LEE - ann lee - Buyer", "Ann Lee", "ann lee - Buyer"),   # name not in the title as written: first "-"
-    ("Ann Lee | LinkedIn", "Ann Lee", None),
+    ("Ann Lee | LinkedIn", "Ann Lee", "Ann Lee"),          # no separator left behind the name: nothing is removed
     ("A.B (x) - Chief", "A.B (x)", "Chief"),               # the name is no pattern
     ("", "Ann", None), ("Ann - Boss", "", None),
 ]
