@@ -354,11 +354,23 @@ def dedupe_people(people: DataFrame):
 
     Returns (people, url_mapping) where ``url_mapping`` has one row per
     removed duplicate: ``dup_url, canonical_url``.
+
+    The keys are derived once, in a narrow table (id, URL, key, arrival) that
+    both outputs read. Only rows of real duplicates are merged; the others
+    pass through without a sort. Ids must be unique (the store asserts it).
     """
     from leadframe.functions.urls import with_profile_key
-    p = with_profile_key(people, "linkedin_profile", "_key") \
-        .withColumns({"_key": F.coalesce(F.col("_key"), F.col("linkedin_profile")),
-                      "_ord": F.struct("created_batch", "created_seq", "id")})
+    from leadframe.session import materialize
+    order = F.struct("created_batch", "created_seq", "id")
+    narrow = with_profile_key(people.select("id", "linkedin_profile", "created_batch", "created_seq"),
+                              "linkedin_profile", "_key")
+    narrow = materialize(narrow.withColumn("_key", F.coalesce("_key", "linkedin_profile")), "dedupe-keys")
+    first = (narrow.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("_o"))
+             .filter("_n > 1").select("_key", F.col("_o.id").alias("_sid")))
+    members = materialize(narrow.join(first, "_key").select("id", "linkedin_profile", "_key", "_sid"), "dedupe-members")
+    mapping = (members.filter(F.col("id") != F.col("_sid"))
+               .select(F.col("linkedin_profile").alias("dup_url"), F.col("_key").alias("canonical_url")))
+
     types = dict(people.dtypes)
 
     def usable(c):
@@ -366,26 +378,21 @@ def dedupe_people(people: DataFrame):
         if types[c] == "string":
             return col.isNotNull() & (col != "")
         return col.isNotNull()
-    aggs = [F.min_by(F.struct(*[F.col(c) for c in schemas.PEOPLE.fieldNames()]), F.col("_ord")).alias("s"),
-            F.count(F.lit(1)).alias("_n")]
-    aggs += [F.min_by(F.col(c), F.when(usable(c), F.col("_ord"))).alias(f"_f_{c}") for c in DEDUPE_FIELDS]
-    g = p.groupBy("_key").agg(*aggs)
+    p = people.join(members.select(F.col("id").alias("_id"), "_key"), people["id"] == F.col("_id"), "left").drop("_id")
+    columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.PEOPLE.fields]
+    single = p.filter(F.col("_key").isNull()).select(*columns)
+    aggs = [F.min_by(F.struct(*schemas.PEOPLE.fieldNames()), order).alias("s")]
+    aggs += [F.min_by(F.col(c), F.when(usable(c), order)).alias(f"_f_{c}") for c in DEDUPE_FIELDS]
+    g = p.filter(F.col("_key").isNotNull()).groupBy("_key").agg(*aggs)
     cols = []
     for f in schemas.PEOPLE.fields:
-        s = F.col(f"s.{f.name}")
+        v = F.col(f"s.{f.name}")
         if f.name in DEDUPE_FIELDS:
-            v = F.when(F.col("_n") > 1, F.coalesce(s, F.col(f"_f_{f.name}"))).otherwise(s)
+            v = F.coalesce(v, F.col(f"_f_{f.name}"))
         elif f.name == "linkedin_profile":
-            v = F.when(F.col("_n") > 1, F.col("_key")).otherwise(s)
-        else:
-            v = s
+            v = F.col("_key")
         cols.append(v.cast(f.dataType).alias(f.name))
-    merged = g.select(*cols)
-    # duplicates (every row but the survivor) -> canonical URL
-    surv = g.select("_key", F.col("s.id").alias("_sid"), "_n").filter(F.col("_n") > 1)
-    mapping = (p.join(surv, "_key").filter(F.col("id") != F.col("_sid"))
-               .select(F.col("linkedin_profile").alias("dup_url"), F.col("_key").alias("canonical_url")))
-    return merged, mapping
+    return single.unionByName(g.select(*cols)), mapping
 
 
 # --------------------------------------------------------------------- K11
