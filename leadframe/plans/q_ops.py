@@ -109,16 +109,16 @@ PERSON_URL = "https://www.linkedin.com/in/User-7/"
 SELECT p.first_name, p.last_name, p.linkedin_profile, p.title_current, p.email, p.location_text,
   p.connections_linkedin, p.followers_linkedin,
   CASE WHEN l.dom IS NOT NULL THEN c.name ELSE l.cname END AS company_name, l.dom AS domain,
-  CAST(NULL AS VARCHAR) AS website, CAST(NULL AS VARCHAR) AS last_enriched
+  CAST(NULL AS VARCHAR) AS website, CAST(NULL AS BIGINT) AS size_employees, CAST(NULL AS VARCHAR) AS legal_form,
+  CAST(NULL AS VARCHAR[]) AS industries, CAST(NULL AS VARCHAR[]) AS locations_de,
+  CAST(NULL AS INTEGER) AS multinational, CAST(NULL AS VARCHAR) AS last_enriched
 FROM ppl p LEFT JOIN lastc l ON l.linkedin_profile = p.linkedin_profile LEFT JOIN comp c ON c.domain = l.dom
 WHERE p.linkedin_profile = 'https://linkedin.com/in/user-7'""")
 def r1_report_person(spark, sf):
+    """The whole report but its two hash-derived ids."""
     people, companies, _ = _ingest(spark, sf)
     view = reports.people_with_company(people, companies)
-    r = reports.report_person(view, PERSON_URL)
-    return r.select("first_name", "last_name", "linkedin_profile", "title_current", "email", "location_text",
-                    "connections_linkedin", "followers_linkedin", "company_name", "domain", "website",
-                    "last_enriched")
+    return reports.report_person(view, PERSON_URL).drop("person_id", "company_id")
 
 
 @register("r3_report_queries", f"""SELECT source, entity_type, query_text,
@@ -362,16 +362,23 @@ def s8_snapshot_upsert(spark, sf):
     return store.read("people").select(*_PEOPLE_OUT)
 
 
+_VIEW_TEXT = ["first_name", "last_name", "linkedin_profile", "title_current", "email", "location_text",
+              "connections_linkedin", "followers_linkedin", "website_info", "phone_info", "info_raw", "insights_text",
+              "lookup_date", "is_hot"]
+_VIEW_NULL = {"status": "VARCHAR", "notes": "VARCHAR", "last_interaction_date": "VARCHAR", "website": "VARCHAR",
+              "size_employees": "BIGINT", "legal_form": "VARCHAR", "industries": "VARCHAR[]", "locations_de": "VARCHAR[]",
+              "multinational": "INTEGER", "last_enriched_at": "TIMESTAMP"}
+
+
 @register("s9_people_with_company", f"""WITH {_R2_PARTS}, ppl AS ({K1_AGG})
-SELECT p.linkedin_profile, p.first_name, p.email, CASE WHEN l.dom IS NOT NULL THEN c.name ELSE l.cname END
-  AS company_name, l.dom AS domain, CAST(NULL AS VARCHAR) AS website, CAST(NULL AS VARCHAR) AS legal_form,
-  CAST(NULL AS INTEGER) AS multinational
+SELECT {", ".join("p." + c for c in _VIEW_TEXT)},
+  CASE WHEN l.dom IS NOT NULL THEN c.name ELSE l.cname END AS company_name, l.dom AS domain,
+  {", ".join(f"CAST(NULL AS {t}) AS {c}" for c, t in _VIEW_NULL.items())}
 FROM ppl p LEFT JOIN lastc l ON l.linkedin_profile = p.linkedin_profile LEFT JOIN comp c ON c.domain = l.dom""")
 def s9_people_with_company(spark, sf):
+    """The whole view but its two hash-derived ids."""
     people, companies, _ = _ingest(spark, sf)
-    v = reports.people_with_company(people, companies)
-    return v.select("linkedin_profile", "first_name", "email", "company_name", "domain", "website", "legal_form",
-                    "multinational")
+    return reports.people_with_company(people, companies).drop("person_id", "company_id")
 
 
 def _s10_sql():

@@ -401,9 +401,9 @@ def k7_upsert_queries(spark, sf):
 d AS (SELECT DISTINCT source_name AS s, lower(trim(regexp_replace(source_query, '\\s+', ' ', 'g'))) AS q
       FROM rec WHERE ingest_seq % 2 = 0 AND linkedin_profile IS NOT NULL
         AND nullif(source_name, '') IS NOT NULL AND nullif(source_query, '') IS NOT NULL)
-SELECT ingest_seq, EXISTS (SELECT 1 FROM d WHERE d.s = rec.source_name
-   AND d.q = lower(trim(regexp_replace(rec.source_query, '\\s+', ' ', 'g')))) AS has_query
-FROM rec""")
+SELECT ingest_seq, d.s AS source, d.q AS normalized_query
+FROM rec LEFT JOIN d ON d.s = rec.source_name
+  AND d.q = lower(trim(regexp_replace(rec.source_query, '\\s+', ' ', 'g')))""")
 def k8_attach_query_id(spark, sf):
     """K8 (per row): the dimension knows the queries of even-numbered
     records only, so odd-only queries stay unmatched."""
@@ -413,8 +413,20 @@ def k8_attach_query_id(spark, sf):
           .select(F.col("source_name").alias("source"), F.lit("person").alias("entity_type"),
                   F.col("source_query").alias("query_text"), "ingest_seq"))
     dim = upsert.upsert_queries(None, qb, NOW)
-    out = upsert.attach_query_id(rec, dim)
-    return out.select("ingest_seq", F.col("search_query_id").isNotNull().alias("has_query"))
+    out = upsert.attach_query_id(rec, dim).select("ingest_seq", "search_query_id")
+    return (out.join(dim, out["search_query_id"] == dim["id"], "left")
+            .select("ingest_seq", "source", "normalized_query"))
+
+
+@register("k9_backfilled_people", f"""WITH rec AS ({inputs.PERSON_RECORDS_SQL}), ppl AS ({K1_AGG})
+SELECT linkedin_profile, CASE WHEN coalesce(source_query, '') <> '' THEN coalesce(source_name, '') END AS source,
+  CASE WHEN coalesce(source_query, '') <> '' THEN lower(trim(source_query)) END AS normalized_query FROM ppl""")
+def k9_backfilled_people(spark, sf):
+    """K9: the query every person is filled with."""
+    people = upsert.upsert_people(None, _records(spark, sf), NOW)
+    p, dim = upsert.backfill_queries(people, upsert.upsert_queries(None, order_queries(spark, sf), NOW), NOW)
+    return (p.select("linkedin_profile", "search_query_id").join(dim, F.col("search_query_id") == dim["id"], "left")
+            .select("linkedin_profile", "source", "normalized_query"))
 
 
 @register("k9_backfill_queries", f"""WITH rec AS ({inputs.PERSON_RECORDS_SQL}), ppl AS ({K1_AGG}),
