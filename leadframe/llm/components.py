@@ -13,30 +13,28 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
 
     Each step is a minimum per node (combined map-side, so a node with a third
     of all links sends one row per task) and a join, written to the shared
-    folder. The number of steps grows with the logarithm of the longest chain.
+    folder. It ends when the links form stars: no node has two parents, or a
+    parent and a child. The number of steps grows with the logarithm of the
+    longest chain.
     """
-    def mark(t):
-        r = t.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
-        return r.n, r.x
-
     # a > b from here on
     edges = scratch.put(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
                         .distinct(), "edges")
-    seen = mark(edges)
     while True:
+        ends = edges.select(F.col("a").alias("u"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+            edges.select(F.col("b").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up + down > 1 AND up > 0").isEmpty():
+            break
         # large star: every larger neighbour of a node goes to the node's minimum
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
             edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = scratch.put(both.filter("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-                            .distinct(), "large")
+        large = scratch.put(both.filter("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")), "large")
         # small star: a node and its smaller neighbours go to their minimum
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         new = scratch.put(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "small")
         scratch.drop(edges, large)
-        edges, before, seen = new, seen, mark(new)
-        if seen == before:
-            break
+        edges = new
     return edges.select(F.col("a").alias("id"), F.col("b").alias("comp")).unionByName(
         edges.select(F.col("b").alias("id"), F.col("b").alias("comp")).distinct())

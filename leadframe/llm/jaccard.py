@@ -26,16 +26,22 @@ binary search for the documents that the merge brought up.
    component is done: more links can't change anything. In the others, each
    document outside the hub's component is paired with the list's documents of
    other components that pass the bounds, and these pairs are verified too. So
-   every link between two components is found, and components are exact.
+   every link between two components is found, and components are exact. The
+   merge's own threshold prunes here: of the shared shingles at most
+   max(T_x, T_y) - 1 lie outside the short lists, so the short lists must hold
+   the rest; from the first shared list on, both documents must still be in as
+   many lists of two and more.
 """
 
 from __future__ import annotations
 
-from functools import cache
+import math
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leadframe.llm.common import Scratch
@@ -68,17 +74,23 @@ def _parity(tokens: np.ndarray) -> bytes:
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
+def shingles_of(k, column):
+    """(first row, sets of shingles) of each block of a text column."""
+    for words in batch_words(column):
+        yield words.first, shingle_sets(words, k)
+
+
 _SCAN = "id long, n int, s1 long, s2 long, sig binary, cell int, seen long"
 
 
-def _scan(k):
+def _scan(sets_of):
     def run(batches):
         counts = np.zeros(CELLS, np.int64)
         for batch in batches:
             ids = batch.column(0)
             n, s1, s2, sig = [], [], [], []
-            for words in batch_words(batch.column(1)):
-                sets = list(shingle_sets(words, k))
+            for _, sets in sets_of(batch.column(1)):
+                sets = list(sets)
                 counts += np.bincount(_cell(np.concatenate(sets)), minlength=CELLS)
                 for x in sets:
                     n.append(len(x))
@@ -106,17 +118,24 @@ def _names(schema: str) -> list[str]:
 _POST = "token long, salt int, pos int, n int, id long"
 
 
-def _post(k, percent, counts, list_rows):
-    """Post each document's short lists; copies of a set within a task post once."""
+def size_class(percent, n):
+    """Class of a set size; sets that link are in one class or in neighbouring ones."""
+    return math.floor(math.log(n) / math.log(100 / percent) + 1e-9)
+
+
+def _post(sets_of, percent, size_classes, counts, list_rows):
+    """Post each document's short lists; copies of a set within a task post once.
+
+    With size classes a list holds one class and the next smaller one only.
+    """
     def run(batches):
         seen_by_cell = counts.value
         posted = set()
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            cols = [[], [], [], []]
-            who = []
-            for words in batch_words(batch.column(1)):
-                for i, x in enumerate(shingle_sets(words, k), words.first):
+            for row, sets in sets_of(batch.column(1)):
+                cols, who = [[], [], [], []], []
+                for i, x in enumerate(sets, row):
                     n = len(x)
                     if n == 0 or ids[i] is None:
                         continue
@@ -127,20 +146,22 @@ def _post(k, percent, counts, list_rows):
                     short = n - -(-percent * n // 100) + 1
                     seen = seen_by_cell[_cell(x)]
                     first = np.lexsort((x, seen))[:short]
-                    cols[0].append(x[first])
-                    cols[1].append((np.int64(ids[i]) * 2654435761 >> 7) % (1 + seen[first] // list_rows))
-                    cols[2].append(np.arange(short))
-                    cols[3].append(np.full(short, n))
-                    who.append((ids[i], short))
-            if who:
-                token, salt, pos, n = (np.concatenate(c) for c in cols)
-                doc = np.repeat(np.array([w[0] for w in who], np.int64), [w[1] for w in who])
-                salted = seen_by_cell[_cell(token)] >= list_rows
-                salt = np.where(salted, salt + 1, 0)        # 0: the whole list is here
-                out = [pa.array(token.view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(pos.astype(np.int32)),
-                       pa.array(n.astype(np.int32)), pa.array(doc)]
-                for at in range(0, len(doc), 100_000):
-                    yield pa.RecordBatch.from_arrays([c.slice(at, 100_000) for c in out], _names(_POST))
+                    # 0: the whole list is here; else one of the parts of a long list
+                    salt = np.where(seen[first] >= list_rows,
+                                    (np.int64(ids[i]) * 2654435761 >> 7) % (1 + seen[first] // list_rows) + 1, 0)
+                    own = size_class(percent, n)
+                    for c in (own, own + 1) if size_classes else (None,):
+                        cols[0].append(x[first] if c is None else mix(x[first] + np.uint64(c)))
+                        cols[1].append(salt)
+                        cols[2].append(np.arange(short))
+                        cols[3].append(np.full(short, n))
+                        who.append((ids[i], short))
+                if who:
+                    token, salt, pos, n = (np.concatenate(c) for c in cols)
+                    doc = np.repeat(np.array([w[0] for w in who], np.int64), [w[1] for w in who])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(token.view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(pos.astype(np.int32)),
+                         pa.array(n.astype(np.int32)), pa.array(doc)], _names(_POST))
     return run
 
 
@@ -184,10 +205,10 @@ def _lists(percent):
 _SETS = "id long, tokens binary"
 
 
-def _sets(k):
+def _sets(sets_of):
     def run(batches):
         for batch in batches:
-            sets = [x.tobytes() for words in batch_words(batch.column(1)) for x in shingle_sets(words, k)]
+            sets = [x.tobytes() for _, block in sets_of(batch.column(1)) for x in block]
             if sets:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], _names(_SETS))
     return run
@@ -234,14 +255,17 @@ def _near(percent, n, m, p=None, q=None):
     return size & ((100 + percent) * F.least(n - p, m - q) >= percent * (n + m))
 
 
+_MEMBER = ("pos", "n", "id", "comp", "left")
+
+
 class _Join:
-    def __init__(self, docs: DataFrame, k: int, percent: int):
-        self.docs, self.k, self.percent = docs, k, percent
+    def __init__(self, docs: DataFrame, sets_of, percent: int, size_classes: bool = False):
+        self.docs, self.sets_of, self.percent, self.size_classes = docs, sets_of, percent, size_classes
         self.spark = docs.sparkSession
         self.s = Scratch(self.spark, "jaccard")
 
     def scan(self):
-        both = self.s.put(self.docs.mapInArrow(_scan(self.k), _SCAN), "scan")
+        both = self.s.put(self.docs.mapInArrow(_scan(self.sets_of), _SCAN), "scan")
         self.rows = both.filter("cell IS NULL").select("id", "n", "s1", "s2", "sig")
         # at most CELLS rows reach the driver
         seen = both.filter("cell IS NOT NULL").groupBy("cell").agg(F.sum("seen").alias("seen")).toArrow()
@@ -252,14 +276,15 @@ class _Join:
     def lists(self, counts):
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         list_rows = max(LIST_ROWS, int(counts.sum()) * (100 - self.percent) // 100 // (4 * parts))
-        posts = self.docs.mapInArrow(_post(self.k, self.percent, self.spark.sparkContext.broadcast(counts), list_rows), _POST)
+        posts = self.docs.mapInArrow(_post(self.sets_of, self.percent, self.size_classes,
+                                           self.spark.sparkContext.broadcast(counts), list_rows), _POST)
         posts = posts.repartition("token", "salt").sortWithinPartitions("token", "salt", "pos", "n", "id")
         return self.s.put(posts.mapInArrow(_lists(self.percent), _LIST), "lists")
 
     def verified(self, pairs: DataFrame, name: str) -> DataFrame:
         """pairs (a, b) -> those that link."""
         percent = self.percent
-        one = self.rows.filter("id IS NOT NULL").select("id", "n", "sig").dropDuplicates(["id", "n", "sig"])
+        one = self.rows.filter("id IS NOT NULL")
         x = one.select(F.col("id").alias("a"), F.col("n").alias("n"), F.col("sig").alias("sx"))
         y = one.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("sig").alias("sy"))
 
@@ -273,11 +298,11 @@ class _Join:
                          name + "-ids")
         if ids.count() <= BROADCAST_IDS:
             ids = F.broadcast(ids)
-        sets = self.docs.join(ids, "id", "left_semi").select("id", "text").mapInArrow(_sets(self.k), _SETS)
-        sets = self.s.put(sets.dropDuplicates(), name + "-sets")
+        sets = self.docs.join(ids, "id", "left_semi").select("id", "text").mapInArrow(_sets(self.sets_of), _SETS)
+        sets = self.s.put(sets, name + "-sets")
         met = (pairs.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
                .join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").select("a", "b", "x", "y"))
-        links = self.s.put(met.mapInArrow(_verify(percent), _LINK).distinct(), name + "-links")
+        links = self.s.put(met.mapInArrow(_verify(percent), _LINK), name + "-links")
         self.s.drop(sets)
         return links
 
@@ -287,34 +312,49 @@ class _Join:
         first = lists.filter("close").select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
         first = self.s.put(first, "first")
         links = self.verified(first, "first")
-        comp = self.s.put(components(links, self.s), "comp")
+        # documents with one set are one node: link each to the smallest id of its set
+        known = self.rows.filter("id IS NOT NULL AND n > 0").select("id", "n", "s1", "s2")
+        sets = (known.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("c")).filter("c > 1")
+                .select("n", "s1", "s2", "rep"))
+        copies = known.join(self.s.put(sets, "copies"), ["n", "s1", "s2"]).select(F.col("id").alias("a"), F.col("rep").alias("b"))
+        comp = self.s.put(components(links.unionByName(copies), self.s), "comp")
 
         # lists with documents of several components: the rest of their pairs
-        at = (lists.select("token", "pos", "n", "id").join(comp, "id", "left")
-              .withColumn("comp", F.coalesce("comp", "id")))
+        # left: the document's lists from this one on, in shingle order
+        own = W.partitionBy("id")
+        at = (lists.select("token", "pos", "n", "id", "hub", "close")
+              .withColumn("left", F.count("*").over(own) - F.row_number().over(own.orderBy("pos")) + 1)
+              .join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id")))
         at = self.s.put(at, "members")
-        open_ = (at.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least"),
-                                         F.min(F.struct("pos", "n", "id", "comp")).alias("hub"))
-                 .filter("lo <> hi").select("token", "least", F.col("hub.comp").alias("main")))
-        open_ = self.s.put(open_, "open")
-        every = at.join(open_, "token")
+        main = (at.filter("id = hub").groupBy("token").agg(F.min(F.struct("pos", "n", "id", "comp")).alias("hub"))
+                .select("token", F.col("hub.comp").alias("main")))
+        out = at.join(main, "token").filter("comp <> main")
+        tried = F.when(F.col("close"), F.col("hub")).alias("u_tried")       # the pair with the hub was verified
+        out = self.s.put(out.select("token", "main", tried, *[F.col(c).alias("u_" + c) for c in _MEMBER]), "outside")
         p = self.percent
-        # a document whose remaining shingles can't reach the overlap with any size in the list is done
-        smallest = F.greatest(F.col("least"), F.ceil(F.lit(p) * F.col("n") / 100))
-        every = every.filter((100 + p) * (F.col("n") - F.col("pos")) >= p * (F.col("n") + smallest))
-        every = self.s.put(every.select("token", "pos", "n", "id", "comp", (F.col("comp") == F.col("main")).alias("in_main")),
-                           "rest")
-        u = every.filter("NOT in_main").select("token", *[F.col(c).alias("u_" + c) for c in ("pos", "n", "id", "comp")])
-        v = every.select("token", "pos", "n", "id", "comp", "in_main")
-        on = ((F.col("u_comp") != F.col("comp")) & (F.col("in_main") | (F.col("u_id") < F.col("id")))
-              & _near(p, F.col("u_n"), F.col("n"), F.col("u_pos"), F.col("pos")))
-        more = (u.alias("u").join(v.alias("v"), (F.col("u.token") == F.col("v.token")) & on)
+        both, larger = F.col("u_n") + F.col("n"), F.greatest("u_n", "n")
+        merged = F.ceil(p * both / (100 + p)) - F.ceil(p * larger / 100) + 1
+        on = ((F.col("u_comp") != F.col("comp")) & ((F.col("comp") == F.col("main")) | (F.col("u_id") < F.col("id")))
+              & _near(p, F.col("u_n"), F.col("n"), F.col("u_pos"), F.col("pos"))
+              & (F.least("u_left", "left") >= merged) & ~F.col("u_tried").eqNullSafe(F.col("id")))
+        more = (out.alias("u").join(at.select("token", *_MEMBER).alias("v"), (F.col("u.token") == F.col("v.token")) & on)
                 .select(F.least("u_id", "id").alias("a"), F.greatest("u_id", "id").alias("b")).distinct()
                 .join(first, ["a", "b"], "left_anti"))
         more = self.s.put(more, "more")
-        if not more.isEmpty():
-            links = links.unionByName(self.verified(more, "more"))
-        return links
+        if more.isEmpty():
+            return comp
+        # what these links join, component by component
+        links = self.verified(more, "more")
+        for c in ("a", "b"):
+            links = (links.join(comp.select(F.col("id").alias(c), F.col("comp").alias("c")), c, "left")
+                     .withColumn(c, F.coalesce("c", c)).drop("c"))
+        links = self.s.put(links.filter("a <> b"), "joined")
+        if links.isEmpty():
+            return comp
+        over = self.s.put(components(links, self.s).select(F.col("id").alias("comp"), F.col("comp").alias("top")), "over")
+        # components that were joined, and documents that were in none
+        alone = over.join(comp.select("comp"), "comp", "left_anti").select(F.col("comp").alias("id"), F.col("top").alias("comp"))
+        return comp.join(over, "comp", "left").select("id", F.coalesce("top", "comp").alias("comp")).unionByName(alone)
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -328,18 +368,19 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     that share an id are one node, rows with a null id keep a null component.
     An empty table gives no rows; other columns aren't read.
     """
+    out = set_components(df, partial(shingles_of, k), percent, id_col, text_col)
+    return out.withColumnRenamed("n", "n_shingles")
+
+
+def set_components(df: DataFrame, sets_of, percent: int, id_col: str, text_col: str,
+                   size_classes: bool = False) -> DataFrame:
+    """The join on any sets of a text: ``sets_of(column)`` gives blocks of sorted
+    distinct 64-bit hashes. Returns ``id_col``, n, component_id."""
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    job = _Join(docs, k, percent)
-    links = job.run()
-    rows, s = job.rows, job.s
-    # documents with one set are one node already: link each to the smallest id of its set
-    known = rows.filter("id IS NOT NULL AND n > 0")
-    sets = s.put(known.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("c")).filter("c > 1")
-                 .select("n", "s1", "s2", "rep"), "copies")
-    copies = known.join(sets, ["n", "s1", "s2"]).select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    comp = s.put(components(links.unionByName(copies), s), "components")
-    out = rows.select("id", "n").join(comp, "id", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"),
+    job = _Join(docs, sets_of, percent, size_classes)
+    comp = job.run()
+    out = job.rows.select("id", "n").join(comp, "id", "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n"),
                       F.coalesce("comp", "id").alias("component_id"))
 
 

@@ -9,16 +9,16 @@ their prose agree.
 
 Likeness is the Jaccard similarity of two fingerprints. ``min(m, n) / max(m, n)``
 of the set sizes bounds it, which prunes a comparison against a threshold
-before any signature is read, and lets ``matches`` partition documents by set
-size: with partition borders a factor 1/threshold apart, a document can only
-match its own partition and the next smaller one.
+before any signature is read, and lets ``near_components`` partition documents
+by set size: with borders a factor 1/threshold apart, a document can only match
+its own partition and the next smaller one.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import math
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leadframe.llm.jaccard import set_components
 from leadframe.llm.textscan import batch_words, mix, scan_words, word_hashes
 
 # Common words, in four languages.
@@ -123,48 +124,24 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return x.mapInArrow(run, schema)
 
 
-def matches(prints: DataFrame, id_col: str = "doc_id", threshold: float = 0.8) -> DataFrame:
-    """Pairs of distinct fingerprints at the threshold: (fingerprint_a, fingerprint_b, likeness).
+def _spot_sets(chain, column):
+    for words in batch_words(column, letters_only=True):
+        yield words.first, (np.sort(mix(s.astype(np.uint64))) for s in _spots(words, _anchors(), chain))
 
-    ``prints`` is a result of ``fingerprints``. Equal fingerprints are one
-    class, whose members the caller finds by the fingerprint itself; so copies
-    aren't expanded into pairs. Classes post the signatures that must hold a
-    shared one (the first n - ceil(threshold n) + 1 in hash order) in their own
-    size partition and, as the smaller side, in the next larger one; pairs that
-    meet pass the size bound before their sets are compared.
-    """
-    log = math.log(1 / threshold)
-    part = F.floor(F.ln(F.col("n_spots").cast("double")) / log + 1e-9).cast("int")
-    one = prints.filter("n_spots > 0").select("n_spots", "fingerprint").distinct().withColumn("part", part)
-    schema = "part int, spot long, own boolean, n_spots int, fingerprint string"
 
-    def post(batches):
-        for batch in batches:
-            out = [[], [], [], [], []]
-            for n, f, p in zip(*(c.to_pylist() for c in batch.columns)):
-                spots = unpack(f)
-                for spot in spots[:n - math.ceil(threshold * n - 1e-9) + 1].tolist():
-                    for c, v in zip(out, (p, spot, True, n, f)):
-                        c.extend((v, v))
-                    out[0][-1], out[2][-1] = p + 1, False
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (
-                pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.string()))],
-                ["part", "spot", "own", "n_spots", "fingerprint"])
-    posts = one.mapInArrow(post, schema)
-    a, b = posts.filter("own").alias("a"), posts.alias("b")
-    small = F.least("a.n_spots", "b.n_spots") >= threshold * F.greatest("a.n_spots", "b.n_spots")
-    pairs = (a.join(b, (F.col("a.part") == F.col("b.part")) & (F.col("a.spot") == F.col("b.spot")) & small
-                    & ((~F.col("b.own")) | (F.col("a.fingerprint") < F.col("b.fingerprint"))))
-             .select(F.col("a.fingerprint").alias("fingerprint_a"), F.col("b.fingerprint").alias("fingerprint_b")).distinct())
-
-    def compare(batches):
-        for batch in batches:
-            x, y = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            like = [likeness(unpack(p), unpack(q), threshold) for p, q in zip(x, y)]
-            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(like, pa.float64())],
-                                             ["fingerprint_a", "fingerprint_b", "likeness"])
-            yield out.filter(pa.array([v > 0 for v in like], pa.bool_()))
-    return pairs.mapInArrow(compare, "fingerprint_a string, fingerprint_b string, likeness double")
+def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80,
+                    chain: int = CHAIN) -> DataFrame:
+    """Near duplicates by fingerprint: ``id_col``, n_spots, component_id (the smallest id reachable).
+
+    Documents link when the likeness of their fingerprints is at least
+    ``percent``. Signature lists are partitioned by set size (a class and the
+    next smaller one, a factor 100 / percent apart); in them, pairs pass the
+    exact pruning of the set join in ``jaccard`` before their sets meet, and a
+    group of copies never gives all its pairs. Documents without words link
+    with nothing; ids and rows as in ``jaccard_components``.
+    """
+    out = set_components(df, partial(_spot_sets, chain), percent, id_col, text_col, size_classes=True)
+    return out.withColumnRenamed("n", "n_spots")
 
 
 _EDITED = ("id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "

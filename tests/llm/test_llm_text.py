@@ -82,6 +82,8 @@ def test_encode_and_decode_frames(spark, tik):
     assert bpe.encode(empty(spark), RANKS).count() == 0
     plain = bpe.encode(frame(spark, rows[:3]), RANKS, with_offsets=False)
     assert plain.columns == ["doc_id", "n_tokens", "ids"]
+    fused = bpe.encode(frame(spark, rows), RANKS, with_offsets=False, decoded_col="d")
+    assert sorted(((i, n, bytes(d)) for i, n, d in rows_of(fused, "doc_id", "n_tokens", "d")), key=str) == sorted(want, key=str)
 
 
 def test_text_that_is_not_utf8(spark):
@@ -145,18 +147,23 @@ def test_next_documents_over_all_ranges(spark):
     assert spotsigs.compare_with_next(empty(spark)).count() == 0
 
 
-def test_matches_equal_all_pairs(spark):
+@pytest.mark.parametrize("percent", [50, 80])
+def test_near_components_equal_all_pairs(spark, percent):
     rows = documents()
-    prints = spotsigs.fingerprints(frame(spark, rows))
-    got = {(a, b): x for a, b, x in rows_of(spotsigs.matches(prints, threshold=0.5), "fingerprint_a", "fingerprint_b", "likeness")}
-    known = sorted({f for f, n in rows_of(prints, "fingerprint", "n_spots") if n})
-    want = {}
-    for i, a in enumerate(known):
-        for b in known[i + 1:]:
-            x = spotsigs.likeness(spotsigs.unpack(a), spotsigs.unpack(b), 0.5)
-            if x > 0:
-                want[a, b] = x
-    assert {tuple(sorted(k)): pytest.approx(v) for k, v in got.items()} == want and len(got) == len(want) > 5
+    sets = {i: s for (i, *_), s in zip(rows, spotsigs.text_spots([t or "" for _, t, *_ in rows]))}
+    comp = {i: i for i in sets}
+
+    def find(i):
+        return i if comp[i] == i else find(comp[i])
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1:]:
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((find(a), find(b)))
+                comp[y] = x
+    got = spotsigs.near_components(frame(spark, rows), percent=percent)
+    assert sorted(rows_of(got, "doc_id", "n_spots", "component_id")) == [(i, len(sets[i]), find(i)) for i in ids]
 
 
 # ------------------------------------------------------------------ classifiers
