@@ -46,10 +46,9 @@ def mixing_stage(spark, docs, sf_dir):
 def encode_stage(spark, docs, sf_dir):
     """Token ids of every row, and the digest of what they decode to."""
     ranks = bpe.read_ranks(public_tokenizers.path(VOCABULARY))
-    ids = bpe.encode(docs, ranks, carry=("doc_id", "source"))
-    ids = ids.select("doc_id", "source", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "ids", "offsets")
-    return (bpe.decode(ids.withColumn("tokens", F.col("ids")), ranks)
-            .select("doc_id", "source", "n_tokens", "tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256")))
+    both = bpe.encode(docs, ranks, carry=("doc_id", "source"), with_offsets=False, decoded_col="decoded")
+    return both.select("doc_id", "source", "n_tokens", F.col("ids").alias("tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [

@@ -21,6 +21,7 @@ from __future__ import annotations
 import base64
 import heapq
 import unicodedata
+from array import array
 from functools import cache
 
 import numpy as np
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 
 from leadframe.llm.textscan import blocks, text_bytes
 
-CACHE_PIECES = 150_000      # bound of the cache of merged pieces, about 35 MB
-BLOCK_BYTES = 1 << 20
+CACHE_PIECES = 60_000       # bound of the cache of merged pieces, about 15 MB
+BLOCK_BYTES = 1 << 18
 SCAN_WIDTH = 64
 
 # Unicode White_Space, which \s stands for
@@ -152,26 +153,52 @@ def piece_starts(points: np.ndarray, doc_at: np.ndarray) -> np.ndarray:
     return np.flatnonzero(starts[states_before(of_symbol[symbol]), symbol])
 
 
-class Vocabulary:
-    """Ranks of a tiktoken file, and the cache of merged pieces."""
+class Tokens:
+    """The bytes of every token of a tiktoken rank file."""
+
+    def __init__(self, content: bytes):
+        pairs = sorted((int(b), base64.b64decode(a)) for a, b in map(bytes.split, content.splitlines()) if a)
+        self.length = np.zeros(pairs[-1][0] + 1, np.int64)
+        self.length[[r for r, _ in pairs]] = [len(t) for _, t in pairs]
+        self.bytes = np.frombuffer(b"".join(t for _, t in pairs), np.uint8)
+        self.at = np.cumsum(self.length) - self.length
+
+    def offsets(self, ids: np.ndarray) -> np.ndarray:
+        """Byte offset of each token."""
+        n = self.length[ids]
+        return np.cumsum(n) - n
+
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> bytes:
+        """Put each token's bytes at its offset."""
+        if len(ids) == 0:
+            return b""
+        n = self.length[ids]
+        out = np.empty(int(offsets[-1] + n[-1]), np.uint8)
+        inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        out[np.repeat(offsets.astype(np.int64), n) + inside] = self.bytes[np.repeat(self.at[ids], n) + inside]
+        return out.tobytes()
+
+
+class Vocabulary(Tokens):
+    """Tokens with their ranks, the pairs that merge, and the cache of merged pieces."""
 
     def __init__(self, content: bytes, cache_pieces: int = CACHE_PIECES):
+        super().__init__(content)
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines()) if a}
-        top = max(self.ranks.values()) + 1
-        tokens = [b""] * top
-        for t, r in self.ranks.items():
-            tokens[r] = t
-        self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
-        self.length = np.array([len(t) for t in tokens], np.int64)
-        self.at = np.concatenate(([0], np.cumsum(self.length)[:-1]))
-        self.top = top
+        self.top = len(self.length)
         self.of_byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
         # every pair of tokens whose bytes together are a token
-        pairs = [(self.ranks[t[:i]] * top + self.ranks[t[i:]], r) for t, r in self.ranks.items()
-                 for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
-        pairs.sort()
-        self.pair = np.array([k for k, _ in pairs] + [1 << 62], np.int64)
-        self.pair_rank = np.array([r for _, r in pairs] + [0], np.int64)
+        key, rank = array("q"), array("q")
+        for t, r in self.ranks.items():
+            for i in range(1, len(t)):
+                a, b = self.ranks.get(t[:i]), self.ranks.get(t[i:])
+                if a is not None and b is not None:
+                    key.append(a * self.top + b)
+                    rank.append(r)
+        key, rank = np.array(key), np.array(rank)
+        order = np.argsort(key)
+        self.pair = np.append(key[order], 1 << 62)
+        self.pair_rank = np.append(rank[order], 0)
         self.pieces: dict[bytes, bytes] = {}
         self.most = cache_pieces
 
@@ -242,21 +269,6 @@ class Vocabulary:
         packed, step = done.tobytes(), 4 * width
         return [(p, packed[i * step:i * step + 4 * k]) for i, (p, k) in enumerate(zip(group, size.tolist()))]
 
-    def offsets(self, ids: np.ndarray) -> np.ndarray:
-        """Byte offset of each token."""
-        n = self.length[ids]
-        return np.cumsum(n) - n
-
-    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> bytes:
-        """Put each token's bytes at its offset."""
-        if len(ids) == 0:
-            return b""
-        n = self.length[ids]
-        out = np.empty(int(offsets[-1] + n[-1]), np.uint8)
-        inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        out[np.repeat(offsets.astype(np.int64), n) + inside] = self.bytes[np.repeat(self.at[ids], n) + inside]
-        return out.tobytes()
-
 
 def merge(piece: bytes, ranks: dict) -> list[int]:
     """Merge the pair of lowest rank, leftmost first, until none is left.
@@ -292,12 +304,12 @@ def merge(piece: bytes, ranks: dict) -> list[int]:
 _loaded: dict = {}
 
 
-def _vocabulary(content) -> Vocabulary:
-    """The task's vocabulary, built once per Python worker."""
-    key = content.id if hasattr(content, "id") else id(content)
+def _once(kind, content):
+    """The task's tokens or vocabulary, built once per Python worker."""
+    key = (kind, hash(content.value))
     if key not in _loaded:
         _loaded.clear()
-        _loaded[key] = Vocabulary(content.value)
+        _loaded[key] = kind(content.value)
     return _loaded[key]
 
 
@@ -330,34 +342,41 @@ def read_ranks(path: str) -> bytes:
 
 
 def encode(df: DataFrame, ranks: bytes, text_col: str = "text", carry: tuple = ("doc_id",),
-           with_offsets: bool = True) -> DataFrame:
+           with_offsets: bool = True, decoded_col: str | None = None) -> DataFrame:
     """Return the ``carry`` columns, n_tokens, ids and (with_offsets) offsets, one row per input row.
 
     ``ids`` are little-endian unsigned 32-bit integers, ``offsets`` the byte
-    offset of each token in the text, packed alike. Null text counts as empty
-    and has no tokens; repeated rows are encoded separately; bytes that are not
-    UTF-8 count as replacement characters; columns not named are not read. No
-    shuffle: each task streams its rows in blocks of bounded size.
+    offset of each token in the text, packed alike. ``decoded_col`` adds what
+    ids and offsets decode to, in the same pass (one Python worker a task, not
+    two). Null text counts as empty and has no tokens; repeated rows are
+    encoded separately; bytes that are not UTF-8 count as replacement
+    characters; columns not named are not read. No shuffle: each task streams
+    its rows in blocks of bounded size.
     """
     spark = df.sparkSession
     content = spark.sparkContext.broadcast(ranks)
     x = df.select(F.col(text_col).alias("__text"), *[F.col(c) for c in carry])
     kept = x.drop("__text").schema
-    for name, kind in (("n_tokens", "long"), ("ids", "binary"), *((("offsets", "binary"),) if with_offsets else ())):
+    more = [("offsets", "binary")] * with_offsets + ([(decoded_col, "binary")] if decoded_col else [])
+    for name, kind in (("n_tokens", "long"), ("ids", "binary"), *more):
         kept = kept.add(name, kind)
 
     def run(batches):
-        vocabulary = _vocabulary(content)
+        vocabulary = _once(Vocabulary, content)
         for batch in batches:
             data, off = text_bytes(batch.column(0))
             for i, j in blocks(off, BLOCK_BYTES):
                 ids = encode_block(data[off[i]:off[j]], off[i:j + 1] - off[i], vocabulary)
                 cols = [c.slice(i, j - i) for c in batch.columns[1:]]
                 cols += [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+                numbers = [np.frombuffer(x, "<u4") for x in ids] if more else ()
+                offsets = [vocabulary.offsets(x) for x in numbers]
                 if with_offsets:
-                    cols.append(pa.array([vocabulary.offsets(np.frombuffer(x, "<u4")).astype("<u4").tobytes()
-                                          for x in ids], pa.binary()))
+                    cols.append(pa.array([x.astype("<u4").tobytes() for x in offsets], pa.binary()))
+                if decoded_col:
+                    cols.append(pa.array([vocabulary.decode(x, y) for x, y in zip(numbers, offsets)], pa.binary()))
                 yield pa.RecordBatch.from_arrays(cols, kept.names)
+            del batch, data, off        # before the next batch is read
     return x.mapInArrow(run, kept)
 
 
@@ -369,11 +388,11 @@ def decode(df: DataFrame, ranks: bytes, ids_col: str = "ids", offsets_col: str =
     schema = x.drop(ids_col, offsets_col).schema.add(out_col, "binary")
 
     def run(batches):
-        vocabulary = _vocabulary(content)
+        tokens = _once(Tokens, content)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                out = [vocabulary.decode(np.frombuffer(a.as_buffer(), "<u4"), np.frombuffer(b.as_buffer(), "<u4"))
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                out = [tokens.decode(np.frombuffer(a.as_buffer(), "<u4"), np.frombuffer(b.as_buffer(), "<u4"))
                        for a, b in zip(part.column(0), part.column(1))]
                 yield pa.RecordBatch.from_arrays([*part.columns[2:], pa.array(out, pa.binary())], schema.names)
     return x.mapInArrow(run, schema)

@@ -90,21 +90,17 @@ def row_features(words):
                               np.ones(int(double[a:b].sum()), np.int64)])
 
 
-def values(features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct feature numbers, values); feature FEATURES is the constant."""
-    at, n = np.unique(features, return_counts=True)
-    return np.append(at, FEATURES), np.append(SCALE * n / max(1, len(features)), 1.0)
-
-
-def train(rows: list[tuple[np.ndarray, np.ndarray, int, float]], epochs: int = EPOCHS) -> np.ndarray:
-    """rows: (feature numbers, values, label, weight) -> weights with the constant last."""
+def train(rows: list[tuple[bytes, bytes, int, float]], epochs: int = EPOCHS) -> np.ndarray:
+    """rows: (distinct feature numbers, counts, label, weight), the first two
+    packed as 32-bit integers -> weights; the constant, feature FEATURES, is last."""
     model = Ftrl(FEATURES + 1, 2, ALPHA, BETA, L1, L2)
     for epoch in range(epochs):
         for i in np.random.default_rng(epoch).permutation(len(rows)):
-            at, x, label, weight = rows[i]
-            model.learn(at, x, label, weight)
+            at, n, label, weight = rows[i]
+            at, n = np.frombuffer(at, np.int32).astype(np.int64), np.frombuffer(n, np.int32)
+            model.learn(np.append(at, FEATURES), np.append(SCALE * n / max(1, int(n.sum())), 1.0), label, weight)
     w = model.weights()
-    return (w[:, 1] - w[:, 0]).astype(np.float64)
+    return w[:, 1] - w[:, 0]
 
 
 def score_rows(words, weights: np.ndarray):
@@ -165,11 +161,7 @@ def learn_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
              .mapInArrow(sample_features, _SAMPLE).dropDuplicates(["id"]).orderBy("id").collect())
     have = {k: sum(r.label == k for r in found) for k in share}
     whole = sum(share.values())
-    rows = []
-    for r in found:
-        at, n = np.frombuffer(r.at, np.int32).astype(np.int64), np.frombuffer(r.n, np.int32)
-        weight = share[r.label] / whole * len(found) / have[r.label]
-        rows.append((np.append(at, FEATURES), np.append(SCALE * n / max(1, int(n.sum())), 1.0), r.label, weight))
+    rows = [(r.at, r.n, r.label, share[r.label] / whole * len(found) / have[r.label]) for r in found]
     return train(rows)
 
 

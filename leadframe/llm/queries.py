@@ -49,9 +49,9 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 def op2_byte_bpe(spark, sf):
     """Every text encoded, and decoded again from its ids."""
     ranks = bpe.read_ranks(public_tokenizers.path(VOCABULARY))
-    ids = bpe.encode(table(spark, sf, "documents"), ranks)
-    ids = ids.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "ids", "offsets")
-    return bpe.decode(ids, ranks).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    both = bpe.encode(table(spark, sf, "documents"), ranks, with_offsets=False, decoded_col="decoded")
+    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 @register("op3_shard_by_slots")
