@@ -7,9 +7,14 @@ one. Weights are learnt by follow-the-regularised-leader with elastic-net
 penalties, and a temperature is fitted on rows held back from the learning, so
 the score is a calibrated probability.
 
-Document frequencies cover all rows that may be learnt from; the fit takes a
-sample of at most ``SAMPLE`` of them, by hash order. Scoring streams whole
-texts; what is broadcast (weights, frequencies) has a fixed size.
+Document frequencies, the languages and their shares cover all rows that may be
+learnt from; the fit takes at most ``PER_LANGUAGE`` distinct rows of each
+language, by hash order, so no language is lost however rare it is. The sample's
+shares differ from the true ones; the logarithm of their ratio is added to the
+scores. (Weights on the examples, as in ``quality``, would say the same, but at a
+share of one in ten thousand so little is learnt from them that the language is
+never predicted.) Scoring streams whole texts; what is broadcast (weights,
+frequencies) grows with the number of languages only, 128 KB each.
 """
 
 from __future__ import annotations
@@ -19,15 +24,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leadframe.llm.bpe import LETTER, STMD, class_table
+from leadframe.llm.common import Scratch
 from leadframe.llm.ftrl import Ftrl, fit_temperature, softmax
 from leadframe.llm.textscan import blocks, text_bytes
 
 FEATURES = 1 << 14
-SAMPLE = 3000
-CALIBRATION = 5         # every fifth row of the sample fits the temperature
+PER_LANGUAGE = 1000
+CALIBRATION = 5         # every fifth row of a language's sample fits the temperature
 EPOCHS = 2
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.01, 0.1
 UNKNOWN = "und"
@@ -39,6 +46,10 @@ class Model:
     idf: np.ndarray         # FEATURES
     weights: np.ndarray     # FEATURES x languages
     temperature: float
+    prior: np.ndarray       # log(true share / share of the sample) of each language
+
+    def probabilities(self, at: np.ndarray, x: np.ndarray) -> np.ndarray:
+        return softmax(x @ self.weights[at] / self.temperature + self.prior)
 
 
 def row_counts(column):
@@ -95,13 +106,40 @@ def _sparse(batches):
             at.append(f.astype(np.int32).tobytes())
             n.append(counts[f].astype(np.int32).tobytes())
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at, pa.binary()),
-                                          pa.array(n, pa.binary())], ["id", "lang", "at", "n"])
+                                          pa.array(n, pa.binary())], ["lang", "row", "at", "n"])
+
+
+def _sample(known: DataFrame, per_language: int):
+    """(lang, text) -> rows (lang, row, at, n) by language, and each language's number of rows.
+
+    At most ``per_language`` distinct rows of each language; equal rows count
+    once in the sample and each in the number.
+    """
+    rows = Scratch(known.sparkSession, "langid").put(
+        known.groupBy("lang", "row").agg(F.count("*").alias("n")), "rows")         # hashes, no text
+    seen = rows.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("d")).collect()     # one row a language
+    if not seen:
+        return [], {}
+    # by hash, about per_language of each language; the row number makes it a bound
+    parts = F.broadcast(known.sparkSession.createDataFrame(
+        [(r.lang, min(1.0, 1.2 * per_language / r.d)) for r in seen], "lang string, part double"))
+    drawn = rows.join(parts, "lang").filter(F.shiftrightunsigned("row", 2).cast("double") / float(1 << 62) <= F.col("part"))
+    pick = drawn.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("row"))).filter(F.col("k") <= per_language)
+    pick = F.broadcast(pick.select("lang", "row"))          # at most per_language rows of each language
+    found = (known.join(pick, ["lang", "row"]).select("lang", "row", "text")
+             .mapInArrow(_sparse, "lang string, row long, at binary, n binary").dropDuplicates(["lang", "row"])
+             .orderBy("lang", "row").collect())
+    return found, {r.lang: r.n for r in seen}
 
 
 def learn_languages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-                    sample: int = SAMPLE) -> Model:
-    """Fit on the rows of ``df`` that have a language; none: a model that only says ``und``."""
-    known = df.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+                    per_language: int = PER_LANGUAGE) -> Model:
+    """Fit on the rows of ``df`` that have a language; none: a model that only says ``und``.
+
+    Every language of these rows is learnt, from at most ``per_language`` rows.
+    """
+    known = df.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"),
+                      F.xxhash64(id_col, text_col).alias("row"))
     known = known.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     # at most FEATURES + 1 rows reach the driver
     seen = known.select("text").mapInArrow(_frequencies, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n"))
@@ -110,31 +148,39 @@ def learn_languages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     idf = np.full(FEATURES, np.log(1.0 + total))
     for f, n in seen.items():
         idf[f] = np.log((1.0 + total) / (1.0 + n)) + 1.0
-    if total == 0:
-        return Model([], idf, np.zeros((FEATURES, 0)), 1.0)
-    order = F.xxhash64("id")
-    drawn = F.shiftrightunsigned(order, 2).cast("double") / float(1 << 62) <= min(1.0, 1.2 * sample / total)
-    pick = known.select("id", order.alias("order")).filter(drawn).distinct().orderBy("order", "id").limit(sample)
-    pick = F.broadcast(pick.select("id"))                   # at most ``sample`` rows
-    rows = (known.join(pick, "id").select(F.col("id").cast("string").alias("id"), "lang", "text")
-            .mapInArrow(_sparse, "id string, lang string, at binary, n binary").dropDuplicates(["id"])
-            .orderBy("id").collect())
-    languages = sorted({r.lang for r in rows})
+    rows, share = _sample(known, per_language)
+    return fit(rows, share, idf)
+
+
+def fit(rows, share: dict, idf: np.ndarray) -> Model:
+    """rows: (lang, row, at, n) by language; share: number of rows of each language in the whole table."""
+    languages = sorted(share)
+    if not languages:
+        return Model([], idf, np.zeros((FEATURES, 0)), 1.0, np.zeros(0))
     number = {x: i for i, x in enumerate(languages)}
-    data = []
+    have = np.zeros(len(languages))
+    learn, held = [], []
     for r in rows:
+        y = number[r.lang]
+        have[y] += 1        # a language with fewer than CALIBRATION rows is learnt from all of them
+        (held if have[y] % CALIBRATION == 0 else learn).append((r.at, r.n, y))
+
+    def example(r):
         counts = np.zeros(FEATURES)
-        counts[np.frombuffer(r.at, np.int32)] = np.frombuffer(r.n, np.int32)
-        data.append((*_vector(counts, idf), number[r.lang]))
-    held = data[::CALIBRATION] if len(data) >= 2 * CALIBRATION else []
-    learn = [x for i, x in enumerate(data) if not held or i % CALIBRATION]
+        counts[np.frombuffer(r[0], np.int32)] = np.frombuffer(r[1], np.int32)
+        return _vector(counts, idf)
     model = Ftrl(FEATURES, len(languages), ALPHA, BETA, L1, L2)
     for epoch in range(EPOCHS):
         for i in np.random.default_rng(epoch).permutation(len(learn)):
-            model.learn(*learn[i])
+            model.learn(*example(learn[i]), learn[i][2])
     w = model.weights()
-    scores = np.array([x @ w[at] for at, x, _ in held]).reshape(len(held), len(languages))
-    return Model(languages, idf, w, fit_temperature(scores, np.array([y for _, _, y in held], int)))
+    scores = np.zeros((len(held), len(languages)))
+    for i, r in enumerate(held):
+        at, x = example(r)
+        scores[i] = x @ w[at]
+    true = np.array([share[x] for x in languages], float)
+    prior = np.log(true / true.sum()) - np.log(have / have.sum())
+    return Model(languages, idf, w, fit_temperature(scores, np.array([r[2] for r in held], int)), prior)
 
 
 def predict_languages(df: DataFrame, model: Model, text_col: str = "text", carry: tuple = ("doc_id",)) -> DataFrame:
@@ -156,7 +202,7 @@ def predict_languages(df: DataFrame, model: Model, text_col: str = "text", carry
                     lang.append(UNKNOWN)
                     score.append(0.0)
                 else:
-                    p = softmax(v @ m.weights[at] / m.temperature)
+                    p = m.probabilities(at, v)
                     k = int(p.argmax())
                     lang.append(m.languages[k])
                     score.append(float(p[k]))

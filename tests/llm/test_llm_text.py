@@ -195,6 +195,35 @@ def test_language_awkward_rows(spark):
     assert langid.predict_languages(empty(spark), model).count() == 0
 
 
+def test_every_language_is_learnt_whatever_its_share(spark):
+    """Rare languages (one of 12 rows, one of 2, one with null or repeated ids only) beside hot ones."""
+    rnd = random.Random(8)
+    words = {"en": "the of and with this that from have been which", "de": "der die das und nicht sich auch werden eine ist",
+             "fi": "että hän ovat myös kuin mutta olla jotka sekä kanssa", "tr": "bir için olarak daha sonra kadar gibi çok değil",
+             "pl": "się jest nie który przez oraz była także został"}
+
+    def text(lang):
+        return " ".join(rnd.choice(words[lang].split()) for _ in range(30))
+    rows = [(i, text("en"), "en", None) for i in range(6000)] + [(i, text("de"), "de", None) for i in range(6000, 8000)]
+    rows += [(i, text("fi"), "fi", None) for i in range(8000, 8012)] + [(i, text("tr"), "tr", None) for i in (8012, 8013)]
+    rows += [(None, text("pl"), "pl", None) for _ in range(3)] + [(1, text("pl"), "pl", None) for _ in range(3)]
+    rows += [(2, "same words again", "en", None)] * 500
+    model = langid.learn_languages(frame(spark, rows))
+    assert model.languages == sorted(words)
+    asked = [(i, text(lang), lang, None) for i, lang in enumerate(sorted(words) * 20)]
+    got = rows_of(langid.predict_languages(frame(spark, asked), model, carry=("lang",)), "lang", "lang_pred")
+    assert all(a == b for a, b in got)
+
+
+def test_language_sample_is_bounded_by_language(spark):
+    rows = [(i, "text %d" % i, "en" if i % 10 else "de", None) for i in range(1000)] + [(7, "copy", "de", None)] * 400
+    known = frame(spark, rows).selectExpr("lang", "text", "xxhash64(doc_id, text) AS row")
+    found, share = langid._sample(known, 30)
+    assert share == {"en": 900, "de": 500}
+    have = {k: sum(r.lang == k for r in found) for k in share}
+    assert all(15 <= n <= 30 for n in have.values()) and len({(r.lang, r.row) for r in found}) == len(found)
+
+
 def test_frequencies_cover_every_row():
     texts = ["Ab c", "ab", None, "zz 1", "é" * 40]
     batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["t"])
