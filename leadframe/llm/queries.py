@@ -64,8 +64,9 @@ def op3_shard_by_slots(spark, sf):
 
 @register("op4_spotsigs")
 def op4_spotsigs(spark, sf):
-    """Fingerprints of all texts and of their edited texts."""
-    return spotsigs.compare_with_next(table(spark, sf, "documents"))
+    """Fingerprints of all texts and of their edited texts, with the corpus's own anchors."""
+    docs = table(spark, sf, "documents")
+    return spotsigs.compare_with_next(docs, anchors=spotsigs.corpus_anchors(docs))
 
 
 def crc_of_id(id_col):

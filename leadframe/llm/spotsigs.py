@@ -7,6 +7,14 @@ The fingerprint is the set of a text's signatures. Common words and chains run
 through prose but hardly through mark-up, so fingerprints of pages that share
 their prose agree.
 
+Two kinds of anchors. ``ANCHORS`` is a fixed list in four languages. With
+``corpus_anchors`` (the registered query) nothing depends on a language: the
+common words are those of most documents, over the whole corpus, and one rule
+adds hash-selected words to every text: of each run of CHAIN + 1 content words
+the one with the least hash is an anchor too, and stays a content word. So
+every content word of every text is in a signature, whatever the language; a
+text of common words only counts them all as content.
+
 Likeness is the Jaccard similarity of two fingerprints. ``min(m, n) / max(m, n)``
 of the set sizes bounds it, which prunes a comparison against a threshold
 before any signature is read, and lets ``near_components`` partition documents
@@ -38,23 +46,86 @@ el los las que y en del se por con no una su para es al lo como
 """.split()
 
 CHAIN = 2       # content words after an anchor
+CELLS = 1 << 17             # cells of the document frequencies: the size of what reaches the driver
+MOST_COMMON = 256           # cells of common words at most
+COMMON_SHARE = 0.4          # and of all word occurrences at most this share is in them
+
+
+def _cell(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(47)).astype(np.int64)            # 17 bits
+
+
+def _frequencies(batches):
+    """Documents and occurrences of each cell over a task's rows."""
+    docs, all_words = np.zeros(CELLS, np.int64), np.zeros(CELLS, np.int64)
+    for batch in batches:
+        for words in batch_words(batch.column(0), letters_only=True):
+            cell, off = _cell(words.hash), words.word_off
+            all_words += np.bincount(cell, minlength=CELLS)
+            row = np.repeat(np.arange(len(off) - 1), np.diff(off))
+            docs += np.bincount(np.unique(row * CELLS + cell) % CELLS, minlength=CELLS)
+    at = np.flatnonzero(docs)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(docs[at], pa.int64()),
+                                      pa.array(all_words[at], pa.int64())], ["cell", "docs", "n"])
+
+
+def corpus_anchors(df: DataFrame, text_col: str = "text") -> np.ndarray:
+    """The common words of all texts, as a table of CELLS flags over the words' hashes.
+
+    The cells with the most documents, as long as they are at most MOST_COMMON
+    and hold at most COMMON_SHARE of all word occurrences.
+    """
+    seen = df.select(F.col(text_col)).mapInArrow(_frequencies, "cell int, docs long, n long")
+    # at most CELLS rows reach the driver
+    seen = seen.groupBy("cell").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n")).toArrow()
+    cell, docs, n = (c.to_numpy() for c in seen.columns)
+    order = np.lexsort((cell, -docs))
+    order = order[np.cumsum(n[order]) <= COMMON_SHARE * n.sum()][:MOST_COMMON]
+    flags = np.zeros(CELLS, bool)
+    flags[cell[order]] = True
+    return flags
+
+
+def _selected(v: np.ndarray, off: np.ndarray, width: int) -> np.ndarray:
+    """Positions with the least value of ``width`` neighbours in a row; a shorter row is one run."""
+    n, i = len(v), np.arange(len(v))
+    start, end = (np.repeat(x, np.diff(off)) for x in (off[:-1], off[1:]))
+    best, at = v.copy(), i.copy()
+    for j in range(1, width):
+        other = np.minimum(i + j, n - 1)
+        less = (i + j < end) & (v[other] < best)
+        best, at = np.where(less, v[other], best), np.where(less, other, at)
+    return np.unique(at[(i + width <= end) | (i == start)])
 
 
 def _spots(words, anchors: np.ndarray, chain: int):
-    """Sorted distinct 32-bit signatures of each row."""
+    """Sorted distinct 32-bit signatures of each row.
+
+    ``anchors``: hashes of common words, or the flags of ``corpus_anchors``.
+    """
     h, off = words.hash, words.word_off
     m = len(h)
-    common = np.isin(h, anchors)
+    whole = anchors.dtype == bool
+    common = anchors[_cell(h)] if whole else np.isin(h, anchors)
+    doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
+    if whole:
+        common &= np.bincount(doc[~common], minlength=len(off) - 1)[doc] > 0
     content = np.flatnonzero(~common)
     follow = np.searchsorted(content, np.arange(m + 1))     # number of content words before a word
     ends = follow[off[1:]]                                  # content words before each row's end
-    doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
     at = np.flatnonzero(common)
     starts = np.flatnonzero(np.diff(off) > 0)               # rows with words: the text's start is an anchor
     anchor = np.concatenate([h[at], np.full(len(starts), 1, np.uint64)])
     row = np.concatenate([doc[at], starts])
     first = np.concatenate([follow[at], follow[off[starts]]])
-    sig, got = mix(anchor), np.zeros(len(row), np.int64)
+    got = np.zeros(len(row), np.int64)
+    if whole:
+        picked = _selected(mix(h[content]), follow[off], chain + 1)
+        anchor = np.concatenate([anchor, h[content[picked]]])
+        row = np.concatenate([row, doc[content[picked]]])
+        first = np.concatenate([first, picked + 1])
+        got = np.concatenate([got, np.ones(len(picked), np.int64)])        # a signature even as the last word
+    sig = mix(anchor)
     padded = np.append(content, [0] * chain)
     for i in range(chain):
         there = first + i < ends[row]
@@ -93,19 +164,25 @@ def likeness(x: np.ndarray, y: np.ndarray, threshold: float = 0.0) -> float:
     return out if out >= threshold else 0.0
 
 
-def text_spots(texts: list[str], chain: int = CHAIN) -> list[np.ndarray]:
+def text_spots(texts: list[str], chain: int = CHAIN, anchors: np.ndarray | None = None) -> list[np.ndarray]:
     """Signatures of a few texts."""
     raw = [t.encode("utf-8", "replace") for t in texts]
     off = np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64)
     words = scan_words(np.frombuffer(b"".join(raw), np.uint8), off, letters_only=True)
-    return list(_spots(words, _anchors(), chain))
+    return list(_spots(words, _anchors() if anchors is None else anchors, chain))
 
 
 def _anchors() -> np.ndarray:
     return np.unique(word_hashes(ANCHORS))
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", chain: int = CHAIN) -> DataFrame:
+def _shared(df: DataFrame, anchors: np.ndarray | None):
+    """The anchors (none given: the fixed list), broadcast: at most CELLS flags."""
+    return df.sparkSession.sparkContext.broadcast(_anchors() if anchors is None else anchors)
+
+
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", chain: int = CHAIN,
+                 anchors: np.ndarray | None = None) -> DataFrame:
     """Return per row: ``id_col``, n_spots, fingerprint. No shuffle.
 
     Null or empty text, or text without words, has the empty fingerprint;
@@ -113,9 +190,10 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     x = df.select(F.col(id_col), F.col(text_col))
     schema = x.select(id_col).schema.add("n_spots", "integer").add("fingerprint", "string")
+    held = _shared(df, anchors)
 
     def run(batches):
-        anchors = _anchors()
+        anchors = held.value
         for batch in batches:
             sets = [s for words in batch_words(batch.column(1), letters_only=True) for s in _spots(words, anchors, chain)]
             if sets:
@@ -124,13 +202,13 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return x.mapInArrow(run, schema)
 
 
-def _spot_sets(chain, column):
+def _spot_sets(chain, held, column):
     for words in batch_words(column, letters_only=True):
-        yield words.first, (np.sort(mix(s.astype(np.uint64))) for s in _spots(words, _anchors(), chain))
+        yield words.first, (np.sort(mix(s.astype(np.uint64))) for s in _spots(words, held.value, chain))
 
 
 def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80,
-                    chain: int = CHAIN) -> DataFrame:
+                    chain: int = CHAIN, anchors: np.ndarray | None = None) -> DataFrame:
     """Near duplicates by fingerprint: ``id_col``, n_spots, component_id (the smallest id reachable).
 
     Documents link when the likeness of their fingerprints is at least
@@ -140,7 +218,7 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     group of copies never gives all its pairs. Documents without words link
     with nothing; ids and rows as in ``jaccard_components``.
     """
-    out = set_components(df, partial(_spot_sets, chain), percent, id_col, text_col, size_classes=True)
+    out = set_components(df, partial(_spot_sets, chain, _shared(df, anchors)), percent, id_col, text_col, size_classes=True)
     return out.withColumnRenamed("n", "n_spots")
 
 
@@ -154,7 +232,8 @@ def edited_text(text: str, following: str) -> str:
     return text[:len(text) - n] + following[:n]
 
 
-def compare_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", chain: int = CHAIN) -> DataFrame:
+def compare_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", chain: int = CHAIN,
+                      anchors: np.ndarray | None = None) -> DataFrame:
     """Fingerprint each text and its edited text, and compare: columns as op4's contract.
 
     The next document is the one with the next id (rows of one id in text
@@ -186,8 +265,10 @@ def compare_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = (own.unionByName(extra).repartition(max(1, n // 4), "p").sortWithinPartitions("p", "k", "id", "text")
             .select("p", "k", "id", "text"))
 
+    shared = _shared(df, anchors)
+
     def run(batches):
-        anchors = _anchors()
+        anchors = shared.value
         held = None         # the last document, whose next one is still to come
         for batch in batches:
             for at in range(0, batch.num_rows, 128):

@@ -166,6 +166,47 @@ def test_near_components_equal_all_pairs(spark, percent):
     assert sorted(rows_of(got, "doc_id", "n_spots", "component_id")) == [(i, len(sets[i]), find(i)) for i in ids]
 
 
+def test_corpus_anchors_are_the_words_of_most_documents(spark):
+    rnd = random.Random(3)
+    often = ["ja", "się", "için"]
+    rows = [(i, " ".join(x for _ in range(9) for x in (rnd.choice(often), "w%d" % rnd.randint(0, 9999), "v%d" % rnd.randint(0, 9999))),
+             None, None) for i in range(60)] + [(60, None, None, None), (61, "", None, None)]
+    flags = spotsigs.corpus_anchors(frame(spark, rows))
+    assert set(np.flatnonzero(flags)) >= set(spotsigs._cell(spotsigs.word_hashes(often)))
+    assert not flags[spotsigs._cell(spotsigs.word_hashes(spotsigs.ANCHORS))].any()
+    assert not spotsigs.corpus_anchors(empty(spark)).any()
+
+
+def test_query_covers_whole_texts_in_any_language(spark, tmp_path):
+    """Lists, short texts and texts without any of ANCHORS: every word is in the fingerprint of the query."""
+    from leadframe.llm.queries import op4_spotsigs
+    lists = [" ".join("%s%d" % (w, i * 7 + k) for k, w in enumerate(["sivu", "kartta", "talo"] * 20)) for i in range(30)]
+    texts = lists + ["alpha beta", "alpha beta gamma delta omega sigma", "ja ja ja", "", None]
+    rows = [(i, t, None, None) for i, t in enumerate(texts)]
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in op4_spotsigs(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    assert all(0.3 < got[i].near_edited < 0.8 for i in range(29))
+    assert spotsigs.likeness(*(spotsigs.unpack(got[i].fingerprint) for i in (30, 31))) < 0.5
+    assert len(spotsigs.unpack(got[32].fingerprint)) > 0
+    assert got[33].fingerprint == got[34].fingerprint == ""
+
+
+def test_any_changed_content_word_changes_the_fingerprint():
+    flags = np.zeros(spotsigs.CELLS, bool)
+    flags[spotsigs._cell(spotsigs.word_hashes(["the", "of"]))] = True
+    rnd = random.Random(6)
+    for n in (1, 2, 3, 4, 9, 40):
+        words = [rnd.choice(["the", "of"]) if rnd.random() < 0.3 else "w%d" % i for i in range(n)] + ["w99"]
+        changed = [" ".join(words[:i] + ["other"] + words[i + 1:]) for i in range(n + 1)]
+        own, *others = spotsigs.text_spots([" ".join(words)] + changed, anchors=flags)
+        assert all(spotsigs.likeness(own, o) < 1 for o in others)
+    both = spotsigs.text_spots(["the of the", "the of the", "w1 w2"], anchors=flags)
+    assert len(both[0]) and (both[0] == both[1]).all()
+    apart = [spotsigs.text_spots([t], anchors=flags)[0] for t in ("a b c the d", "x", "", "of of")]
+    assert all((a == b).all() for a, b in zip(apart, spotsigs.text_spots(["a b c the d", "x", "", "of of"], anchors=flags)))
+
+
 # ------------------------------------------------------------------ classifiers
 def crc(i):
     return zlib.crc32(str(i).encode())
