@@ -32,8 +32,8 @@ def exact_dedup_stage(spark, docs, sf_dir):
 
 
 def near_dedup_stage(spark, docs, sf_dir):
-    """One document of each component of the n-gram Jaccard join stays: the smallest id."""
-    return jaccard.keep_one(docs)
+    """One row of each component of the n-gram Jaccard join stays: the smallest id, then text."""
+    return jaccard.keep_one_row(docs)
 
 
 def mixing_stage(spark, docs, sf_dir):

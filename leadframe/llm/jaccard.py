@@ -388,8 +388,9 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of ``df``, all columns, less those whose component has a smaller id.
 
-    Rows that share the smallest id of a component all stay, rows with a null
-    id too. What is dropped is found by a join on the id, in which adaptive
+    This goes by id: rows that share the smallest id of a component all stay,
+    rows with a null id too, and all rows of a dropped id go. For ids that may
+    repeat or be null see ``keep_one_row``. What is dropped is found by a join on the id, in which adaptive
     execution splits an id that many rows share.
     """
     found = jaccard_components(df, id_col, text_col, k, percent)
@@ -398,3 +399,23 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
     return df.join(gone, F.col(id_col) == F.col("__id"), "left_anti")
+
+
+def keep_one_row(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                 k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """One row of each component stays, all columns: the first by id (null last), then text.
+
+    Every row is a document of its own: the join runs on row numbers in that
+    order, which are written once with the rows, so ids may repeat or be null.
+    Equal rows stay in the order of the input. Rows without shingles all stay.
+    The sort is by ranges of (id, text, place), so no id or text is a task's.
+    """
+    order = [F.col(id_col).asc_nulls_last(), F.col(text_col), F.col("__row")]
+    rows = df.withColumn("__row", F.monotonically_increasing_id()).orderBy(*order)
+    s = Scratch(df.sparkSession, "jaccard-rows")
+    rows = s.put(rows.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    found = jaccard_components(rows, "__row", text_col, k, percent)
+    gone = s.put(found.filter("__row <> component_id").select("__row"), "gone")
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return rows.join(gone, "__row", "left_anti").select(*df.columns)

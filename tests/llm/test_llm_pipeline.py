@@ -59,6 +59,25 @@ def test_near_dedup_stage(tables):
     assert len(keep) < len(rows)
 
 
+def test_near_dedup_stage_goes_by_row_not_by_id(spark):
+    """Texts under one id, near copies under null ids and under the smallest id, rows without words."""
+    def near(seed, *edits):
+        words = ["%s%d" % (seed, i) for i in range(80)]
+        for i in edits:
+            words[i] = "edit%d" % i
+        return " ".join(words)
+    rows = [(3, near("a")), (5, near("a", 79)), (5, near("b")), (5, None), (5, ""),
+            (None, near("c")), (None, near("c", 0)), (None, near("a", 0)), (None, None), (None, near("d")),
+            (1, near("e")), (1, near("e", 79)), (2, near("e", 0)), (1, near("f"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    got = corpus_pipeline.near_dedup_stage(spark, docs, SF)
+    assert got.columns == docs.columns
+    want = [(3, near("a")), (5, near("b")), (5, None), (5, ""), (None, near("c")), (None, None), (None, near("d")),
+            (1, near("e")), (1, near("f"))]
+    assert sorted(rows_of(got, "doc_id", "text"), key=str) == sorted(want, key=str)
+
+
 def test_mixing_stage_meets_targets(tables):
     def words(t):
         return len(re.findall("[^\x20\x09-\x0d]+", t or ""))
