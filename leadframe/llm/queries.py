@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from leadframe.llm import bpe, chat, exact_dedup, jaccard, langid, mixing, quality, secrets, sharding, spotsigs
+from leadframe.llm import bpe, chat, exact_dedup, jaccard, langid, merkle, mixing, negatives, quality, secrets, sharding, spotsigs, warc
+from leadframe.llm.common import Scratch
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -206,3 +207,102 @@ FROM d JOIN r ON r.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY
 def op10_jaccard_join(spark, sf):
     """Components of all documents at 80 per cent of their 5-word shingles."""
     return jaccard.jaccard_components(table(spark, sf, "documents"))
+
+
+_CRC_OF_ID = """xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+    lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda a, e: xor(xor(a, e) >> 1, 3988292384 * (xor(a, e) & 1))), 4294967295)"""
+
+
+def _op12_leaf(n_chars):
+    def item(c):
+        return f"coalesce(strlen(({c})::VARCHAR) || ':' || ({c})::VARCHAR, '-')"
+    return "sha256(" + " || ".join(map(item, ("doc_id", "source", "lang", n_chars, "text"))) + ")"
+
+
+_OP12_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce('=' || lang, '') AS tree, {_op12_leaf("n_chars")} AS leaf,
+    CASE WHEN {_CRC_OF_ID} % 7 = 0 THEN {_op12_leaf("n_chars::HUGEINT + 1")} ELSE {_op12_leaf("n_chars")} END AS claim FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+    count(*) OVER (PARTITION BY tree) AS n FROM d),
+v(k, tree, pos, h, n) AS (SELECT 0, tree, pos, leaf, n FROM l
+  UNION ALL SELECT k + 1, tree, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), any_value((n + 1) // 2)
+  FROM v WHERE n > 1 GROUP BY k, tree, pos // 2),
+s AS (SELECT tree, h AS subroot, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM v WHERE n = 1),
+t(k, pos, h, n) AS (SELECT 0, pos, subroot, n FROM s
+  UNION ALL SELECT k + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), any_value((n + 1) // 2) FROM t WHERE n > 1 GROUP BY k, pos // 2),
+c(doc_id, leaf, tree, k, pos, p, f) AS (SELECT doc_id, leaf, tree, 0, pos, '', claim FROM l
+  UNION ALL SELECT c.doc_id, c.leaf, c.tree, c.k + 1, c.pos // 2, c.p || coalesce(o.h, ''),
+    sha256(CASE WHEN c.pos % 2 = 1 THEN o.h || c.f ELSE c.f || coalesce(o.h, '') END)
+  FROM c JOIN v ON v.k = c.k AND v.tree = c.tree AND v.pos = c.pos AND v.n > 1
+  LEFT JOIN v o ON o.k = c.k AND o.tree = c.tree AND o.pos = xor(c.pos, 1)),
+e AS (SELECT c.doc_id, c.leaf, s.subroot, s.pos, c.p, c.f FROM c JOIN v ON v.k = c.k AND v.tree = c.tree AND v.n = 1 JOIN s ON s.tree = c.tree),
+g(doc_id, leaf, subroot, k, pos, p, f) AS (SELECT doc_id, leaf, subroot, 0, pos, p, f FROM e
+  UNION ALL SELECT g.doc_id, g.leaf, g.subroot, g.k + 1, g.pos // 2, g.p || coalesce(o.h, ''),
+    sha256(CASE WHEN g.pos % 2 = 1 THEN o.h || g.f ELSE g.f || coalesce(o.h, '') END)
+  FROM g JOIN t ON t.k = g.k AND t.pos = g.pos AND t.n > 1 LEFT JOIN t o ON o.k = g.k AND o.pos = xor(g.pos, 1))
+SELECT g.doc_id, g.leaf, g.subroot, t.h AS root, sha256(g.p) AS proof_sha256, g.f AS folded_root, g.f = t.h AS verified
+FROM g JOIN t ON t.k = g.k AND t.n = 1
+"""
+
+
+@register("op12_merkle_manifest", _OP12_SQL)
+def op12_merkle_manifest(spark, sf):
+    """Every document's leaf, proof and the root that its (partly tampered) claim climbs to."""
+    docs = table(spark, sf, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    leaf = merkle.leaf_hash(*fields)
+    changed = merkle.leaf_hash(*fields[:3], fields[3].cast("decimal(20,0)") + 1, fields[4])
+    claim = F.when(crc_of_id(F.col("doc_id")) % 7 == 0, changed).otherwise(leaf)
+    proofs = merkle.climb(merkle.build(docs, leaf, "lang", "doc_id", claim))
+    return proofs.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root",
+                         F.sha2(F.lower(F.hex("proof")), 256).alias("proof_sha256"),
+                         F.col("folded").alias("folded_root"), "verified")
+
+
+_OP13_SQL = """
+WITH e AS (SELECT vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END)::BIGINT AS label,
+    list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS v, row_number() OVER () AS r FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT a.r, a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same,
+    list_inner_product(a.v, b.v)::BIGINT AS score FROM e a JOIN e b ON a.r <> b.r WHERE a.vec_id % 50 = 0),
+q AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, other) AS i FROM p WHERE same QUALIFY i <= 5),
+n AS (SELECT q.r, q.i, q.anchor_id, q.other AS positive_id, p.other AS negative_id, q.score AS positive_score,
+    p.score AS negative_score, row_number() OVER (PARTITION BY q.r, q.i ORDER BY p.score DESC, p.other)::INT AS rank
+  FROM q JOIN p ON p.r = q.r AND NOT p.same AND 50 * q.score <= 100 * p.score AND 100 * p.score <= 95 * q.score QUALIFY rank <= 3)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n
+"""
+
+
+@register("op13_hard_negatives", _OP13_SQL)
+def op13_hard_negatives(spark, sf):
+    """Hard negatives of every anchor, against all embeddings."""
+    relabel = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
+    rows = table(spark, sf, "embeddings").select("vec_id", "embedding", relabel.alias("label"))
+    return negatives.mine(rows, F.col("vec_id") % 50 == 0)
+
+
+_OP11_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+d AS (SELECT page_id, t, strlen(t)::BIGINT AS payload_bytes, sha1(t) AS h,
+    row_number() OVER (PARTITION BY t ORDER BY page_id DESC NULLS LAST) = 1 AS response,
+    first_value(page_id) OVER (PARTITION BY t ORDER BY page_id DESC NULLS LAST) AS first_id FROM p)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, (5 * (i // 4) + 1)::INT, 5))::BIGINT
+      >> (15 - 5 * (i % 4))) & 31)::INT, 1)), '') AS payload_digest,
+  CASE WHEN response THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN response THEN NULL ELSE first_id END AS refers_to
+FROM d
+"""
+
+
+@register("op11_warc", _OP11_SQL)
+def op11_warc(spark, sf):
+    """All pages written to archives, index first, and read back through the index."""
+    s = Scratch(spark, "warc")
+    path = f"{s.root}/archives"
+    index = warc.write_archives(table(spark, sf, "pages"), path, s)
+    return warc.read_records(index, path, with_payload=False).select(
+        F.col("id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to_id").cast("long").alias("refers_to"))
