@@ -227,23 +227,49 @@ _JSON_FIELDS = ["name", "profile_url", "summary", "current_position", "company",
                 "connection_count", "company_domain", "email", "phone", "source_name", "source_query"]
 
 
+def write_people_json(rows, g, as_object, path):
+    """Profiles as JSON files, one per value of ``g`` (a fixed-width text): a bare array, or an
+    object holding ``profiles``. Each file is streamed by its task, element by element."""
+    p = rows.select(g.alias("g"), as_object.alias("o"), F.col("ingest_seq").alias("at"), F.to_json(F.struct(*_JSON_FIELDS)).alias("t"))
+    first = p.groupBy("g", "o").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    lines = p.join(first, ["g", "o"]).select("g", "at", F.when(F.col("at") == F.col("first"), F.col("t"))
+                                             .otherwise(F.concat(F.lit(","), F.col("t"))).alias("value"))
+    heads = first.select("g", (F.col("first") - 1).alias("at"), F.when(F.col("o"), '{"profiles": [').otherwise("[").alias("value"))
+    feet = first.select("g", (F.col("last") + 1).alias("at"), F.when(F.col("o"), "]}").otherwise("]").alias("value"))
+    (lines.unionByName(heads).unionByName(feet).repartition("g").sortWithinPartitions("g", "at").drop("at")
+     .write.partitionBy("g").text(path))
+
+
+_JSON_FILE_ROWS = 20000
+
+
 @register("s1_read_people_json", f"""SELECT {", ".join(_JSON_FIELDS)} FROM ({inputs.RAW_PROFILES_SQL})""")
 def s1_read_people_json(spark, sf):
     """Raw profiles written as JSON documents of both shapes (an object
-    holding ``profiles``, or a bare array), 64 files at any size, read back."""
+    holding ``profiles``, or a bare array), as many files as their bytes ask for, read back."""
+    from leadframe.session import plan_bytes
     raw = inputs.raw_profiles(spark, sf)
-    g = F.col("ingest_seq") % 64
-    docs = (raw.withColumn("g", g)
-            .groupBy("g").agg(F.sort_array(F.collect_list(F.struct("ingest_seq", F.struct(*_JSON_FIELDS).alias("p"))))
-                              .alias("items")))   # one JSON document per file: the format needs its rows together
-    arr = F.transform("items", lambda x: x["p"])
-    docs = docs.select("g", F.when(F.col("g") % 2 == 0, F.to_json(F.struct(arr.alias("profiles"))))
-                       .otherwise(F.to_json(arr)).alias("value"))
+    n = max(64, plan_bytes(spark.read.parquet(f"{sf}/events.parquet")) // (1 << 20))
+    g = F.col("ingest_seq") % n
     path = scratch_dir(spark, "people-json")
-    docs.write.partitionBy("g").text(path)
+    write_people_json(raw, F.lpad(g.cast("string"), 12, "0"), g % 2 == 0, path)
     return readers.read_people_json(spark, path).select(*_JSON_FIELDS)
 
 
+@register("s1_split_people_json", f"""SELECT {", ".join(_JSON_FIELDS)}, ingest_seq // {_JSON_FILE_ROWS} AS file_no,
+    row_number() OVER (PARTITION BY ingest_seq // {_JSON_FILE_ROWS} ORDER BY ingest_seq) - 1 AS pos FROM ({inputs.RAW_PROFILES_SQL})""")
+def s1_split_people_json(spark, sf):
+    """S1 on large files: the same profiles, {_JSON_FILE_ROWS} to a file, each file read by
+    several tasks; with every profile's file and place."""
+    raw = inputs.raw_profiles(spark, sf)
+    g = F.floor(F.col("ingest_seq") / _JSON_FILE_ROWS)
+    path = scratch_dir(spark, "people-json")
+    write_people_json(raw, F.lpad(g.cast("string"), 12, "0"), g % 2 == 0, path)
+    people = readers.read_people_json(spark, path, whole_bytes=1 << 16)
+    return people.select(*_JSON_FIELDS, F.shiftright("ingest_seq", 32).alias("file_no"),
+                         (F.col("ingest_seq") % (1 << 32)).alias("pos"))
+
+
 def landed_pages(spark, sf):
     """Result pages from customers: a query per 97 customers, ten pages each
     of at most ten items (some shorter), pages missing for some queries, few

@@ -57,19 +57,31 @@ def numbered(df: DataFrame, key: str, out: str) -> DataFrame:
     return d.join(F.broadcast(base), "_p").select(key, (F.col("_before") + F.col("_i")).alias(out))   # a row per partition
 
 
-def read_people_json(spark: SparkSession, path: str) -> DataFrame:
+WHOLE_BYTES = 4 << 20     # files beyond this are split over tasks
+
+
+def read_people_json(spark: SparkSession, path: str, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
     """People JSON files: an object whose ``profiles`` holds the array, or
-    a bare array; an empty or missing array reads as no rows. Raw and mapped
-    keys are both read; ``ingest_seq`` keeps file order (file, position)."""
-    raw = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("_file"))
-    # place of each file by path: names only (no content is read for it),
-    # numbered range by range, then joined by AQE's choice
-    files = (spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("_file")))
-    raw = raw.join(numbered(files, "_file", "_fr"), "_file")
+    a bare array; an empty or missing array reads as no rows, an element that
+    is no object as none. Raw and mapped keys are both read; ``ingest_seq``
+    keeps file order (file, position). A file of at most ``whole_bytes`` is
+    one cell, a larger one is read split by split (``json_split``); the rows
+    are the same either way."""
+    from leadframe.sources.json_split import read_array_elements
+    # names and sizes only (no content is read); numbered range by range, then joined by AQE's choice
+    names = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("_file"),
+                                                              F.col("_metadata.file_size").alias("_size"))
+    files = numbered(names, "_file", "_fr")
+    raw = (spark.read.text(path, wholetext=True).filter(F.col("_metadata.file_size") <= whole_bytes)
+           .select("value", F.col("_metadata.file_path").alias("_file")).join(files, "_file"))
     v = raw.select("_fr", F.expr("try_parse_json(value)").alias("v"))
-    arr = F.expr("""CASE WHEN startswith(schema_of_variant(v), 'ARRAY') THEN try_variant_get(v, '$', 'array<variant>')
-                         ELSE try_variant_get(v, '$.profiles', 'array<variant>') END""")
+    arr = F.expr("""filter(CASE WHEN startswith(schema_of_variant(v), 'ARRAY') THEN try_variant_get(v, '$', 'array<variant>')
+                         ELSE try_variant_get(v, '$.profiles', 'array<variant>') END,
+                       x -> startswith(schema_of_variant(x), 'OBJECT'))""")
     items = v.select("_fr", F.posexplode(arr).alias("_pos", "p"))
+    if not names.filter(F.col("_size") > whole_bytes).isEmpty():
+        large = read_array_elements(spark, path, whole_bytes).withColumnRenamed("file", "_file")
+        items = items.unionByName(large.join(files, "_file").select("_fr", F.col("pos").alias("_pos"), "p"))
     fields = ([(f.name, f.name, f.dataType.simpleString()) for f in schemas.RAW_PROFILE.fields]
               + [(k, schemas.mapped(k), t.simpleString()) for k, t in schemas.MAPPED_KEYS]
               + [("source_name", "source_name", "string"), ("source_query", "source_query", "string")])
