@@ -34,9 +34,10 @@ def people_with_company(people: DataFrame, companies: DataFrame) -> DataFrame:
 
 def report_person(view: DataFrame, profile_url: str, tz: str = "UTC") -> DataFrame:
     """One person by URL (N7-normalised first) with company context;
-    ``last_enriched`` shown as ``yyyy-MM-dd HH:mm`` in zone ``tz``."""
-    key = view.sparkSession.range(1).select(profile_key(F.lit(profile_url)).alias("k"))
-    return (view.join(F.broadcast(key), view["linkedin_profile"] == key["k"])  # one-row side
+    ``last_enriched`` shown as ``yyyy-MM-dd HH:mm`` in zone ``tz``. The key is
+    a literal in the plan, so the filter reaches the scan of the people."""
+    key = view.sparkSession.range(1).select(profile_key(F.lit(profile_url))).first()[0]     # one value
+    return (view.filter(F.col("linkedin_profile") == F.lit(key).cast("string"))
             .select("person_id", "first_name", "last_name", "linkedin_profile", "title_current", "email",
                     "location_text", "connections_linkedin", "followers_linkedin", "company_id",
                     "company_name", "domain", "website", "size_employees", "legal_form", "industries",
@@ -45,23 +46,41 @@ def report_person(view: DataFrame, profile_url: str, tz: str = "UTC") -> DataFra
                                   fixed.REPORT_TS_FORMAT).alias("last_enriched")))
 
 
+TOP_BROADCAST = 10_000      # rows of a top list that are broadcast
+
+
 def report_recent(people: DataFrame, companies: DataFrame, sort_by: str = "recent",
                   min_connections: int | None = None, min_followers: int | None = None,
-                  limit: int | None = 5) -> DataFrame:
+                  limit: int | None = 5, stored: bool = False) -> DataFrame:
     """R2: people with company context; optional ``>=`` filters; newest
     first, or by connections / followers (DESC NULLS LAST, then newest).
-    ``limit=None`` returns the whole ordered list."""
+    ``limit=None`` returns the whole ordered list.
+
+    ``stored``: ``people`` is a table of files, not a computation. Then the
+    top rows come from a scan of the key and sort columns alone, and the wide
+    columns and the companies are looked up for those ``limit`` rows (ids are
+    unique, so the left join can't change which rows win)."""
+    if stored and limit is not None:
+        top = report_recent(people.select("id", "connections_linkedin", "followers_linkedin", "company_id", "created_seq",
+                                          "created_batch"), None, sort_by, min_connections, min_followers, limit)
+        few = limit <= TOP_BROADCAST
+        top = F.broadcast(top) if few else top        # at most ``limit`` narrow rows
+        wide = people.join(top.select("id"), "id", "left_semi")
+        return report_recent(F.broadcast(wide) if few else wide, companies, sort_by, limit=limit)
     p = people
     if min_connections is not None:
         p = p.filter(F.col("connections_linkedin") >= min_connections)
     if min_followers is not None:
         p = p.filter(F.col("followers_linkedin") >= min_followers)
-    c = companies.select(F.col("id").alias("c_id"), F.col("name").alias("company_name"), "domain")
-    j = p.join(c, p["company_id"] == c["c_id"], "left")
-    recent = [F.col("created_batch").desc(), F.col("created_seq").desc(), F.col("person_id").desc()]
+    key = "id" if companies is None else "person_id"
+    recent = [F.col("created_batch").desc(), F.col("created_seq").desc(), F.col(key).desc()]
     order = {"recent": recent,
              "connections": [F.col("connections_linkedin").desc_nulls_last()] + recent,
              "followers": [F.col("followers_linkedin").desc_nulls_last()] + recent}[sort_by]
+    if companies is None:
+        return p.orderBy(*order).limit(limit)
+    c = companies.select(F.col("id").alias("c_id"), F.col("name").alias("company_name"), "domain")
+    j = p.join(c, p["company_id"] == c["c_id"], "left")
     out = j.select(F.col("id").alias("person_id"), "first_name", "last_name", "linkedin_profile",
                    "title_current", "connections_linkedin", "followers_linkedin",
                    F.col("c_id").alias("company_id"), "company_name", "domain", "created_seq", "created_batch")

@@ -16,33 +16,65 @@ from pyspark.sql import functions as F
 
 from leadframe import schemas
 from leadframe.functions.text import nonempty
+from leadframe.functions.urls import profile_key
 from leadframe.operators import enrich, extract, outreach, reports, responses, standardise, upsert, validate
 from leadframe.session import drop_scratch, materialize
 from leadframe.sources import readers
 from leadframe.sources.snapshots import CommitConflict, SnapshotStore
 
-PEOPLE, COMPANIES, QUERIES = "people", "companies", "search_queries"
+PEOPLE, COMPANIES, QUERIES, STUB_NAMES = "people", "companies", "search_queries", "company_names"
 MESSAGES, TEMPLATES = "outreach_messages", "outreach_templates"
 
 
-def commit_people(store: SnapshotStore, records: DataFrame, now: str, batch_id: str, rules=None) -> DataFrame:
+def _stub_names(store: SnapshotStore, rows: DataFrame):
+    """K3 ``reuse_by_name`` over the store: (name -> id of the rows' names, new index rows, index buckets touched).
+
+    The index of stub names is a table of its own, bucketed by name, so only
+    the buckets of the batch's names are read; a store that has none yet gets
+    it from its companies, once. It is written by the same commit.
+    """
+    names = materialize(rows.filter(F.col("name").isNotNull()).select("name").distinct(), "run-stub-names")
+    index = store.read(STUB_NAMES)
+    touched = None
+    if index is None and store.read(COMPANIES) is not None:
+        index = materialize(upsert.stub_index(store.read(COMPANIES)), "run-stub-index")
+    elif index is not None:
+        touched = store.touched(STUB_NAMES, names)
+        index = store.read(STUB_NAMES, buckets=touched)
+    ids = materialize(upsert.stub_ids_by_name(names, index), "run-stub-ids")
+    rows = ids if index is None else index.select("name", "id").unionByName(ids.join(index, "name", "left_anti").select("name", "id"))
+    return ids, rows if touched is None else (rows, touched)
+
+
+def commit_people(store: SnapshotStore, records: DataFrame, now: str, batch_id: str, rules=None,
+                  reuse_by_name: bool = False) -> DataFrame:
     """K13 on standardised records against the stored tables, one commit.
-    Refuses a batch id used before, before any work."""
+    Refuses a batch id used before, before any work. ``reuse_by_name``: a
+    company without a domain is looked up by its name before a stub is added
+    (K3; off, as in the reference)."""
+    store = store.begin()
     if store.committed(batch_id):
         raise CommitConflict(f"batch {batch_id!r} was committed before")
     keyed = materialize(upsert.with_company_domain(records, rules), "run-batch")
     batch_no = store.next_batch()
     people_b = store.touched(PEOPLE, keyed)
-    stubs = keyed.filter(nonempty("_domain").isNull()).select(
-        F.lit(None).cast("string").alias("domain"), upsert.stub_company_id(batch_id, F.col("ingest_seq")).alias("id"))
+    nameless = F.lit(None).cast("string").alias("domain")
+    stub_ids, changes = None, {}
+    if reuse_by_name:
+        stub_ids, changes[STUB_NAMES] = _stub_names(store, keyed.filter(nonempty("_domain").isNull())
+                                                    .select(nonempty("company_name").alias("name")))
+        stubs = stub_ids.select(nameless, "id")
+    else:
+        stubs = keyed.filter(nonempty("_domain").isNull()).select(
+            nameless, upsert.stub_company_id(batch_id, F.col("ingest_seq")).alias("id"))
     company_b = store.touched(COMPANIES, keyed.filter(nonempty("_domain").isNotNull()).select(
         F.col("_domain").alias("domain"), F.lit(0).alias("id")), stubs)
     query_b = store.touched(QUERIES, keyed.select(upsert.normalize_query("source_query").alias("normalized_query")))
     people, companies, queries, processed = upsert.person_ingest(
         keyed, store.read(PEOPLE, buckets=people_b), store.read(COMPANIES, buckets=company_b),
-        store.read(QUERIES, buckets=query_b), now, batch_id, batch_no)
+        store.read(QUERIES, buckets=query_b), now, batch_id, batch_no, stub_ids=stub_ids)
     n = processed.first()[0]
-    store.commit({QUERIES: (queries, query_b), COMPANIES: (companies, company_b), PEOPLE: (people, people_b)}, batch_id)
+    store.commit({QUERIES: (queries, query_b), COMPANIES: (companies, company_b), PEOPLE: (people, people_b), **changes}, batch_id)
     drop_scratch(store.spark)
     return store.spark.createDataFrame([(n,)], "processed_people long")
 
@@ -78,6 +110,7 @@ def ingest_search_run(store: SnapshotStore, pages: DataFrame, answers: DataFrame
 
 def ingest_companies(store: SnapshotStore, rows: DataFrame, batch_id: str) -> DataFrame:
     """Company source rows (S6) -> V13 -> K4, committed."""
+    store = store.begin()
     if store.committed(batch_id):
         raise CommitConflict(f"batch {batch_id!r} was committed before")
     prep = materialize(validate.company_ingest_prep(rows), "run-companies")
@@ -96,6 +129,7 @@ def enrich_companies(store: SnapshotStore, answers: DataFrame, now: str, batch_i
     """``enrich --limit``: E1 picks the batch; ``answers`` (``id, text``) are
     parsed (M2); a missing answer aborts (E6) unless the default answer (E5)
     is allowed; E7/E8 write the result. Returns the enriched rows."""
+    store = store.begin()
     companies = store.read(COMPANIES)
     pending = materialize(enrich.pending_companies(companies, limit), "run-pending")
     parsed = responses.parse_company_responses(answers).filter(F.col("parse_ok"))
@@ -117,6 +151,7 @@ def enrich_companies(store: SnapshotStore, answers: DataFrame, now: str, batch_i
 
 def add_templates(store: SnapshotStore, new: DataFrame, now: str, batch_id: str) -> None:
     """O1, committed."""
+    store = store.begin()
     touched = store.touched(TEMPLATES, new)
     rows = outreach.add_templates(store.read(TEMPLATES, buckets=touched), new, now, batch_id)
     store.commit({TEMPLATES: (rows, touched)}, batch_id)
@@ -124,6 +159,7 @@ def add_templates(store: SnapshotStore, new: DataFrame, now: str, batch_id: str)
 
 def schedule_messages(store: SnapshotStore, new: DataFrame, now: str, batch_id: str) -> None:
     """O2, committed."""
+    store = store.begin()
     touched = store.touched(MESSAGES, new)
     rows = outreach.schedule_messages(store.read(MESSAGES, buckets=touched), new, now, batch_id)
     store.commit({MESSAGES: (rows, touched)}, batch_id)
@@ -132,6 +168,7 @@ def schedule_messages(store: SnapshotStore, new: DataFrame, now: str, batch_id:
 def backfill_queries_run(store: SnapshotStore, now: str, batch_id: str) -> None:
     """K9 over the stored people and queries, committed (the reference does
     it whenever it opens its database)."""
+    store = store.begin()
     dim = store.read(QUERIES)
     people, queries = upsert.backfill_queries(store.read(PEOPLE), dim if dim is not None else
                                               schemas.empty(store.spark, schemas.SEARCH_QUERIES), now)
@@ -141,6 +178,7 @@ def backfill_queries_run(store: SnapshotStore, now: str, batch_id: str) -> None:
 
 def dedupe_people_run(store: SnapshotStore, batch_id: str) -> DataFrame:
     """``dedupe-people``: K10 + K11, one commit. Returns the URL mapping."""
+    store = store.begin()
     merged, mapping = upsert.dedupe_people(store.read(PEOPLE))
     mapping = materialize(mapping, "run-mapping")
     msgs = store.read(MESSAGES)
@@ -153,7 +191,11 @@ def dedupe_people_run(store: SnapshotStore, batch_id: str) -> DataFrame:
 
 def erase_people_run(store: SnapshotStore, keys: DataFrame, batch_id: str) -> None:
     """Remove the people named in ``keys`` (``profile_url``) and their
-    messages, one commit."""
+    messages, one commit; then every older version and the scratch tables of
+    the session go too, so no file of the store holds them any more. What
+    older versions said of other people goes with them. Not beside a running
+    commit (``SnapshotStore.vacuum``)."""
+    store = store.begin()
     msgs = store.read(MESSAGES)
     people, m = upsert.erase_profiles(store.read(PEOPLE), msgs if msgs is not None else
                                       store.read(PEOPLE).select("linkedin_profile").limit(0), keys)
@@ -162,3 +204,11 @@ def erase_people_run(store: SnapshotStore, keys: DataFrame, batch_id: str) -> No
         changes[MESSAGES] = m
     store.commit(changes, batch_id)
     drop_scratch(store.spark)
+    store.vacuum(keep=1)
+
+
+def person_report(store: SnapshotStore, profile_url: str, tz: str = "UTC") -> DataFrame:
+    """R1 on the store: reads the one bucket of people that holds the key."""
+    key = store.spark.range(1).select(profile_key(F.lit(profile_url)).alias("linkedin_profile"))
+    people = store.read(PEOPLE, buckets=store.touched(PEOPLE, key))
+    return reports.report_person(reports.people_with_company(people, store.read(COMPANIES)), profile_url, tz)

@@ -38,6 +38,11 @@ def stub_company_id(batch_id, seq_col) -> F.Column:
     return F.xxhash64(F.lit("stub"), F.lit(str(batch_id)), seq_col)
 
 
+def named_stub_id(name_col) -> F.Column:
+    """Id of a stub that later batches find by its name (K3 ``reuse_by_name``)."""
+    return F.xxhash64(F.lit("stub-name"), name_col)
+
+
 def query_id(source, entity_type, normalized) -> F.Column:
     return F.xxhash64(F.lit("query"), source, entity_type, normalized)
 
@@ -49,7 +54,7 @@ def _spark(df: DataFrame) -> SparkSession:
 # ---------------------------------------------------------------------- K1
 def upsert_people(current: DataFrame | None, batch: DataFrame, now: str,
                   companies: DataFrame | None = None, batch_id: str | None = None, batch_no: int = 0,
-                  stream_stored: bool | None = None) -> DataFrame:
+                  stream_stored: bool | None = None, stub_ids: DataFrame | None = None) -> DataFrame:
     """K1: merge a batch of person records into the people table.
 
     Key ``linkedin_profile`` (already N7-normalised); rows without a key are
@@ -67,7 +72,9 @@ def upsert_people(current: DataFrame | None, batch: DataFrame, now: str,
     The batch aggregate is written once. If its bytes let the planner
     broadcast it, the stored table streams past it without a shuffle; else it
     is one full outer join (``stream_stored`` forces either, for tests).
-    ``batch_no`` is stored as the arrival batch of new people.
+    ``batch_no`` is stored as the arrival batch of new people. With
+    ``stub_ids`` (see ``stub_ids_by_name``) a company without a domain is
+    looked up by name.
     """
     first_load = current is None
     current = current if current is not None else schemas.empty(_spark(batch), schemas.PEOPLE)
@@ -78,7 +85,8 @@ def upsert_people(current: DataFrame | None, batch: DataFrame, now: str,
             F.min(SEQ).alias("created_seq")]
     if companies is not None:
         names_co = nonempty("company_domain").isNotNull() | nonempty("company_name").isNotNull()
-        aggs.append(F.max_by(F.struct(nonempty("company_domain").alias("d"), F.col(SEQ).alias("s")),
+        aggs.append(F.max_by(F.struct(nonempty("company_domain").alias("d"), F.col(SEQ).alias("s"),
+                                      nonempty("company_name").alias("n")),
                              F.when(names_co, F.col(SEQ))).alias("_co"))
     agg = (batch.groupBy("linkedin_profile").agg(*aggs)
            .filter(F.col("linkedin_profile").isNotNull()))   # keyless rows: one NULL group, dropped
@@ -88,11 +96,16 @@ def upsert_people(current: DataFrame | None, batch: DataFrame, now: str,
         # here: AQE broadcasts it when small and splits a hot domain otherwise
         by_domain = companies.filter(F.col("domain").isNotNull()).select(
             F.col("domain").alias("_cd"), F.col("id").alias("_cid"))
+        stub = stub_company_id(batch_id, F.col("_co.s"))
+        if stub_ids is not None:
+            named = stub_ids.select(F.col("name").alias("_sn"), F.col("id").alias("_sid"))
+            agg = agg.join(named, F.when(F.col("_co.d").isNull(), F.col("_co.n")) == F.col("_sn"), "left")
+            stub = F.col("_sid")
         agg = (agg.join(by_domain, F.col("_co.d") == F.col("_cd"), "left")
                .withColumn("_new_cid", F.when(F.col("_co").isNull(), F.lit(None).cast("long"))
                            .when(F.col("_co.d").isNotNull(), F.col("_cid"))
-                           .otherwise(stub_company_id(batch_id, F.col("_co.s"))))
-               .drop("_co", "_cd", "_cid"))
+                           .otherwise(stub))
+               .drop("_co", "_cd", "_cid", "_sn", "_sid"))
     def merged(j, has_old: bool = True):
         def o(c):
             return F.col(f"o.{c}") if has_old else F.lit(None)
@@ -138,7 +151,7 @@ def _safe_name(name, domain):
 
 
 def upsert_companies(current: DataFrame | None, batch: DataFrame, batch_id: str, batch_no: int = 0,
-                     stream_stored: bool | None = None) -> DataFrame:
+                     stream_stored: bool | None = None, stub_ids: DataFrame | None = None) -> DataFrame:
     """K2 + K3: merge company rows keyed by domain; rows without a domain
     become new stub rows (name only, website dropped), one per row.
 
@@ -146,6 +159,10 @@ def upsert_companies(current: DataFrame | None, batch: DataFrame, batch_id: str,
     search_query_id, ingest_seq``. For a domain the name always overwrites
     (name, else domain, else "Unknown Company"); website and provenance take
     the newest non-NULL value. Join strategy as in ``upsert_people``.
+
+    With ``stub_ids`` (``stub_ids_by_name`` of the batch) rows without a
+    domain are one company per name, new or stored; its provenance takes the
+    newest non-NULL value.
     """
     first_load = current is None
     current = current if current is not None else schemas.empty(_spark(batch), schemas.COMPANIES)
@@ -174,6 +191,19 @@ def upsert_companies(current: DataFrame | None, batch: DataFrame, batch_id: str,
             out[c] = F.coalesce(F.col(f"n.{c}"), o(c))
         return j.select(*[out[f.name].cast(f.dataType).alias(f.name) for f in schemas.COMPANIES.fields])
 
+    if stub_ids is not None:
+        rows = _named_stubs(b, stub_ids, batch_no)
+        if first_load:
+            return merged(agg.alias("n"), has_old=False).unionByName(rows)
+        from leadframe.session import materialize
+        rows = materialize(rows, "companies-stubs")
+        table = upsert_companies(current, b.filter(nonempty("domain").isNotNull()), batch_id, batch_no, stream_stored)
+        new = rows.join(current.select("id"), "id", "left_anti")
+        r = rows.select("id", *[F.col(c).alias(f"_{c}") for c in _PROVENANCE])
+        table = table.join(r, "id", "left")
+        for c in _PROVENANCE:
+            table = table.withColumn(c, F.coalesce(f"_{c}", c))
+        return table.select(*schemas.COMPANIES.fieldNames()).unionByName(new)
     stubs = append_company_stubs(b, batch_id, batch_no)
     if first_load:
         return merged(agg.alias("n"), has_old=False).unionByName(stubs)
@@ -185,6 +215,35 @@ def upsert_companies(current: DataFrame | None, batch: DataFrame, batch_id: str,
     return merged(o.join(n, F.col("o.domain") == F.col("n.domain"), "full_outer")).unionByName(stubs)
 
 
+_PROVENANCE = ("source_name", "source_query", "search_query_id")
+
+
+def stub_ids_by_name(names: DataFrame, index: DataFrame | None) -> DataFrame:
+    """K3 ``reuse_by_name``: distinct ``name`` -> ``id``, the stored one of
+    ``index`` (``name, id``) or the one that a new stub of this name gets.
+    Names are compared exactly; companies with a domain are no stubs."""
+    n = names.filter(F.col("name").isNotNull()).select("name").distinct()
+    if index is None:
+        return n.withColumn("id", named_stub_id(F.col("name")))
+    known = index.select("name", F.col("id").alias("_id"))
+    return n.join(known, "name", "left").select("name", F.coalesce("_id", named_stub_id(F.col("name"))).alias("id"))
+
+
+def stub_index(companies: DataFrame) -> DataFrame:
+    """The earliest stub of each name in a companies table: the index of a store that has none yet."""
+    return (companies.filter(F.col("domain").isNull() & F.col("name").isNotNull()).groupBy("name")
+            .agg(F.min_by("id", F.struct("created_batch", "created_seq", "id")).alias("id")))
+
+
+def _named_stubs(batch: DataFrame, stub_ids: DataFrame, batch_no: int) -> DataFrame:
+    """One stub row per name of the batch's rows without a domain."""
+    agg = (batch.filter(nonempty("domain").isNull()).groupBy(F.col("safe_name").alias("name"))
+           .agg(*[_last_non_null(c) for c in _PROVENANCE], F.min(SEQ).alias("created_seq")))
+    rows = agg.join(stub_ids, "name").withColumn("created_batch", F.lit(batch_no))
+    return rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                         for f in schemas.COMPANIES.fields])
+
+
 def append_company_stubs(batch: DataFrame, batch_id: str, batch_no: int = 0) -> DataFrame:
     """K3: every batch row without a domain becomes a new company row."""
     stubs = batch.filter(nonempty("domain").isNull())
@@ -355,20 +414,20 @@ def dedupe_people(people: DataFrame):
     Returns (people, url_mapping) where ``url_mapping`` has one row per
     removed duplicate: ``dup_url, canonical_url``.
 
-    The keys are derived once, in a narrow table (id, URL, key, arrival) that
-    both outputs read. Only rows of real duplicates are merged; the others
-    pass through without a sort. Ids must be unique (the store asserts it).
+    The key is derived in one written scan of the people that carries it, so
+    whatever the table is computed from runs once. The keys held by several
+    rows split those written rows in one join into the ones to merge and the
+    ones that pass through without a sort. Ids must be unique (the store
+    asserts it).
     """
     from leadframe.functions.urls import with_profile_key
     from leadframe.session import materialize
     order = F.struct("created_batch", "created_seq", "id")
-    narrow = with_profile_key(people.select("id", "linkedin_profile", "created_batch", "created_seq"),
-                              "linkedin_profile", "_key")
-    narrow = materialize(narrow.withColumn("_key", F.coalesce("_key", "linkedin_profile")), "dedupe-keys")
-    first = (narrow.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("_o"))
-             .filter("_n > 1").select("_key", F.col("_o.id").alias("_sid")))
-    members = materialize(narrow.join(first, "_key").select("id", "linkedin_profile", "_key", "_sid"), "dedupe-members")
-    mapping = (members.filter(F.col("id") != F.col("_sid"))
+    keyed = with_profile_key(people, "linkedin_profile", "_key")
+    keyed = materialize(keyed.withColumn("_key", F.coalesce("_key", "linkedin_profile")), "dedupe-people")
+    several = materialize(keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("_o"))
+                          .filter("_n > 1").select("_key", F.col("_o.id").alias("_sid")), "dedupe-keys")
+    mapping = (keyed.select("id", "linkedin_profile", "_key").join(several, "_key").filter(F.col("id") != F.col("_sid"))
                .select(F.col("linkedin_profile").alias("dup_url"), F.col("_key").alias("canonical_url")))
 
     types = dict(people.dtypes)
@@ -378,12 +437,12 @@ def dedupe_people(people: DataFrame):
         if types[c] == "string":
             return col.isNotNull() & (col != "")
         return col.isNotNull()
-    p = people.join(members.select(F.col("id").alias("_id"), "_key"), people["id"] == F.col("_id"), "left").drop("_id")
+    p = keyed.join(several, "_key", "left")
     columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.PEOPLE.fields]
-    single = p.filter(F.col("_key").isNull()).select(*columns)
+    single = p.filter(F.col("_sid").isNull()).select(*columns)
     aggs = [F.min_by(F.struct(*schemas.PEOPLE.fieldNames()), order).alias("s")]
     aggs += [F.min_by(F.col(c), F.when(usable(c), order)).alias(f"_f_{c}") for c in DEDUPE_FIELDS]
-    g = p.filter(F.col("_key").isNotNull()).groupBy("_key").agg(*aggs)
+    g = p.filter(F.col("_sid").isNotNull()).groupBy("_key").agg(*aggs)
     cols = []
     for f in schemas.PEOPLE.fields:
         v = F.col(f"s.{f.name}")
@@ -446,15 +505,16 @@ def with_company_domain(records: DataFrame, rules=None) -> DataFrame:
 
 def person_ingest(records: DataFrame, people: DataFrame | None, companies: DataFrame | None,
                   queries: DataFrame | None, now: str, batch_id: str, batch_no: int = 0,
-                  compat_query: bool = False, materialize_batch: bool = True, rules=None):
+                  compat_query: bool = False, materialize_batch: bool = True, rules=None,
+                  stub_ids: DataFrame | None = None):
     """Standardised person records -> query dimension (K7/K8) -> company
     upsert (K2/K3) -> people upsert with the company link (K1 + K5, one pass).
 
     ``records`` follow ``schemas.PERSON_RECORD`` (see
     ``operators.standardise.standardise_people``); with a ``_domain`` column
     they are taken as ``with_company_domain`` left them. ``batch_id`` must not
-    have been used before. Returns (people, companies, queries, processed)
-    where ``processed`` is a one-row frame counting records with a key.
+    have been used before. ``stub_ids`` turns K3's ``reuse_by_name`` on.
+    Returns (people, companies, queries, processed) where ``processed`` is a one-row frame counting records with a key.
     """
     from leadframe.session import materialize
 
@@ -473,12 +533,12 @@ def person_ingest(records: DataFrame, people: DataFrame | None, companies: DataF
         F.col("company_name").alias("name"), F.col("_domain").alias("domain"),
         F.col("company_website").alias("website"), "source_name", "source_query", "search_query_id", SEQ
     ).filter(F.coalesce(nonempty("domain"), nonempty("name")).isNotNull())
-    companies2 = keep(upsert_companies(companies, comp_rows, batch_id, batch_no), "ingest-companies")
+    companies2 = keep(upsert_companies(companies, comp_rows, batch_id, batch_no, stub_ids=stub_ids), "ingest-companies")
     # K1 and K5 in one pass over the stored people; only the batch's domains
     # are looked up, so the stored companies are filtered before the join
     domains = rec.select(F.col("_domain").alias("domain")).distinct()
     linkable = companies2.join(domains, "domain", "left_semi") if companies is not None else companies2
     people3 = upsert_people(people, rec.drop("company_domain").withColumnRenamed("_domain", "company_domain"),
-                            now, companies=linkable, batch_id=batch_id, batch_no=batch_no)
+                            now, companies=linkable, batch_id=batch_id, batch_no=batch_no, stub_ids=stub_ids)
     processed = keyed.agg(F.count(F.lit(1)).alias("processed_people"))
     return people3, companies2, queries2, processed

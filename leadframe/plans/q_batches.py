@@ -17,15 +17,15 @@ SPLIT = "2024-01-16"
 LATER = "2024-03-01 00:00:00"
 
 
-def two_ingests(spark, sf) -> SnapshotStore:
+def two_ingests(spark, sf, reuse_by_name=False) -> SnapshotStore:
     """Person records of events before and after SPLIT, ingested (K13) one after the other."""
     from leadframe.plans.catalog import person_records
     store = SnapshotStore(spark, scratch_dir(spark, "two-batches"))
     ts = inputs.table(spark, sf, "events").select(F.col("event_id").alias("ingest_seq"), "ts")
     rec = person_records(spark, sf).join(ts, "ingest_seq")
     early = F.col("ts") < F.lit(SPLIT).cast("timestamp_ntz")
-    runs.commit_people(store, rec.filter(early).drop("ts"), NOW, "one")
-    runs.commit_people(store, rec.filter(~early).drop("ts"), LATER, "two")
+    runs.commit_people(store, rec.filter(early).drop("ts"), NOW, "one", reuse_by_name=reuse_by_name)
+    runs.commit_people(store, rec.filter(~early).drop("ts"), LATER, "two", reuse_by_name=reuse_by_name)
     return store
 
 
@@ -45,10 +45,11 @@ stubs AS (SELECT company_name AS name, nullif(source_name, '') AS source_name, n
 _PEOPLE = """ppl AS (SELECT linkedin_profile, arg_max(first_name, o) AS first_name, arg_max(email, o) AS email,
     arg_max(followers_linkedin, o) AS followers_linkedin, arg_max(connections_linkedin, o) AS connections_linkedin,
     arg_max(info_raw, o) AS info_raw, min(o) AS created, arg_min(ingest_seq, o) AS created_seq, min(bno) AS created_batch
-  FROM rec GROUP BY linkedin_profile),
-lastc AS (SELECT linkedin_profile, arg_max_null(nullif(company_domain, ''), o) AS dom,
+  FROM rec GROUP BY linkedin_profile)"""
+_PEOPLE_LASTC = """lastc AS (SELECT linkedin_profile, arg_max_null(nullif(company_domain, ''), o) AS dom,
     arg_max_null(nullif(company_name, ''), o) AS cname
   FROM rec WHERE nullif(company_domain, '') IS NOT NULL OR nullif(company_name, '') IS NOT NULL GROUP BY linkedin_profile)"""
+_PEOPLE = f"{_PEOPLE}, {_PEOPLE_LASTC}"
 
 
 @register("k2_two_batches", f"""WITH {_REC}, {_COMPANIES}
@@ -68,6 +69,24 @@ def k3_stub_ids_two_batches(spark, sf):
     return c.agg(F.count("*").alias("stubs"), F.countDistinct("id").alias("stub_ids"))
 
 
+@register("k3_reuse_by_name_two_batches", f"""WITH {_REC}, {_COMPANIES}, {_PEOPLE_LASTC},
+named AS (SELECT name, arg_max(source_name, created_batch * 1099511627776 + created_seq) AS source_name,
+    arg_max(source_query, created_batch * 1099511627776 + created_seq) AS source_query,
+    arg_min(created_seq, created_batch * 1099511627776 + created_seq) AS created_seq, min(created_batch) AS created_batch
+  FROM stubs GROUP BY name)
+SELECT domain, name, source_name, source_query, created_seq, created_batch, (SELECT count(*) FROM lastc WHERE dom = domain) AS people FROM comp
+UNION ALL SELECT NULL, name, source_name, source_query, created_seq, created_batch,
+  (SELECT count(*) FROM lastc WHERE dom IS NULL AND cname = name) FROM named""")
+def k3_reuse_by_name_two_batches(spark, sf):
+    """K3 with ``reuse_by_name`` twice: one stub per name over both batches, linked by its people."""
+    store = two_ingests(spark, sf, reuse_by_name=True)
+    n = store.read("people").groupBy("company_id").agg(F.count("*").alias("people"))
+    c = store.read("companies").alias("c")
+    return c.join(n, F.col("c.id") == n["company_id"], "left").select(
+        "domain", "name", "source_name", "source_query", "created_seq", "created_batch",
+        F.coalesce("people", F.lit(0)).cast("long").alias("people"))
+
+
 @register("k13_two_batches", f"""WITH {_REC}, {_COMPANIES}, {_PEOPLE}
 SELECT p.linkedin_profile, p.first_name, p.email, p.followers_linkedin, p.connections_linkedin, p.info_raw,
   p.created_seq, p.created_batch, l.dom AS domain,
@@ -88,7 +107,7 @@ SELECT linkedin_profile, followers_linkedin FROM ppl ORDER BY created DESC LIMIT
 def r2_recent_two_batches(spark, sf):
     """R2 by arrival (top 50): the second batch's new people before all of the first's."""
     store = two_ingests(spark, sf)
-    return reports.report_recent(store.read("people"), store.read("companies"), limit=50).select(
+    return reports.report_recent(store.read("people"), store.read("companies"), limit=50, stored=True).select(
         "linkedin_profile", "followers_linkedin")
 
 

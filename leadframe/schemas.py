@@ -37,6 +37,9 @@ COMPANIES = _st(("id", L), ("name", S), ("domain", S), ("website", S), ("legal_f
                 ("recent_news", ARR), ("source_name", S), ("source_query", S),
                 ("search_query_id", L), ("last_enriched_at", TS), ("created_seq", L), ("created_batch", L))
 
+# K3 reuse_by_name: the stub that holds a name.
+COMPANY_NAMES = _st(("name", S), ("id", L))
+
 SEARCH_QUERIES = _st(("id", L), ("source", S), ("entity_type", S), ("query_text", S),
                      ("normalized_query", S), ("created_at", TS), ("last_executed_at", TS))
 
