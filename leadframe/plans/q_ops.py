@@ -367,6 +367,42 @@ def s7_align_schema(spark, sf):
     return a.select("name", "profile_url", "company_website", "company_domain", "source_name")
 
 
+# JSON text by the customer's number: texts, mixed values, none, blank, null, broken, an object, nested
+_LEGACY_JSON = ["""'["a ' || c_custkey || '", "ü\\"x"]'""", """'[1, "two", null, true, 2.5]'""", "NULL", "'  '", "'null'", "'[\"open'",
+                "'{\"a\": 1}'", "'[{\"k\":\"v\"},[]]'", "'[]'"]
+_LEGACY_ARRAY = ["['a ' || c_custkey, 'ü\"x']", "['1', 'two', 'true', '2.5']", "NULL", "NULL", "NULL", "NULL", "NULL",
+                 "['{\"k\":\"v\"}', '[]']", "[]"]
+
+
+def _by_customer(values, shift=0):
+    return f"CASE (c_custkey + {shift}) % {len(values)} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
+
+
+def _legacy_companies(spark, sf):
+    """Companies of customers as an old table had them: lists as JSON text."""
+    def text(shift):        # the oracle's string literals double no backslash
+        return F.expr(_by_customer(_LEGACY_JSON, shift).replace("\\", "\\\\"))
+    return inputs.table(spark, sf, "customer").select(
+        F.col("c_custkey").cast("long").alias("id"), F.col("c_name").alias("name"), text(0).alias("industries_json"),
+        text(4).alias("products_json"))
+
+
+@register("s7_migrate_json_text", f"""SELECT c_custkey::BIGINT AS id, c_name AS name, {_by_customer(_LEGACY_ARRAY)}::VARCHAR[] AS industries,
+  {_by_customer(_LEGACY_ARRAY, 4)}::VARCHAR[] AS products FROM customer""")
+def s7_migrate_json_text(spark, sf):
+    """An old companies table's JSON text becomes arrays."""
+    return readers.migrate_json_text(_legacy_companies(spark, sf))[0].select("id", "name", "industries", "products")
+
+
+@register("s7_migration_rejects", "SELECT * FROM (" + " UNION ALL ".join(
+    f"""SELECT c_custkey::BIGINT AS id, '{c}' AS "column", {_by_customer(_LEGACY_JSON, shift)} AS "value",
+    CASE (c_custkey + {shift}) % {len(_LEGACY_JSON)} WHEN 5 THEN 'not JSON' WHEN 6 THEN 'not an array' END AS reason FROM customer"""
+    for c, shift in (("industries_json", 0), ("products_json", 4))) + ") WHERE reason IS NOT NULL")
+def s7_migration_rejects(spark, sf):
+    """The values that could not be migrated, with the reason."""
+    return readers.migrate_json_text(_legacy_companies(spark, sf))[1]
+
+
 _PEOPLE_OUT = ["linkedin_profile", "first_name", "last_name", "title_current", "email", "location_text",
                "connections_linkedin", "followers_linkedin", "website_info", "phone_info", "info_raw",
                "insights_text", "lookup_date", "is_hot", "source_name", "source_query", "created_seq"]

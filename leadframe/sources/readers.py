@@ -38,6 +38,51 @@ def align_schema(df: DataFrame, target: T.StructType, defaults: dict | None = No
     return df.selectExpr(*exprs)
 
 
+# Columns of older company tables that hold JSON text -> the array column of today.
+JSON_TEXT_COLUMNS = {"industries_json": "industries", "locations_de_json": "locations_de",
+                     "business_model_json": "business_model", "products_json": "products", "recent_news_json": "recent_news"}
+
+
+def migrate_json_text(df: DataFrame, key: str = "id", columns: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """Columns that hold JSON text become ``array<string>`` columns.
+
+    Returns (rows, rejects). Of an array each text is an element as it is, any
+    other value its JSON text, nulls are left out. NULL, blank text and JSON
+    ``null`` give NULL. Text that is no JSON or no array gives NULL too, and a
+    reject row: ``key``, ``column``, ``value``, ``reason``. Where the array
+    column is there already, its value wins over the text; columns of the
+    table that are missing are skipped. Native: one pass per output.
+    """
+    columns = {old: new for old, new in (columns or JSON_TEXT_COLUMNS).items() if old in df.columns}
+    if not columns:
+        schema = T.StructType([T.StructField(key, df.schema[key].dataType), *[T.StructField(n, T.StringType())
+                                                                             for n in ("column", "value", "reason")]])
+        return df, schemas.empty(df.sparkSession, schema)
+
+    def variant(old):
+        return f"try_parse_json(`{old}`)"
+
+    def array_of(old):
+        return F.expr(f"""transform(filter(try_variant_get({variant(old)}, '$', 'array<variant>'),
+                x -> x IS NOT NULL AND schema_of_variant(x) <> 'VOID'),
+            x -> CASE WHEN schema_of_variant(x) = 'STRING' THEN variant_get(x, '$', 'string') ELSE to_json(x) END)""")
+
+    def reason(old):
+        v = variant(old)
+        return F.expr(f"""CASE WHEN trim(`{old}`) = '' OR `{old}` IS NULL THEN NULL WHEN {v} IS NULL THEN 'not JSON'
+            WHEN schema_of_variant({v}) = 'VOID' OR startswith(schema_of_variant({v}), 'ARRAY') THEN NULL
+            ELSE 'not an array' END""")
+    rows = df
+    for old, new in columns.items():
+        value = F.coalesce(F.col(new), array_of(old)) if new in df.columns else array_of(old)
+        rows = rows.withColumn(new, value)
+    checked = F.array(*[F.struct(F.lit(old).alias("column"), F.col(old).alias("value"), reason(old).alias("reason"))
+                        for old in columns])
+    rejects = (df.select(key, F.explode(F.filter(checked, lambda x: x["reason"].isNotNull())).alias("r"))
+               .select(key, "r.column", "r.value", "r.reason"))
+    return rows.drop(*columns), rejects
+
+
 # ---------------------------------------------------------------------- S1
 def numbered(df: DataFrame, key: str, out: str) -> DataFrame:
     """Distinct ``key`` values with their rank from 0, without a one-task
