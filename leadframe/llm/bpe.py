@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leadframe.llm.common import fresh, named
 from leadframe.llm.textscan import blocks, text_bytes
 
 CACHE_PIECES = 60_000       # bound of the cache of merged pieces, about 15 MB
@@ -355,8 +356,8 @@ def encode(df: DataFrame, ranks: bytes, text_col: str = "text", carry: tuple = (
     """
     spark = df.sparkSession
     content = spark.sparkContext.broadcast(ranks)
-    x = df.select(F.col(text_col).alias("__text"), *[F.col(c) for c in carry])
-    kept = x.drop("__text").schema
+    x = df.select(named(text_col).alias(fresh("__text", carry)), *[named(c) for c in carry])
+    kept = df.select(*[named(c) for c in carry]).schema
     more = [("offsets", "binary")] * with_offsets + ([(decoded_col, "binary")] if decoded_col else [])
     for name, kind in (("n_tokens", "long"), ("ids", "binary"), *more):
         kept = kept.add(name, kind)

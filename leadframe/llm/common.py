@@ -57,6 +57,19 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(name: str, taken) -> str:
+    """``name``, lengthened until it is the start of no column's name in ``taken``."""
+    lower = [c.lower() for c in taken]
+    while any(c.startswith(name.lower()) for c in lower):
+        name += "_"
+    return name
+
+
+def named(c: str) -> "F.Column":
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + c.replace("`", "``") + "`")
+
+
 def squeezed(text) -> "F.Column":
     """The text without white space; null counts as empty."""
     return F.translate(F.coalesce(text, F.lit("")), " \t\n\x0b\f\r", "")

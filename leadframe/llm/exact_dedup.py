@@ -9,7 +9,8 @@ Each level looks only at what the level before left in a shared group:
    (length, prefix hash) cell survived. The scan-side filter is a table of at
    most ``FILTER_CELLS`` cell numbers, broadcast under that fixed bound; it may
    let a settled document through (it then forms a group of one) but never
-   keeps a survivor back. Text is never shuffled.
+   keeps a survivor back. Text is never shuffled, unless ``carry`` names it:
+   then the surviving rows meet their group's result with all they carry.
 
 Groups are aggregated with map-side combining, so a group of copies that holds
 a third of all rows sends one row per task; rows meet their group's result in a
@@ -21,7 +22,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadframe.llm.common import Scratch, squeezed
+from leadframe.llm.common import Scratch, fresh, squeezed
+from leadframe.llm.common import named as column
 
 PREFIX_CHARS = 64
 FILTER_CELLS = 1 << 16
@@ -44,7 +46,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = df.sparkSession
     s = Scratch(spark, "exact-dedup")
-    more = F.struct(F.lit(0).alias("__none"), *[F.col(f"`{c}`") for c in carry]).alias("more")
+    more = F.struct(F.lit(0).alias(fresh("__none", carry)), *[column(c) for c in carry]).alias("more")
     base = (df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), more)
             .select("id", F.coalesce(F.length("t"), F.lit(0)).alias("cp"), squeezed(F.col("t")).alias("norm"), "more")
             .select("id", "cp", "norm", F.length("norm").alias("len"),
@@ -77,7 +79,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         cols = {"keep_id": keep_id, "group_size": size, "kept": kept, "text_sha256": digest}
         return rows.select(*([] if prefix else [F.col("id").alias(id_col)]),
                            *[c.alias(prefix + name) for name, c in cols.items()],
-                           *[F.col(f"more.`{c}`").alias(c) for c in carry])
+                           *[F.col("more").getField(c).alias(c) for c in carry])
     one = F.lit(1).cast("long")
     out = named(full.join(groups, "full", "left"),
                 F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("kid")), F.coalesce("n", one),
@@ -93,4 +95,6 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Settled rows go straight through; only rows whose cell survived are written
     and joined with their group's result.
     """
-    return exact_dedup(df, id_col, text_col, carry=tuple(df.columns), prefix="__").filter("__kept").select(*df.columns)
+    p = fresh("__", df.columns)
+    found = exact_dedup(df, id_col, text_col, carry=tuple(df.columns), prefix=p)
+    return found.filter(F.col(f"{p}kept")).select(*[column(c) for c in df.columns])

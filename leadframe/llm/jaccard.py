@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from leadframe.llm.common import Scratch
+from leadframe.llm.common import Scratch, fresh, named
 from leadframe.llm.components import components
 from leadframe.llm.textscan import batch_words, mix, shingle_sets
 
@@ -410,12 +410,13 @@ def keep_one_row(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Equal rows stay in the order of the input. Rows without shingles all stay.
     The sort is by ranges of (id, text, place), so no id or text is a task's.
     """
-    order = [F.col(id_col).asc_nulls_last(), F.col(text_col), F.col("__row")]
-    rows = df.withColumn("__row", F.monotonically_increasing_id()).orderBy(*order)
+    row = fresh("__row", df.columns)
+    order = [named(id_col).asc_nulls_last(), named(text_col), F.col(row)]
+    rows = df.withColumn(row, F.monotonically_increasing_id()).orderBy(*order)
     s = Scratch(df.sparkSession, "jaccard-rows")
-    rows = s.put(rows.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    found = jaccard_components(rows, "__row", text_col, k, percent)
-    gone = s.put(found.filter("__row <> component_id").select("__row"), "gone")
+    rows = s.put(rows.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = jaccard_components(rows.select(row, named(text_col).alias(fresh("__text", [row]))), row, fresh("__text", [row]), k, percent)
+    gone = s.put(found.filter(F.col(row) != F.col("component_id")).select(row), "gone")
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    return rows.join(gone, "__row", "left_anti").select(*df.columns)
+    return rows.join(gone, row, "left_anti").select(*[named(c) for c in df.columns])

@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leadframe.llm.bpe import LETTER, STMD, class_table
-from leadframe.llm.common import Scratch
+from leadframe.llm.common import Scratch, fresh, named
 from leadframe.llm.ftrl import Ftrl, fit_temperature, softmax
 from leadframe.llm.textscan import blocks, text_bytes
 
@@ -186,11 +186,14 @@ def fit(rows, share: dict, idf: np.ndarray) -> Model:
 def predict_languages(df: DataFrame, model: Model, text_col: str = "text", carry: tuple = ("doc_id",)) -> DataFrame:
     """Return the ``carry`` columns, lang_pred and score (calibrated probability), one row per input row.
 
-    ``und`` with score 0 where the text is null or has no letter. No shuffle.
+    ``und`` with score 0 where the text is null or has no letter. Of languages
+    that tie the first by name wins; repeated rows are predicted each, equal
+    texts alike; an empty table gives no rows; a carried column may have any
+    name but ``lang_pred`` and ``score``. No shuffle.
     """
     held = df.sparkSession.sparkContext.broadcast(model)
-    x = df.select(F.col(text_col).alias("__text"), *[F.col(c) for c in carry])
-    schema = x.drop("__text").schema.add("lang_pred", "string").add("score", "double")
+    x = df.select(named(text_col).alias(fresh("__text", carry)), *[named(c) for c in carry])
+    schema = df.select(*[named(c) for c in carry]).schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches):
         m = held.value

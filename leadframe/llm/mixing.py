@@ -4,7 +4,8 @@ Every source gets a word target: its weight's share of all words, held to
 ``max_epochs`` times the source's own words, the excess reshared by weight.
 A source's documents are taken in complete epochs first; the rest of the
 target is filled without replacement in the order of exponential keys
-``-ln(u) / w``, ``u`` a hash of the id and ``w`` the document's quality weight.
+``-ln(u) / w``, ``u`` a hash of the id, the text and the number among equal rows,
+and ``w`` the document's quality weight.
 
 The prefix sum over a source runs in two levels, so that a source with a third
 of all rows never meets in one task: keys fall into fine buckets, a window adds
@@ -18,7 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from leadframe.llm.common import WORD_PATTERN, Scratch
+from leadframe.llm.common import WORD_PATTERN, Scratch, fresh, named
+from leadframe.llm.merkle import places
 
 SEED = "mix-1"
 JUNK = "#$%&*|!"
@@ -37,9 +39,9 @@ def quality_weight(text: Column) -> Column:
     return F.when(n > 0, F.greatest(F.lit(0.1), 1.0 - 4.0 * junk / n)).otherwise(0.1)
 
 
-def uniform(id_: Column, seed: str) -> Column:
-    """A number in (0, 1) from the id: the first 13 hex digits of an MD5."""
-    h = F.md5(F.concat_ws(":", F.lit(seed), id_.cast("string")))
+def uniform(id_: Column, digest: Column, copy: Column, seed: str) -> Column:
+    """A number in (0, 1) from the id (null: -), the text's MD5 and the number among equal rows: 13 hex digits of an MD5."""
+    h = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(id_.cast("string"), F.lit("-")), digest, copy.cast("string")))
     return (F.conv(F.substring(h, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
@@ -82,8 +84,9 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     ``times`` is how often the mix takes the document (complete epochs, plus
     one if the sample takes it), ``taken`` its words over all of them. The
     sample stops at the document nearest the budget. Null text has size 0 and
-    is never taken; a null source is a source of its own; repeated rows are
-    separate documents; a table without words, or without rows, gives targets
+    is never taken; a null source is a source of its own; rows that share an id
+    or have none, and repeated rows, are documents of their own with keys of
+    their own; ties in the key go by id and size; a table without words, or without rows, gives targets
     of 0 or no rows. Reruns give the same result. ``quality`` is a Column over
     ``df``; without it the share of mark-up characters decides.
     """
@@ -91,12 +94,23 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     s = Scratch(spark, "mixing")
     text = F.col(text_col)
     weight = quality if quality is not None else quality_weight(text)
-    key = -F.ln(uniform(F.col(id_col), seed)) / F.greatest(weight.cast("double"), F.lit(1e-6))
     docs = s.put(df.select(F.col(id_col).alias("id"), F.col(source_col).isNull().alias("sn"),
                            F.coalesce(F.col(source_col), F.lit("")).alias("src"),
-                           word_count(text).alias("size"), key.alias("key"),
-                           F.struct(F.lit(0).alias("__none"), *[F.col(f"`{c}`") for c in carry]).alias("more"),
+                           word_count(text).alias("size"), F.greatest(weight.cast("double"), F.lit(1e-6)).alias("w"),
+                           F.md5(F.coalesce(text, F.lit(""))).alias("digest"),
+                           F.struct(F.lit(0).alias(fresh("__none", carry)), *[named(c) for c in carry]).alias("more"),
                            F.monotonically_increasing_id().alias("rid")), "sized")
+    # rows with one id and text are numbered, without a group in one task; the others are number 0
+    equal = F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("-")), "digest").alias("equal")
+    narrow = docs.select(equal, "sn", "src", "rid")
+    repeated = s.put(narrow.groupBy("equal").count().filter("count > 1").select("equal"), "repeated")
+    copy = F.lit(0).cast("long")
+    if not repeated.isEmpty():
+        copies = places(narrow.join(repeated, "equal", "left_semi"), "equal", ["sn", "src"], s, "copies")
+        docs = docs.join(copies.select("rid", "pos"), "rid", "left")
+        copy = F.coalesce("pos", copy)
+    key = -F.ln(uniform(F.col("id"), F.col("digest"), copy, seed)) / F.col("w")
+    docs = s.put(docs.select("id", "sn", "src", "size", key.alias("key"), "more", "rid"), "keyed")
     n = docs.count()
     buckets = max(256, n // BUCKET_ROWS)
     docs = docs.withColumn("bucket", F.floor(F.col("key") / (1.0 + F.col("key")) * buckets))
@@ -126,4 +140,4 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     out = others.unionByName(at_edge).withColumn("times", times).withColumn("taken", F.col("times") * F.col("size"))
     names = ["size", "source_size", "target", "taken", "times"]
     return out.select(*([] if prefix else [F.col("id").alias(id_col)]), *[F.col(c).alias(prefix + c) for c in names],
-                      *[F.col(f"more.`{c}`").alias(c) for c in carry])
+                      *[F.col("more").getField(c).alias(c) for c in carry])

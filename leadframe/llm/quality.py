@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leadframe.llm.common import fresh, named
 from leadframe.llm.ftrl import Ftrl
 from leadframe.llm.textscan import batch_words, mix
 
@@ -132,8 +133,10 @@ def learn_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     ``learn_from``: a Column over the labels' id that says which rows may be
     learnt from. Rows without a label (null, or other than 0 and 1) are left
-    out; of several labels of one document the largest counts. Without any
-    labelled row the weights are 0 (every score 0.5).
+    out; of several labels of one document the largest counts, of several texts
+    under one id the one of least hash, and repeated rows count once, so reruns
+    learn the same. Without any labelled row, or any document, the weights are 0
+    (every score 0.5). Other columns aren't read.
     """
     mark = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     mark = mark.filter(F.col("id").isNotNull() & F.col("label").isin(0, 1))
@@ -156,9 +159,11 @@ def learn_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     for p in picks[1:]:
         pick = pick.unionByName(p)
     pick = F.broadcast(pick.select("id", "label"))          # at most 2 * per_class rows
-    found = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(pick, "id")
-             .select(F.col("id").cast("string").alias("id"), "label", "text")
-             .mapInArrow(sample_features, _SAMPLE).dropDuplicates(["id"]).orderBy("id").collect())
+    # of several texts under one id the one of least hash; combined map-side, so a hot id sends one text a task
+    texts = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(pick, "id")
+             .groupBy("id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")))
+    found = (texts.select(F.col("id").cast("string").alias("id"), "label", F.col("t.text").alias("text"))
+             .mapInArrow(sample_features, _SAMPLE).orderBy("id").collect())
     have = {k: sum(r.label == k for r in found) for k in share}
     whole = sum(share.values())
     rows = [(r.at, r.n, r.label, share[r.label] / whole * len(found) / have[r.label]) for r in found]
@@ -169,11 +174,14 @@ def score_quality(df: DataFrame, weights: np.ndarray, text_col: str = "text", ca
                   score_col: str = "score") -> DataFrame:
     """Return the ``carry`` columns and ``score_col``, one row per input row; no shuffle.
 
-    Null or empty text has no features and scores the constant alone.
+    Null or empty text has no features and scores the constant alone. Repeated
+    rows are scored each, equal texts alike; texts of any length are read whole;
+    an empty table gives no rows; a carried column may have any name but
+    ``score_col``.
     """
     held = df.sparkSession.sparkContext.broadcast(weights)
-    x = df.select(F.col(text_col).alias("__text"), *[F.col(c) for c in carry])
-    schema = x.drop("__text").schema.add(score_col, "double")
+    x = df.select(named(text_col).alias(fresh("__text", carry)), *[named(c) for c in carry])
+    schema = df.select(*[named(c) for c in carry]).schema.add(score_col, "double")
 
     def run(batches):
         w = held.value

@@ -120,29 +120,32 @@ def _op5_hits(kind):
                 f" AND length(regexp_replace(v, '[^0-9]', '', 'g')) >= {secrets.MIN_DIGITS}")
     return f"""
 SELECT * FROM (
-  SELECT doc_id, owner, {secrets.KINDS.index(kind)} AS k, '{kind}' AS kind, v,
+  SELECT doc_id, owner, repo, {secrets.KINDS.index(kind)} AS k, '{kind}' AS kind, v,
     (sum(length(part) + length(hit)) OVER w - length(hit))::BIGINT AS s, (sum(length(part) + length(hit)) OVER w)::BIGINT AS e
-  FROM (SELECT doc_id, owner, unnest(string_split_regex(t, '{p}')[:len(regexp_extract_all(t, '{p}'))]) AS part,
+  FROM (SELECT doc_id, owner, repo, unnest(string_split_regex(t, '{p}')[:len(regexp_extract_all(t, '{p}'))]) AS part,
                unnest(regexp_extract_all(t, '{p}')) AS hit, unnest(regexp_extract_all(t, '{p}', {group})) AS v,
                generate_subscripts(regexp_extract_all(t, '{p}'), 1) AS i FROM d)
   WINDOW w AS (PARTITION BY doc_id ORDER BY i)) WHERE length(v) >= {least}{more}"""
 
 
 _OP5_SQL = f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce('=' || source, '') AS owner FROM documents),
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce('=' || source, '') AS owner,
+    coalesce('=' || source, '') || '/' || coalesce('=' || lang, '') AS repo FROM documents),
 base AS ({" UNION ALL ".join(_op5_hits(k) for k in secrets.KINDS[:3])}),
 own AS (SELECT * FROM ({_op5_hits("owned")}) o
   WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = o.doc_id AND b.s < o.e AND o.s < b.e)),
 cand AS (SELECT * FROM base UNION ALL SELECT * FROM own),
-freq AS (SELECT v, count(DISTINCT owner) AS owners FROM cand GROUP BY v),
-c AS (SELECT cand.*, owners <= {secrets.MAX_OWNERS} AS live, kind || ':' || s || ':' || e AS txt FROM cand JOIN freq USING (v)),
+freq AS (SELECT v, count(DISTINCT owner) AS owners, count(DISTINCT (owner, repo)) AS repos FROM cand GROUP BY v),
+c AS (SELECT cand.*, owners, repos, owners <= {secrets.MAX_OWNERS} AND repos <= {secrets.MAX_REPOS} AS live, kind || ':' || s || ':' || e AS txt FROM cand JOIN freq USING (v)),
 a AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
   count(*) FILTER (kind = 'hex') AS n_hex, string_agg(txt, ',' ORDER BY s, k) FILTER (k < 3) AS base,
   string_agg(txt, ',' ORDER BY s, k) FILTER (k < 3 OR live) AS spans,
-  count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_shared FROM c GROUP BY doc_id)
+  count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_shared,
+  max(owners) AS max_owners, max(repos) AS max_repos FROM c GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
-  coalesce(n_live, 0) AS n_live, coalesce(n_shared, 0) AS n_shared FROM d LEFT JOIN a USING (doc_id)
+  coalesce(n_live, 0) AS n_live, coalesce(n_shared, 0) AS n_shared,
+  coalesce(max_owners, 0) AS max_owners, coalesce(max_repos, 0) AS max_repos FROM d LEFT JOIN a USING (doc_id)
 """
 
 
@@ -155,7 +158,7 @@ def op5_scan_secrets(spark, sf):
         return F.size(F.filter("base", lambda b: b["kind"] == secrets.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
     return found.select(
         "doc_id", n("assign"), n("access"), n("hex"), F.sha2(secrets.span_text(F.col("base")), 256).alias("base_sha256"),
-        secrets.span_text(F.concat("base", "added")).alias("spans"), "n_live", "n_shared")
+        secrets.span_text(F.concat("base", "added")).alias("spans"), "n_live", "n_shared", "max_owners", "max_repos")
 
 
 _OP6_SQL = f"""
@@ -163,7 +166,8 @@ WITH d AS (SELECT doc_id, source IS NULL AS sn, coalesce(source, '') AS src,
     len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
     CASE WHEN length(coalesce(text, '')) > 0 THEN greatest(0.1, 1.0 - 4.0::DOUBLE * (length(text) -
       length(translate(text, '{mixing.JUNK}', '')))::DOUBLE / length(text)) ELSE 0.1 END::DOUBLE AS q,
-    (('0x' || substr(md5('{mixing.SEED}:' || doc_id), 1, 13))::BIGINT::DOUBLE + 0.5) / {float(1 << 52)!r} AS u
+    (('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, '-') || ':' || md5(coalesce(text, '')) || ':' ||
+      (row_number() OVER (PARTITION BY doc_id, coalesce(text, '') ORDER BY source NULLS LAST) - 1)), 1, 13))::BIGINT::DOUBLE + 0.5) / {float(1 << 52)!r} AS u
   FROM documents),
 k AS (SELECT *, -ln(u) / q AS key, (sum(size) OVER (PARTITION BY sn, src))::BIGINT AS source_size FROM d),
 s AS (SELECT sn, src, any_value(source_size) AS source_size,

@@ -2,10 +2,11 @@
 
 Base kinds are fixed patterns; a generic pattern adds candidates. All candidate
 values are hashed and aggregated over the corpus by distinct owner and
-repository: a value that several owners hold is a widely copied example, a
-value that one owner holds looks live. Base spans always stay (the frequency is
-reported beside them); a generic candidate becomes a span only if it is owner
-specific and overlaps no base span.
+repository: a value that several owners hold, or that one owner holds in many
+of its repositories, is a widely copied example; a value of one owner in few
+repositories looks live. Base spans always stay (both counts are reported beside
+them); a generic candidate becomes a span only if it looks live and overlaps no
+base span.
 
 Spans come from two built-ins that walk the same matches: the parts between
 them (split) and the matches themselves (regexp_extract_all); running lengths
@@ -30,7 +31,7 @@ PATTERNS = {
     "owned": ("([A-Za-z0-9_-]{20,})", 1, 20),
 }
 MIN_DIGITS = MIN_LETTERS = 4    # of a generic candidate
-MAX_OWNERS = 1                  # owners of a value that still looks live
+MAX_OWNERS, MAX_REPOS = 1, 2    # owners and repositories of a value that still looks live
 
 SPAN = "array<struct<start:int,kind:int,end:int,vh:bigint>>"
 
@@ -71,13 +72,16 @@ def span_text(spans: Column) -> Column:
 
 def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  owner_cols: tuple = ("source",), repo_cols: tuple = ("source", "lang")) -> DataFrame:
-    """Return per row: ``id_col``, base and added (arrays of spans), n_live, n_shared.
+    """Return per row: ``id_col``, base and added (arrays of spans), n_live, n_shared, max_owners, max_repos.
 
-    ``base`` holds the fixed kinds, ``added`` the owner-specific generic spans;
+    ``base`` holds the fixed kinds, ``added`` the generic spans that look live;
     ``n_live`` and ``n_shared`` count all candidates by whether at most
-    MAX_OWNERS owners hold their value. An owner is the value of ``owner_cols``,
-    a repository that of ``repo_cols``; null counts as a value. Null text is
-    empty; repeated rows are scanned separately; an empty table gives no rows.
+    MAX_OWNERS owners and MAX_REPOS repositories hold their value; the maxima
+    are over the row's candidates (0 without any). An owner is the value of
+    ``owner_cols``, a repository that of ``repo_cols``; null counts as a value.
+    Null text is empty, texts of any length are read whole; repeated rows are
+    scanned separately but count one owner; an empty table gives no rows; other
+    columns aren't read.
     """
     s = Scratch(df.sparkSession, "secrets")
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -98,11 +102,12 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     owners = (held.groupBy("vh", "owner").agg(F.count("*").alias("repos"))
               .groupBy("vh").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos")))
     owners = s.put(owners, "owners")
-    live = F.col("owners") <= MAX_OWNERS
+    live = (F.col("owners") <= MAX_OWNERS) & (F.col("repos") <= MAX_REPOS)
     per_row = (cand.join(owners, "vh").groupBy("rid")
                .agg(F.collect_list(F.when(live & (F.col("c.kind") == 3), F.col("c"))).alias("added"),
-                    F.sum(live.cast("long")).alias("n_live"), F.sum((~live).cast("long")).alias("n_shared")))
+                    F.sum(live.cast("long")).alias("n_live"), F.sum((~live).cast("long")).alias("n_shared"),
+                    F.max("owners").alias("max_owners"), F.max("repos").alias("max_repos")))
     zero = F.lit(0).cast("long")
     return found.join(per_row, "rid", "left").select(
         F.col("id").alias(id_col), "base", F.coalesce("added", F.array().cast(SPAN)).alias("added"),
-        F.coalesce("n_live", zero).alias("n_live"), F.coalesce("n_shared", zero).alias("n_shared"))
+        *[F.coalesce(c, zero).alias(c) for c in ("n_live", "n_shared", "max_owners", "max_repos")])

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from leadframe.llm.common import shared_dir
+from leadframe.llm.common import Scratch, shared_dir
 
 N_SLOTS = 4096
 RECORD_OVERHEAD = 8     # bytes a record costs besides its text
@@ -109,17 +109,33 @@ class SlotMap:
         return {r.vslot: r.shard for r in self.read(version).collect()}
 
 
+COPIES = 16         # equal rows beyond this are dealt over the slots
+
+
 def with_slots(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_slots: int = N_SLOTS) -> DataFrame:
     """Narrow rows: id, size (UTF-8 bytes plus overhead; null text: overhead alone), crc, virtual slot.
 
     The slot is a hash of the whole record (id, checksum, size), so a repeated
-    id with different texts spreads.
+    id with different texts spreads. Rows that are equal more than ``COPIES``
+    times hash with their row's number too: equal rows may change places, so
+    any deal of them is right, and no slot holds them all. The rows are written
+    once, so every reader sees one deal.
     """
+    s = Scratch(df.sparkSession, "slots")
     text = F.col(text_col).cast("binary")
-    return (df.select(F.col(id_col).alias("id"),
+    rows = (df.select(F.col(id_col).alias("id"),
                       (F.coalesce(F.octet_length(text), F.lit(0)) + RECORD_OVERHEAD).cast("long").alias("size"),
-                      F.coalesce(F.crc32(text), F.lit(0).cast("long")).alias("crc"))
-            .withColumn("vslot", F.pmod(F.xxhash64("id", "crc", "size"), F.lit(n_slots)).cast("int")))
+                      F.coalesce(F.crc32(text), F.lit(0).cast("long")).alias("crc"),
+                      F.monotonically_increasing_id().alias("row")))
+    rows = s.put(rows.withColumn("vslot", F.pmod(F.xxhash64("id", "crc", "size"), F.lit(n_slots)).cast("int")), "rows")
+    many = s.put(rows.groupBy("id", "crc", "size").count().filter(F.col("count") > COPIES)
+                 .select(F.col("id").alias("m_id"), F.col("crc").alias("m_crc"), F.col("size").alias("m_size")), "copies")
+    if many.isEmpty():
+        return rows.drop("row")
+    same = (F.col("id").eqNullSafe(F.col("m_id")) & (F.col("crc") == F.col("m_crc")) & (F.col("size") == F.col("m_size")))
+    dealt = F.pmod(F.xxhash64("id", "crc", "size", "row"), F.lit(n_slots)).cast("int")
+    return rows.join(many, same, "left").select("id", "size", "crc", F.when(F.col("m_size").isNull(), F.col("vslot"))
+                                                .otherwise(dealt).alias("vslot"))
 
 
 def slot_totals(slotted: DataFrame) -> dict[int, tuple[int, int]]:
