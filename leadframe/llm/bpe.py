@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadframe.llm.common import fresh, named
+from leadframe.llm.common import text_and
 from leadframe.llm.textscan import blocks, text_bytes
 
 CACHE_PIECES = 60_000       # bound of the cache of merged pieces, about 15 MB
@@ -356,8 +356,8 @@ def encode(df: DataFrame, ranks: bytes, text_col: str = "text", carry: tuple = (
     """
     spark = df.sparkSession
     content = spark.sparkContext.broadcast(ranks)
-    x = df.select(named(text_col).alias(fresh("__text", carry)), *[named(c) for c in carry])
-    kept = df.select(*[named(c) for c in carry]).schema
+    x = text_and(df, text_col, carry)
+    kept = x.drop("t").schema
     more = [("offsets", "binary")] * with_offsets + ([(decoded_col, "binary")] if decoded_col else [])
     for name, kind in (("n_tokens", "long"), ("ids", "binary"), *more):
         kept = kept.add(name, kind)
@@ -378,7 +378,7 @@ def encode(df: DataFrame, ranks: bytes, text_col: str = "text", carry: tuple = (
                     cols.append(pa.array([vocabulary.decode(x, y) for x, y in zip(numbers, offsets)], pa.binary()))
                 yield pa.RecordBatch.from_arrays(cols, kept.names)
             del batch, data, off        # before the next batch is read
-    return x.mapInArrow(run, kept)
+    return x.mapInArrow(run, kept).toDF(*carry, *kept.names[len(carry):])
 
 
 def decode(df: DataFrame, ranks: bytes, ids_col: str = "ids", offsets_col: str = "offsets",

@@ -70,6 +70,12 @@ def named(c: str) -> "F.Column":
     return F.col("`" + c.replace("`", "``") + "`")
 
 
+def text_and(df: DataFrame, text_col: str, carry) -> DataFrame:
+    """The text as ``t`` and the carried columns as ``c0``, ``c1``...: names that no
+    carried column can clash with; ``toDF`` gives them back after the Arrow pass."""
+    return df.select(named(text_col).alias("t"), *[named(c).alias(f"c{i}") for i, c in enumerate(carry)])
+
+
 def squeezed(text) -> "F.Column":
     """The text without white space; null counts as empty."""
     return F.translate(F.coalesce(text, F.lit("")), " \t\n\x0b\f\r", "")

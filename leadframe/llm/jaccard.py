@@ -415,7 +415,7 @@ def keep_one_row(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = df.withColumn(row, F.monotonically_increasing_id()).orderBy(*order)
     s = Scratch(df.sparkSession, "jaccard-rows")
     rows = s.put(rows.withColumn(row, F.monotonically_increasing_id()), "rows")
-    found = jaccard_components(rows.select(row, named(text_col).alias(fresh("__text", [row]))), row, fresh("__text", [row]), k, percent)
+    found = jaccard_components(rows.select(row, named(text_col).alias("t")), row, "t", k, percent)
     gone = s.put(found.filter(F.col(row) != F.col("component_id")).select(row), "gone")
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)

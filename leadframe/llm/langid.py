@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leadframe.llm.bpe import LETTER, STMD, class_table
-from leadframe.llm.common import Scratch, fresh, named
+from leadframe.llm.common import Scratch, text_and
 from leadframe.llm.ftrl import Ftrl, fit_temperature, softmax
 from leadframe.llm.textscan import blocks, text_bytes
 
@@ -192,8 +192,8 @@ def predict_languages(df: DataFrame, model: Model, text_col: str = "text", carry
     name but ``lang_pred`` and ``score``. No shuffle.
     """
     held = df.sparkSession.sparkContext.broadcast(model)
-    x = df.select(named(text_col).alias(fresh("__text", carry)), *[named(c) for c in carry])
-    schema = df.select(*[named(c) for c in carry]).schema.add("lang_pred", "string").add("score", "double")
+    x = text_and(df, text_col, carry)
+    schema = x.drop("t").schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches):
         m = held.value
@@ -211,4 +211,4 @@ def predict_languages(df: DataFrame, model: Model, text_col: str = "text", carry
                     score.append(float(p[k]))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(lang, pa.string()),
                                               pa.array(score, pa.float64())], schema.names)
-    return x.mapInArrow(run, schema)
+    return x.mapInArrow(run, schema).toDF(*carry, "lang_pred", "score")

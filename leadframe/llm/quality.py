@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadframe.llm.common import fresh, named
+from leadframe.llm.common import text_and
 from leadframe.llm.ftrl import Ftrl
 from leadframe.llm.textscan import batch_words, mix
 
@@ -180,12 +180,12 @@ def score_quality(df: DataFrame, weights: np.ndarray, text_col: str = "text", ca
     ``score_col``.
     """
     held = df.sparkSession.sparkContext.broadcast(weights)
-    x = df.select(named(text_col).alias(fresh("__text", carry)), *[named(c) for c in carry])
-    schema = df.select(*[named(c) for c in carry]).schema.add(score_col, "double")
+    x = text_and(df, text_col, carry)
+    schema = x.drop("t").schema.add("score", "double")
 
     def run(batches):
         w = held.value
         for batch in batches:
             score = [s for words in batch_words(batch.column(0)) for s in score_rows(words, w)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(score, pa.float64())], schema.names)
-    return x.mapInArrow(run, schema)
+    return x.mapInArrow(run, schema).toDF(*carry, score_col)
