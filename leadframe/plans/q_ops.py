@@ -466,3 +466,18 @@ def s10_export_run_document(spark, sf):
                        "generated_at", "extraction_version", "api_calls_used", "successful_extractions",
                        "failed_extractions", "duplicate_profiles_removed", "total_profiles", "valid_profiles",
                        "invalid_profiles")
+
+
+def _s10_profiles_sql():
+    from leadframe.plans.q_text import _SURV_SQL
+    return f"""{_SURV_SQL} SELECT it.k AS ingest_seq, s.url AS profile_url FROM s JOIN it ON it.k = s.k WHERE NOT it.nameless"""
+
+
+@register("s10_exported_profiles", _s10_profiles_sql())
+def s10_exported_profiles(spark, sf):
+    """The exported profiles, read back from their JSON lines."""
+    from leadframe.plans.q_text import extracted
+    profiles, metrics = extracted(spark, sf)
+    meta = export.run_metadata(profiles, metrics, "site:linkedin.com/in customers", ["customers"], NOW)
+    paths = export.export_run_document(profiles, meta, scratch_dir(spark, "export"))
+    return spark.read.schema("ingest_seq long, profile_url string").json(paths["profiles"])

@@ -366,20 +366,47 @@ def x22_similar_texts(spark, sf):
     return d.join(b, "doc_id").select("doc_id", facts.is_similar_text(F.col("text"), F.col("t2")).alias("similar"))
 
 
-# the snippets carry no title or location facts, so the keys follow from the
-# metatag shape of each item (position/company/location, company/location, none)
-@register("x23_unique_facts", """SELECT c_custkey AS ingest_seq, CASE c_custkey % 4
-  WHEN 0 THEN 'company,current_position,location' WHEN 1 THEN 'company,location' ELSE '' END AS keys
-FROM customer""")
+# what a snippet says of company and place, by the customer's number: the metatag's
+# value, its words in another order, some of them, another value, a short one, none
+_X23_COMPANY = ["n_name || ' Trading'", "'Trading ' || n_name", "'Group ' || n_name || ' Trading'", "'Other Firm ' || c_custkey", "'ab'",
+                "NULL", "''", "'Nobody'"]
+_X23_PLACE = ["'City ' || (c_custkey % 17)", "'Berlin'", "'  Berlin '", "'Berlin Mitte Ost ' || c_custkey", "NULL"]
+_X23_META = """CASE c_custkey % 4 WHEN 0 THEN 'Buyer at ' || n_name END AS current_position,
+  CASE c_custkey % 4 WHEN 0 THEN n_name || ' Trading' WHEN 1 THEN n_name || ' GmbH' END AS company,
+  CASE c_custkey % 4 WHEN 0 THEN 'City ' || (c_custkey % 17) WHEN 1 THEN 'Berlin' END AS location"""
+
+
+def _x23_case(values):
+    return f"CASE c_custkey % {len(values)} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
+
+
+def _x23_sql():
+    def similar(a, b):
+        words = lambda t: f"list_distinct(list_filter(string_split_regex(lower({t}), '\\s+'), lambda x: x <> ''))"
+        short, long = f"CASE WHEN length({a}) <= length({b}) THEN {a} ELSE {b} END", f"CASE WHEN length({a}) >= length({b}) THEN {a} ELSE {b} END"
+        return f"""CASE WHEN {a} = '' OR {b} = '' THEN false WHEN least(length({a}), length({b})) < 10 THEN trim({a}) = trim({b})
+      WHEN len({words(short)}) = 0 THEN false ELSE len(list_intersect({words(short)}, {words(long)})) / len({words(short)}) >= 0.8 END"""
+
+    def kept(snippet, meta):
+        return f"CASE WHEN length(trim({snippet})) > 2 AND NOT {similar(snippet, f"coalesce({meta}, 'None')")} THEN {snippet} END"
+    return f"""SELECT ingest_seq, CASE WHEN length(current_position) > 2 THEN current_position END AS current_position, company, location,
+  {kept("sc", "company")} AS snippet_company, {kept("sl", "location")} AS snippet_location
+FROM (SELECT c_custkey AS ingest_seq, {_X23_META}, {_x23_case(_X23_COMPANY)} AS sc, {_x23_case(_X23_PLACE)} AS sl {_CUSTN})"""
+
+
+@register("x23_unique_facts", _x23_sql())
 def x23_unique_facts(spark, sf):
-    """X23 (rows-only): metatag facts plus snippet facts not similar to them."""
+    """X23 with all its values: metatag facts plus snippet facts not similar to them."""
     it = search_items(spark, sf)
     m = F.col("google_result.pagemap.metatags")
+    c = inputs.table(spark, sf, "customer").join(inputs.table(spark, sf, "nation"), F.expr("c_nationkey = n_nationkey"), "left")
+    said = c.select(F.col("c_custkey").alias("ingest_seq"), F.expr(_x23_case(_X23_COMPANY)).alias("sc"),
+                    F.expr(_x23_case(_X23_PLACE)).alias("sl"))
     s = facts.snippet_facts(facts.remove_boilerplate(F.col("google_result.snippet")))
     u = facts.unique_facts(facts.meta_position(m), facts.meta_company(m), facts.meta_location(m),
-                           facts.meta_description(m), s["title"], F.lit(None).cast("string"), s["location"],
-                           s["description"])
-    return it.select("ingest_seq", F.array_join(F.array_sort(F.map_keys(u)), ",").alias("keys"))
+                           facts.meta_description(m), s["title"], F.col("sc"), F.col("sl"), s["description"])
+    return it.join(said, "ingest_seq").select("ingest_seq", *[F.try_element_at(u, F.lit(k)).alias(k) for k in (
+        "current_position", "company", "location", "snippet_company", "snippet_location")])
 
 
 _X24_TAIL = """CASE c_custkey % 6 WHEN 0 THEN chr(10) || 'Manager, former at Old ' || c_custkey || ', now at New ' || c_custkey || ' · x'
