@@ -1,8 +1,9 @@
 """Domain jobs.
 
-D1 is a column rule (``functions.urls.apex_domain``); ``with_apex_domain``
-applies it once per distinct host, which pays off when many rows share few
-hosts (pages of one site). Guesses (D3) are built inside the row as an
+D1 is a column rule (``functions.urls.apex_domain``) for a short rule list, and
+a join with a suffix table for a long one (``with_apex_domain_by_table``): the
+hosts are made distinct first, so the join's work is that of the hosts, not of
+the rows, and the plan stays the same for any number of rules. Guesses (D3) are built inside the row as an
 ordered, de-duplicated array, so only the join with the live-domain table
 (D4) shuffles.
 """
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 
 from leadframe import fixed
 from leadframe.functions.legal import clean_company_name
-from leadframe.functions.text import first_truthy, nonempty
-from leadframe.functions.urls import apex_domain
+from leadframe.functions.text import first_truthy, nonempty, strip
+from leadframe.functions.urls import apex_domain, host_of
 from leadframe.sources.suffixes import DEFAULT_RULES
 
 
@@ -24,6 +25,74 @@ def with_apex_domain(df: DataFrame, col: str, out: str = "apex_domain", rules=DE
     return df.withColumn(out, apex_domain(F.col(col), rules))
 
 
+def apex_of_hosts(hosts: DataFrame, rules: DataFrame, country_second=(), country_flat=()) -> DataFrame:
+    """D1 for distinct hosts (column ``host``): rows (host, apex), without the hosts that have none.
+
+    ``rules``: rows (name, kind), kind ``exact``, ``wildcard`` (name: what
+    follows ``*.``) or ``exception`` (``sources.suffixes.read_suffix_table``).
+    Each host gives its trailing names, as many labels as the longest rule has;
+    those that the table lists are its suffix candidates, and the longest wins:
+
+    * an exact name is a suffix; the name one label longer than a wildcard's is
+      one, but for an exception; an exception's suffix is one label shorter;
+    * ``country_second`` / ``country_flat``: the country rule of
+      ``SuffixRules``, none when empty.
+
+    A name that most hosts share (``com``) is a hot key only if the table is too
+    large for a broadcast by its bytes; then AQE splits it. No rules: no rows
+    but by the country rule.
+    """
+    longest = rules.agg(F.max(F.size(F.split("name", r"\."))).alias("n")).first()["n"] or 1       # one row
+    labels, n = F.split("host", r"\.", -1), F.size("labels")
+    names = (hosts.select("host", labels.alias("labels"))
+             .select("host", n.alias("n"), F.explode(F.transform(
+                 F.sequence(F.greatest(n - max(longest, 2), F.lit(0)), n - 1),
+                 lambda i: F.struct(i.alias("i"), F.array_join(F.slice("labels", i + 1, n - i), ".").alias("name")))).alias("x"))
+             .select("host", "n", "x.*"))
+    found = names.join(rules.select("name", "kind").distinct(), "name").select("host", "n", "i", "kind")
+    if country_second:
+        second = F.split("name", r"\.")
+        listed = F.get(second, F.lit(0)).isin(*country_second)
+        if country_flat:
+            listed = listed & ~F.get(second, F.size(second) - 1).isin(*country_flat)
+        country = F.col("name").rlike("^[a-z]{2}$") | (F.col("name").rlike(r"^[a-z]+\.[a-z]{2}$") & listed)
+        found = found.unionByName(names.filter(country).select("host", "n", "i", F.lit("exact").alias("kind")))
+    # at most as many positions a host as the longest rule has labels
+    kind, i = F.col("kind"), F.col("i")
+    at = found.groupBy("host").agg(
+        F.min(F.when(kind == "exact", i).when((kind == "exception") & (i + 1 < F.col("n")), i + 1)).alias("sure"),
+        F.collect_set(F.when((kind == "wildcard") & (i >= 1), i - 1)).alias("wild"),
+        F.collect_set(F.when(kind == "exception", i)).alias("excepted"))
+    first = F.least("sure", F.array_min(F.array_except("wild", "excepted")))
+    return (at.select("host", first.alias("i"), labels.alias("labels"))
+            .filter((F.col("i") >= 1) & (F.get("labels", F.col("i") - 1) != ""))
+            .select("host", F.array_join(F.slice("labels", F.col("i"), n - F.col("i") + 1), ".").alias("apex")))
+
+
+def with_apex_domain_by_table(df: DataFrame, col: str, rules: DataFrame, out: str = "apex_domain",
+                              country_second=(), country_flat=()) -> DataFrame:
+    """D1 with the rules as a table, see ``apex_of_hosts``; equal to ``with_apex_domain`` row by row.
+
+    Rows cross the network once, to meet their host's domain; a hot host's rows
+    are split by AQE, since only the other side's row is repeated. Null and
+    blank values, and hosts under no rule, get NULL; repeated rows stay.
+    """
+    host, apex = _unused("host", df), _unused("apex", df)
+    rows = df.withColumn(host, F.when(strip(F.col(col)) != "", host_of(F.col(col))))
+    hosts = rows.filter(F.col(host).isNotNull()).select(F.col(host).alias("host")).distinct()
+    found = apex_of_hosts(hosts, rules, country_second, country_flat)
+    joined = rows.join(found.select(F.col("host").alias(host), F.col("apex").alias(apex)), host, "left")
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns if c != out], F.col(apex).alias(out))
+
+
+def _unused(name: str, df: DataFrame) -> str:
+    """``name`` with underscores before it until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def guess_list(name_col, compat: bool = True):
     """D3 as a column: the ordered distinct guesses for one name."""
     clean = clean_company_name(name_col, compat)

@@ -10,7 +10,8 @@ from leadframe.plans import inputs
 from leadframe.plans import sqlrules as R
 from leadframe.plans.q_people import SUPPLIER_COMPANIES_SQL, _CKEY, _VALID, supplier_companies
 from leadframe.plans.registry import BATCH, NOW, register
-from leadframe.sources.suffixes import DEFAULT_RULES
+from leadframe.session import scratch_dir
+from leadframe.sources.suffixes import DEFAULT_RULES, DEFAULT_RULES_TEXT, read_suffix_table
 
 # ====================================================================== D
 
@@ -22,6 +23,17 @@ def d1_apex_domain(spark, sf):
     return domains.with_apex_domain(pages, "url").select("page_id", "apex_domain")
 
 
+@register("d1_apex_domain_by_table", f"SELECT page_id, {R.apex('url', DEFAULT_RULES)} AS apex_domain FROM pages")
+def d1_apex_domain_by_table(spark, sf):
+    """D1 over every page URL, with the rules as a table: a written list, read by Spark."""
+    path = scratch_dir(spark, "suffixes")
+    spark.createDataFrame([(x,) for x in DEFAULT_RULES_TEXT.split()], "value string").write.text(path)
+    pages = inputs.table(spark, sf, "pages").select("page_id", "url")
+    return domains.with_apex_domain_by_table(pages, "url", read_suffix_table(spark, path),
+                                             country_second=DEFAULT_RULES.country_second,
+                                             country_flat=DEFAULT_RULES.country_flat).select("page_id", "apex_domain")
+
+
 def supplier_names(spark, sf):
     """Company names with umlauts, legal suffixes (also as substrings) and
     punctuation, from supplier."""

@@ -3,14 +3,18 @@
 The rules are a parameter: pass the official list (``load_suffix_rules``
 reads the standard file format, without the country rule) or use the built-in
 default below. A host under no suffix has no apex domain, so it is never merged
-with another. The file is a bounded configuration file (a few hundred KB), read once on the
-driver; the rule itself runs inside executors as hashed IN-sets.
+with another. ``load_suffix_rules`` reads a short file on the driver, and the
+rule runs inside executors as hashed IN-sets; ``read_suffix_table`` reads a list
+of any length with Spark, for the join in ``operators.domains``.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 # The default in the standard list format: generic suffixes, and one wildcard
 # with its exception. Countries follow by rule (below): any two letters are a
 # suffix, and so is a common second level under them.
@@ -130,5 +134,21 @@ def load_suffix_rules(path: str | None = None) -> SuffixRules:
         return parse_suffix_rules(fh.read())
 
 
+def read_suffix_table(spark: SparkSession, path: str) -> DataFrame:
+    """Rules (name, kind) from files in the public-suffix list format, each once."""
+    return suffix_table(spark.read.text(path))
+
+
+def suffix_table(lines: DataFrame) -> DataFrame:
+    """Rules (name, kind) from lines (column ``value``); kind: exact, wildcard or exception.
+
+    Comments, blank and null lines give none; what follows a space is no part of a rule.
+    """
+    line = F.lower(F.regexp_extract("value", r"^\s*(\S+)", 1))
+    rule = lines.select(line.alias("r")).filter((F.col("r") != "") & ~F.startswith("r", F.lit("//")))
+    kind = F.when(F.startswith("r", F.lit("!")), "exception").when(F.startswith("r", F.lit("*.")), "wildcard").otherwise("exact")
+    return rule.select(F.regexp_replace("r", r"^(!|\*\.)", "").alias("name"), kind.alias("kind")).distinct()
+
+
 DEFAULT_RULES = replace(parse_suffix_rules(DEFAULT_RULES_TEXT), country_second=COUNTRY_SECOND,
                         country_flat=COUNTRY_FLAT)
