@@ -95,12 +95,26 @@ def report_queries(dim: DataFrame) -> DataFrame:
         .drop("created_at")
 
 
-def people_per_query(dim: DataFrame, people: DataFrame) -> DataFrame:
+def query_counts(people: DataFrame) -> DataFrame:
+    """R4's partial: people per query id (combined map-side), for any part of the people."""
+    return people.filter(F.col("search_query_id").isNotNull()) \
+        .groupBy("search_query_id").agg(F.count(F.lit(1)).alias("people_count"))
+
+
+def merge_query_counts(*parts: DataFrame) -> DataFrame:
+    """Sum of partials of R4; a part of rows that left counts negative. Ids without people have no row."""
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    return rows.groupBy("search_query_id").agg(F.sum("people_count").alias("people_count")).filter("people_count <> 0")
+
+
+def people_per_query(dim: DataFrame, people: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
     """Person queries with their people count (0 kept), largest first.
     People are counted per query id first (partial aggregation), then the
-    small per-query result is joined to the dimension."""
-    counts = people.filter(F.col("search_query_id").isNotNull()) \
-        .groupBy("search_query_id").agg(F.count(F.lit(1)).alias("people_count"))
+    small per-query result is joined to the dimension. ``counts``: the stored
+    counts (``runs.refresh_query_counts``) in place of the people."""
+    counts = query_counts(people) if counts is None else counts
     q = dim.filter(F.col("entity_type") == "person")
     return (q.join(counts, q["id"] == counts["search_query_id"], "left")
             .select("id", "source", "query_text",
@@ -108,15 +122,31 @@ def people_per_query(dim: DataFrame, people: DataFrame) -> DataFrame:
             .orderBy(F.col("people_count").desc(), F.col("id")))
 
 
-def usage_by_provider(log: DataFrame, run_id: str | None = None, caller: str | None = None) -> DataFrame:
+def usage_totals(log: DataFrame) -> DataFrame:
+    """R5's partial: calls and tokens per run, caller and provider of a part of the log."""
+    return (log.groupBy("run_id", "caller", F.coalesce("provider", F.lit(fixed.DEFAULT_PROVIDER)).alias("provider"))
+            .agg(F.count(F.lit(1)).alias("calls"), F.sum("tokens").cast("long").alias("tokens")))
+
+
+def merge_usage(totals: DataFrame, *keys: str) -> DataFrame:
+    """Sum of partials of R5 by ``keys`` (none: run, caller and provider)."""
+    return totals.groupBy(*(keys or ("run_id", "caller", "provider"))).agg(
+        F.sum("calls").alias("calls"), F.sum("tokens").alias("tokens"))
+
+
+def usage_by_provider(log: DataFrame, run_id: str | None = None, caller: str | None = None,
+                      stored: bool = False) -> DataFrame:
     """Calls and tokens per provider for one run (all runs when
     ``run_id`` is None); falsy provider -> 'unknown'; a line whose tokens are
-    not a number still counts as a call."""
+    not a number still counts as a call. ``stored``: ``log`` is the stored
+    totals (``runs.add_call_log``) in place of the lines."""
     lg = log
     if run_id is not None:
         lg = lg.filter(F.col("run_id") == run_id)
     if caller is not None:
         lg = lg.filter(F.col("caller") == caller)
+    if stored:
+        return merge_usage(lg, "provider")
     return (lg.groupBy(F.coalesce("provider", F.lit(fixed.DEFAULT_PROVIDER)).alias("provider"))
             .agg(F.count(F.lit(1)).alias("calls"), F.sum("tokens").cast("long").alias("tokens")))
 

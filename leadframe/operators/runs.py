@@ -24,6 +24,7 @@ from leadframe.sources.snapshots import CommitConflict, SnapshotStore
 
 PEOPLE, COMPANIES, QUERIES, STUB_NAMES = "people", "companies", "search_queries", "company_names"
 MESSAGES, TEMPLATES = "outreach_messages", "outreach_templates"
+QUERY_PEOPLE, USAGE = "query_people", "usage"
 
 
 def _stub_names(store: SnapshotStore, rows: DataFrame):
@@ -51,7 +52,9 @@ def commit_people(store: SnapshotStore, records: DataFrame, now: str, batch_id:
     """K13 on standardised records against the stored tables, one commit.
     Refuses a batch id used before, before any work. ``reuse_by_name``: a
     company without a domain is looked up by its name before a stub is added
-    (K3; off, as in the reference)."""
+    (K3; off, as in the reference). A table that has outgrown its buckets gets
+    more of them first."""
+    store.fit(PEOPLE, COMPANIES, QUERIES)
     store = store.begin()
     if store.committed(batch_id):
         raise CommitConflict(f"batch {batch_id!r} was committed before")
@@ -212,3 +215,50 @@ def person_report(store: SnapshotStore, profile_url: str, tz: str = "UTC") -> Da
     key = store.spark.range(1).select(profile_key(F.lit(profile_url)).alias("linkedin_profile"))
     people = store.read(PEOPLE, buckets=store.touched(PEOPLE, key))
     return reports.report_person(reports.people_with_company(people, store.read(COMPANIES)), profile_url, tz)
+
+
+def refresh_query_counts(store: SnapshotStore) -> int:
+    """Bring R4's stored counts up to the newest version of the people; returns how many buckets it read.
+
+    Whatever runs came since the last refresh, only the people buckets that
+    they wrote are read, before and after, and of them one column: the counts
+    after less the counts before are what changed. When that older version is
+    gone (an erase, a vacuum), and the first time, the people are counted as a
+    whole. The version counted is the epoch of a stream, so a refresh that
+    failed half-way is done anew and none is added twice.
+    """
+    store = store.begin()
+    now = store.base
+    since = store.epoch(QUERY_PEOPLE)
+    buckets = store.changed(PEOPLE, since) if store.read(QUERY_PEOPLE) is not None else None
+    batch = f"stream:{QUERY_PEOPLE}:{now}"
+    people = store.read(PEOPLE, buckets=buckets)
+    if people is None or buckets == []:
+        return 0
+    new = reports.query_counts(people)
+    if buckets is None:
+        store.commit({QUERY_PEOPLE: new}, batch)
+        return len(store.held(PEOPLE))
+    old = store.read(PEOPLE, since, buckets)
+    less = [] if old is None else [reports.query_counts(old).withColumn("people_count", -F.col("people_count"))]
+    delta = materialize(reports.merge_query_counts(new, *less), "run-query-counts")
+    touched = store.touched(QUERY_PEOPLE, delta)
+    store.commit({QUERY_PEOPLE: (reports.merge_query_counts(store.read(QUERY_PEOPLE, buckets=touched), delta), touched)}, batch)
+    drop_scratch(store.spark)
+    return len(buckets)
+
+
+def add_call_log(store: SnapshotStore, log: DataFrame, batch_id: str) -> None:
+    """Add a part of the call log (S4) to R5's stored totals, one commit; a batch id counts once.
+
+    Only this part is aggregated, and only the buckets of its runs are read.
+    """
+    store = store.begin()
+    if store.committed(batch_id):
+        raise CommitConflict(f"batch {batch_id!r} was committed before")
+    new = materialize(reports.usage_totals(log), "run-usage")
+    touched = store.touched(USAGE, new)
+    old = store.read(USAGE, buckets=touched)
+    rows = new if old is None else reports.merge_usage(old.unionByName(new))
+    store.commit({USAGE: (rows, touched)}, batch_id)
+    drop_scratch(store.spark)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leadframe.operators import reports, runs
 from leadframe.plans import inputs
-from leadframe.plans.q_ops import SQL_TS, part_templates
+from leadframe.plans.q_ops import _BOTH, _NQ, LOG_SQL, SQL_TS, part_templates, written_call_log
 from leadframe.plans.q_people import ORDER_QUERIES_SQL, _NORMQ, order_queries
 from leadframe.plans.registry import NOW, register
 from leadframe.session import materialize, scratch_dir
@@ -17,14 +17,16 @@ SPLIT = "2024-01-16"
 LATER = "2024-03-01 00:00:00"
 
 
-def two_ingests(spark, sf, reuse_by_name=False) -> SnapshotStore:
-    """Person records of events before and after SPLIT, ingested (K13) one after the other."""
+def two_ingests(spark, sf, reuse_by_name=False, between=None) -> SnapshotStore:
+    """Person records of events before and after SPLIT, ingested (K13) one after the other; ``between`` runs after the first."""
     from leadframe.plans.catalog import person_records
     store = SnapshotStore(spark, scratch_dir(spark, "two-batches"))
     ts = inputs.table(spark, sf, "events").select(F.col("event_id").alias("ingest_seq"), "ts")
     rec = person_records(spark, sf).join(ts, "ingest_seq")
     early = F.col("ts") < F.lit(SPLIT).cast("timestamp_ntz")
     runs.commit_people(store, rec.filter(early).drop("ts"), NOW, "one", reuse_by_name=reuse_by_name)
+    if between is not None:
+        between(store)
     runs.commit_people(store, rec.filter(~early).drop("ts"), LATER, "two", reuse_by_name=reuse_by_name)
     return store
 
@@ -155,3 +157,29 @@ def o2_two_batches(spark, sf):
     runs.schedule_messages(store, m.filter("ingest_seq % 3 <> 0"), LATER, "two")
     fmt = [F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("scheduled_at", "created_at")]
     return store.read("outreach_messages").select("linkedin_profile", "channel", "rendered_md", *fmt)
+
+
+@register("r4_people_per_query_two_batches", f"""WITH {_REC},
+both_ AS (SELECT *, {_NQ} AS nq FROM rec WHERE {_BOTH}),
+dim AS (SELECT source_name AS source, nq, arg_min(source_query, o) AS query_text FROM both_ GROUP BY ALL),
+pq AS (SELECT linkedin_profile, arg_max(source_name, o) AS s, arg_max(nq, o) AS nq FROM both_ GROUP BY linkedin_profile),
+cnt AS (SELECT s, nq, count(*) AS c FROM pq GROUP BY ALL)
+SELECT d.source, d.query_text, coalesce(cnt.c, 0) AS people_count
+FROM dim d LEFT JOIN cnt ON cnt.s = d.source AND cnt.nq = d.nq""")
+def r4_people_per_query_two_batches(spark, sf):
+    """R4 from stored counts, refreshed after each of two ingests: the second adds its difference alone."""
+    store = two_ingests(spark, sf, between=runs.refresh_query_counts)
+    runs.refresh_query_counts(store)
+    return reports.people_per_query(store.read("search_queries"), counts=store.read("query_people")).select(
+        "source", "query_text", "people_count")
+
+
+@register("r5_usage_two_batches", f"""SELECT coalesce(provider, 'unknown') AS provider, count(*) AS calls,
+  CAST(sum(tokens) AS BIGINT) AS tokens FROM ({LOG_SQL}) WHERE run_id = 'run-1' GROUP BY ALL""")
+def r5_usage_two_batches(spark, sf):
+    """R5 from stored totals: the call log lands in two parts, each added once."""
+    store = SnapshotStore(spark, scratch_dir(spark, "two-logs"))
+    early = F.col("ts") < F.lit(SPLIT).cast("timestamp_ntz")
+    for batch, part in (("one", early), ("two", ~early)):
+        runs.add_call_log(store, written_call_log(spark, sf, part), batch)
+    return reports.usage_by_provider(store.read("usage"), run_id="run-1", stored=True)

@@ -145,11 +145,12 @@ def r4_people_per_query(spark, sf):
     return reports.people_per_query(queries, people).select("source", "query_text", "people_count")
 
 
-def call_log_lines(spark, sf):
-    """Call-log lines from events: providers (some null or empty), usage
+def call_log_lines(spark, sf, part=None):
+    """Call-log lines from events (``part``: a condition on them): providers (some null or empty), usage
     counts as int, text, float, junk or missing; malformed and non-object
     lines mixed in."""
     e = inputs.table(spark, sf, "events")
+    e = e if part is None else e.filter(part)
     eid = F.col("event_id")
     k = F.get_json_object("props", "$.k")
     prov = (F.when(eid % 10 == 0, F.lit("null")).when(eid % 10 == 1, F.lit('""'))
@@ -167,27 +168,27 @@ def call_log_lines(spark, sf):
     return e.select(line.alias("value"))
 
 
-def written_call_log(spark, sf):
+def written_call_log(spark, sf, part=None):
     path = scratch_dir(spark, "calllog")
-    call_log_lines(spark, sf).write.text(path)
+    call_log_lines(spark, sf, part).write.text(path)
     return readers.read_call_log(spark, path)
 
 
-_LOG_SQL = """SELECT CASE WHEN event_id % 10 IN (0, 1) THEN NULL ELSE event_type END AS provider,
+LOG_SQL = """SELECT CASE WHEN event_id % 10 IN (0, 1) THEN NULL ELSE event_type END AS provider,
   'run-' || (user_id % 3) AS run_id,
   CAST(CASE event_id % 7 WHEN 0 THEN 0 WHEN 3 THEN 0 WHEN 4 THEN 0
        ELSE CAST(json_extract_string(props, '$.k') AS BIGINT) END AS BIGINT) AS tokens
 FROM events WHERE event_id % 97 <> 0 AND event_id % 89 <> 0"""
 
 
-@register("s4_read_call_log", _LOG_SQL)
+@register("s4_read_call_log", LOG_SQL)
 def s4_read_call_log(spark, sf):
     """The call log written as JSON lines, read back (bad lines dropped)."""
     return written_call_log(spark, sf).select("provider", "run_id", "tokens")
 
 
 @register("r5_usage_by_provider", f"""SELECT coalesce(provider, 'unknown') AS provider, count(*) AS calls,
-  CAST(sum(tokens) AS BIGINT) AS tokens FROM ({_LOG_SQL}) WHERE run_id = 'run-1' GROUP BY ALL""")
+  CAST(sum(tokens) AS BIGINT) AS tokens FROM ({LOG_SQL}) WHERE run_id = 'run-1' GROUP BY ALL""")
 def r5_usage_by_provider(spark, sf):
     """R5 for run 'run-1'."""
     return reports.usage_by_provider(written_call_log(spark, sf), run_id="run-1")

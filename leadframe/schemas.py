@@ -40,6 +40,10 @@ COMPANIES = _st(("id", L), ("name", S), ("domain", S), ("website", S), ("legal_f
 # K3 reuse_by_name: the stub that holds a name.
 COMPANY_NAMES = _st(("name", S), ("id", L))
 
+# Running totals of R4 and R5.
+QUERY_PEOPLE = _st(("search_query_id", L), ("people_count", L))
+USAGE = _st(("run_id", S), ("caller", S), ("provider", S), ("calls", L), ("tokens", L))
+
 SEARCH_QUERIES = _st(("id", L), ("source", S), ("entity_type", S), ("query_text", S),
                      ("normalized_query", S), ("created_at", TS), ("last_executed_at", TS))
 

@@ -1,5 +1,6 @@
 """Runs pinned to one version, erasure from every file, point lookups, K3 by name, K10 and S7 on small tables."""
 import glob
+import os
 
 import pytest
 from conftest import rows
@@ -137,3 +138,57 @@ def test_json_text_columns_become_arrays(spark):
     assert {r["id"]: r["industries"] for r in rows(readers.migrate_json_text(kept)[0])} == {1: ["new"], 2: ["old"]}
     again, none = readers.migrate_json_text(done)
     assert rows(again) == rows(done) and none.count() == 0
+
+
+def test_buckets_follow_the_bytes(spark):
+    store = store_of(spark, buckets=2)
+    runs.commit_people(store, records(spark, [(f"p{i}", None, None) for i in range(400)]), NOW, "one")
+    held = glob.glob(store.root.removeprefix("file:") + "/data/people/**/*.parquet", recursive=True)
+    assert store.bucket_count("people") == 2 and store.fit("people", "outreach_messages") == []
+    store.bucket_bytes = sum(map(os.path.getsize, held)) // 5
+    runs.commit_people(store, records(spark, [("p3", "Acme", "acme.com"), ("new", None, None)]), NOW, "two")
+    assert store.bucket_count("people") == 8 and len(store.held("people")) == 8
+    people = store.read("people")
+    assert people.count() == 401 and people.select("linkedin_profile").distinct().count() == 401
+    # the batch found its old row in the new buckets, and point lookups still read one
+    key = spark.createDataFrame([(URL + "p3",)], "linkedin_profile string")
+    only = store.touched("people", key)
+    assert len(only) == 1 and store.read("people", buckets=only).filter(F.col("linkedin_profile") == URL + "p3").count() == 1
+
+
+def counted(store):
+    return {(r["search_query_id"], r["people_count"]) for r in rows(store.read("query_people"))}
+
+
+def test_query_counts_are_refreshed_from_changed_buckets(spark):
+    store = store_of(spark, buckets=16)
+    assert runs.refresh_query_counts(store) == 0                 # nothing stored yet
+    full = lambda: {(r["search_query_id"], r["people_count"]) for r in rows(reports.query_counts(store.read("people")))}
+    runs.commit_people(store, records(spark, [(f"p{i}", None, None) for i in range(40)]), NOW, "one")
+    assert runs.refresh_query_counts(store) > 10 and counted(store) == full() and len(full()) == 40
+    version = store.versions()[-1]
+    assert runs.refresh_query_counts(store) == 0 and store.versions()[-1] == version
+    # p7 moves from q7 to q0 and one person is new: two buckets at most
+    runs.commit_people(store, records(spark, [("p7", None, None), ("x", None, None)]), NOW, "two")
+    assert 1 <= runs.refresh_query_counts(store) <= 2
+    assert counted(store) == full() and max(n for _, n in full()) == 2 and len(full()) == 39
+    # an erase takes the older versions away: counted as a whole again
+    runs.erase_people_run(store, spark.createDataFrame([(URL + "p3",)], "profile_url string"), "erase")
+    runs.refresh_query_counts(store)
+    assert counted(store) == full() and len(full()) == 38
+
+
+def test_call_log_totals_add_up(spark):
+    log = spark.createDataFrame([("r1", "a", "x", 3), ("r1", "a", None, None), ("r2", "b", "x", 5), (None, None, "x", 1),
+                                 ("r1", "a", "x", 3)], "run_id string, caller string, provider string, tokens long")
+    store = store_of(spark, buckets=4)
+    runs.add_call_log(store, log, "one")
+    runs.add_call_log(store, log.filter("run_id = 'r1'"), "two")
+    runs.add_call_log(store, log.limit(0), "three")
+    with pytest.raises(CommitConflict):
+        runs.add_call_log(store, log, "two")
+    whole = log.unionByName(log.filter("run_id = 'r1'"))
+    for by in ({}, {"run_id": "r1"}, {"caller": "b"}, {"run_id": "none"}):
+        got = rows(reports.usage_by_provider(store.read("usage"), stored=True, **by))
+        key = lambda r: r["provider"]
+        assert sorted(got, key=key) == sorted(rows(reports.usage_by_provider(whole, **by)), key=key)
