@@ -9,7 +9,8 @@ the score is a calibrated probability.
 
 Document frequencies, the languages and their shares cover all rows that may be
 learnt from; the fit takes at most ``PER_LANGUAGE`` distinct rows of each
-language, by hash order, so no language is lost however rare it is. The sample's
+language, by hash order, so no language is lost however rare it is. Of many
+languages (a dirty column) each gives fewer, ``SAMPLE`` in all, but ``LEAST``. The sample's
 shares differ from the true ones; the logarithm of their ratio is added to the
 scores. (Weights on the examples, as in ``quality``, would say the same, but at a
 share of one in ten thousand so little is learnt from them that the language is
@@ -34,6 +35,8 @@ from leadframe.llm.textscan import blocks, text_bytes
 
 FEATURES = 1 << 14
 PER_LANGUAGE = 1000
+SAMPLE = 32_000         # rows of all languages, if that leaves LEAST of each
+LEAST = 10
 CALIBRATION = 5         # every fifth row of a language's sample fits the temperature
 EPOCHS = 2
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.01, 0.1
@@ -109,20 +112,22 @@ def _sparse(batches):
                                           pa.array(n, pa.binary())], ["lang", "row", "at", "n"])
 
 
-def _sample(known: DataFrame, per_language: int):
+def _sample(known: DataFrame, per_language: int, sample: int = SAMPLE):
     """(lang, text) -> rows (lang, row, at, n) by language, and each language's number of rows.
 
-    At most ``per_language`` distinct rows of each language; equal rows count
-    once in the sample and each in the number.
+    At most ``per_language`` distinct rows of each language, and of all at most
+    ``sample`` or LEAST of each; equal rows count once in the sample and each in
+    the number.
     """
     rows = Scratch(known.sparkSession, "langid").put(
         known.groupBy("lang", "row").agg(F.count("*").alias("n")), "rows")         # hashes, no text
     seen = rows.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("d")).collect()     # one row a language
     if not seen:
         return [], {}
+    per_language = min(per_language, max(LEAST, sample // len(seen)))
     # by hash, about per_language of each language; the row number makes it a bound
     parts = F.broadcast(known.sparkSession.createDataFrame(
-        [(r.lang, min(1.0, 1.2 * per_language / r.d)) for r in seen], "lang string, part double"))
+        [(r.lang, min(1.0, max(1.2 * per_language, per_language + 40) / r.d)) for r in seen], "lang string, part double"))
     drawn = rows.join(parts, "lang").filter(F.shiftrightunsigned("row", 2).cast("double") / float(1 << 62) <= F.col("part"))
     pick = drawn.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("row"))).filter(F.col("k") <= per_language)
     pick = F.broadcast(pick.select("lang", "row"))          # at most per_language rows of each language
@@ -133,10 +138,12 @@ def _sample(known: DataFrame, per_language: int):
 
 
 def learn_languages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-                    per_language: int = PER_LANGUAGE) -> Model:
+                    per_language: int = PER_LANGUAGE, sample: int = SAMPLE) -> Model:
     """Fit on the rows of ``df`` that have a language; none: a model that only says ``und``.
 
-    Every language of these rows is learnt, from at most ``per_language`` rows.
+    Every language of these rows is learnt, from at most ``per_language`` rows;
+    beyond ``sample / per_language`` languages from ``sample / languages``, LEAST
+    at least. Repeated rows count once in the sample.
     """
     known = df.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"),
                       F.xxhash64(id_col, text_col).alias("row"))
@@ -148,7 +155,7 @@ def learn_languages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     idf = np.full(FEATURES, np.log(1.0 + total))
     for f, n in seen.items():
         idf[f] = np.log((1.0 + total) / (1.0 + n)) + 1.0
-    rows, share = _sample(known, per_language)
+    rows, share = _sample(known, per_language, sample)
     return fit(rows, share, idf)
 
 
