@@ -17,6 +17,7 @@ from leadframe import fixed
 from leadframe.functions.legal import clean_company_name
 from leadframe.functions.text import first_truthy, nonempty, strip
 from leadframe.functions.urls import apex_domain, host_of
+from leadframe.session import materialize
 from leadframe.sources.suffixes import DEFAULT_RULES
 
 
@@ -73,14 +74,15 @@ def with_apex_domain_by_table(df: DataFrame, col: str, rules: DataFrame, out: st
                               country_second=(), country_flat=()) -> DataFrame:
     """D1 with the rules as a table, see ``apex_of_hosts``; equal to ``with_apex_domain`` row by row.
 
-    Rows cross the network once, to meet their host's domain; a hot host's rows
-    are split by AQE, since only the other side's row is repeated. Null and
-    blank values, and hosts under no rule, get NULL; repeated rows stay.
+    The hosts' domains are written once, so the planner knows their bytes: under
+    the broadcast threshold the rows stay where they are, beyond it they cross
+    the network once, and AQE splits a hot host's rows (both sides of the join
+    are shuffles then, not the aggregate's own partitions). Null and blank values, and hosts under no rule, get NULL; repeated rows stay.
     """
     host, apex = _unused("host", df), _unused("apex", df)
     rows = df.withColumn(host, F.when(strip(F.col(col)) != "", host_of(F.col(col))))
     hosts = rows.filter(F.col(host).isNotNull()).select(F.col(host).alias("host")).distinct()
-    found = apex_of_hosts(hosts, rules, country_second, country_flat)
+    found = materialize(apex_of_hosts(hosts, rules, country_second, country_flat), "host-domains")
     joined = rows.join(found.select(F.col("host").alias(host), F.col("apex").alias(apex)), host, "left")
     return joined.select(*[F.col(f"`{c}`") for c in df.columns if c != out], F.col(apex).alias(out))
 
