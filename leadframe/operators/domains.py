@@ -17,7 +17,7 @@ from leadframe import fixed
 from leadframe.functions.legal import clean_company_name
 from leadframe.functions.text import first_truthy, nonempty, strip
 from leadframe.functions.urls import apex_domain, host_of
-from leadframe.session import materialize
+from leadframe.session import fits_broadcast, materialize
 from leadframe.sources.suffixes import DEFAULT_RULES
 
 
@@ -110,12 +110,45 @@ def domain_candidates(companies: DataFrame, key: str, name: str, compat: bool =
             .select(key, (F.col("pos") + 1).alias("rank"), "domain"))
 
 
+FILTER_BLOCKS = 1 << 20     # 64-bit blocks of the live filter at most: 16 MB of rows
+
+
+def _bits(domain):
+    """Three bits of a 64-bit block for a domain; the block's number comes from the hash's other bits."""
+    h = F.xxhash64(domain)
+    bits = [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 6 * i).bitwiseAND(63).cast("int"))
+            for i in range(3)]
+    return h, bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2])
+
+
+def probably_live(candidates: DataFrame, live: DataFrame) -> DataFrame:
+    """The candidates whose ``domain`` passes a Bloom filter of the live domains: no live one is lost.
+
+    The filter is a table (block, bits) built by aggregation, a block per four
+    live domains and at most FILTER_BLOCKS, so it may be broadcast whatever the
+    number of domains; beyond four million it lets more dead guesses pass.
+    Null domains, and all of them if ``live`` is empty, go.
+    """
+    blocks = min(FILTER_BLOCKS, 1 << max(0, (live.count() // 4).bit_length()))
+    hashed, bits = _bits(F.col("domain"))
+    block = F.shiftrightunsigned(hashed, 32).bitwiseAND(blocks - 1)
+    table = (live.filter("domain IS NOT NULL").select(block.alias("_block"), bits.alias("_bits"))
+             .groupBy("_block").agg(F.bit_or("_bits").alias("_held")))
+    probe = candidates.filter("domain IS NOT NULL").withColumn("_block", block).withColumn("_bits", bits)
+    return (probe.join(F.broadcast(table), "_block")        # at most FILTER_BLOCKS rows
+            .filter(F.col("_bits").bitwiseAND(F.col("_held")) == F.col("_bits")).select(*candidates.columns))
+
+
 def resolve_domains(candidates: DataFrame, live_domains: DataFrame, key: str) -> DataFrame:
     """The first guess (by rank) found in ``live_domains`` (column
     ``domain``), as ``https://domain``. The live table replaces the DNS /
-    HTTP probe; it can be large, so it is joined, not broadcast by force."""
-    live = live_domains.select(F.lower(F.col("domain")).alias("domain")).distinct()
-    hits = candidates.join(live, "domain")
+    HTTP probe; it can be large, so it is joined, not broadcast by force. Where
+    its bytes are beyond a broadcast, the guesses pass a Bloom filter first
+    (``probably_live``), since nearly none is live: only what passes is shuffled."""
+    live = live_domains.select(F.lower(F.col("domain")).alias("domain"))
+    if not fits_broadcast(live):
+        candidates = probably_live(candidates, live)
+    hits = candidates.join(live.distinct(), "domain")
     return (hits.groupBy(key).agg(F.min_by("domain", "rank").alias("domain"))
             .select(key, F.concat(F.lit("https://"), F.col("domain")).alias("website")))
 

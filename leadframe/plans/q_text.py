@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from leadframe import fixed
 from leadframe.functions import facts, names
 from leadframe.functions.urls import canonical_profile_url
-from leadframe.operators import extract, responses
+from leadframe.operators import extract, responses, similar
 from leadframe.plans import inputs
 from leadframe.plans.registry import register
 from leadframe.sources.suffixes import DEFAULT_RULES
@@ -366,6 +366,34 @@ def x22_similar_texts(spark, sf):
     return d.join(b, "doc_id").select("doc_id", facts.is_similar_text(F.col("text"), F.col("t2")).alias("similar"))
 
 
+# the texts (class by class) and the links between them; sizes are those of the stripped texts
+_X22_PAIRS = r"""t AS (SELECT doc_id, trim(text, E' \t\n\r\x0b\x0c') AS text FROM documents),
+c AS (SELECT text, min(doc_id) AS k, length(text) AS chars,
+        list_distinct(list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '')) AS words
+      FROM t WHERE text <> '' GROUP BY text),
+w AS (SELECT k, chars, len(words) AS n, unnest(words) AS word FROM c WHERE chars >= 10),
+l AS (SELECT a.k AS a, b.k AS b FROM w a JOIN w b ON a.word = b.word AND a.k <> b.k AND a.chars <= b.chars
+      GROUP BY a.k, b.k, a.n HAVING 5 * count(*) >= 4 * a.n),
+u AS (SELECT DISTINCT CASE WHEN x.chars = y.chars THEN least(a, b) ELSE a END AS shorter_id,
+        CASE WHEN x.chars = y.chars THEN greatest(a, b) ELSE b END AS longer_id
+      FROM l JOIN c x ON x.k = a JOIN c y ON y.k = b)"""
+
+
+@register("x22_similar_classes", f"""WITH {_X22_PAIRS},
+n AS (SELECT k, count(*) AS n FROM (SELECT unnest([shorter_id, longer_id]) AS k FROM u) GROUP BY k)
+SELECT t.doc_id, c.k AS class_id, coalesce(n.n, 0) AS n_links
+FROM t LEFT JOIN c ON t.text = c.text LEFT JOIN n ON n.k = c.k""")
+def x22_similar_classes(spark, sf):
+    """X22 over all documents: each one's class of equal texts and how many other texts are similar."""
+    return similar.similar_texts(inputs.table(spark, sf, "documents"), "doc_id", "text")[0]
+
+
+@register("x22_similar_links", f"WITH {_X22_PAIRS} SELECT shorter_id, longer_id FROM u")
+def x22_similar_links(spark, sf):
+    """X22 over all documents: the links between classes."""
+    return similar.similar_texts(inputs.table(spark, sf, "documents"), "doc_id", "text")[1]
+
+
 # what a snippet says of company and place, by the customer's number: the metatag's
 # value, its words in another order, some of them, another value, a short one, none
 _X23_COMPANY = ["n_name || ' Trading'", "'Trading ' || n_name", "'Group ' || n_name || ' Trading'", "'Other Firm ' || c_custkey", "'ab'",
