@@ -358,7 +358,7 @@ class _Join:
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                       k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+                       k: int = SHINGLE, percent: int = PERCENT, unique: bool = False) -> DataFrame:
     """Return one row per input row: ``id_col``, n_shingles, component_id.
 
     Documents link when 100 |x & y| >= percent |x | y| on their sets of k-word
@@ -366,24 +366,52 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     the smallest id reachable by links. A document without words, or with null
     text, has no shingles and links with nothing. Ids are whole numbers; rows
     that share an id are one node, rows with a null id keep a null component.
-    An empty table gives no rows; other columns aren't read.
+    An empty table gives no rows; other columns aren't read. ``unique``: as in
+    ``set_components``.
     """
-    out = set_components(df, partial(shingles_of, k), percent, id_col, text_col)
+    out = set_components(df, partial(shingles_of, k), percent, id_col, text_col, unique=unique)
     return out.withColumnRenamed("n", "n_shingles")
 
 
 def set_components(df: DataFrame, sets_of, percent: int, id_col: str, text_col: str,
-                   size_classes: bool = False) -> DataFrame:
+                   size_classes: bool = False, unique: bool = False) -> DataFrame:
     """The join on any sets of a text: ``sets_of(column)`` gives blocks of sorted
-    distinct 64-bit hashes. Returns ``id_col``, n, component_id."""
+    distinct 64-bit hashes. Returns ``id_col``, n, component_id.
+
+    Ids are looked through for repeats first. Where some repeat, the join runs on
+    row numbers, written once with the rows, so that an id which many rows share
+    is no key of it; ids then meet where their rows do. ``unique``: the caller
+    knows that no id repeats, so nothing is looked through.
+    """
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    job = _Join(docs, sets_of, percent, size_classes)
-    comp = job.run()
-    out = job.rows.select("id", "n").join(comp, "id", "left")
+    once = unique or docs.filter("id IS NOT NULL").groupBy("id").count().filter("count > 1").isEmpty()
+    if once:
+        job = _Join(docs, sets_of, percent, size_classes)
+        comp, sizes = job.run(), job.rows.select("id", "n")
+    else:
+        comp, sizes = _components_by_row(docs, sets_of, percent, size_classes)
+    out = sizes.join(comp, "id", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n"),
                       F.coalesce("comp", "id").alias("component_id"))
 
 
+def _components_by_row(docs: DataFrame, sets_of, percent: int, size_classes: bool):
+    """(id, comp) and (id, n) of documents whose ids may repeat. Rows with a null id keep a null number."""
+    s = Scratch(docs.sparkSession, "jaccard-by-row")
+    number = F.when(F.col("id").isNotNull(), F.monotonically_increasing_id())
+    docs = s.put(docs.withColumn("row", number), "rows")
+    job = _Join(docs.select(F.col("row").alias("id"), "text"), sets_of, percent, size_classes)
+    comp = job.run().withColumnRenamed("id", "row")
+    sizes = job.rows.select(F.col("id").alias("row"), "n").join(docs.select("row", "id"), "row").select("id", "n")
+    sizes = sizes.unionByName(job.rows.filter("id IS NULL").select("id", "n"))
+    # one row for each id in a component of rows, so a hot id is combined before it is shuffled
+    met = s.put(docs.filter("row IS NOT NULL").select("row", "id").join(comp, "row", "left")
+                .select("id", F.coalesce("comp", "row").alias("comp")).distinct(), "met")
+    least = met.groupBy("comp").agg(F.min("id").alias("b"))
+    by_row = met.join(least, "comp").select(F.col("id").alias("a"), "b")
+    return components(by_row, s), sizes
+
+
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of ``df``, all columns, less those whose component has a smaller id.
@@ -415,7 +443,7 @@ def keep_one_row(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = df.withColumn(row, F.monotonically_increasing_id()).orderBy(*order)
     s = Scratch(df.sparkSession, "jaccard-rows")
     rows = s.put(rows.withColumn(row, F.monotonically_increasing_id()), "rows")
-    found = jaccard_components(rows.select(row, named(text_col).alias("t")), row, "t", k, percent)
+    found = jaccard_components(rows.select(row, named(text_col).alias("t")), row, "t", k, percent, unique=True)
     gone = s.put(found.filter(F.col(row) != F.col("component_id")).select(row), "gone")
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)

@@ -114,6 +114,30 @@ def test_jaccard_salted_lists(spark, monkeypatch):
     check(spark, near_copies(3, 3, 50, 2))
 
 
+def test_jaccard_ids_that_many_rows_share(spark):
+    """A third of the rows under one id with texts of their own, a third one repeated row: ids meet where any of their rows link."""
+    rows = near_copies(4, 10, 6, 2)
+    base = [(i + 10, t) for i, t, *_ in rows]
+    hot = [(500, t + " tail") for _, t in base[::2]] + [(500, prose(random.Random(9), 40 + n)) for n in range(30)]
+    again = [(base[7][0], base[7][1])] * 60
+    table = base + hot + again + [(None, base[0][1])] * 5 + [(600, None), (600, ""), (2, hot[-1][1])]
+    docs = frame(spark, [(i, t, None, None) for i, t in table])
+    got = rows_of(jaccard.jaccard_components(docs), "doc_id", "n_shingles", "component_id")
+    keyed = [(i, t) for i, t in enumerate(t for t in table if t[0] is not None)]
+    by_row = {row: comp for row, _, comp in brute_components([(n, t[1]) for n, t in keyed])}
+    comp = {t[0]: t[0] for _, t in keyed}
+    for _ in range(len(comp)):      # the least id of a component of rows, until nothing changes
+        least, before = {}, dict(comp)
+        for n, t in keyed:
+            least[by_row[n]] = min(least.get(by_row[n], comp[t[0]]), comp[t[0]])
+        for n, t in keyed:
+            comp[t[0]] = min(comp[t[0]], least[by_row[n]])
+        if comp == before:
+            break
+    assert comp[500] == 2 and len(set(comp.values())) > 3
+    assert sorted(got, key=str) == sorted([(i, len(shingles(t)), comp.get(i)) for i, t in table], key=str)
+
+
 def test_jaccard_repeats_nulls_and_empty_table(spark):
     rows = [(5, "a b c d e f", None, None), (5, "a b c d e f", None, None), (3, "A B c d e f", None, None),
             (9, None, None, None), (10, "", None, None), (None, "a b c d e f", None, None)]
