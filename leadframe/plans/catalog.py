@@ -18,8 +18,12 @@ from leadframe.plans.registry import BATCH, NOW, ORACLES, QUERIES, register  # n
 
 def person_records(spark, sf):
     """Raw profiles -> N1 mapping (run date) -> N2-N9 records, as an ingest run does."""
-    mapped = standardise.map_to_person_schema(inputs.raw_profiles(spark, sf), inputs.LOOKUP_DATE)
-    return standardise.standardise_people(mapped)
+    return records_of(inputs.raw_profiles(spark, sf))
+
+
+def records_of(profiles):
+    """N1 and N2-N9 on raw profiles."""
+    return standardise.standardise_people(standardise.map_to_person_schema(profiles, inputs.LOOKUP_DATE))
 
 
 def ingest(spark, sf):

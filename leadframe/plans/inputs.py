@@ -26,7 +26,11 @@ def _s(c):
 # www./de. host, query string, locale segment), fields are missing on some
 # events, counts arrive as shorthand text, some names carry a degree.
 def raw_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    return profiles_of(table(spark, sf_dir, "events"))
+
+
+def profiles_of(e: DataFrame) -> DataFrame:
+    """The raw profile of each event."""
     eid, uid = F.col("event_id"), F.col("user_id")
     v = eid % 4
     url = (F.when(v == 0, F.concat(F.lit("https://www.linkedin.com/in/User-"), _s("user_id"), F.lit("/")))
@@ -88,6 +92,15 @@ FROM events
 
 LOOKUP_DATE = "2024-02-01"
 
+
+def halves(spark: SparkSession, sf_dir: str, at: str) -> tuple[DataFrame, DataFrame]:
+    """The events before ``at`` and the others. An event meets the times of all events of its id, and
+    goes with each (as the oracles join records with events): narrow rows, before any rule runs on them."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    ts = table(spark, sf_dir, "events").select("event_id", "ts")
+    early = F.col("ts") < F.lit(at).cast("timestamp_ntz")
+    return tuple(e.join(ts.filter(x).select("event_id"), "event_id") for x in (early, ~early))
+
 # The standardised records of RAW_PROFILES_SQL after N1 (mapping with the
 # run's lookup date) and N2-N9, in SQL for these ASCII inputs: key, degree
 # moved into the title, name split, counts parsed (a parsed 0 is falsy in the

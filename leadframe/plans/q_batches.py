@@ -19,15 +19,13 @@ LATER = "2024-03-01 00:00:00"
 
 def two_ingests(spark, sf, reuse_by_name=False, between=None) -> SnapshotStore:
     """Person records of events before and after SPLIT, ingested (K13) one after the other; ``between`` runs after the first."""
-    from leadframe.plans.catalog import person_records
+    from leadframe.plans.catalog import records_of
     store = SnapshotStore(spark, scratch_dir(spark, "two-batches"))
-    ts = inputs.table(spark, sf, "events").select(F.col("event_id").alias("ingest_seq"), "ts")
-    rec = person_records(spark, sf).join(ts, "ingest_seq")
-    early = F.col("ts") < F.lit(SPLIT).cast("timestamp_ntz")
-    runs.commit_people(store, rec.filter(early).drop("ts"), NOW, "one", reuse_by_name=reuse_by_name)
+    one, two = (records_of(inputs.profiles_of(e)) for e in inputs.halves(spark, sf, SPLIT))
+    runs.commit_people(store, one, NOW, "one", reuse_by_name=reuse_by_name)
     if between is not None:
         between(store)
-    runs.commit_people(store, rec.filter(~early).drop("ts"), LATER, "two", reuse_by_name=reuse_by_name)
+    runs.commit_people(store, two, LATER, "two", reuse_by_name=reuse_by_name)
     return store
 
 
