@@ -11,7 +11,7 @@ from leadframe.plans.q_people import (ORDER_QUERIES_SQL, SUPPLIER_COMPANIES_SQL,
                                       order_queries, supplier_companies)
 from leadframe.plans.registry import BATCH, NOW, register
 from leadframe.plans.sqlparts import K1_AGG
-from leadframe.session import scratch_dir
+from leadframe.session import materialize, scratch_dir
 from leadframe.sources import export, readers
 from leadframe.sources.snapshots import SnapshotStore
 
@@ -414,11 +414,9 @@ def s8_snapshot_upsert(spark, sf):
     """People upserted in two batches (first half of January, then the
     rest) through versioned snapshots; the result equals one upsert of all."""
     store = SnapshotStore(spark, scratch_dir(spark, "snapshots"))
-    rec = _records(spark, sf)
-    ts = inputs.table(spark, sf, "events").select(F.col("event_id").alias("ingest_seq"), "ts")
-    rec = rec.join(ts, "ingest_seq")
-    early = F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")
-    for i, batch in enumerate((rec.filter(early).drop("ts"), rec.filter(~early).drop("ts"))):
+    from leadframe.plans.catalog import records_of
+    for i, events in enumerate(inputs.halves(spark, sf, "2024-01-16")):
+        batch = materialize(records_of(inputs.profiles_of(events)), "half")     # read twice
         touched = store.touched("people", batch.filter(F.col("linkedin_profile").isNotNull()))
         people = upsert.upsert_people(store.read("people", buckets=touched), batch, NOW, batch_no=store.next_batch())
         store.commit({"people": (people, touched)}, f"half-{i}")
