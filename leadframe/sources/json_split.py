@@ -34,19 +34,26 @@ def _fragments(spark: SparkSession, path: str, over_bytes: int) -> DataFrame:
     raw = (spark.read.option("lineSep", "}").text(path).filter(F.col("_metadata.file_size") > over_bytes)
            .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
                    F.col("_metadata.file_size").alias("file_size"), F.monotonically_increasing_id().alias("seq"), "value"))
-    plain = F.regexp_replace("value", r"(?s)\\.", "")
-    quotes = F.length(plain) - F.length(F.replace(plain, F.lit('"'), F.lit("")))
+    plain = F.when(F.contains("value", F.lit("\\")), F.regexp_replace("value", r"(?s)\\.", "")).otherwise(F.col("value"))
 
     def outside(text):
         """The brackets outside strings, and the closing one unless it is in a string."""
-        closed = F.regexp_replace(F.concat(text, F.lit("}")), '"[^"]*+("|$)', "")
-        return F.regexp_replace(closed, r"[^\[\]{}]++", "")
+        return F.regexp_replace(F.concat(text, F.lit("}")), r'"[^"]*+(?:"|$)|[^\[\]{}"]++', "")
+
+    def change(d, low):
+        return F.struct(F.lit(d).alias("d"), F.lit(low).alias("low"))
 
     def depth(brackets):
-        return F.aggregate(F.split(brackets, ""), F.struct(F.lit(0).alias("d"), F.lit(0).alias("low")),
-                           lambda a, c: F.struct((a["d"] + _step(c)).alias("d"), F.least(a["low"], a["d"] + _step(c)).alias("low")))
-    return raw.select(*AT, "file_size", "value", quotes.cast("long").alias("quotes"), depth(outside(plain)).alias("out"),
-                      depth(outside(F.concat(F.lit('"'), plain))).alias("within"))
+        """Most fragments are an object without brackets in it, or the end of one."""
+        steps = F.aggregate(F.split(brackets, ""), change(0, 0),
+                            lambda a, c: F.struct((a["d"] + _step(c)).alias("d"), F.least(a["low"], a["d"] + _step(c)).alias("low")))
+        return F.when(brackets.isin("", "{}"), change(0, 0)).when(brackets == "}", change(-1, -1)).otherwise(steps)
+    # a step each, so that a text is gone through once
+    seen = raw.withColumn("plain", plain)
+    quotes = F.length("plain") - F.length(F.replace(F.col("plain"), F.lit('"'), F.lit("")))
+    seen = seen.select(*AT, "file_size", "value", quotes.cast("long").alias("quotes"), outside(F.col("plain")).alias("out"),
+                       outside(F.concat(F.lit('"'), F.col("plain"))).alias("within"))
+    return seen.withColumns({"out": depth(F.col("out")), "within": depth(F.col("within"))})
 
 
 def _step(c):
@@ -155,7 +162,11 @@ def read_array_elements(spark: SparkSession, path: str, over_bytes: int) -> Data
                .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "seq", "text"))),     # one element's text
                                              lambda x: x["text"]), "").alias("text")))
     json = rows.filter("whole").select("file", "pos", "text").unionByName(several)
-    # what stands before an element is a comma, or elements that are no objects and a comma
-    items = F.expr("try_variant_get(try_parse_json(concat('[', regexp_replace(text, '^\\\\s*+,', ''), ']')), '$', 'array<variant>')")
-    objects = F.filter(items, lambda x: F.startswith(F.schema_of_variant(x), F.lit("OBJECT")))
-    return json.select("file", "pos", F.try_element_at(objects, F.lit(1)).alias("p")).filter("p IS NOT NULL")
+    # what stands before an element is a comma, or elements that are no objects and a comma; after it nothing,
+    # so a text that starts as an object is that object
+    bare = F.regexp_replace("text", r"^\s*+,", "")
+    items = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), bare, F.lit("]"))), "$", "array<variant>")
+    objects = F.slice(F.filter(items, lambda x: F.startswith(F.schema_of_variant(x), F.lit("OBJECT"))), 1, 1)
+    alone = F.array_compact(F.array(F.try_parse_json(bare)))
+    # a generator parses once; a filter on its result would parse before and after
+    return json.select("file", "pos", F.explode(F.when(F.col("text").rlike(r"^\s*+,?+\s*+\{"), alone).otherwise(objects)).alias("p"))

@@ -119,8 +119,9 @@ def read_people_json(spark: SparkSession, path: str, whole_bytes: int = WHOLE_BY
     files = numbered(names, "_file", "_fr")
     raw = (spark.read.text(path, wholetext=True).filter(F.col("_metadata.file_size") <= whole_bytes)
            .select("value", F.col("_metadata.file_path").alias("_file")).join(files, "_file"))
-    v = raw.select("_fr", F.expr("try_parse_json(value)").alias("v"))
-    arr = F.expr("""filter(CASE WHEN startswith(schema_of_variant(v), 'ARRAY') THEN try_variant_get(v, '$', 'array<variant>')
+    # the shape from the first character: the whole file's schema would be put together for it
+    v = raw.select("_fr", F.expr("try_parse_json(value)").alias("v"), F.col("value").rlike(r"^[\s\x{FEFF}]*+\[").alias("bare"))
+    arr = F.expr("""filter(CASE WHEN bare THEN try_variant_get(v, '$', 'array<variant>')
                          ELSE try_variant_get(v, '$.profiles', 'array<variant>') END,
                        x -> startswith(schema_of_variant(x), 'OBJECT'))""")
     items = v.select("_fr", F.posexplode(arr).alias("_pos", "p"))
