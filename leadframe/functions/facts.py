@@ -276,14 +276,23 @@ def is_similar_text(t1, t2, threshold: float = 0.8) -> Column:
     """Word-set containment of the shorter text in the longer >= threshold;
     texts under 10 chars must be equal after trimming. On equal lengths the
     first text plays both parts (so two texts of one length count as similar)."""
-    a, b = col_(t1), col_(t2)
-    a_short = F.length(a) <= F.length(b)
-    shorter = F.when(a_short, a).otherwise(b)
-    longer = F.when(F.length(a) >= F.length(b), a).otherwise(b)
-    ws, wl = _word_set(shorter), _word_set(longer)
+    return is_similar_parts(similar_parts(col_(t1)), similar_parts(col_(t2)), threshold)
+
+
+def similar_parts(t: Column) -> Column:
+    """What X22 asks of one text: its length, its word set from 10 characters on, the trimmed text if that has fewer."""
+    n = F.length(t)
+    return F.struct(n.alias("chars"), F.when(n >= 10, _word_set(t)).alias("words"),
+                    F.when(F.length(strip(t)) < 10, strip(t)).alias("short"))
+
+
+def is_similar_parts(a: Column, b: Column, threshold: float = 0.8) -> Column:
+    """X22 on the ``similar_parts`` of both texts."""
+    n, m = a["chars"], b["chars"]
+    ws, wl = F.when(n <= m, a["words"]).otherwise(b["words"]), F.when(n >= m, a["words"]).otherwise(b["words"])
     ratio = F.size(F.array_intersect(ws, wl)) / F.size(ws)
-    return (F.when(a.isNull() | b.isNull() | (a == "") | (b == ""), F.lit(False))
-            .when(F.length(shorter) < 10, strip(a) == strip(b))
+    return (F.when(n.isNull() | m.isNull() | (n == 0) | (m == 0), F.lit(False))
+            .when(F.least(n, m) < 10, F.coalesce(a["short"] == b["short"], F.lit(False)))
             .when(F.size(ws) == 0, F.lit(False))
             .otherwise(ratio >= threshold))
 

@@ -12,6 +12,7 @@ from leadframe.functions.urls import canonical_profile_url
 from leadframe.operators import extract, responses, similar
 from leadframe.plans import inputs
 from leadframe.plans.registry import register
+from leadframe.session import materialize
 from leadframe.sources.suffixes import DEFAULT_RULES
 from leadframe.plans import sqlrules as R
 
@@ -361,9 +362,10 @@ SELECT doc_id, CASE WHEN t1 IS NULL OR t2 IS NULL OR t1 = '' OR t2 = '' THEN fal
   ELSE len(list_intersect(ws, wl)) / len(ws) >= 0.8 END AS similar FROM w""")
 def x22_similar_texts(spark, sf):
     """X22 on each document and the next one (one pair per row)."""
-    d = inputs.table(spark, sf, "documents").select("doc_id", "text")
-    b = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("t2"))
-    return d.join(b, "doc_id").select("doc_id", facts.is_similar_text(F.col("text"), F.col("t2")).alias("similar"))
+    # a text's words are taken once, and cross the network instead of it
+    d = materialize(inputs.table(spark, sf, "documents").select("doc_id", facts.similar_parts(F.col("text")).alias("a")), "similar-parts")
+    b = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b"))
+    return d.join(b, "doc_id").select("doc_id", facts.is_similar_parts(F.col("a"), F.col("b")).alias("similar"))
 
 
 # the texts (class by class) and the links between them; sizes are those of the stripped texts
