@@ -29,7 +29,6 @@ import hashlib
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -286,13 +285,16 @@ def compare_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _place(borders: list[float]):
-    """Range number of ``id``; null is in the first range."""
-    edges = np.array(borders)
-
-    @F.pandas_udf("int")
-    def place(x: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(edges, x.to_numpy(), "left").astype(np.int32))
-    return place(F.coalesce(F.col("id").cast("double"), F.lit(float("-inf"))))
+    """Range number of ``id``, the borders below it; null is in the first range. A search by halves as one
+    expression, so the texts beside the id don't wait in a Python task's queue."""
+    x = F.coalesce(F.col("id").cast("double"), F.lit(float("-inf")))
+
+    def within(lo, hi):
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(x > borders[mid], within(mid + 1, hi)).otherwise(within(lo, mid))
+    return within(0, len(borders))
 
 
 def _compare(ids, texts, following, anchors, chain):
